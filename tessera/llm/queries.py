@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, minhash, packing
+from tessera.llm import exact_dedup, minhash, packing, suffix_dedup
 
 QUERIES = {
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_packing": packing.op8_packing,
     "op10_minhash": minhash.op10_minhash,
