@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, minhash, packing, suffix_dedup
+from tessera.llm import exact_dedup, language_id, minhash, packing, quality_rules, suffix_dedup
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_packing": packing.op8_packing,
     "op10_minhash": minhash.op10_minhash,
 }
 
-ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {"op4_quality_rules": quality_rules.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
