@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, language_id, minhash, packing, quality_rules, suffix_dedup
+from tessera.llm import exact_dedup, language_id, minhash, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_packing": packing.op8_packing,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash": minhash.op10_minhash,
 }
 
