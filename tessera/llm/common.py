@@ -46,6 +46,14 @@ def semi_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(keys, on, "left_semi")
 
 
+def anti_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is not in ``keys``; the key set is broadcast as in semi_join()."""
+    keys = materialize(keys.distinct())
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return df.join(keys, on, "left_anti")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge list.
 

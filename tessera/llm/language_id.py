@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tessera.llm.common import table
@@ -177,8 +178,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return LanguageModel(langs, tuple("\n".join(p for _, p in sorted(parts[lang])[: 2 * SAMPLE_TEXTS]) for lang in langs), tuple(counts[lang] / total for lang in langs))
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score, phrase_bits.
+def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, lang_pred, score, phrase_bits, and the columns named in ``carry`` in a struct ``row``.
 
     Each whole text is parsed from left to right into the longest phrases that occur in a language's sample. With
     phrases times log2(sample length) bits, the language of fewest bits wins; ties go to the language with more
@@ -208,11 +209,13 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                     share = 1 / np.exp2(np.maximum(best - bits, -1000)).sum(axis=0)
                     score[ok] = share[ok]
                     rate[ok] = (best / np.maximum(number, 1))[ok]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(raws)), pa.array(names[win], pa.string()), pa.array(score), pa.array(rate)], names=["doc_id", "lang_pred", "score", "phrase_bits"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(raws)), pa.array(names[win], pa.string()), pa.array(score), pa.array(rate), batch.column(2).slice(at, len(raws))], names=["doc_id", "lang_pred", "score", "phrase_bits", "row"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        parse, "doc_id long, lang_pred string, score double, phrase_bits double"
-    )
+    row = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
+    schema = StructType.fromDDL("doc_id long, lang_pred string, score double, phrase_bits double").add(picked.schema["row"])
+    out = picked.mapInArrow(parse, schema)
+    return out if carry else out.drop("row")
 
 
 def remainder(id_col: Column, divisor: int) -> Column:

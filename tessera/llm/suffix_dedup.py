@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm.common import BROADCAST_KEYS, materialize, semi_join, table
 from tessera.llm.kernels import BLOCK, Rolling, U, column, mix
@@ -270,7 +271,7 @@ def _removed(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, raws = _raws(batch)
-            ranges = column(batch, "ranges")
+            ranges, carried = column(batch, "ranges"), batch.column(batch.schema.get_field_index("row"))
             rows = []
             for doc, raw, found in zip(ids.tolist(), raws, ranges, strict=True):
                 begin = np.array([x["s"] for x in found or []], np.int64)
@@ -296,39 +297,44 @@ def _removed(docs: DataFrame) -> DataFrame:
                 out.append(raw[at:])
                 whole = b"".join(kept)
                 rows.append((doc, len(raw), len(raw) - len(whole), len(spans), hashlib.sha256(whole).hexdigest(), b"".join(out).decode("utf-8", "replace"), [{"start": s, "end": e} for s, e in spans]))
-            names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"]
+            names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans", "row"]
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), span]
             for at in range(0, len(rows), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[at : at + 1000], strict=True), kinds, strict=True)], names=names)
+                some = rows[at : at + 1000]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, k) for x, k in zip(zip(*some, strict=True), kinds, strict=True)], carried.slice(at, len(some))], names=names)
 
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<start: long, end: long>>"
-    return docs.mapInArrow(cut, schema)
+    return docs.mapInArrow(cut, StructType.fromDDL(schema).add(docs.schema["row"]))
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, spans.
 
+    The columns named in ``carry`` follow in a struct ``row``.
+
     A byte of a text (UTF-8) is removed when a string of ``length`` bytes that covers it also starts earlier: in a
     document of smaller id, or earlier in the same one. Strings are judged on the input. ``spans`` are the maximal
     removed ranges, kept_sha256 is of the remaining bytes. kept_text is the text without the characters that lie wholly in a span.
     A null text is empty; a null id comes before all others. Repeated rows of one id count as one document at one
     place. Other columns are ignored; an empty table gives an empty result.
     """
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    ranges = materialize(repeated_ranges(base, length).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges")))
+    row = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
+    ranges = materialize(repeated_ranges(base.select("doc", "text"), length).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges")))
     hits = ranges.select("doc")
     if hits.count() <= BROADCAST_KEYS:  # only texts that lose something are shuffled
         touched = _removed(base.join(F.broadcast(hits), "doc", "left_semi").join(ranges, "doc"))
         clean = base.join(F.broadcast(hits), "doc", "left_anti").withColumn("text", F.coalesce("text", F.lit("")))
         clean = clean.select(
             "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-            F.sha2("text", 256).alias("kept_sha256"), F.col("text").alias("kept_text"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"),
+            F.sha2("text", 256).alias("kept_sha256"), F.col("text").alias("kept_text"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"), "row",
         )
         out = touched.unionByName(clean)
     else:
         out = _removed(base.join(ranges, "doc", "left"))
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans")
+    columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans", *(["row"] if carry else [])]
+    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), *columns)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
