@@ -25,7 +25,7 @@ def shingle_sets(raws: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     salt = mix(np.arange(1, k + 1, dtype=U)) | U(1)
     n = len(w.hash)
     total = np.zeros(max(0, n - k + 1), U)
-    for j in range(k):
+    for j in range(k if len(total) else 0):
         total += w.hash[j : n - k + 1 + j] * salt[j]
     total = mix(total)
     out = []

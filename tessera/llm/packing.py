@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,17 +21,32 @@ from tessera.llm.kernels import blocks, column
 CACHE = 600_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
-_INNER_SPACE = re.compile(r" \s|\s ")
+_UNSAFE = re.compile(r"[\W_](?:[.,]|(?<=\s)\s)")
 _loaded: dict[int, SegmentTokenizer] = {}
 
 
-class SegmentTokenizer:
-    """Ids of whole texts, made from the remembered ids of their space-led segments.
+class _Numbers(dict):
+    """Numbers segments as they come; new ones are listed."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, segment: str) -> int:
+        number = self[segment] = len(self)
+        self.new.append(segment)
+        return number
+
 
-    A byte-level tokenizer first splits a text by a pattern in which a space goes with what follows it. So a text may
-    be cut before any space that has other characters than white space on both sides, and the ids of the parts, one
-    after the other, are those of the text. Texts with longer runs of white space around a space, or with the
-    string of an added token, are encoded whole.
+class SegmentTokenizer:
+    """Ids of whole texts, made from the remembered ids of their segments.
+
+    A byte-level tokenizer first splits a text by a fixed pattern, which looks at nothing before a split. In texts
+    without two white spaces in a row, without a full stop or comma after anything but a letter or digit, and without
+    white space at either end, the pattern splits before every space, full stop and comma and on both sides of every
+    line end. So such a text may be cut there, and the ids of the parts, one after the other, are those of the
+    text. Other texts, those with the string of an added token, and all texts of a tokenizer that splits
+    otherwise, are encoded whole.
     """
 
     def __init__(self, definition: str):
@@ -39,22 +55,26 @@ class SegmentTokenizer:
         self.tokenizer = Tokenizer.from_str(definition)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        made = json.loads(definition)
+        split = made.get("pre_tokenizer") or {}
+        self.cuts = not made.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
+        self.known = 0
         self.flat = np.zeros(1 << 20, np.uint32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def learn(self, new: list[str]) -> None:
-        if len(self.index) > CACHE:
-            self.forget()
+    def learn(self) -> None:
+        """Encode the new segments."""
+        new, self.index.new = self.index.new, []
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum()))
-        at = len(self.index)
+        at = self.known
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while at + len(new) > len(self.begin):
@@ -63,32 +83,32 @@ class SegmentTokenizer:
         self.begin[at : at + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.size[at : at + len(new)] = sizes
         self.used += len(flat)
-        self.index.update(zip(new, range(at, at + len(new)), strict=True))
+        self.known += len(new)
 
     def plain(self, text: str) -> bool:
-        return not (_INNER_SPACE.search(text) or text[:1].isspace() or text[-1:].isspace() or self.added and self.added.search(text))
+        whole = not self.cuts or "\x00" in text or text[:1].isspace() or text[-1:].isspace() or text[:1] in (".", ",")
+        return not (whole or _UNSAFE.search(text) or self.added and self.added.search(text))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
-        plain = [self.plain(t) for t in texts]
-        # "a b c" gives "a", " b", " c": every segment but the first keeps its space
-        parts = ["\x00".join(t.split(" ")).replace("\x00", "\x00 ").split("\x00") if ok and "\x00" not in t else None for t, ok in zip(texts, plain, strict=True)]
-        wanted = {p for part in parts if part for p in part}
-        if len(self.index) + len(wanted) > CACHE and len(wanted) < len(self.index):
+        if len(self.index) > CACHE:
             self.forget()
-        new = [p for p in wanted if p not in self.index]
-        if new:
-            self.learn(new)
-            if missing := [p for p in wanted if p not in self.index]:  # forgotten just now
-                self.learn(missing)
-        look = self.index.__getitem__
-        for text, part in zip(texts, parts, strict=True):
-            if part is None:
+        number = self.index.__getitem__
+        which: list[np.ndarray | None] = []
+        for text in texts:
+            if self.plain(text):
+                parts = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").replace(",", "\x00,").replace(".", "\x00.").split("\x00")
+                which.append(np.fromiter(map(number, parts), np.int64, len(parts)))
+            else:
+                which.append(None)
+        if self.index.new:
+            self.learn()
+        for text, mine in zip(texts, which, strict=True):
+            if mine is None:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
-            which = np.fromiter(map(look, part), np.int64, len(part))
-            size = self.size[which]
-            shift = self.begin[which] - np.cumsum(size) + size
+            size = self.size[mine]
+            shift = self.begin[mine] - np.cumsum(size) + size
             yield self.flat[np.repeat(shift, size) + np.arange(int(size.sum()))]
 
 
