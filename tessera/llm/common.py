@@ -54,30 +54,31 @@ def anti_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(keys, on, "left_anti")
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour at most, and none that has one itself."""
+    if not edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        return False
+    return edges.groupBy("u").count().where("count > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge list.
 
     Input: long columns a, b (nulls and loops are ignored, repeats are harmless). Output: node, component, where
     component is the smallest node reachable; only nodes with an edge are listed. Large-star and small-star rounds
-    (each edge moves to a smaller centre) run until the edge set stays as it is; every round is written to the
-    shared folder, so no lineage builds up and nothing is collected but two sums.
+    (each edge moves to a smaller centre) run until every component is a star; every round is written to the
+    shared folder, so no lineage builds up and nothing is collected.
     """
     edges = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialize(edges)
-    seen = None
-    while True:
+    while not _is_star_forest(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u != v").distinct())
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select(F.col("v").alias("x"), "m").where("x != m")
-        small = small.select(F.col("x").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == now:
-            break
-        seen = now
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

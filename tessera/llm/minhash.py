@@ -8,13 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.common import components, materialize, semi_join, table
 from tessera.llm.kernels import U, Words, blocks, column, list_column, mix
 
 SIDE = 8  #: keys in each of the two collections; SIDE * SIDE tables
 ROWS = 2  #: minhashes in one key of a collection
+BLOCK_BITS = 5  #: documents in a block, as a power of two
 SEED = 20240229
 SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>"
 
@@ -96,6 +96,52 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (size("sa") + size("sb") - F.col("common"))).select("a", "b")
 
 
+def _rest(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket (key, a, b of ``members``; a is the centre, b each member).
+
+    In each such bucket the members outside the largest component are the questions. Documents are dealt to blocks of
+    2**BLOCK_BITS, questions and bucket neighbours side by side; the questions of a block are compared with every block that
+    shares a bucket with one of them. Rows sent are blocks, as many as the pairs of blocks, not pairs of documents.
+    """
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    known = comp.join(sizes, "component").select(F.col("node").alias("rep"), "component", "n")
+    placed = members.select("key", "a", F.col("b").alias("rep")).join(known, "rep", "left")
+    placed = placed.select("key", "a", "rep", F.coalesce("component", "rep").alias("c"), F.coalesce("n", F.lit(1)).alias("n"))
+    split = materialize(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
+    placed = materialize(placed.join(split, "key", "left_semi"))
+    major = placed.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top")).select("key", F.col("top.c").alias("major"))
+    placed = materialize(placed.join(major, "key").select("key", "a", "rep", "c", (F.col("c") != F.col("major")).alias("asks")))
+    docs = placed.groupBy("rep", "c").agg(F.min("a").alias("near"), F.max("asks").alias("asks"))
+    order = ["near", F.desc("asks"), "rep"]
+    docs = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
+    docs = materialize(docs)
+    dealt = materialize(placed.join(docs.select("rep", "block"), "rep").groupBy("key", "block").agg(F.max("asks").alias("asks")))
+    asking = dealt.where("asks").select("key", F.col("block").alias("q"))
+    meet = materialize(asking.join(dealt.select("key", "block"), "key").select("q", "block").distinct())
+    full = docs.join(sets, "rep")
+    member = F.struct("rep", "c", "set")
+    blocks_ = full.groupBy("block").agg(F.collect_list(member).alias("members"))  # 2**BLOCK_BITS at most
+    questions = full.where("asks").groupBy(F.col("block").alias("q")).agg(F.collect_list(member).alias("questions"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                asked, all_ = (batch.column(batch.schema.get_field_index(n)).slice(row, 1).flatten() for n in ("questions", "members"))
+                (qr, qc), (mr, mc) = ((x.field(0).to_numpy(), x.field(1).to_numpy()) for x in (asked, all_))
+                flat, size = (f := all_.field(2)).flatten().to_numpy(), np.diff(f.offsets.to_numpy())
+                owner = np.repeat(np.arange(len(mr)), size)
+                found = []
+                for i in range(len(qr)):
+                    own = asked.field(2)[i].values.to_numpy()
+                    both = np.bincount(owner[np.isin(flat, own)], minlength=len(mr))
+                    hit = (mc != qc[i]) & (100 * both >= percent * (size + len(own) - both))
+                    found += [(int(qr[i]), int(m)) for m in mr[hit]]
+                a, b = zip(*found, strict=True) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return meet.join(questions, "q").join(blocks_, "block").select("questions", "members").mapInArrow(compare, "a long, b long").distinct()
+
+
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -109,10 +155,10 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     one from the second is a table key, so 2 * SIDE * ROWS = 32 minhashes serve SIDE**2 = 64 tables. At a similarity
     of 0.8 a pair shares a table key with probability (1 - (1 - 0.8**ROWS)**SIDE)**2 = 0.9994.
 
-    Documents with one set are folded first. In each bucket the members are compared with a few centres, not with
-    each other; members that then lie in another component than a remaining member are compared again with twice as
-    many centres, until every bucket lies in one component or all of its pairs have been tried. So no link that would
-    join two components is lost, and a bucket is never expanded into all pairs at once.
+    Documents with one set are folded first. In each bucket the members are compared with one centre, not with each
+    other. Where a bucket then lies in several components, those outside its largest one are compared with all others
+    of the bucket, blocks against blocks. So no link that would join two components is lost, and no bucket is
+    expanded into pairs.
     """
     signed = materialize(signatures(docs, k, id_col, text_col))
     real = signed.where("n_shingles > 0 and doc_id is not null")
@@ -130,22 +176,9 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     tried = members.where("a != b").select("a", "b").distinct()
     links = materialize(confirmed(tried, sets, percent))
     comp = materialize(components(links))
-    members = members.where("a != b and k > 2").select("key", F.col("b").alias("rep"))
-    centres = 4
-    while True:
-        placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).select("key", "rep", "c")
-        split = materialize(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
-        placed = materialize(placed.join(split, "key", "left_semi").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("rep"))))
-        if placed.isEmpty():
-            break
-        hub = placed.where(F.col("i") <= centres).select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("i").alias("ia"))
-        pairs = placed.join(hub, "key").where((F.col("c") != F.col("ca")) & (F.col("i") > F.col("ia"))).select("a", F.col("rep").alias("b")).distinct()
-        more = materialize(confirmed(pairs, sets, percent))
-        members = placed.where(F.col("i") > centres).select("key", "rep")
-        if not more.isEmpty():
-            links = materialize(links.unionByName(more))
-            comp = materialize(components(links))
-        centres *= 2
+    more = materialize(_rest(members.where("k > 2"), comp, sets, percent))
+    if not more.isEmpty():
+        comp = materialize(components(links.unionByName(more)))
 
     whole = signed.join(classes, ["s1", "s2"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     whole = whole.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id")))
