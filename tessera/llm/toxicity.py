@@ -14,8 +14,9 @@ from tessera.llm.common import materialize, table
 from tessera.llm.kernels import LOWER, Rolling, U, blocks, column, list_column, mix
 from tessera.llm.language_id import remainder
 
-POSITIVE, NEGATIVE = 6000, 12000  #: labelled rows used, at most, of either label
+POSITIVE, NEGATIVE = 2000, 4000  #: labelled rows used, at most, of either label
 TERMS = 4096  #: size of the vocabulary, at most
+LIFT = 8  #: how much more often a term occurs in positive examples than in negative ones, at least
 NEIGHBOURS = 15
 BLOCK_SIZE = 64  #: examples in a block of the index
 STEM = 4  #: bytes of a word that make a term of their own, for words of which only the beginning recurs
@@ -49,7 +50,7 @@ def _per_text(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def vocabulary(examples: DataFrame) -> np.ndarray:
-    """Sorted hashes of at most TERMS terms that mark the positive examples: chi-square of 25 or more, in four at least."""
+    """Sorted hashes of at most TERMS terms that mark positive examples: LIFT times as frequent there, chi-square of 25 or more, in four at least."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +65,7 @@ def vocabulary(examples: DataFrame) -> np.ndarray:
 
     sums = examples.select("text", "y").mapInArrow(count, "term long, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("a"), F.sum("n0").alias("b"))
     size = examples.agg(F.sum("y").alias("t1"), F.sum(1 - F.col("y")).alias("t0"))
-    both = sums.where("a >= 4").join(F.broadcast(size)).where("a * t0 > b * t1")
+    both = sums.where("a >= 4").join(F.broadcast(size)).where(F.col("a") * F.col("t0") >= LIFT * F.col("b") * F.col("t1"))
     chi = F.expr("try_divide(cast(t1 + t0 as double) * pow(cast(a as double) * (t0 - b) - cast(b as double) * (t1 - a), 2), cast(t1 as double) * t0 * (a + b) * (t1 + t0 - a - b))")
     best = both.withColumn("chi", chi).where("chi >= 25").orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()
     return np.sort(np.array([r["term"] for r in best], np.int64).view(U))
@@ -170,7 +171,7 @@ def fit(labelled: DataFrame, docs: DataFrame) -> tuple[Examples, DataFrame]:
     kept = one.where("y = 1").orderBy("h", "doc_id").limit(POSITIVE).unionByName(one.where("y = 0").orderBy("h", "doc_id").limit(NEGATIVE))
     kept = materialize(kept.select("doc_id", "y"))
     examples = docs.join(F.broadcast(kept), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
-    words = vocabulary(examples)
+    words = vocabulary(examples.dropDuplicates(["text"]))  # a copied text counts once
     found = materialize(vectors(docs, words))
     size = max(1, found.count())
     df = np.zeros(max(1, len(words)))
