@@ -63,6 +63,13 @@ class Rolling:
         return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n])
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def blocks(texts: list, size: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, texts as bytes) for runs of about ``size`` bytes; None counts as empty."""
     first, held, total = 0, [], 0

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tessera.llm.common import table
-from tessera.llm.kernels import blocks, column
+from tessera.llm.kernels import blocks, column, parts
 
 UNKNOWN = "und"
 LANE = 512  #: letters of a text parsed in one go; longer texts are parsed lane by lane and their phrases added up
@@ -96,10 +96,9 @@ class Parser:
             root = np.full(width, base, np.int32)
             for c, to in steps[0].items():
                 root[c] = base + to
-            own = np.broadcast_to(~root, (len(steps), width)).copy()  # no way on: a phrase ends, the next starts here
-            own[0] = root
+            own = np.broadcast_to(~root, (len(steps), width)).copy()  # no way on, or none yet: a phrase starts here
             for state, ways in enumerate(steps):
-                for c, to in ways.items():
+                for c, to in ways.items() if state else ():
                     own[state, c] = base + to
             own[:, self.pad] = base + np.arange(len(steps))
             tables.append(own)
@@ -139,14 +138,14 @@ class Parser:
             inside = np.arange(steps)[:, None] < size[some]
             grid = np.where(inside, codes[np.minimum(where, len(codes) - 1)], self.pad).astype(np.int32)
             state = np.repeat(np.array(self.roots, np.int32)[:, None], len(some), 1)
-            ended = np.ones(state.shape, np.int32)
+            starts = np.zeros(state.shape, np.int32)
             for row in grid:
                 got = self.table[state * self.width + row]
                 sign = got >> 31
-                ended -= sign
+                starts -= sign
                 state = got ^ sign
             for lang in range(len(self.roots)):
-                total[lang] += np.bincount(text[some], ended[lang], len(texts))
+                total[lang] += np.bincount(text[some], starts[lang], len(texts))
         return total, number
 
 
@@ -179,7 +178,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score, phrase_bits, and the columns named in ``carry`` in a struct ``row``.
+    """One row per input row: doc_id, lang_pred, score, phrase_bits, and with ``carry`` the columns named there in a struct ``row``, and text.
 
     Each whole text is parsed from left to right into the longest phrases that occur in a language's sample. With
     phrases times log2(sample length) bits, the language of fewest bits wins; ties go to the language with more
@@ -195,7 +194,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         parser = _parsers[model]
         names = np.array([*model.langs, UNKNOWN], object)
         rank = np.array(model.priors)
-        for batch in batches:
+        for batch in parts(batches):
             ids, texts = batch.column(0), column(batch, "text")
             for at, raws in blocks(texts, 4 << 20):
                 some = [t or "" for t in texts[at : at + len(raws)]]
@@ -209,11 +208,12 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                     share = 1 / np.exp2(np.maximum(best - bits, -1000)).sum(axis=0)
                     score[ok] = share[ok]
                     rate[ok] = (best / np.maximum(number, 1))[ok]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(raws)), pa.array(names[win], pa.string()), pa.array(score), pa.array(rate), batch.column(2).slice(at, len(raws))], names=["doc_id", "lang_pred", "score", "phrase_bits", "row"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(raws)), pa.array(names[win], pa.string()), pa.array(score), pa.array(rate), *[batch.column(c).slice(at, len(raws)) for c in ((2, 1) if carry else (2,))]], names=["doc_id", "lang_pred", "score", "phrase_bits", "row", "text"][: 5 + bool(carry)])
 
-    row = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
+    row = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))  # without the text, which passes as it is
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
     schema = StructType.fromDDL("doc_id long, lang_pred string, score double, phrase_bits double").add(picked.schema["row"])
+    schema = schema.add("text", "string") if carry else schema
     out = picked.mapInArrow(parse, schema)
     return out if carry else out.drop("row")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, materialize, semi_join, table
-from tessera.llm.kernels import U, Words, blocks, column, list_column, mix
+from tessera.llm.kernels import U, Words, blocks, column, list_column, mix, parts
 
 SIDE = 8  #: keys in each of the two collections; SIDE * SIDE tables
 ROWS = 2  #: minhashes in one key of a collection
@@ -46,7 +46,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(SEED)
         mul, add = rng.integers(1, 1 << 63, (2, need), dtype=np.uint64) * U(2) + U(1)
-        for batch in batches:
+        for batch in parts(batches):
             ids, texts = column(batch, "doc_id"), column(batch, "text")
             for at, raws in blocks(texts):
                 flat, counts = shingle_sets(raws, k)
@@ -77,7 +77,7 @@ def shingles(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, set: the whole sorted shingle set of each text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ids, texts = column(batch, "doc_id"), column(batch, "text")
             for at, raws in blocks(texts):
                 flat, counts = shingle_sets(raws, k)
@@ -124,7 +124,7 @@ def _rest(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) ->
     questions = full.where("asks").groupBy(F.col("block").alias("q")).agg(F.collect_list(member).alias("questions"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for row in range(batch.num_rows):
                 asked, all_ = (batch.column(batch.schema.get_field_index(n)).slice(row, 1).flatten() for n in ("questions", "members"))
                 (qr, qc), (mr, mc) = ((x.field(0).to_numpy(), x.field(1).to_numpy()) for x in (asked, all_))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, table
-from tessera.llm.kernels import blocks, column
+from tessera.llm.kernels import blocks, column, parts
 
 #: Distinct segments whose ids a worker remembers; beyond that it forgets all and starts again.
 CACHE = 600_000
@@ -63,15 +63,15 @@ class SegmentTokenizer:
     def forget(self) -> None:
         self.index = _Numbers()
         self.known = 0
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.begin = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int64)
         self.used = 0
 
     def learn(self) -> None:
         """Encode the new segments."""
         new, self.index.new = self.index.new, []
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        ids = [e.ids for at in range(0, len(new), 10_000) for e in self.tokenizer.encode_batch_fast(new[at : at + 10_000], add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum()))
         at = self.known
@@ -126,7 +126,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(definition)
-        for batch in batches:
+        for batch in parts(batches):
             ids, texts = column(batch, "doc_id"), column(batch, "text")
             for at, raws in blocks(texts, 4 << 20):
                 rows: list[tuple] = []
@@ -136,6 +136,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end
                         part = one[start : start + capacity]
                         rows.append((ids[at + i], start, len(part), zlib.crc32(part.tobytes()), len(one)))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        tok.forget()  # an idle worker holds no segments
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
 

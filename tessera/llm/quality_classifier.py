@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, table
-from tessera.llm.kernels import SPACE, Rolling, U, blocks, column, list_column, mix
+from tessera.llm.kernels import SPACE, U, Rolling, blocks, column, list_column, mix, parts
 from tessera.llm.language_id import remainder
 
 BUCKETS = 1 << 14  #: words share so many vectors, by their hash
@@ -56,7 +56,7 @@ def context_sums(docs: DataFrame) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_vectors()
         total = np.zeros((BUCKETS, WIDTH), np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             for _, raws in blocks(column(batch, "text")):
                 doc, word = words(raws)
                 near = np.flatnonzero(doc[1:] == doc[:-1])
@@ -87,7 +87,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             for at, raws in blocks(column(batch, "text"), 1 << 19):
                 doc, word = words(raws)
                 n = np.bincount(doc, minlength=len(raws))
@@ -182,7 +182,7 @@ def quality(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_c
     net = docs.sparkSession.sparkContext.broadcast(train(x, rows["y"].to_numpy(float)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.value.scores(x))], names=["doc_id", "score"])
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, table
-from tessera.llm.kernels import SPACE, Rolling, U, Words, blocks, column, mix
+from tessera.llm.kernels import SPACE, U, Rolling, Words, blocks, column, mix, parts
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = np.zeros(256, bool)
@@ -89,7 +89,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     """doc_id, host and COUNTS of each whole text; a null text has none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = column(batch, "text")
             for at, raws in blocks(texts):
                 found = [pa.array(x.astype(np.int64)) for x in text_counts(raws)]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.llm.common import BROADCAST_KEYS, materialize, semi_join, table
-from tessera.llm.kernels import BLOCK, Rolling, U, column, mix
+from tessera.llm.kernels import BLOCK, U, Rolling, column, mix, parts
 
 SAMPLE = 32  #: bytes hashed at a position
 LOCAL = 127  #: in the place of the offset: a stretch repeated inside its own document
@@ -103,7 +103,7 @@ def _bucket_keys(docs: DataFrame, length: int) -> DataFrame:
 
 def _sampled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(bucket, rank, document, first window, offset, further windows), then local repeats as (document, start, bytes)."""
-    for batch in batches:
+    for batch in parts(batches):
         ids, raws = _raws(batch)
         for which, offsets, data, ends in _stretches(raws, length):
             text, position, first, last, kh, rank = cover_sample(data, ends, length)
@@ -156,7 +156,7 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
     """(kh, doc, start, bytes) of the wanted runs of each text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ids, raws = _raws(batch)
             wanted = column(batch, "runs")
             at = 0
@@ -204,7 +204,7 @@ def _sort_buckets(rows: DataFrame, length: int) -> DataFrame:
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
-        for batch in batches:
+        for batch in parts(batches):
             cols = [column(batch, c) for c in ("kh", "doc", "start", "piece")]
             for values in zip(*cols, strict=True):
                 if len(held[0]) >= 8192 and held[0][-1] != values[0]:
@@ -222,7 +222,7 @@ def _spread_buckets(rows: DataFrame, length: int) -> DataFrame:
     """The same for buckets too large for a task: windows are grouped by content, combined before the shuffle."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             doc, start = np.array(column(batch, "doc"), np.int64), np.array(column(batch, "start"), np.int64)
             w1, w2, d, i, _ = _windows(doc, start, column(batch, "piece"), length)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1.view(np.int64), w2.view(np.int64), d, i)], names=["w1", "w2", "doc", "i"])
@@ -269,7 +269,7 @@ def _removed(docs: DataFrame) -> DataFrame:
     """doc, n_bytes, spans, kept bytes' hash and text, of texts with their ranges."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ids, raws = _raws(batch)
             ranges, carried = column(batch, "ranges"), batch.column(batch.schema.get_field_index("row"))
             rows = []

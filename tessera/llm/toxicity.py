@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, table
-from tessera.llm.kernels import LOWER, Rolling, U, blocks, column, list_column, mix
+from tessera.llm.kernels import LOWER, U, Rolling, blocks, column, list_column, mix, parts
 from tessera.llm.language_id import remainder
 
 POSITIVE, NEGATIVE = 2000, 4000  #: labelled rows used, at most, of either label
@@ -53,7 +53,7 @@ def vocabulary(examples: DataFrame) -> np.ndarray:
     """Sorted hashes of at most TERMS terms that mark positive examples: LIFT times as frequent there, chi-square of 25 or more, in four at least."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             label = np.array(column(batch, "y"), np.int64)
             texts = column(batch, "text")
             for at, raws in blocks(texts):
@@ -75,7 +75,7 @@ def vectors(docs: DataFrame, words: np.ndarray) -> DataFrame:
     """doc_id, terms (places in the vocabulary), times: of every whole text, empty where it has no such term."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = column(batch, "text")
             for at, raws in blocks(texts):
                 doc, term = terms(raws)
@@ -234,7 +234,7 @@ def toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
         index = BlockMaxIndex(shared.value)
         e = shared.value
         known: dict[bytes, tuple] = {}
-        for batch in batches:
+        for batch in parts(batches):
             scores, why = [], []
             for t, n in zip(column(batch, "terms"), column(batch, "times"), strict=True):
                 if not t or not len(e.ids):
