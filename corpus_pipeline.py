@@ -25,8 +25,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the documents that have a language; documents of none (``und``) go, a missing lang is filled in."""
     model = language_id.fit(docs)
-    found = language_id.predict(docs, model, carry=COLUMNS).where(F.col("lang_pred") != language_id.UNKNOWN)
-    return found.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.{c}").alias(c) for c in COLUMNS])
+    found = language_id.predict(docs, model, carry=("lang", "source", "n_chars")).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return found.select("doc_id", "text", F.coalesce("row.lang", "lang_pred").alias("lang"), "row.source", "row.n_chars")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
