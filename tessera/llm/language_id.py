@@ -120,7 +120,10 @@ class Parser:
         codes = self.code[joined]
         owner = np.repeat(np.arange(len(texts)), sizes + 1)[: len(codes)]
         number = np.bincount(owner[codes > 0], minlength=len(texts))
+        last = np.cumsum(sizes + 1) - 1  # where the texts were joined
         keep = (codes > 0) | np.concatenate(([True], codes[:-1] > 0))[: len(codes)]
+        keep[(last - sizes)[sizes > 0]] = True
+        keep[last[:-1]] = False
         codes, owner = codes[keep], owner[keep]
         count = np.bincount(owner, minlength=len(texts))
         begin = np.cumsum(count) - count
