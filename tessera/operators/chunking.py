@@ -40,7 +40,7 @@ def packed(parts: Column, glue: str, size: int) -> Column:
 
 
 def _packed(df: DataFrame, key: str, text: str, pattern: str, glue: str, size: int) -> DataFrame:
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), pattern), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), pattern), lambda x: F.trim(x)), lambda x: x != "")
     return df.select(key, F.posexplode(packed(parts, glue, size)).alias("chunk_index", "content"))
 
 

@@ -132,7 +132,7 @@ def deal_summary(df: DataFrame, as_of: Column) -> DataFrame:
     one = finances(df).select("deals", "total").join(forecast(df).select("weighted")).join(win_loss(df).select("decided", "win_pct")).join(aging(df, as_of).select("stale_90")).join(concentration(df).select("level")).join(closing(df, as_of).select("overdue"))
     risks = [(F.col("decided") >= 5) & (F.col("win_pct") < 25), F.col("level") == "high", F.col("overdue") > 0, safe_pct("weighted", "total") < 30]
     n = sum((x.cast("int") for x in risks), F.lit(0))
-    return one.withColumn("risks", n).withColumn("health", F.when(F.col("risks") == 0, "healthy").when(F.col("risks") <= 2, "watch").otherwise("at risk")).drop("decided")
+    return one.withColumn("risks", n).withColumn("health", F.when(F.col("risks") >= 3, "at_risk").when(F.col("risks") >= 1, "needs_attention").otherwise("healthy")).drop("decided")
 
 
 def deal_risks(df: DataFrame, as_of: Column) -> DataFrame:

@@ -109,7 +109,7 @@ def goal_category(c: str | Column) -> Column:
 
 
 def entity_ids(c: str | Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"(?i)(?:CUST|LOAN|DOC)\d+"), F.lit(0)), F.upper))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"(?i)(?:CUST|LOAN|DOC)\d+"), F.lit(0)), lambda x: F.upper(x)))
 
 
 def collection_summary(df: DataFrame, text: str = "text") -> DataFrame:

@@ -101,7 +101,7 @@ def merged_results(local: DataFrame, remote: DataFrame, key: str = "chunk_id") -
 
 def sub_queries(c: str | Column) -> Column:
     """Parts of more than 8 characters between "and", "or", comma and slash, five at most; else the whole."""
-    parts = F.slice(F.filter(F.transform(F.split(col(c), r"(?i)\s+and\s+|\s+or\s+|,|/"), F.trim), lambda x: F.length(x) > 8), 1, 5)
+    parts = F.slice(F.filter(F.transform(F.split(col(c), r"(?i)\s+and\s+|\s+or\s+|,|/"), lambda x: F.trim(x)), lambda x: F.length(x) > 8), 1, 5)
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(col(c)))
 
 

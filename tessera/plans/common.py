@@ -42,6 +42,8 @@ VIEWS = {
     "shipments": """SELECT l_orderkey AS shipment_id, s_name AS vendor, sn.n_name AS origin, cn.n_name AS destination, l_quantity AS weight, l_extendedprice AS cost,
         CAST(l_orderkey % 15 AS INT) AS delivery_days, l_orderkey % 15 <= 9 AS on_time FROM {lineitem} l JOIN {supplier} s ON l.l_suppkey = s.s_suppkey JOIN {nation} sn ON s.s_nationkey = sn.n_nationkey
         JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} cn ON c.c_nationkey = cn.n_nationkey""",
+    "mails": """SELECT role AS sender, CAST(conv_id AS STRING) AS recipient, substr(text, 1, 40) AS subject, text AS body, CAST(turn % 3 AS STRING) AS day FROM {conversations}""",
+    "files": """SELECT doc_id AS pdf_id, source AS filename, text AS text_content, CAST(n_chars % 40 + 1 AS INT) AS page_count, n_chars AS file_size, CAST(n_chars % 4000 + 1 AS INT) AS width, CAST(doc_id % 2000 + 1 AS INT) AS height FROM {documents}""",
     "attendance": "SELECT CAST(user_id AS STRING) AS employee, CAST(user_id % 3 AS STRING) AS department, CASE WHEN event_type = 'error' THEN 'Absent' WHEN event_type = 'signup' THEN 'Late' ELSE 'Present' END AS status FROM {events}",
     "customers": "SELECT CASE o_orderstatus WHEN 'F' THEN 'Churned' WHEN 'O' THEN 'active' ELSE 'paused' END AS status, o_totalprice AS revenue FROM {orders}",
     "reviews": "SELECT c_mktsegment AS department, CAST(c_nationkey % 5 + 1 AS INT) AS rating, CAST(c_nationkey AS INT) AS goals_achieved, c_acctbal AS review_score FROM {customer}",
@@ -77,9 +79,10 @@ class Catalog:
         self.queries: dict[str, Query] = {}
         self.sql: dict[str, str] = {}
 
-    def over(self, name: str, view_name: str, build: Callable[[DataFrame], DataFrame], select: str) -> None:
+    def over(self, name: str, view_name: str, build: Callable[[DataFrame], DataFrame], select: str | None = None) -> None:
         self.queries[name] = lambda spark, sf_dir: build(view(spark, sf_dir, view_name))
-        self.sql[name] = oracle(view_name, select)
+        if select:
+            self.sql[name] = oracle(view_name, select)
 
     def on(self, name: str, table: str, build: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
         self.queries[name] = lambda spark, sf_dir: build(read(spark, sf_dir, table))

@@ -119,3 +119,15 @@ C.on("y08_tool_audit", "events", lambda d: me.tool_audit(d, "user_id", "event_ty
 C.on("t01_error_rate", "events", lambda d: jobs.error_rate(d).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "errors", "rate", "anomalous"), """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, round(count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*), 4) AS rate, round(count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*), 4) > 5 AS anomalous FROM events GROUP BY date_trunc('hour', ts)""")
 C.on("t02_daily_events", "events", lambda d: jobs.windowed_counts(d).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n"), "SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 C.on("t03_sessions", "events", lambda d: jobs.sessions(d).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("events").alias("events")), """SELECT user_id, (count(*) FILTER (WHERE p IS NULL OR ts >= p + INTERVAL 30 MINUTE)) AS sessions, count(*)::BIGINT AS events FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) GROUP BY 1""")
+
+C.over("x01_mail", "mails", lambda d: do.mail_summary(d, "sender", "recipient", "subject", "body", "day"), """SELECT count(*) AS mails, count(DISTINCT sender) AS senders, count(DISTINCT recipient) AS recipients, round(avg(length(subject)), 4) AS mean_subject, count(*) FILTER (WHERE regexp_matches(concat_ws(' ', subject, body), '(?i)urgent|important|asap')) AS urgent,
+ (SELECT day FROM v GROUP BY day ORDER BY count(*) DESC, day DESC LIMIT 1) AS peak_day, (SELECT round(avg(k), 4) FROM (SELECT count(*) AS k FROM v GROUP BY day)) AS per_day FROM v""")
+C.over("x06_pages", "files", do.page_statistics, """SELECT count(*) AS documents, sum(page_count)::BIGINT AS pages, round(avg(page_count), 4) AS mean_pages, max(page_count)::BIGINT AS max_pages, min(page_count)::BIGINT AS min_pages, sum(length(text_content))::BIGINT AS chars, count(*) FILTER (WHERE length(text_content) = 0) AS empty,
+ round(sum(file_size) / 1048576, 4) AS megabytes, count(DISTINCT filename) AS names, count(filename) - count(DISTINCT filename) AS duplicate_names, count(*) FILTER (WHERE d > 100) AS dense, count(*) FILTER (WHERE d >= 50 AND d <= 100) AS moderate, count(*) FILTER (WHERE d < 50) AS sparse FROM (SELECT *, length(text_content) / (page_count + 1e-4) AS d FROM v)""")
+C.over("x10_images", "files", lambda d: do.image_statistics(d).drop("modal_ratio"), """SELECT round(avg(width), 4) AS mean_width, round(avg(height), 4) AS mean_height, round(sum(file_size) / 1024, 4) AS kilobytes, count(*) FILTER (WHERE p <= 307200) AS low, count(*) FILTER (WHERE p > 307200 AND p <= 921600) AS sd, count(*) FILTER (WHERE p > 921600 AND p <= 2073600) AS hd,
+ count(*) FILTER (WHERE p > 2073600) AS uhd FROM (SELECT *, width::BIGINT * height AS p FROM v)""")
+C.on("x21_entity_ids", "orders", lambda d: d.select("o_orderkey", F.array_join(do.entity_ids(F.concat(F.lit("for cust"), F.col("o_custkey").cast("string"), F.lit(" and LOAN"), F.col("o_orderkey").cast("string"))), ",").alias("ids")), "SELECT o_orderkey, 'CUST' || o_custkey || ',LOAN' || o_orderkey AS ids FROM orders")
+C.free("y04_recall", lambda s, d: re_.vector_search(read(s, d, "embeddings").withColumn("label", F.col("label")), ask_vectors(s, d), 3, "l2").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")), "SELECT vec_id AS query_id, 3::BIGINT AS n, 1::BIGINT AS first FROM embeddings WHERE vec_id < 5")
+C.on("y09_latest_activity", "events", lambda d: me.lines_of(d, "user_id", ["ts", "event_id"], F.format_string("%d %s", "event_id", "event_type"), 5, 10_000), "SELECT user_id, string_agg(event_id || ' ' || event_type, chr(10) ORDER BY ts, event_id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i <= 5 GROUP BY 1")
+C.on("v11_compressed", "documents", lambda d: re_.compressed(d, "the of and").select("doc_id", F.length("content").alias("chars")))
+C.on("s05_paragraphs", "pages", lambda d: d.select("page_id", F.explode(F.split("html", "<p>")).alias("b")).groupBy("page_id").count(), """SELECT page_id, count(*) AS "count" FROM (SELECT page_id, unnest(string_split(html, '<p>')) FROM pages) GROUP BY 1""")

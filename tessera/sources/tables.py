@@ -50,7 +50,7 @@ def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*", most: int = 50 << 20) -> DataFrame:
-    """path, length, modificationTime, reject_reason of the files below a folder; contents are not read."""
+    """path, length, modificationTime, reject_reason of the files below a folder; contents are not read. Spark lists no empty files."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
     return rows.withColumn("reject_reason", F.when(F.col("length") <= 0, "empty").when(F.col("length") > most, "too large"))
 
