@@ -38,13 +38,13 @@ def row_metrics(df: DataFrame) -> DataFrame:
 
 def campaign_totals(df: DataFrame) -> DataFrame:
     spend = [r(F.avg("spent")).alias("mean_spent"), r(F.median("spent")).alias("median_spent"), r(F.max("spent"), 2).alias("max_spent")]
-    return df.agg(F.count(F.lit(1)).alias("campaigns"), *[r(F.sum(m), 2).alias(m) for m in MEASURES], *spend, *[r(c).alias(n) for n, c in ratios(True).items()])
+    return df.agg(F.count(F.lit(1)).alias("campaigns"), *[r(F.sum(m), 2).alias(m) for m in MEASURES], *spend, *[r(c, 2 if n == "profit" else 4).alias(n) for n, c in ratios(True).items()])
 
 
 def channel_table(df: DataFrame, channel: str = "channel") -> DataFrame:
     """The same per channel; no channel is "Unknown"."""
     key = F.coalesce(F.col(channel), F.lit("Unknown")).alias("channel")
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("campaigns"), *[r(F.sum(m), 2).alias(m) for m in MEASURES], *[r(c).alias(n) for n, c in ratios(True).items()])
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("campaigns"), *[r(F.sum(m), 2).alias(m) for m in MEASURES], *[r(c, 2 if n == "profit" else 4).alias(n) for n, c in ratios(True).items()])
 
 
 def best_channels(df: DataFrame) -> DataFrame:

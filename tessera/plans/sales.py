@@ -25,7 +25,7 @@ def ratios(s: str, i: str, k: str, v: str, e: str) -> str:
 
 
 SUMS = ", ".join(f"round(sum({m}), 2) AS {m}" for m in ca.MEASURES)
-TOTAL = ratios(*[f"sum({m})" for m in ca.MEASURES])
+TOTAL = ratios(*[f"sum({m})" for m in ca.MEASURES]).replace("sum(revenue) - sum(spent), 4) AS profit", "sum(revenue) - sum(spent), 2) AS profit")
 CUT4, CUT7 = ", 4)", " + 1e-7, 4)"  # ties in the fifth digit are common here and engines round them differently
 ROW = ratios(*ca.MEASURES)
 RAW = """m AS (SELECT *, CASE WHEN spent = 0 THEN 0 ELSE revenue / spent END AS roas, CASE WHEN clicks = 0 THEN 0 ELSE conversions * 100.0 / clicks END AS conv, CASE WHEN impressions = 0 THEN 0 ELSE clicks * 100.0 / impressions END AS ctr,
