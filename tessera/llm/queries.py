@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, language_id, minhash, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
+from tessera.llm import exact_dedup, language_id, minhash, packing, quality_classifier, quality_rules, sentencepiece_sampling, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_sentencepiece": sentencepiece_sampling.op2_sentencepiece,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
