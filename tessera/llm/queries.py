@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, language_id, minhash, packing, quality_classifier, quality_rules, sentencepiece_sampling, suffix_dedup, toxicity
+from tessera.llm import exact_dedup, language_id, line_dedup, minhash, packing, quality_classifier, quality_rules, sentencepiece_sampling, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_packing": packing.op8_packing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash": minhash.op10_minhash,
