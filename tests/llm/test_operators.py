@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import common, exact_dedup, language_id, minhash, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
+from tessera.llm import common, exact_dedup, language_id, line_dedup, minhash, packing, quality_classifier, quality_rules, sentencepiece_sampling, suffix_dedup, toxicity
 
 from . import brute
 
@@ -57,6 +57,8 @@ OPERATORS = {
     "packing": lambda d: packing.pack(d, packing.default_tokenizer()),
     "toxicity": lambda d: toxicity.toxicity(d, d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("y"))),
     "minhash": minhash.near_dedup,
+    "line_dedup": line_dedup.line_dedup,
+    "sentencepiece": lambda d: sentencepiece_sampling.encode(d, sentencepiece_sampling.default_model()),
 }
 
 
@@ -279,3 +281,114 @@ def test_word_vector_sums_match_a_plain_count(spark):
             for p, q in ((x, y), (y, x)):
                 want[p] = want.get(p, 0) + index[q]
     assert got == {int(b): v.tolist() for b, v in want.items() if v.any()}
+
+
+def test_sentencepiece_round_trip_and_seeds(spark, docs):
+    model = sentencepiece_sampling.default_model()
+    extra = spark.createDataFrame([(900, "\u2581 literal  \u2581"), (901, "tab\tand\r\n\x00 zero"), (902, "\U0001f600" * 70)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(extra)
+    got = sentencepiece_sampling.encode(rows, model)
+    texts = {r["doc_id"]: r["text"] for r in sentencepiece_sampling.decode(got, model).collect()}
+    assert texts == {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    assert all(r["lossless"] for r in got.collect())
+    again = {r["doc_id"]: r["ids"] for r in sentencepiece_sampling.encode(rows.repartition(7), model).collect()}
+    assert again == {r["doc_id"]: r["ids"] for r in got.collect()}
+    other = {r["doc_id"]: r["ids"] for r in sentencepiece_sampling.encode(rows, model, seed=2).collect()}
+    assert other != again
+
+
+def test_sampled_segmentations_follow_the_weights():
+    import collections
+    import itertools
+
+    p = sentencepiece_sampling.load(sentencepiece_sampling.default_model(), 0.3)
+    weight = dict(zip(p.ids[p.ids >= 0].tolist(), p.weights[p.ids >= 0].tolist(), strict=True))
+    raw = {i: p.data[p.begin[i] : p.begin[i] + p.size[i]].tobytes() for i in weight}
+    by_text = {v: k for k, v in raw.items()}
+    want = {}
+    for cuts in itertools.product((0, 1), repeat=3):
+        at = [0, *[i + 1 for i in range(3) if cuts[i]], 4]
+        ids = [by_text.get(b" the"[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        if None not in ids:
+            want[tuple(ids)] = float(np.prod([weight[i] for i in ids]))
+    n = 40_000
+    lattice = sentencepiece_sampling.Lattice([" the"], p)
+    ids, number = lattice.sample(np.zeros(n, int), sentencepiece_sampling.mix(np.arange(n, dtype=np.uint64)), p)
+    ends = np.concatenate(([0], np.cumsum(number)))
+    seen = collections.Counter(tuple(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True))
+    for k, w in want.items():
+        assert abs(seen[k] / n - w / sum(want.values())) < 0.01
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def edited(rng, text, edits):
+    out = list(text)
+    for _ in range(edits):
+        at = rng.randrange(len(out))
+        kind = rng.randrange(3)
+        if kind == 0:
+            out.insert(at, rng.choice("xyz\u00e9"))
+        elif kind == 1:
+            out.pop(at)
+        else:
+            out[at] = rng.choice("xyz\u00e9")
+    return "".join(out)
+
+
+def test_banded_edits():
+    rng = random.Random(11)
+    for _ in range(3000):
+        a = "".join(rng.choices("ab", k=rng.randint(1, 12)))
+        b = edited(rng, a + "aaaa", rng.randint(0, 4))
+        for e in range(4):
+            assert line_dedup.within(a, b, e) == (edit_distance(a, b) <= e)
+
+
+def test_line_dedup(spark):
+    rng = random.Random(12)
+    stock = ["".join(rng.choices("abcdef ", k=rng.randint(18, 60))) for _ in range(40)]
+    texts = []
+    for i in range(50):
+        lines = [edited(rng, rng.choice(stock), rng.choice((0, 0, 1, 2, 3, 4))) for _ in range(rng.randint(0, 6))]
+        texts.append((i, "\n".join([*lines, *rng.choices(["", "short", "Short"], k=2)])))
+    blank = lambda x: not x.strip(" \t\r\x0b\x0c")
+    places = [(i, n, x) for i, t in texts for n, x in enumerate(y for y in t.split("\n") if not blank(y))]
+    distinct = sorted({x for *_, x in places})
+    top = {x: x for x in distinct}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    linked = set()
+    for n, a in enumerate(distinct):
+        for b in distinct[:n]:
+            if min(len(a), len(b)) >= line_dedup.SHORTEST and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2:
+                top[root(a)] = root(b)
+                linked |= {a, b}
+    first = {}
+    for i, n, x in sorted(places):
+        first.setdefault(root(x), (i, n))
+    got = by_id(line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")))
+    for i, t in texts:
+        kept, n = [], 0
+        for x in t.split("\n"):
+            if blank(x):
+                kept.append(x)
+            else:
+                if first[root(x)] == (i, n):
+                    kept.append(x)
+                n += 1
+        assert got[i]["kept_text"] == "\n".join(kept)
+        assert got[i]["n_linked"] == sum(x in linked for x in t.split("\n") if not blank(x))
+    assert sum(r["n_removed"] for r in got.values()) > 50
