@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import finance as fi
 from tessera.operators import operations as op
-from tessera.plans.common import AS_OF, AS_OF_SQL, Catalog
+from tessera.plans.common import AS_OF_SQL, Catalog, as_of
 
 C = Catalog()
 DAYS = "floor((epoch_us({b}) - epoch_us({a})) / 86400000000.0)::BIGINT"
@@ -29,7 +29,7 @@ C.over("f01_receivables", "receivables", fi.receivables, f"""SELECT round(sum(am
  {cnt('days_outstanding > 60 AND days_outstanding <= 90')} AS days_61_90, {cnt('days_outstanding > 90')} AS days_over_90, round(avg(days_outstanding), 4) AS mean_days,
  {cnt('days_outstanding > 30')} AS overdue_count, round(sum(amount) FILTER (WHERE days_outstanding > 30), 2) AS overdue_amount FROM v""")
 C.over("f03_customer_receivables", "receivables", fi.customer_receivables, "SELECT customer, round(sum(amount), 2) AS amount, round(sum(amount_paid), 2) AS paid FROM v GROUP BY customer ORDER BY amount DESC, customer LIMIT 10")
-C.over("f08_invoices", "receivables", lambda d: fi.invoices(d, AS_OF), f"""SELECT count(*) AS invoices, {cnt("status = 'pending'")} AS pending, {cnt("status = 'overdue'")} AS overdue, round(avg(amount), 4) AS mean_amount, round(max(amount), 2) AS max_amount, round(min(amount), 2) AS min_amount,
+C.over("f08_invoices", "receivables", lambda d: fi.invoices(d, as_of()), f"""SELECT count(*) AS invoices, {cnt("status = 'pending'")} AS pending, {cnt("status = 'overdue'")} AS overdue, round(avg(amount), 4) AS mean_amount, round(max(amount), 2) AS max_amount, round(min(amount), 2) AS min_amount,
  round(sum(amount_paid), 2) AS paid, round(sum(amount) - sum(amount_paid), 2) AS outstanding, round(sum(amount_paid) * 100.0 / sum(amount), 4) AS paid_pct, round(avg(late) FILTER (WHERE late > 0), 4) AS mean_days_overdue,
  {cnt('late > 30')} AS over_30, {cnt('late > 60')} AS over_60, {cnt('late > 90')} AS over_90 FROM (SELECT *, {days('date_due', AS_OF_SQL)} AS late FROM v)""")
 C.over("f05_invoice_states", "receivables", lambda d: op.counts_by(d, ["status"]), "SELECT status, count(*) AS n FROM v GROUP BY status")
@@ -45,7 +45,7 @@ C.over("f17_cash_flow", "cash", fi.cash_flow, """SELECT round(i, 2) AS inflow, r
  FROM (SELECT sum(amount) FILTER (WHERE transaction_type = 'inflow') AS i, sum(amount) FILTER (WHERE transaction_type = 'outflow') AS o, stddev_samp(amount) AS s, avg(amount) AS m FROM v)""")
 C.over("f18_cash_categories", "cash", lambda d: fi.amounts_by(d, "category"), "SELECT category, round(sum(amount), 2) AS total, count(*) AS n, round(avg(amount), 4) AS mean FROM v GROUP BY category")
 C.over("f19_monthly_expenses", "expenses", fi.monthly, "SELECT strftime(date, '%Y-%m') AS month, round(sum(amount), 2) AS total, count(*) AS n FROM v GROUP BY 1")
-C.over("f21_payment_discounts", "payments", lambda d: fi.payment_discounts(d, AS_OF), f"""SELECT {cnt('discount_available')} AS with_discount, round(sum(amount * discount_pct / 100) FILTER (WHERE discount_available), 2) AS savings, round(avg(discount_pct) FILTER (WHERE discount_available), 4) AS mean_discount_pct,
+C.over("f21_payment_discounts", "payments", lambda d: fi.payment_discounts(d, as_of()), f"""SELECT {cnt('discount_available')} AS with_discount, round(sum(amount * discount_pct / 100) FILTER (WHERE discount_available), 2) AS savings, round(avg(discount_pct) FILTER (WHERE discount_available), 4) AS mean_discount_pct,
  {cnt('l <= 7')} AS due_7, {cnt('l <= 30')} AS due_30, round(avg(l), 4) AS mean_days_to_due FROM (SELECT *, {days(AS_OF_SQL, 'due_date')} AS l FROM v)""")
 C.over("f22_payment_terms", "payments", lambda d: op.counts_by(d, ["terms"]), "SELECT terms, count(*) AS n FROM v GROUP BY terms")
 C.over("f24_vendor_spend", "spend", lambda d: fi.amounts_by(d, "vendor", top=10), "SELECT vendor, round(sum(amount), 2) AS total, count(*) AS n, round(avg(amount), 4) AS mean FROM v GROUP BY vendor ORDER BY total DESC, vendor LIMIT 10")
@@ -58,7 +58,7 @@ C.over("f29_payroll_anomalies", "staff", lambda d: fi.payroll_anomalies(d, depar
  WHERE salary < a - 1.5 * (b - a) OR salary > b + 1.5 * (b - a)""")
 C.over("f30_loan_risk", "receivables", lambda d: fi.loan_risk(d.select("invoice_id", "amount")), "SELECT invoice_id, amount, CASE WHEN amount > 50000 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS risk_score, CASE WHEN amount > 50000 THEN 'high' ELSE 'normal' END AS verdict FROM v")
 C.over("o01_access_distributions", "access", lambda d: op.distributions(d, ["role", "access_level", "department"]), "SELECT 'role' AS dimension, role AS label, count(*) AS n FROM v GROUP BY 2 UNION ALL SELECT 'access_level', access_level, count(*) FROM v GROUP BY 2 UNION ALL SELECT 'department', department, count(*) FROM v GROUP BY 2")
-C.over("o02_access_review", "access", lambda d: op.access_review(d, AS_OF), f"""SELECT {cnt('p')} AS privileged, {pct(cnt('p'), 'count(*)')} AS privileged_pct, {cnt('i > 30')} AS idle_30, {cnt('i > 90')} AS idle_90, {cnt('p AND i > 90')} AS idle_admins
+C.over("o02_access_review", "access", lambda d: op.access_review(d, as_of()), f"""SELECT {cnt('p')} AS privileged, {pct(cnt('p'), 'count(*)')} AS privileged_pct, {cnt('i > 30')} AS idle_30, {cnt('i > 90')} AS idle_90, {cnt('p AND i > 90')} AS idle_admins
  FROM (SELECT access_level IN ('admin', 'super_admin') AS p, {days('last_login', AS_OF_SQL)} AS i FROM v)""")
 C.over("o05_access_matrix", "access", lambda d: op.matrix(d, "role", "access_level", ["admin", "super_admin", "user"]), f"""SELECT role, {cnt("access_level = 'admin'")} AS admin, {cnt("access_level = 'super_admin'")} AS super_admin, {cnt("access_level = 'user'")} AS "user" FROM v GROUP BY role""")
 C.over("o06_incident_distributions", "incidents", lambda d: op.distributions(d, ["severity", "status", "category"]), "SELECT 'severity' AS dimension, severity AS label, count(*) AS n FROM v GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM v GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM v GROUP BY 2")
@@ -69,7 +69,7 @@ C.over("o11_stock", "stock", op.stock, f"SELECT round(sum(value), 2) AS value, s
 C.over("o14_abc_classes", "stock", op.abc_classes, """SELECT sku, value, p AS cumulative_pct, CASE WHEN p <= 80 THEN 'A' WHEN p <= 95 THEN 'B' ELSE 'C' END AS class
  FROM (SELECT sku, value, round(sum(value) OVER (ORDER BY value DESC, sku ROWS UNBOUNDED PRECEDING) * 100.0 / sum(value) OVER (), 4) AS p FROM v)""")
 C.over("o15_stock_flags", "stock", op.stock_flags, f"SELECT {cnt('value > a')} AS high_value, {cnt('qty_on_hand > b')} AS slow_moving FROM v, (SELECT quantile_cont(value, 0.75) AS a, quantile_cont(qty_on_hand::DOUBLE, 0.75) AS b FROM v)")
-C.over("o16_licences", "licences", lambda d: op.licences(d, AS_OF), f"""SELECT round(sum(quantity_used) / (sum(quantity_licensed) + 1e-4) * 100, 2) AS utilisation_pct, {cnt('u > 100')} AS over_used, {cnt('l < 0')} AS expired, {cnt('l >= 0 AND l <= 30')} AS expiring, {cnt('l > 30')} AS valid,
+C.over("o16_licences", "licences", lambda d: op.licences(d, as_of()), f"""SELECT round(sum(quantity_used) / (sum(quantity_licensed) + 1e-4) * 100, 2) AS utilisation_pct, {cnt('u > 100')} AS over_used, {cnt('l < 0')} AS expired, {cnt('l >= 0 AND l <= 30')} AS expiring, {cnt('l > 30')} AS valid,
  round(sum(cost), 2) AS total_cost, round(avg(cost), 4) AS mean_cost, round(max(cost), 2) AS max_cost, CASE WHEN {cnt('u > 100')} > 0 THEN 'NON_COMPLIANT' ELSE 'COMPLIANT' END AS verdict
  FROM (SELECT *, quantity_used / (quantity_licensed + 1e-4) * 100 AS u, {days(AS_OF_SQL, 'expiry_date')} AS l FROM v)""")
 C.over("o18_licence_cost", "licences", lambda d: fi.amounts_by(d, "software", "cost"), "SELECT software, round(sum(cost), 2) AS total, count(*) AS n, round(avg(cost), 4) AS mean FROM v GROUP BY software")
@@ -79,7 +79,7 @@ C.over("o22_logs_by_hour", "logs", lambda d: op.counts_by(d, [F.hour("timestamp"
 C.over("o23_errors_by_service", "logs", lambda d: op.counts_by(d, ["service"], where=F.col("level") == "ERROR"), "SELECT service, count(*) AS n FROM v WHERE level = 'ERROR' GROUP BY 1")
 C.over("o25_log_anomaly", "logs", op.logs, f"""SELECT {cnt("level = 'ERROR'")} AS errors, {cnt("level = 'WARNING'")} AS warnings, {pct(cnt("level = 'ERROR'"), 'count(*)')} AS error_rate, CASE WHEN {cnt("level = 'ERROR'")} * 100.0 / count(*) > 5 THEN 'YES' ELSE 'NO' END AS anomaly,
  (SELECT error_code FROM v WHERE level = 'ERROR' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_error, count(DISTINCT message) AS distinct_messages FROM v""")
-C.over("o27_timeline", "milestones", lambda d: op.timeline(d, AS_OF), f"""SELECT count(DISTINCT project_id) AS projects, count(actual_date) AS completed, {cnt('l <= 0')} AS on_time, {cnt('l > 0')} AS delayed, round(avg(l) FILTER (WHERE l > 0), 4) AS mean_delay, max(l) AS max_delay, {pct(cnt('l <= 0'), 'count(actual_date)')} AS on_time_pct,
+C.over("o27_timeline", "milestones", lambda d: op.timeline(d, as_of()), f"""SELECT count(DISTINCT project_id) AS projects, count(actual_date) AS completed, {cnt('l <= 0')} AS on_time, {cnt('l > 0')} AS delayed, round(avg(l) FILTER (WHERE l > 0), 4) AS mean_delay, max(l) AS max_delay, {pct(cnt('l <= 0'), 'count(actual_date)')} AS on_time_pct,
  {cnt("status = 'at_risk'")} AS at_risk, {cnt("status = 'blocked'")} AS blocked, {cnt('s >= 0 AND s <= 30')} AS upcoming FROM (SELECT *, {days('planned_date', 'actual_date')} AS l, {days(AS_OF_SQL, 'planned_date')} AS s FROM v)""")
 SLA = f"""{cnt('actual_time <= sla_target')} AS compliant, {cnt('actual_time > sla_target')} AS breached, {pct(cnt('actual_time <= sla_target'), 'count(*)')} AS rate, {cnt('actual_time > 0.9 * sla_target')} AS at_risk,
  round(avg(actual_time), 4) AS mean, round(median(actual_time), 4) AS median, round(min(actual_time), 4) AS least, round(max(actual_time), 4) AS most, round(stddev_samp(actual_time), 4) AS std"""

@@ -5,11 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
-AS_OF = F.lit("2001-08-02 00:00:00").cast("timestamp")
+
+
+def as_of() -> Column:
+    return F.lit("2001-08-02 00:00:00").cast("timestamp")
+
+
 AS_OF_SQL = "TIMESTAMP '2001-08-02 00:00:00'"
 
 VIEWS = {

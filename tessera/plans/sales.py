@@ -7,7 +7,7 @@ from tessera.operators import deals as de
 from tessera.operators import findings as fd
 from tessera.operators import leads as le
 from tessera.plans.business import cnt, days
-from tessera.plans.common import AS_OF, AS_OF_SQL, Catalog
+from tessera.plans.common import AS_OF_SQL, Catalog, as_of
 
 C = Catalog()
 
@@ -63,23 +63,23 @@ C.over("l04_stage_table", "deals", de.stage_table, f", {P} SELECT stage, count(*
 C.over("l05_deal_finances", "deals", de.finances, "SELECT round(sum(amount), 2) AS total, round(avg(amount), 4) AS mean, round(median(amount), 4) AS median, round(max(amount), 2) AS largest, round(min(amount), 2) AS smallest, count(*) AS deals, greatest(2 * round(median(amount), 4), round(avg(amount), 4)) AS high_value_from FROM v")
 C.over("l06_forecast", "deals", de.forecast, f", {P} SELECT {DOUBLE_WEIGHTED} AS weighted, round(sum(val * chance) * 0.8, 2) AS conservative, round(sum(val * chance) + 0.25 * sum(val) FILTER (WHERE kind = 'open'), 2) AS best_case, round(sum(val) FILTER (WHERE kind = 'open'), 2) AS open_amount FROM p")
 AGE = f"a AS (SELECT greatest({days('created_date', AS_OF_SQL)}, 0) AS age FROM v)"
-C.over("l07_deal_aging", "deals", lambda d: de.aging(d, AS_OF), f", {AGE} SELECT round(avg(age), 4) AS mean, round(median(age), 4) AS median, max(age) AS oldest, {cnt('age <= 30')} AS days_0_30, {cnt('age > 30 AND age <= 60')} AS days_30_60, {cnt('age > 60 AND age <= 90')} AS days_60_90, {cnt('age > 90 AND age <= 180')} AS days_90_180, {cnt('age > 180')} AS days_180_up, {cnt('age > 90')} AS stale_90, {cnt('age > 180')} AS stale_180 FROM a")
+C.over("l07_deal_aging", "deals", lambda d: de.aging(d, as_of()), f", {AGE} SELECT round(avg(age), 4) AS mean, round(median(age), 4) AS median, max(age) AS oldest, {cnt('age <= 30')} AS days_0_30, {cnt('age > 30 AND age <= 60')} AS days_30_60, {cnt('age > 60 AND age <= 90')} AS days_60_90, {cnt('age > 90 AND age <= 180')} AS days_90_180, {cnt('age > 180')} AS days_180_up, {cnt('age > 90')} AS stale_90, {cnt('age > 180')} AS stale_180 FROM a")
 LEFT = f"c AS (SELECT stage NOT IN ('Closed Won', 'Closed Lost') AS live, close_date, {days(AS_OF_SQL, 'close_date')} AS l FROM v)"
-C.over("l08_closing", "deals", lambda d: de.closing(d, AS_OF), f", {LEFT} SELECT {cnt('live AND l < 0')} AS overdue, {cnt('l >= 0 AND l <= 7')} AS next_7, {cnt('l >= 0 AND l <= 30')} AS next_30, {cnt('close_date IS NULL')} AS missing FROM c")
+C.over("l08_closing", "deals", lambda d: de.closing(d, as_of()), f", {LEFT} SELECT {cnt('live AND l < 0')} AS overdue, {cnt('l >= 0 AND l <= 7')} AS next_7, {cnt('l >= 0 AND l <= 30')} AS next_30, {cnt('close_date IS NULL')} AS missing FROM c")
 C.over("l09_win_loss", "deals", de.win_loss, """SELECT won, lost, won + lost AS decided, CASE WHEN won + lost = 0 THEN 0.0 ELSE round(won / (won + lost) * 100, 2) END AS win_pct FROM (SELECT count(*) FILTER (WHERE stage = 'Closed Won') AS won, count(*) FILTER (WHERE stage = 'Closed Lost') AS lost FROM v)""")
 C.over("l10_velocity", "deals", de.velocity, f"SELECT count(d) AS n, round(avg(d), 4) AS mean, round(median(d), 4) AS median, min(d) AS least, max(d) AS most FROM (SELECT {days('created_date', 'close_date')} AS d FROM v)")
 C.over("l11_rep_table", "deals", de.rep_table, f"SELECT rep, count(*) AS deals, round(sum(amount), 2) AS total, round(avg(amount), 4) AS mean, {cnt(chr(34) + 'stage' + chr(34) + ' = ' + chr(39) + 'Closed Won' + chr(39))} AS won FROM v GROUP BY rep")
 SHARES = "s AS (SELECT round(max(amount) * 100 / sum(amount), 2) AS largest_pct, round(sum(amount) FILTER (WHERE i <= 3) * 100 / sum(amount), 2) AS top_3_pct, round(sum(amount) FILTER (WHERE i <= 10) * 100 / sum(amount), 2) AS top_10_pct FROM (SELECT amount, row_number() OVER (ORDER BY amount DESC) AS i FROM v))"
 LEVEL = "CASE WHEN largest_pct >= 30 THEN 'high' WHEN largest_pct >= 15 THEN 'moderate' ELSE 'low' END"
 C.over("l12_deal_concentration", "deals", de.concentration, f", {SHARES} SELECT *, {LEVEL} AS level FROM s")
-C.over("l13_deal_anomalies", "deals", lambda d: de.deal_anomalies(d, AS_OF), f""", {LEFT}, f AS (SELECT 'unusual_amount' AS kind, count(*) AS n FROM v WHERE amount > (SELECT avg(amount) + 2 * stddev_samp(amount) FROM v) UNION ALL SELECT 'no_amount', count(*) FROM v WHERE amount <= 0
+C.over("l13_deal_anomalies", "deals", lambda d: de.deal_anomalies(d, as_of()), f""", {LEFT}, f AS (SELECT 'unusual_amount' AS kind, count(*) AS n FROM v WHERE amount > (SELECT avg(amount) + 2 * stddev_samp(amount) FROM v) UNION ALL SELECT 'no_amount', count(*) FROM v WHERE amount <= 0
  UNION ALL SELECT 'crowded_stage', count(*) FROM (SELECT stage FROM v GROUP BY stage HAVING count(*) * 100.0 / (SELECT count(*) FROM v) >= 60) UNION ALL SELECT 'overdue_close', {cnt('live AND l < 0')} FROM c) SELECT kind, n FROM f WHERE n > 0""")
 C.over("l14_stage_shares", "deals", de.stage_shares, "SELECT stage, count(*) AS deals, round(count(*) / (SELECT count(*) FROM v) * 100, 2) AS pct FROM v GROUP BY stage")
 SUMMARY = f"""{P}, {SHARES}, {LEFT}, {AGE}, q AS (SELECT (SELECT count(*) FROM v) AS deals, (SELECT round(sum(amount), 2) FROM v) AS total, (SELECT {DOUBLE_WEIGHTED} FROM p) AS weighted, (SELECT round(count(*) FILTER (WHERE kind = 'won') / count(*) FILTER (WHERE kind != 'open') * 100, 2) FROM p) AS win_pct,
  (SELECT {cnt('age > 90')} FROM a) AS stale_90, (SELECT {LEVEL} FROM s) AS level, (SELECT {cnt('live AND l < 0')} FROM c) AS overdue),
  x AS (SELECT *, (win_pct < 25)::INT + (level = 'high')::INT + (overdue > 0)::INT + (weighted / total * 100 < 30)::INT AS risks FROM q)"""
-C.over("l20_deal_summary", "deals", lambda d: de.deal_summary(d, AS_OF), f", {SUMMARY} SELECT *, CASE WHEN risks >= 3 THEN 'at_risk' WHEN risks >= 1 THEN 'needs_attention' ELSE 'healthy' END AS health FROM x")
-C.over("l15_deal_risks", "deals", lambda d: de.deal_risks(d, AS_OF), f""", {SUMMARY} SELECT 'low_win_rate' AS kind, 'high' AS level FROM x WHERE win_pct < 25 UNION ALL SELECT 'pipeline_concentration', 'high' FROM x WHERE level = 'high' UNION ALL SELECT 'overdue_pipeline', 'high' FROM x WHERE overdue > 0 UNION ALL SELECT 'low_weighted_pipeline', 'medium' FROM x WHERE weighted / total * 100 < 30""")
+C.over("l20_deal_summary", "deals", lambda d: de.deal_summary(d, as_of()), f", {SUMMARY} SELECT *, CASE WHEN risks >= 3 THEN 'at_risk' WHEN risks >= 1 THEN 'needs_attention' ELSE 'healthy' END AS health FROM x")
+C.over("l15_deal_risks", "deals", lambda d: de.deal_risks(d, as_of()), f""", {SUMMARY} SELECT 'low_win_rate' AS kind, 'high' AS level FROM x WHERE win_pct < 25 UNION ALL SELECT 'pipeline_concentration', 'high' FROM x WHERE level = 'high' UNION ALL SELECT 'overdue_pipeline', 'high' FROM x WHERE overdue > 0 UNION ALL SELECT 'low_weighted_pipeline', 'medium' FROM x WHERE weighted / total * 100 < 30""")
 C.over("l16_opportunities", "deals", de.opportunities, f", {P}, h AS (SELECT greatest(2 * round(median(amount), 4), round(avg(amount), 4)) AS t FROM v) SELECT {cnt('val >= t')} AS high_value, round(coalesce(sum(val) FILTER (WHERE val >= t), 0), 2) AS high_value_amount, round(sum(val) FILTER (WHERE kind = 'open'), 2) AS open_amount FROM p, h")
 
 E_ = "e AS (SELECT *, CASE status WHEN 'Closed-Won' THEN 'converted' WHEN 'MQL' THEN 'qualified' WHEN 'lost' THEN 'lost' WHEN 'Open_Opportunity' THEN 'opportunity' WHEN 'new lead' THEN 'new' ELSE 'disqualified' END AS state, value AS worth FROM v)"
@@ -113,7 +113,7 @@ C.over("d14_lead_forecast", "leads", le.lead_forecast, f", {TREND} SELECT round(
 OPP = "o AS (SELECT count(*) FILTER (WHERE val >= t) AS high_value, round(sum(val) FILTER (WHERE kind = 'open'), 2) AS open_amount FROM p, (SELECT greatest(2 * round(median(amount), 4), round(avg(amount), 4)) AS t FROM v))"
 BOTTLE = "bn AS (SELECT count(*) AS n, count(*) FILTER (WHERE p >= 60) AS crowded FROM (SELECT round(count(*) / (SELECT count(*) FROM v) * 100, 2) AS p FROM v GROUP BY stage) WHERE p >= 40)"
 ODD = "od AS (SELECT (SELECT (count(*) > 0)::INT FROM v WHERE amount > (SELECT avg(amount) + 2 * stddev_samp(amount) FROM v)) + (SELECT (count(*) > 0)::INT FROM v WHERE amount <= 0) + (SELECT (crowded > 0)::INT FROM bn) + (SELECT (overdue > 0)::INT FROM x) AS n)"
-C.over("l17_deal_findings", "deals", lambda d: fd.deal_findings(d, AS_OF), f""", {SUMMARY}, {OPP}, {BOTTLE}, {ODD} SELECT 'risk' AS scope, 'low_win_rate' AS kind, 'high' AS level, win_pct AS value FROM x WHERE win_pct < 25
+C.over("l17_deal_findings", "deals", lambda d: fd.deal_findings(d, as_of()), f""", {SUMMARY}, {OPP}, {BOTTLE}, {ODD} SELECT 'risk' AS scope, 'low_win_rate' AS kind, 'high' AS level, win_pct AS value FROM x WHERE win_pct < 25
  UNION ALL SELECT 'risk', 'pipeline_concentration', 'high', s.largest_pct FROM x, s WHERE level = 'high' UNION ALL SELECT 'risk', 'overdue_pipeline', 'high', overdue FROM x WHERE overdue > 0 UNION ALL SELECT 'risk', 'low_weighted_pipeline', 'medium', round(weighted / total * 100, 2) FROM x WHERE weighted / total * 100 < 30
  UNION ALL SELECT 'opportunity', 'high_value_opportunities', 'info', high_value FROM o WHERE high_value > 0 UNION ALL SELECT 'opportunity', 'open_pipeline', 'info', open_amount FROM o WHERE open_amount > 0 UNION ALL SELECT 'action', 'bottleneck', 'medium', n FROM bn WHERE n > 0 UNION ALL SELECT 'action', 'anomaly_review', 'medium', n FROM od WHERE n > 0""")
 C.over("d15_lead_findings", "leads", fd.lead_findings)

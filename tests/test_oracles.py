@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessera.plans import business, profiles, sales, texts
@@ -25,7 +26,7 @@ def duck():
 
 def plain(v):
     v = v.item() if hasattr(v, "item") else v
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     return round(float(v), 3) if isinstance(v, float) else list(v) if hasattr(v, "tolist") else v
 
