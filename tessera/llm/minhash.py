@@ -14,7 +14,7 @@ from tessera.llm.kernels import U, Words, blocks, column, list_column, mix, part
 
 SIDE = 8  #: keys in each of the two collections; SIDE * SIDE tables
 ROWS = 2  #: minhashes in one key of a collection
-BLOCK_BITS = 5  #: documents in a block, as a power of two
+BLOCK_BITS = 7  #: documents in a block, as a power of two
 SEED = 20240229
 SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>"
 
