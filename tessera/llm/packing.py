@@ -6,6 +6,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from tessera.llm.kernels import blocks, column, parts
 
 #: Distinct segments whose ids a worker remembers; beyond that it forgets all and starts again.
 CACHE = 600_000
+#: Those that it keeps from one task to the next: the first ones it met, which tend to be the common ones.
+HELD = 100_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 _UNSAFE = re.compile(r"[\W_](?:[.,]|(?<=\s)\s)")
@@ -68,6 +71,15 @@ class SegmentTokenizer:
         self.size = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def trim(self, keep: int) -> None:
+        if self.known <= keep:
+            return
+        index = _Numbers()
+        index.update(islice(self.index.items(), keep))
+        self.index, self.known = index, keep
+        self.used = int(self.begin[keep - 1] + self.size[keep - 1])
+        self.flat, self.begin, self.size = self.flat[: self.used].copy(), self.begin[:keep].copy(), self.size[:keep].copy()
+
     def learn(self) -> None:
         """Encode the new segments."""
         new, self.index.new = self.index.new, []
@@ -136,7 +148,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end
                         part = one[start : start + capacity]
                         rows.append((ids[at + i], start, len(part), zlib.crc32(part.tobytes()), len(one)))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        tok.forget()  # an idle worker holds no segments
+        tok.trim(HELD)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
 
