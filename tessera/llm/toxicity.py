@@ -15,10 +15,12 @@ from tessera.llm.kernels import LOWER, U, Rolling, blocks, column, list_column,
 from tessera.llm.language_id import remainder
 
 POSITIVE, NEGATIVE = 2000, 4000  #: labelled rows used, at most, of either label
-TERMS = 4096  #: size of the vocabulary, at most
-LIFT = 8  #: how much more often a term occurs in positive examples than in negative ones, at least
+TERMS = 1 << 22  #: places that term hashes are dealt to
+SMOOTH = 8  #: texts added to a term's counts, in the labels' shares, before its rates are compared
 NEIGHBOURS = 15
 BLOCK_SIZE = 64  #: examples in a block of the index
+DENSE = 1024  #: terms of the most examples, kept as matrix columns; all others have posting lists
+POSTINGS = 1 << 21  #: postings read at once
 STEM = 4  #: bytes of a word that make a term of their own, for words of which only the beginning recurs
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -38,56 +40,45 @@ def terms(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((doc, doc[long])), np.concatenate((whole, head))
 
 
-def _per_text(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, times) of the distinct terms of each text."""
+def per_text(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, times) of the distinct terms of each text; a term is a place below TERMS."""
     doc, term = terms(raws)
-    order = np.lexsort((term, doc))
-    doc, term = doc[order], term[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], term[at], np.diff(np.append(at, len(doc)))
+    key, times = np.unique(doc * TERMS + (term % U(TERMS)).astype(np.int64), return_counts=True)
+    return key // TERMS, key % TERMS, times
 
 
-def vocabulary(examples: DataFrame) -> np.ndarray:
-    """Sorted hashes of at most TERMS terms that mark positive examples: LIFT times as frequent there, chi-square of 25 or more, in four at least."""
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Texts with each term, over all documents, and the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, rows = np.zeros(TERMS, np.int64), 0
         for batch in parts(batches):
-            label = np.array(column(batch, "y"), np.int64)
-            texts = column(batch, "text")
-            for at, raws in blocks(texts):
-                doc, term, _ = _per_text(raws)
-                known, which = np.unique(term, return_inverse=True)
-                ones = np.bincount(which, label[at + doc], len(known)).astype(np.int64)
-                both = np.bincount(which, minlength=len(known))
-                yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(ones), pa.array(both - ones)], names=["term", "n1", "n0"])
-
-    sums = examples.select("text", "y").mapInArrow(count, "term long, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("a"), F.sum("n0").alias("b"))
-    size = examples.agg(F.sum("y").alias("t1"), F.sum(1 - F.col("y")).alias("t0"))
-    both = sums.where("a >= 4").join(F.broadcast(size)).where(F.col("a") * F.col("t0") >= LIFT * F.col("b") * F.col("t1"))
-    chi = F.expr("try_divide(cast(t1 + t0 as double) * pow(cast(a as double) * (t0 - b) - cast(b as double) * (t1 - a), 2), cast(t1 as double) * t0 * (a + b) * (t1 + t0 - a - b))")
-    best = both.withColumn("chi", chi).where("chi >= 25").orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()
-    return np.sort(np.array([r["term"] for r in best], np.int64).view(U))
-
-
-def vectors(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """doc_id, terms (places in the vocabulary), times: of every whole text, empty where it has no such term."""
+            rows += batch.num_rows
+            for _, raws in blocks(column(batch, "text")):
+                np.add.at(sums, per_text(raws)[1], 1)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(sums[some], rows))], names=["term", "n"])
+
+    got = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most TERMS + 1 rows
+    term, n = got["term"].to_numpy(), got["n"].to_numpy()
+    df = np.zeros(TERMS, np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    return df, int(n[term < 0].sum())
+
+
+def vectors(docs: DataFrame) -> DataFrame:
+    """doc_id, y, terms, times: of every whole text."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            texts = column(batch, "text")
-            for at, raws in blocks(texts):
-                doc, term = terms(raws)
-                place = np.minimum(np.searchsorted(words, term), max(len(words) - 1, 0))
-                hit = words[place] == term if len(words) else np.zeros(len(term), bool)
-                key, times = np.unique(doc[hit] * TERMS + place[hit], return_counts=True)
-                number = np.bincount(key // TERMS, minlength=len(raws))
+            for at, raws in blocks(column(batch, "text")):
+                doc, term, times = per_text(raws)
+                number = np.bincount(doc, minlength=len(raws))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(raws)), list_column(key % TERMS, number, pa.int32()), list_column(times, number, pa.int32())], names=["doc_id", "terms", "times"]
+                    [*[batch.column(c).slice(at, len(raws)) for c in (0, 1)], list_column(term, number, pa.int32()), list_column(times, number, pa.int32())], names=["doc_id", "y", "terms", "times"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(look, "doc_id long, terms array<int>, times array<int>")
+    return docs.select("doc_id", "y", "text").mapInArrow(look, "doc_id long, y int, terms array<int>, times array<int>")
 
 
 @dataclass
@@ -101,110 +92,156 @@ class Examples:
     weight: np.ndarray
     idf: np.ndarray
     prior: float
+    known: np.ndarray | None = None  # the examples' terms, sorted; row, term and idf count these
+    scale: np.ndarray | None = None  # weight of every term, other terms than the examples' too
     slope: float = 1.0
     shift: float = 0.0
     empty: float = 0.0
 
 
 class BlockMaxIndex:
-    """Postings cut into blocks of examples; each term has its largest weight per block.
+    """Examples cut into blocks; the DENSE most common terms as a matrix with their largest weight per block, the others as postings.
 
-    A block's bound is the query's product with those maxima. Blocks are read in order of their bounds until the
-    next bound can't beat the k-th best similarity, so the nearest examples are exact.
+    The postings of a query's other terms are read in full. A block's bound is its best sum of those plus the query's
+    product with the matrix's maxima. Blocks whose bound can't beat a query's k-th best similarity are left out for it,
+    so the nearest examples are exact.
     """
 
-    def __init__(self, e: Examples):
+    def __init__(self, e: Examples, dense: int = DENSE):
         self.e = e
         n, t = len(e.ids), len(e.idf)
         self.blocks = -(-n // BLOCK_SIZE)
-        self.most = np.zeros((t, self.blocks), np.float32)
-        np.maximum.at(self.most, (e.term, e.row // BLOCK_SIZE), e.weight)
-        order = np.lexsort((e.row, e.term, e.row // BLOCK_SIZE))
-        block, term = (e.row // BLOCK_SIZE)[order], e.term[order]
-        self.row, self.weight = e.row[order], e.weight[order]
-        key = block * t + term
-        self.keys, first = np.unique(key, return_index=True)
-        self.first = np.append(first, len(key))
+        common = np.argsort(-np.bincount(e.term, minlength=t), kind="stable")[:dense]
+        self.slot = np.full(t, -1, np.int32)
+        self.slot[common] = np.arange(len(common))
+        slot = self.slot[e.term]
+        self.matrix = np.zeros((self.blocks * BLOCK_SIZE, len(common)), np.float32)
+        self.matrix[e.row[slot >= 0], slot[slot >= 0]] = e.weight[slot >= 0]
+        self.most = self.matrix.reshape(self.blocks, BLOCK_SIZE, len(common)).max(axis=1)
+        rest = np.flatnonzero(slot < 0)
+        rest = rest[np.lexsort((e.row[rest], e.term[rest]))]
+        self.row, self.weight = e.row[rest].astype(np.int32), e.weight[rest]
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(e.term[rest], minlength=t))))
+
+    def search(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, count: int, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, similarity) of the k nearest examples of ``count`` queries with a similarity above 0, ties by row.
+
+        ``doc`` ascends; ``skip`` has an example for each query that is left out for it.
+        """
+        reads = np.concatenate(([0], np.cumsum(np.where(self.slot[term] < 0, self.first[term + 1] - self.first[term], 0))))
+        ends = np.searchsorted(doc, np.arange(count + 1))
+        out, at = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))], 0
+        while at < count:
+            to = int(np.searchsorted(reads[ends], reads[ends[at]] + POSTINGS, "right")) - 1
+            to = min(max(to, at + 1), at + 256, count)
+            s = slice(ends[at], ends[to])
+            q, row, sim = self._some(doc[s] - at, term[s], weight[s], to - at, k, None if skip is None else skip[at:to])
+            out.append((q + at, row, sim))
+            at = to
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _some(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int, k: int, skip: np.ndarray | None) -> tuple:
+        n, slot = self.blocks * BLOCK_SIZE, self.slot[term]
+        query = np.zeros((m, self.matrix.shape[1]), np.float32)
+        query[doc[slot >= 0], slot[slot >= 0]] = weight[slot >= 0]
+        few = slot < 0
+        first, number = self.first[term[few]], self.first[term[few] + 1] - self.first[term[few]]
+        place = np.arange(number.sum()) + np.repeat(first - (np.cumsum(number) - number), number)
+        cell = np.repeat(doc[few] * n, number) + self.row[place]
+        sims = np.bincount(cell, np.repeat(weight[few], number) * self.weight[place], m * n).astype(np.float32).reshape(m, n)
+        if skip is not None:
+            sims[np.arange(m), skip] = -np.inf
+        best = sims.reshape(m, self.blocks, BLOCK_SIZE).max(axis=2)
+        bound = best + query @ self.most.T
+        floor = np.zeros(m, np.float32)  # no more than the k-th best similarity
+        for i, b in enumerate(np.argsort(-bound.sum(axis=0), kind="stable").tolist()):
+            if i % 4 == 0 and self.blocks >= k:
+                floor = np.maximum(np.partition(best, self.blocks - k, axis=1)[:, self.blocks - k], 0) * np.float32(1 - 1e-5)
+            s = slice(b * BLOCK_SIZE, (b + 1) * BLOCK_SIZE)
+            may = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= floor))
+            if len(may):
+                sims[may, s] += query[may] @ self.matrix[s].T
+                best[may, b] = sims[may, s].max(axis=1)
+        if self.blocks >= k:
+            floor = np.maximum(np.partition(best, self.blocks - k, axis=1)[:, self.blocks - k], 0) * np.float32(1 - 1e-5)
+        q, row = np.nonzero((sims > 0) & (sims >= floor[:, None]))
+        sim = sims[q, row]
+        order = np.lexsort((row, -np.round(sim, 6), q))
+        q, row, sim = q[order], row[order], sim[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[keep], row[keep], sim[keep]
 
     def nearest(self, terms_: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, similarities) of the k nearest examples with a similarity above 0, ties by row."""
-        bound = weights @ self.most[terms_]
-        order = np.argsort(-bound, kind="stable")
-        rows, sims = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        for b in order.tolist():
-            if bound[b] <= 0 or len(rows) >= k and bound[b] < sims[k - 1] * (1 - 1e-5):
-                break
-            got = np.zeros(BLOCK_SIZE, np.float32)
-            at = np.searchsorted(self.keys, b * len(self.e.idf) + terms_)
-            for place, t, w in zip(at.tolist(), terms_.tolist(), weights.tolist(), strict=True):
-                if place < len(self.keys) and self.keys[place] == b * len(self.e.idf) + t:
-                    s = slice(self.first[place], self.first[place + 1])
-                    got[self.row[s] - b * BLOCK_SIZE] += w * self.weight[s]
-            some = np.flatnonzero(got > 0)
-            some = some[some + b * BLOCK_SIZE != skip]
-            rows = np.concatenate((rows, some + b * BLOCK_SIZE))
-            sims = np.concatenate((sims, got[some]))
-            best = np.lexsort((rows, -sims))[:k]
-            rows, sims = rows[best], sims[best]
+        """(rows, similarities) of the k nearest examples of one query."""
+        _, rows, sims = self.search(np.zeros(len(terms_), np.int64), terms_, weights, 1, k, np.array([skip]) if skip >= 0 else None)
         return rows, sims
 
-    def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
-        """Share of the labels, weighted by similarity over distance, with the prior as one far example."""
-        w = sims / (1.05 - np.minimum(sims, 1))
-        return float((w @ self.e.labels[rows] + 0.5 * self.e.prior) / (w.sum() + 0.5))
+    def votes(self, q: np.ndarray, row: np.ndarray, sim: np.ndarray, count: int) -> np.ndarray:
+        """Share of each query's labels, weighted by similarity over distance, with the prior as one far example."""
+        w = sim / (1.05 - np.minimum(sim, 1))
+        return (np.bincount(q, w * self.e.labels[row], count) + 0.5 * self.e.prior) / (np.bincount(q, w, count) + 0.5)
+
 
+def weighted(doc: np.ndarray, term: np.ndarray, times: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of unit length per text."""
+    w = (1 + np.log(times)) * scale[term]
+    return (w / np.maximum(np.sqrt(np.bincount(doc, w * w)), 1e-9)[doc]).astype(np.float32)
 
-def weighted(terms_: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(times)) * idf[terms_]
-    return (w / max(np.sqrt(w @ w), 1e-9)).astype(np.float32)
 
+def _marking(label: np.ndarray, once: np.ndarray, row: np.ndarray, term: np.ndarray, known: int) -> np.ndarray:
+    """1 and more for each term: how far its rates in the two labels are apart, in powers of two, smoothed, in the rows of ``once``."""
+    ones, zeros = max(1, int(label[once].sum())), max(1, int((1 - label)[once].sum()))
+    row, term = row[once[row]], term[once[row]]
+    share = SMOOTH / (ones + zeros)
+    a, both = np.bincount(term, label[row], known), np.bincount(term, minlength=known)
+    return 1 + np.abs(np.log2((a / ones + share) / ((both - a) / zeros + share)))
 
-def fit(labelled: DataFrame, docs: DataFrame) -> tuple[Examples, DataFrame]:
-    """Examples from labelled rows (doc_id, y) and the vectors of all documents (doc_id, text).
 
-    At most POSITIVE and NEGATIVE labelled rows, by a hash of their ids, give vocabulary and examples. Document
-    frequencies are of all documents.
+def fit(labelled: DataFrame, docs: DataFrame) -> Examples:
+    """Examples from labelled rows (doc_id, y) and all documents (doc_id, text).
+
+    At most POSITIVE and NEGATIVE labelled rows, by a hash of their ids, are the examples. Document frequencies are of
+    all terms of all documents.
     """
     one = labelled.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     one = one.withColumn("h", F.xxhash64("doc_id", F.lit("toxic")))
     totals = one.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     kept = one.where("y = 1").orderBy("h", "doc_id").limit(POSITIVE).unionByName(one.where("y = 0").orderBy("h", "doc_id").limit(NEGATIVE))
-    kept = materialize(kept.select("doc_id", "y"))
-    examples = docs.join(F.broadcast(kept), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
-    words = vocabulary(examples.dropDuplicates(["text"]))  # a copied text counts once
-    found = materialize(vectors(docs, words))
-    size = max(1, found.count())
-    df = np.zeros(max(1, len(words)))
-    for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most TERMS rows
-        df[r["t"]] = r["count"]
-    idf = np.log1p(size / np.maximum(df, 1))
-    rows = found.join(F.broadcast(kept), "doc_id").select("doc_id", "y", "terms", "times").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    kept = materialize(kept.select("doc_id", F.col("y").cast("int").alias("y")))
+    examples = docs.join(F.broadcast(kept), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    got = vectors(examples).toArrow().sort_by("doc_id").combine_chunks()  # the examples' distinct terms only
+    df, size = frequencies(docs)
+    ids, y = got["doc_id"].to_numpy(), got["y"].to_numpy().astype(np.int64)
+    flat = [got[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("terms", "times")]
+    number = got["terms"].combine_chunks().value_lengths().to_numpy().astype(np.int64)
+    full = number > 0
+    row = np.repeat(np.arange(int(full.sum())), number[full])
+    known, term = np.unique(flat[0], return_inverse=True)
+    scale = np.log1p(max(1, size) / np.maximum(df, 1))
+    ends = np.cumsum(number[full])
+    texts = [flat[0][a:b].tobytes() + flat[1][a:b].tobytes() for a, b in zip(ends - number[full], ends, strict=True)]
+    once = np.zeros(len(texts), bool)
+    once[list({t: i for i, t in enumerate(texts)}.values())] = True  # a copied text counts once
+    scale[known] *= _marking(y[full], once, row, term, len(known))
+    scale = scale.astype(np.float32)
     prior = totals[0] / max(1, totals[0] + totals[1])
-    full = [r for r in rows if len(r["terms"])]
-    parts = [(i, np.array(r["terms"], np.int64), np.array(r["times"])) for i, r in enumerate(full)]
-    nothing = np.zeros(0, np.int64)
-    e = Examples(
-        np.array([r["doc_id"] for r in full], np.int64), np.array([r["y"] for r in full], np.float32),
-        np.concatenate([nothing, *[np.full(len(t), i) for i, t, _ in parts]]), np.concatenate([nothing, *[t for _, t, _ in parts]]),
-        np.concatenate([np.zeros(0, np.float32), *[weighted(t, n, idf) for _, t, n in parts]]), idf, prior,
-    )
-    _calibrate(e, rows, parts, totals)
-    return e, found
-
-
-def _calibrate(e: Examples, rows: list, parts: list, totals: tuple) -> None:
+    e = Examples(ids[full], y[full].astype(np.float32), row, term, weighted(row, flat[0], flat[1], scale), scale[known], prior, known, scale)
+    _calibrate(e, y, y[~full], totals)
+    return e
+
+
+def _calibrate(e: Examples, labels: np.ndarray, bare: np.ndarray, totals: tuple) -> None:
     """Platt scaling of leave-one-out votes; the sample's labels are weighed back to their shares."""
-    ones = sum(r["y"] for r in rows)
-    weight = {1: totals[0] / max(1, ones), 0: totals[1] / max(1, len(rows) - ones)}
-    bare = [r["y"] for r in rows if not len(r["terms"])]
-    e.empty = (sum(weight[y] for y in bare if y) + e.prior) / (sum(weight[y] for y in bare) + 1) if rows else 0.0
+    ones = int(labels.sum())
+    weight = np.array([totals[1] / max(1, len(labels) - ones), totals[0] / max(1, ones)])
+    e.empty = float((weight[1] * bare.sum() + e.prior) / (weight[bare].sum() + 1)) if len(labels) else 0.0
     if not len(e.ids):
         return
-    index = BlockMaxIndex(e)
-    raw = np.array([index.vote(*index.nearest(t, weighted(t, n, e.idf), NEIGHBOURS, skip=i)) for i, t, n in parts])
+    index, n = BlockMaxIndex(e), len(e.ids)
+    raw = index.votes(*index.search(e.row, e.term, e.weight, n, NEIGHBOURS, np.arange(n)), n)
     x = np.log(np.clip(raw, 1e-4, 1 - 1e-4) / (1 - np.clip(raw, 1e-4, 1 - 1e-4)))
     y = e.labels.astype(float)
-    w = np.array([weight[int(v)] for v in y])
+    w = weight[e.labels.astype(np.int64)]
     goal = np.where(y > 0, 1 - 1 / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
@@ -221,39 +258,38 @@ def toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     """One row per input row: doc_id, score, evidence (ids of the nearest labelled examples, at most five).
 
     ``labelled`` has doc_id and y (1 toxic); rows with a null of either are left out and the highest label of a
-    repeated id holds. Terms are words and beginnings of words that mark toxic examples; a whole text's TF-IDF vector
-    over them is compared by cosine with the examples', exactly, and the NEIGHBOURS nearest vote by closeness. Texts
-    without any term, null and empty ones too, get the toxic share of examples without any. Without labels every
+    repeated id holds. Terms are all words and beginnings of words; a term's inverse document frequency is of all
+    documents, and its weight is multiplied by how far its rates in the labels are apart, by 1 at least. A whole text's
+    TF-IDF vector is compared by cosine with the examples', exactly, and the NEIGHBOURS nearest vote by closeness. Texts
+    without any word, null and empty ones too, get the toxic share of examples without any. Without labels every
     score is 0. Ids may be null or repeated; other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    e, found = fit(labelled, base)
-    shared = docs.sparkSession.sparkContext.broadcast(e)  # bounded by POSITIVE + NEGATIVE examples of TERMS terms
+    e = fit(labelled, base)
+    shared = docs.sparkSession.sparkContext.broadcast(e)  # bounded by POSITIVE + NEGATIVE examples and TERMS weights
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = BlockMaxIndex(shared.value)
-        e = shared.value
-        known: dict[bytes, tuple] = {}
+        e, index = shared.value, None
         for batch in parts(batches):
-            scores, why = [], []
-            for t, n in zip(column(batch, "terms"), column(batch, "times"), strict=True):
-                if not t or not len(e.ids):
-                    scores.append(e.empty)
-                    why.append([])
-                    continue
-                t_, n_ = np.array(t, np.int64), np.array(n)
-                key = t_.tobytes() + n_.tobytes()
-                if key not in known:
-                    rows, sims = index.nearest(t_, weighted(t_, n_, e.idf), NEIGHBOURS)
-                    raw = min(max(index.vote(rows, sims), 1e-4), 1 - 1e-4)
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[key] = float(1 / (1 + np.exp(-(e.slope * np.log(raw / (1 - raw)) + e.shift)))), e.ids[rows[:5]].tolist()
-                scores.append(known[key][0])
-                why.append(known[key][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(why, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
-
-    return found.mapInArrow(score, "doc_id long, score double, evidence array<long>")
+            index = index or BlockMaxIndex(e)
+            for at, raws in blocks(column(batch, "text")):
+                doc, term, times = per_text(raws)
+                m = len(raws)
+                scores, why = np.full(m, e.empty), np.zeros(0, np.int64)
+                number = np.zeros(m, np.int64)
+                if len(e.ids):
+                    weight = weighted(doc, term, times, e.scale)
+                    place = np.minimum(np.searchsorted(e.known, term), len(e.known) - 1)
+                    hit = e.known[place] == term
+                    q, row, sim = index.search(doc[hit], place[hit], weight[hit], m, NEIGHBOURS)
+                    raw = np.clip(index.votes(q, row, sim, m), 1e-4, 1 - 1e-4)
+                    some = np.bincount(doc, minlength=m) > 0
+                    scores[some] = (1 / (1 + np.exp(-(e.slope * np.log(raw / (1 - raw)) + e.shift))))[some]
+                    first = np.arange(len(q)) - np.searchsorted(q, q) < 5
+                    why, number = e.ids[row[first]], np.bincount(q[first], minlength=m)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, m), pa.array(scores, pa.float64()), list_column(why, number, pa.int64())], names=["doc_id", "score", "evidence"])
+
+    return base.mapInArrow(score, "doc_id long, score double, evidence array<long>")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,6 +259,33 @@ def test_toxicity_finds_marked_texts(spark):
     assert all(e % 5 == 0 for e in got[500]["evidence"])
 
 
+def test_nearest_examples_are_exact_over_postings_and_matrix():
+    rng = np.random.default_rng(7)
+    n, t = 1500, 300
+    dense = (rng.random((n, t)) * (rng.random((n, t)) < 0.05)).astype(np.float32)
+    dense[:, 0] += 0.01
+    dense /= np.sqrt((dense**2).sum(axis=1, keepdims=True))
+    row, term = np.nonzero(dense)
+    e = toxicity.Examples(np.arange(n), np.zeros(n, np.float32), row, term, dense[row, term], np.ones(t), 0.1)
+    full = dense @ dense.T
+    np.fill_diagonal(full, -1)
+    for width in (0, 20, 300):
+        q, rows, sims = toxicity.BlockMaxIndex(e, width).search(row, term, dense[row, term], n, 15, np.arange(n))
+        assert np.bincount(q, minlength=n).tolist() == np.minimum((full > 0).sum(axis=1), 15).tolist()
+        assert np.allclose(full[q, rows], sims, atol=1e-5)
+        assert all(np.allclose(sims[q == i], np.sort(full[i])[::-1][: (q == i).sum()], atol=1e-5) for i in range(0, n, 50))
+
+
+def test_every_word_of_toxicity_examples_counts(spark):
+    rows = [(i, f"plain{i % 7} common{i % 5} word{i}", 0) for i in range(60)] + [(60 + i, f"common{i % 5} rare{i}", 1) for i in range(3)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(100, "rare1 elsewhere"), (101, "word7"), (102, "unseen")], "doc_id long, text string")
+    got = by_id(toxicity.toxicity(df, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, y int")))
+    assert got[100]["evidence"][0] == 61  # a word of one toxic text
+    assert got[101]["evidence"][0] == 7  # clean neighbours vote too
+    assert got[100]["score"] > got[101]["score"]
+    assert all(len(got[i]["evidence"]) == 5 for i in range(60))
+
+
 def test_quality_classifier_on_held_out_rows(spark):
     rng = random.Random(9)
     stock = [f"w{i}" for i in range(200)]
