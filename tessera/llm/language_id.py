@@ -20,6 +20,7 @@ LANE = 512  #: letters of a text parsed in one go; longer texts are parsed lane
 LANES = 4096
 SAMPLE_TEXTS = 96  #: labelled texts per language, at most
 SAMPLE_CHARS = 400  #: characters of one of them, from a place given by its hash
+CELLS = 1 << 25  #: states times letters up to which all transitions are one full table; beyond, they are hashed
 _letters: list[np.ndarray] = []
 
 
@@ -77,37 +78,71 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """The automata of all languages in one transition table."""
+    """The automata of all languages in one transition table, full or hashed."""
 
-    def __init__(self, model: LanguageModel):
+    def __init__(self, model: LanguageModel, cells: int = CELLS):
         lower = letters()
         seen = [lower[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)] for s in model.samples]
         alphabet = np.unique(np.concatenate([*seen, [0]]))
-        self.code = np.full(0x110000, len(alphabet), np.uint8)  # a letter that no sample has
-        for i, c in enumerate(alphabet[:250].tolist()):
-            self.code[np.flatnonzero(lower == c)] = i
-        self.pad = min(len(alphabet), 250) + 1
-        self.code[self.code >= self.pad] = self.pad - 1
-        width = self.pad + 1
-        tables, self.roots, self.bits, base = [], [], [], 0
-        for letters_ in seen:
-            codes = self.codes_of(letters_)
-            steps = suffix_automaton(codes.tolist())
-            root = np.full(width, base, np.int32)
+        self.pad = len(alphabet) + 1
+        self.width = self.pad + 1
+        place = np.minimum(np.searchsorted(alphabet, lower), len(alphabet) - 1)
+        known = alphabet[place] == lower
+        self.code = np.where(known, place, len(alphabet)).astype(np.uint8 if self.pad < 256 else np.int32)  # the last: a letter that no sample has
+        codes = [self.codes_of(x) for x in seen]
+        automata = [suffix_automaton(x.tolist()) for x in codes]
+        self.bits = np.array([np.log2(max(len(x), 2)) for x in codes])
+        sizes = [len(x) for x in automata]
+        self.roots = (np.cumsum(sizes) - sizes).astype(np.int32).tolist()
+        self.root = np.zeros((len(automata), self.width), np.int32)
+        for nth, (steps, base) in enumerate(zip(automata, self.roots, strict=True)):
+            self.root[nth] = base
             for c, to in steps[0].items():
-                root[c] = base + to
-            own = np.broadcast_to(~root, (len(steps), width)).copy()  # no way on, or none yet: a phrase starts here
+                self.root[nth, c] = base + to
+        self.full = sum(sizes) * self.width <= cells
+        (self._fill if self.full else self._hash)(automata)
+
+    def _fill(self, automata: list) -> None:
+        tables = []
+        for steps, base, root in zip(automata, self.roots, self.root, strict=True):
+            own = np.broadcast_to(~root, (len(steps), self.width)).copy()  # no way on, or none yet: a phrase starts here
             for state, ways in enumerate(steps):
                 for c, to in ways.items() if state else ():
                     own[state, c] = base + to
             own[:, self.pad] = base + np.arange(len(steps))
             tables.append(own)
-            self.roots.append(base)
-            self.bits.append(np.log2(max(len(codes), 2)))
-            base += len(steps)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.width = width
-        self.bits = np.array(self.bits)
+
+    def _hash(self, automata: list) -> None:
+        """Keys state * width + letter by linear probing, at most half full."""
+        key = np.array([(base + state) * self.width + c for steps, base in zip(automata, self.roots, strict=True) for state, ways in enumerate(steps) if state for c in ways], np.int64)
+        to = np.array([base + t for steps, base in zip(automata, self.roots, strict=True) for state, ways in enumerate(steps) if state for t in ways.values()], np.int32)
+        self.log = max(4, (2 * len(key)).bit_length())
+        self.keys, self.to = np.full(1 << self.log, -1, np.int64), np.zeros(1 << self.log, np.int32)
+        left, slot = np.arange(len(key)), self._slot(key)
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = key[free]
+            left = left[self.keys[slot[left]] != key[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.log) - 1)
+        self.to[slot] = to
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.log)).astype(np.int64)
+
+    def step(self, state: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The next state of each (language, lane), or its complement where a phrase starts."""
+        if self.full:
+            return self.table[state * self.width + row]
+        key = (state.astype(np.int64) * self.width + row).ravel()
+        out, slot, left = (~self.root[:, row]).ravel(), self._slot(key), np.arange(len(key))
+        while len(left):
+            have = self.keys[slot[left]]
+            hit = left[have == key[left]]
+            out[hit] = self.to[slot[hit]]
+            left = left[(have != key[left]) & (have >= 0)]
+            slot[left] = (slot[left] + 1) & ((1 << self.log) - 1)
+        return np.where(row == self.pad, state, out.reshape(state.shape))
 
     def codes_of(self, lowered: np.ndarray) -> np.ndarray:
         codes = self.code[lowered]
@@ -143,7 +178,7 @@ class Parser:
             state = np.repeat(np.array(self.roots, np.int32)[:, None], len(some), 1)
             starts = np.zeros(state.shape, np.int32)
             for row in grid:
-                got = self.table[state * self.width + row]
+                got = self.step(state, row)
                 sign = got >> 31
                 starts -= sign
                 state = got ^ sign
@@ -155,29 +190,29 @@ class Parser:
 _parsers: dict[LanguageModel, Parser] = {}
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Samples of the labelled rows: SAMPLE_TEXTS texts per language, picked by a hash of their ids.
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
+    """Samples of the labelled rows: ``sample_texts`` texts per language, picked by a hash of their ids.
 
     Rows without text, language or id are left out. Only the samples reach the driver: the number of languages times
-    SAMPLE_TEXTS * SAMPLE_CHARS characters.
+    ``sample_texts`` * ``sample_chars`` characters. All their letters are kept, however many.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     named = rows.where("id is not null and lang is not null").select("id", "lang", F.xxhash64(F.col("id").cast("string"), F.lit("lang")).alias("h"))
     counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return LanguageModel((), (), ())
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2.5 * SAMPLE_TEXTS / n)))])
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2.5 * sample_texts / n)))])
     low = named.where((F.col("h") / 2.0**64 + 0.5) <= share[F.col("lang")])
-    picked = low.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("i") <= SAMPLE_TEXTS)
-    place = F.pmod("h", F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
+    picked = low.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("i") <= sample_texts)
+    place = F.pmod("h", F.greatest(F.length("text") - sample_chars, F.lit(1))) + 1
     taken = rows.join(F.broadcast(picked.select("id", "h").distinct()), "id").where("text is not null and lang is not null")
-    taken = taken.select("lang", "h", F.col("text").substr(place.cast("int"), F.lit(SAMPLE_CHARS)).alias("part")).collect()
+    taken = taken.select("lang", "h", F.col("text").substr(place.cast("int"), F.lit(sample_chars)).alias("part")).collect()
     parts: dict[str, list[tuple]] = {lang: [] for lang in counts}
     for r in taken:
         parts[r["lang"]].append((r["h"], r["part"]))
     langs = tuple(sorted(lang for lang in parts if parts[lang]))
     total = sum(counts.values())
-    return LanguageModel(langs, tuple("\n".join(p for _, p in sorted(parts[lang])[: 2 * SAMPLE_TEXTS]) for lang in langs), tuple(counts[lang] / total for lang in langs))
+    return LanguageModel(langs, tuple("\n".join(p for _, p in sorted(parts[lang])[: 2 * sample_texts]) for lang in langs), tuple(counts[lang] / total for lang in langs))
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -227,6 +227,46 @@ def test_language_phrases_match_a_plain_parse():
     assert number.tolist() == [sum(c.isalpha() for c in t) for t in texts]
 
 
+def test_language_phrases_of_more_than_a_thousand_letters():
+    rng = random.Random(5)
+    one, two = [chr(c) for c in range(0x4E00, 0x4E00 + 900)], [chr(c) for c in range(0x4E00 + 700, 0x4E00 + 1700)]
+    make = lambda own, k: "".join(rng.choices(own, k=k))
+    model = language_id.LanguageModel(("a", "b", "c"), (make(one, 3000) + "".join(one), make(two, 3000), "the cat sat on the mat"), (0.4, 0.4, 0.2))
+    texts = [model.samples[0][40:90] + make(two, 40) + "the hat", make(one, 700), "猫 the 鿏 cat", "", model.samples[1][:600]]
+    parser, full = language_id.Parser(model, 0), language_id.Parser(model)
+    assert not parser.full and full.full and len(np.unique(parser.code)) > 1000
+    phrases, number = parser.phrases(texts)
+    assert np.array_equal(phrases, full.phrases(texts)[0])
+    lower = language_id.letters()
+    for k, sample in enumerate(model.samples):
+        known = "".join(map(chr, parser.codes_of(lower[np.frombuffer(sample.encode("utf-32-le"), np.uint32)]).tolist()))
+        for i, t in enumerate(texts):
+            codes = "".join(map(chr, parser.codes_of(lower[np.frombuffer(t.encode("utf-32-le"), np.uint32)]).tolist()))
+            count = 0
+            for lane in range(0, len(codes), language_id.LANE):
+                part, at = codes[lane : lane + language_id.LANE], 0
+                while at < len(part):
+                    n = 1
+                    while at + n < len(part) and part[at : at + n + 1] in known:
+                        n += 1
+                    at += n
+                    count += 1
+            assert phrases[k, i] == count
+    assert number.tolist() == [sum(c.isalpha() for c in t) for t in texts]
+
+
+def test_language_of_texts_in_large_alphabets(spark):
+    rng = random.Random(6)
+    spans = {"x": range(0x4E00, 0x4E00 + 1200), "y": range(0xAC00, 0xAC00 + 800), "z": range(97, 123)}
+    words = {lang: ["".join(chr(rng.choice(r)) for _ in range(3)) for _ in range(500)] for lang, r in spans.items()}
+    rows = [(i, " ".join(rng.choices(words["xyz"[i % 3]], k=40)), "xyz"[i % 3]) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(language_id.predict(df, language_id.fit(df.where("doc_id < 90"))))
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows)
+    few = language_id.fit(df, sample_texts=2, sample_chars=10)
+    assert [len(x) for x in few.samples] == [21, 21, 21]
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(6)
     n, t = 700, 40
