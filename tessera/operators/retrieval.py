@@ -13,8 +13,10 @@ from tessera.functions.core import col, r
 #: Ranks of classifications; words that call for a search.
 RANKS = {"public": 0, "internal": 1, "confidential": 2, "restricted": 3}
 SEARCH_WORDS = ("trend", "compare", "over the last", "repayment", "default", "rate", "which", "who")
-#: Queries of a search that may be broadcast; each is one short row.
+#: Queries of a search that may be broadcast, each one short row; larger sets are dealt in blocks of so many.
 QUERY_LIMIT = 20_000
+#: Pieces that the rows of a search are dealt to for each block of queries.
+PIECES = 64
 
 
 def tokens(c: str | Column) -> Column:
@@ -25,6 +27,17 @@ def _small(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries) if queries.limit(QUERY_LIMIT + 1).count() <= QUERY_LIMIT else queries
 
 
+def _met(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row with every query: blocks of queries meet pieces of the rows, joined by the numbers of both."""
+    blocks = -(-queries.count() // QUERY_LIMIT)
+    if blocks <= 1:
+        return rows.join(F.broadcast(queries))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_piece", every(PIECES))
+    dealt = rows.withColumn("_piece", F.pmod(F.xxhash64(*rows.columns), F.lit(PIECES)).cast("int")).withColumn("_block", every(blocks))
+    return dealt.join(asked, ["_block", "_piece"]).drop("_block", "_piece")
+
+
 def _top(df: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     """The k best of each query; Spark keeps k rows per query and task before the shuffle."""
     w = Window.partitionBy(by).orderBy(F.desc(score), tie)
@@ -70,10 +83,10 @@ def similarity(a: str | Column, b: str | Column, metric: str) -> Column:
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
     """query_id, key, score, rank: the k most similar vectors of each (query_id, query_vector), exact.
 
-    ``where`` is applied before the search. The stated set of queries meets every vector; nothing else is paired.
+    ``where`` is applied before the search. Every query meets every vector, in blocks if there are many queries.
     """
     rows = vectors if where is None else vectors.where(where)
-    both = rows.select(key, vector).join(_small(queries))
+    both = _met(rows.select(key, vector), queries)
     return _top(both.select("query_id", key, r(similarity(vector, "query_vector", metric), 6).alias("score")), "query_id", "score", key, k)
 
 

@@ -48,12 +48,16 @@ C.on("k13_hierarchy", "documents", lambda d: ch.hierarchy(ch.line_blocks(d)))
 C.on("k12_token_estimate", "conversations", lambda d: d.select("conv_id", "turn", ch.token_estimate("text").alias("tokens")), f"SELECT conv_id, turn, greatest({WORDS}, 1)::BIGINT AS tokens FROM conversations")
 
 
-def ask(s, d):
-    return read(s, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+FIRST = ("item_id < 5", "vec_id < 5")
+EVERY = ("item_id % 50 = 0", "vec_id % 50 = 0")  #: grows with the tables
 
 
-def ask_vectors(s, d):
-    return read(s, d, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def ask(s, d, which=FIRST):
+    return read(s, d, "benchmark").where(which[0]).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def ask_vectors(s, d, which=FIRST):
+    return read(s, d, "embeddings").where(which[1]).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 TOKENS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x != '')"
@@ -131,3 +135,23 @@ C.free("y04_recall", lambda s, d: re_.vector_search(read(s, d, "embeddings").wit
 C.on("y09_latest_activity", "events", lambda d: me.lines_of(d, "user_id", ["ts", "event_id"], F.format_string("%d %s", "event_id", "event_type"), 5, 10_000), "SELECT user_id, string_agg(event_id || ' ' || event_type, chr(10) ORDER BY ts, event_id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i <= 5 GROUP BY 1")
 C.on("v11_compressed", "documents", lambda d: re_.compressed(d, "the of and").select("doc_id", F.length("content").alias("chars")))
 C.on("s05_paragraphs", "pages", lambda d: d.select("page_id", F.explode(F.split("html", "<p>")).alias("b")).groupBy("page_id").count(), """SELECT page_id, count(*) AS "count" FROM (SELECT page_id, unnest(string_split(html, '<p>')) FROM pages) GROUP BY 1""")
+
+
+def every_fiftieth() -> None:
+    """The searches again with every row whose id is divisible by 50 as a query, as ``..._50th``; their SQL differs in that only."""
+    docs, vecs = lambda s, d: read(s, d, "documents"), lambda s, d: read(s, d, "embeddings")
+    rounded = lambda df: df.withColumn("score", F.round("score", 4))
+    runs = {
+        "v02_bm25": lambda s, d: re_.bm25(docs(s, d), ask(s, d, EVERY)).select("query_id", "doc_id", F.round("score", 4).alias("score")),
+        **{f"{id_}_{m}_search": lambda s, d, m=m: rounded(re_.vector_search(vecs(s, d), ask_vectors(s, d, EVERY), 5, m)) for id_, m in (("v03", "dot"), ("v04", "cosine"), ("v05", "l2"))},
+        "v07_filtered_search": lambda s, d: rounded(re_.vector_search(vecs(s, d), ask_vectors(s, d, EVERY), 5, "cosine", where=F.col("label") == 3)),
+        "v08_hybrid": lambda s, d: re_.hybrid(re_.bm25(docs(s, d), ask(s, d, EVERY), 20), re_.vector_search(vecs(s, d), ask_vectors(s, d, EVERY), 20).withColumnRenamed("vec_id", "doc_id"), 10).groupBy("query_id", "source").count(),
+        "v12_retrieve": lambda s, d: re_.packed_context(re_.bm25(docs(s, d), ask(s, d, EVERY), 5).join(re_.compressed(docs(s, d), "the of and"), "doc_id")).select("query_id", "used", "left_out"),
+        "y04_recall": lambda s, d: re_.vector_search(vecs(s, d), ask_vectors(s, d, EVERY), 3, "l2").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")),
+    }
+    for name, run in runs.items():
+        sql = C.sql.get(name)
+        C.free(f"{name}_50th", run, sql and sql.replace(FIRST[0], EVERY[0]).replace(FIRST[1], EVERY[1]))
+
+
+every_fiftieth()

@@ -128,3 +128,24 @@ def test_incremental_embedding(spark):
     assert cache.count() == 2 and calls.value == 2
     rows, more = me.embed_incrementally(df, cache, counted, "m")
     assert more.count() == 0 and rows.where("vector is null").count() == 0 and calls.value == 2
+
+
+def test_query_blocks_meet_every_row(spark, monkeypatch):
+    v = np.random.default_rng(3).random((90, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    asked = df.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    want = sorted(map(tuple, re_.vector_search(df, asked, 4).collect()))
+    monkeypatch.setattr(re_, "QUERY_LIMIT", 7)
+    got = re_.vector_search(df, asked, 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 180
+
+
+def test_searches_ask_every_fiftieth_row(spark):
+    from tessera.plans import texts
+
+    for name in ("v03_dot_search", "v04_cosine_search", "v05_l2_search", "v07_filtered_search", "y04_recall"):
+        got = texts.C.queries[f"{name}_50th"](spark, "/root/testdata/sf0.001")
+        assert sorted(r[0] for r in got.select("query_id").distinct().collect()) == list(range(0, 500, 50))
+    assert {n for n in texts.C.queries if n.endswith("_50th")} == {f"{n}_50th" for n in ("v02_bm25", "v03_dot_search", "v04_cosine_search", "v05_l2_search", "v07_filtered_search", "v08_hybrid", "v12_retrieve", "y04_recall")}
