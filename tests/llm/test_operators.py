@@ -116,6 +116,35 @@ def test_near_dedup(docs):
             assert r["kept"] == (want[i][1] == i)
 
 
+@pytest.mark.parametrize("light", (0, 2, 10**6))
+def test_near_dedup_of_a_group_of_edited_copies(spark, monkeypatch, light):
+    """Copies of one text with few and many edits: the centre of a bucket is linked with some of them only."""
+    monkeypatch.setattr(minhash, "LIGHT", light)
+    monkeypatch.setattr(minhash, "BLOCK", 500)
+    monkeypatch.setattr(minhash, "CELLS", 300)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for at in rng.sample(range(60), rng.choice((0, 1, 1, 2, 2, 3, 4))):
+            w[at] = f"e{rng.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    got = by_id(minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r["component_id"] for i, r in got.items()} == {i: w[1] for i, w in brute.near(rows, 5, 80).items()}
+
+
+def test_near_dedup_of_one_id_with_two_texts(spark):
+    rng = random.Random(3)
+    make = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(50))
+    a, b, c = make(), make(), make()
+    rows = [(5, a), (5, b), (3, b + " x"), (9, a), (7, c), (None, c), (None, b)]
+    for order in (rows, rows[::-1]):
+        got = minhash.near_dedup(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"]) == [(3, 3), (5, 3), (5, 3), (7, 7), (9, 3)]
+        assert all(r["kept"] and r["component_id"] is None for r in got if r["doc_id"] is None)
+
+
 def test_near_dedup_chain_of_links(spark):
     """Each text is near the next but not the one after, so components need more than a bucket's first centre."""
     rng = random.Random(5)
