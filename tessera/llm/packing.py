@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, table
-from tessera.llm.kernels import blocks, column, parts
+from tessera.llm.kernels import column, parts
 
 #: Distinct segments whose ids a worker remembers; beyond that it forgets all and starts again.
 CACHE = 600_000
@@ -24,10 +24,18 @@ CACHE = 600_000
 HELD = 100_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
+NEVER = 1 << 30  #: rank of a pair that is not merged
+
 _UNSAFE = re.compile(r"[\W_](?:[.,]|(?<=\s)\s)")
 _loaded: dict[int, SegmentTokenizer] = {}
 
 
+def one_word(segment: str) -> bool:
+    """A space or none, then letters of scripts whose blocks are long settled: the pattern leaves it whole."""
+    letters = segment[1:] if segment[:1] == " " else segment
+    return letters.isalpha() and (letters.isascii() or max(letters) < "\u0530")
+
+
 class _Numbers(dict):
     """Numbers segments as they come; new ones are listed."""
 
@@ -41,6 +49,64 @@ class _Numbers(dict):
         return number
 
 
+class Merges:
+    """Byte-pair merges of many words at once: in each round every word makes its first merge of lowest rank."""
+
+    def __init__(self, model: dict):
+        vocab = model["vocab"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as they are
+        hidden = [b for b in range(256) if b not in shown]
+        names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.byte_ids = np.array([vocab[names[b]] for b in range(256)], np.int64)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        key = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(key)
+        self.keys, self.rank = np.append(key[order], np.iinfo(np.int64).max), np.append(order, NEVER)
+        self.made = np.append(np.array([vocab[a + b] for a, b in pairs], np.int64)[order], 0)
+        two = np.arange(1 << 16)
+        self.first = self.ranks(self.byte_ids[two >> 8], self.byte_ids[two & 255])
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.rank[at], NEVER)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, none of them empty, one after the other, and how many each has."""
+        raws = [w.encode() for w in words]
+        data = np.frombuffer(b"".join(raws), np.uint8).astype(np.int64)
+        word = np.repeat(np.arange(len(raws)), np.fromiter(map(len, raws), np.int64, len(raws)))
+        ids = self.byte_ids[data]
+        rank = np.full(len(ids), NEVER)
+        rank[:-1] = np.where(word[1:] == word[:-1], self.first[data[:-1] << 8 | data[1:]], NEVER)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            head = np.flatnonzero(np.diff(word, prepend=-1))
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), head)
+            open_ = (best >> 32) < NEVER
+            if not open_.all():
+                rest = np.repeat(open_, np.diff(np.append(head, len(ids))))
+                done.append((word[~rest], ids[~rest]))
+                best = (best[open_] & 0xFFFFFFFF) - np.cumsum(~rest)[best[open_] & 0xFFFFFFFF]
+                word, ids, rank = word[rest], ids[rest], rank[rest]
+            else:
+                best &= 0xFFFFFFFF
+            if not len(ids):
+                break
+            ids[best] = self.made[np.searchsorted(self.keys, ids[best] << 32 | ids[best + 1])]
+            keep = np.ones(len(ids), bool)
+            keep[best + 1] = False
+            best -= np.arange(len(best))  # one id fewer for each word before
+            word, ids, rank = word[keep], ids[keep], rank[keep]
+            for at in (best, best[best > 0] - 1):
+                at = at[at + 1 < len(ids)]
+                rank[at] = np.where(word[at] == word[at + 1], self.ranks(ids[at], ids[at + 1]), NEVER)
+            rank[-1] = NEVER
+        word, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word, kind="stable")
+        return ids[order].astype(np.uint32), np.bincount(word, minlength=len(words))
+
+
 class SegmentTokenizer:
     """Ids of whole texts, made from the remembered ids of their segments.
 
@@ -61,6 +127,9 @@ class SegmentTokenizer:
         made = json.loads(definition)
         split = made.get("pre_tokenizer") or {}
         self.cuts = not made.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        model = made["model"]
+        odd = model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")
+        self.merges = Merges(model) if self.cuts and model.get("type") == "BPE" and not odd else None
         self.forget()
 
     def forget(self) -> None:
@@ -80,12 +149,28 @@ class SegmentTokenizer:
         self.used = int(self.begin[keep - 1] + self.size[keep - 1])
         self.flat, self.begin, self.size = self.flat[: self.used].copy(), self.begin[:keep].copy(), self.size[:keep].copy()
 
+    def ids_of(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the segments, one after the other, and how many each has.
+
+        Those that the pattern leaves whole, a space or none and letters, are merged by Merges, others by the tokenizer.
+        """
+        word = np.fromiter((self.merges is not None and one_word(x) for x in segments), bool, len(segments))
+        words, others = ([segments[i] for i in np.flatnonzero(w)] for w in (word, ~word))
+        flat, size = [], np.zeros(len(segments), np.int64)
+        for at in range(0, len(words), 50_000):
+            ids, number = self.merges.encode(words[at : at + 50_000])
+            flat.append(ids)
+            size[np.flatnonzero(word)[at : at + 50_000]] = number
+        ids = [e.ids for at in range(0, len(others), 10_000) for e in self.tokenizer.encode_batch_fast(others[at : at + 10_000], add_special_tokens=False)]
+        size[~word] = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat.append(np.fromiter((x for one in ids for x in one), np.uint32))
+        owner = np.concatenate((np.repeat(np.flatnonzero(word), size[word]), np.repeat(np.flatnonzero(~word), size[~word])))
+        return np.concatenate(flat)[np.argsort(owner, kind="stable")], size
+
     def learn(self) -> None:
         """Encode the new segments."""
         new, self.index.new = self.index.new, []
-        ids = [e.ids for at in range(0, len(new), 10_000) for e in self.tokenizer.encode_batch_fast(new[at : at + 10_000], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum()))
+        flat, sizes = self.ids_of(new)
         at = self.known
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
@@ -140,13 +225,17 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end
         tok = _tokenizer(definition)
         for batch in parts(batches):
             ids, texts = column(batch, "doc_id"), column(batch, "text")
-            for at, raws in blocks(texts, 4 << 20):
+            ends = np.cumsum([len(t or "") for t in texts])
+            at = 0
+            while at < len(texts):  # about 4 million characters at once
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (4 << 20), "right")))
                 rows: list[tuple] = []
-                for i, one in enumerate(tok.encode([t or "" for t in texts[at : at + len(raws)]])):
+                for i, one in enumerate(tok.encode([t or "" for t in texts[at:stop]])):
                     one = np.append(one, np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(one), capacity):
                         part = one[start : start + capacity]
                         rows.append((ids[at + i], start, len(part), zlib.crc32(part.tobytes()), len(one)))
+                at = stop
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
         tok.trim(HELD)
 
@@ -181,31 +270,31 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def pack(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end_id: int = 0, group_pieces: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end_id: int = 0, group_pieces: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document: its ids, then ``end_id``, cut at multiples of ``capacity``.
 
-    Result, one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Full pieces are
-    sequences of their own. The others are dealt by a hash of (doc_id, start) to groups of about ``group_pieces``
-    pieces, however long a document is, and each group is packed by itself, first fit decreasing. Ties in length go
-    by doc_id, start and checksum, so the result depends on the rows alone. A null or empty text is the end id only;
-    null ids and repeated rows are packed like any other row; an empty table gives an empty result; other columns
-    are ignored. Sequences hold no gaps; padding is at their ends.
+    Result, one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Equal pieces are
+    numbered, and all are dealt by a hash of what they are and that number to groups of about ``group_pieces``, however
+    long a document is and however often a row or a null id is repeated. Each group is packed by itself, first fit
+    decreasing. Ties in length go by doc_id, start and checksum, so the result, sequence_id too, depends on the rows
+    alone. A null or empty text is the end id only; null ids and repeated rows are packed like any other row; an empty
+    table gives an empty result; other columns are ignored. Sequences hold no gaps; padding is at their ends.
     """
     pieces = materialize(token_pieces(docs, tokenizer_json, capacity, end_id, id_col, text_col))
-    part = pieces.where(F.col("length") < capacity)
-    groups = max(1, -(-part.count() // group_pieces))
+    groups = max(1, -(-pieces.count() // group_pieces))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        bins, rows["offset"] = first_fit_decreasing(rows["length"].to_numpy(), capacity)
-        rows["sequence_id"] = ((int(key[0]) << 24) + bins) * 2 + 1
+        full = int((rows["length"] == capacity).sum())
+        bins, offsets = first_fit_decreasing(rows["length"].to_numpy()[full:], capacity)
+        rows["offset"] = np.concatenate((np.zeros(full, np.int64), offsets))
+        rows["sequence_id"] = (int(key[0]) << 32) + np.concatenate((np.arange(full), full + bins))
         return rows.drop(columns="g")
 
-    part = part.withColumn("g", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    schema = f"{PIECES}, offset long, sequence_id long"
-    packed = part.groupBy("g").applyInPandas(group, schema)
-    full = pieces.where(F.col("length") == capacity).withColumns({"offset": F.lit(0).cast("long"), "sequence_id": F.monotonically_increasing_id() * 2})
-    return full.unionByName(packed).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    numbered = pieces.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).select(*names, F.explode(F.sequence(F.lit(1), "n")).alias("nth"))
+    dealt = numbered.select(*names, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "nth"), F.lit(groups)).alias("g"))
+    return dealt.groupBy("g").applyInPandas(group, f"{PIECES}, offset long, sequence_id long").select(*names, "sequence_id", "offset")
 
 
 def tokenizer_definition(path: str) -> str:

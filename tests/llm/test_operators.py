@@ -202,6 +202,30 @@ def test_packing(docs):
     assert len(bins) <= sum(p["length"] for p in pieces) / 1024 * 1.05 + 1
 
 
+def test_merges_give_the_tokenizers_ids():
+    rng = random.Random(13)
+    tok = packing.SegmentTokenizer(packing.default_tokenizer())
+    odd = ["".join(rng.choices("aeiothnr\u00e9\u00f1\u00df\u0436\u03bb", k=rng.randint(1, 25))) for _ in range(3000)]
+    odd += ["a" * k for k in range(1, 80)] + [" " + "ab" * k for k in range(1, 50)] + ["", " ", ",", "it's", " 12", "a1b", "\u4e2d\u6587", "x\u00b2", "\n"]
+    assert sum(map(packing.one_word, odd)) == len(odd) - 9
+    flat, size = tok.ids_of(odd)
+    ends = np.cumsum(size)
+    for text, end, n in zip(odd, ends.tolist(), size.tolist(), strict=True):
+        assert flat[end - n : end].tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_repeated_rows_does_not_depend_on_partitions(spark):
+    rows = [(None, "same text of no id")] * 300 + [(7, "again and again")] * 300 + [(i, "w" + "x y " * i) for i in range(200)] + [(7, "another text of seven")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [sorted(packing.pack(d, packing.default_tokenizer(), capacity=64, group_pieces=100).collect(), key=repr) for d in (df, df.repartition(7))]
+    assert out[0] == out[1]
+    groups = {}
+    for r in out[0]:
+        groups.setdefault(r["sequence_id"] >> 32, []).append(r)
+    assert len(groups) > 5 and max(map(len, groups.values())) < 250
+    assert sum(r["doc_id"] is None for r in out[0]) == 300
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(2)
     for n in (1, 2, 3, 50, 333):
