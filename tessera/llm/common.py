@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one narrow key column (16 bytes at most) that may be broadcast; larger key sets are joined by shuffle.
 BROADCAST_KEYS = 500_000
 
+#: Edges that one task may join: a few tens of MB.
+ONE_TASK_EDGES = 200_000
+
 _own_scratch: list[str] = []
 
 
@@ -54,6 +59,38 @@ def anti_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(keys, on, "left_anti")
 
 
+class Groups:
+    """Things joined to groups; the smallest of a group is its root."""
+
+    def __init__(self) -> None:
+        self.top: dict = {}
+
+    def root(self, x):
+        top = self.top
+        while (up := top.get(x, x)) != x:
+            top[x] = x = top.get(up, up)
+        return x
+
+    def join(self, x, y) -> bool:
+        """False if they were in one group before."""
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.top[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _components_of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    groups, kind = Groups(), None
+    nodes: dict = {}
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            groups.join(u, v)
+            nodes[u] = nodes[v] = None
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(list(nodes), kind), pa.array([groups.root(x) for x in nodes], kind)], names=["node", "component"])
+
+
 def _is_star_forest(edges: DataFrame) -> bool:
     """Whether each node has one smaller neighbour at most, and none that has one itself."""
     if not edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
@@ -67,10 +104,14 @@ def components(edges: DataFrame) -> DataFrame:
     Input: long columns a, b (nulls and loops are ignored, repeats are harmless). Output: node, component, where
     component is the smallest node reachable; only nodes with an edge are listed. Large-star and small-star rounds
     (each edge moves to a smaller centre) run until every component is a star; every round is written to the
-    shared folder, so no lineage builds up and nothing is collected.
+    shared folder, so no lineage builds up and nothing is collected. Up to ONE_TASK_EDGES edges, which are counted first, one
+    task joins them all.
     """
     edges = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialize(edges)
+    if edges.count() <= ONE_TASK_EDGES:
+        kind = edges.schema["u"].dataType.simpleString()
+        return edges.coalesce(1).mapInArrow(_components_of_all, f"node {kind}, component {kind}")
     while not _is_star_forest(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))

@@ -198,9 +198,8 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     """
     signed = materialize(signatures(docs, k, id_col, text_col))
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
-    reps = signed.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
-    reps = materialize(reps.select(F.col("doc_id").alias("rep"), "a", "b"))
+    classes = materialize(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")))
+    reps, classes = classes.select("rep", "a", "b"), classes.select("s1", "s2", "rep")
 
     keys = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i * SIDE + j))))
     tables = reps.select("rep", F.explode(keys).alias("key"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from tessera.llm.common import materialize
+from tessera.llm.common import Groups, materialize
 
 
 def unsettled(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -43,7 +43,10 @@ def in_blocks(docs: DataFrame, order: list, weight: str, limit: int) -> DataFram
                 out[i] = block
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "block"])
 
-    return docs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, StructType([*docs.schema.fields]).add("block", LongType()))
+    docs = materialize(docs)
+    total = docs.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order).coalesce(1 + total // (16 * limit))  # few blocks end early
+    return dealt.mapInArrow(number, StructType([*docs.schema.fields]).add("block", LongType()))
 
 
 def meetings(dealt: DataFrame) -> DataFrame:
@@ -75,18 +78,5 @@ def compare_blocks(rows: DataFrame, meet: DataFrame, compare: Callable[[pa.Table
 
 def joining(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Places of the pairs that join two groups which earlier pairs have not joined."""
-    top: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while top.get(x, x) != x:
-            top[x] = top.get(top[x], top[x])
-            x = top[x]
-        return x
-
-    keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = root(x), root(y)
-        if x != y:
-            top[x] = y
-            keep.append(i)
-    return np.array(keep, np.int64)
+    groups = Groups()
+    return np.array([i for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if groups.join(x, y)], np.int64)

@@ -155,7 +155,9 @@ def test_near_dedup_chain_of_links(spark):
     assert {i: r["component_id"] for i, r in got.items()} == {i: w[1] for i, w in want.items()}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", (-1, 10**6))
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(common, "ONE_TASK_EDGES", one_task)
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.components(edges).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 150: 100, 200: 100}
@@ -473,15 +475,10 @@ def test_banded_edits():
             assert line_dedup.within(a, b, e) == (edit_distance(a, b) <= e)
 
 
-def test_line_dedup(spark):
-    rng = random.Random(12)
-    stock = ["".join(rng.choices("abcdef ", k=rng.randint(18, 60))) for _ in range(40)]
-    texts = []
-    for i in range(50):
-        lines = [edited(rng, rng.choice(stock), rng.choice((0, 0, 1, 2, 3, 4))) for _ in range(rng.randint(0, 6))]
-        texts.append((i, "\n".join([*lines, *rng.choices(["", "short", "Short"], k=2)])))
+def plain_line_dedup(texts, edits, per_edit):
+    """{id: (kept text, linked lines, class id)} of [(id, text)] with distinct ids."""
     blank = lambda x: not x.strip(" \t\r\x0b\x0c")
-    places = [(i, n, x) for i, t in texts for n, x in enumerate(y for y in t.split("\n") if not blank(y))]
+    places = [(i, n, x) for i, t in texts for n, x in enumerate(y for y in (t or "").split("\n") if not blank(y))]
     distinct = sorted({x for *_, x in places})
     top = {x: x for x in distinct}
 
@@ -493,22 +490,57 @@ def test_line_dedup(spark):
     linked = set()
     for n, a in enumerate(distinct):
         for b in distinct[:n]:
-            if min(len(a), len(b)) >= line_dedup.SHORTEST and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2:
+            may = min(edits, min(len(a), len(b)) // per_edit)
+            if may and abs(len(a) - len(b)) <= may and edit_distance(a, b) <= may:
                 top[root(a)] = root(b)
                 linked |= {a, b}
     first = {}
     for i, n, x in sorted(places):
         first.setdefault(root(x), (i, n))
-    got = by_id(line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")))
+    out = {}
     for i, t in texts:
-        kept, n = [], 0
-        for x in t.split("\n"):
+        kept, n, own = [], 0, []
+        for x in (t or "").split("\n"):
             if blank(x):
                 kept.append(x)
             else:
+                own.append(x)
                 if first[root(x)] == (i, n):
                     kept.append(x)
                 n += 1
-        assert got[i]["kept_text"] == "\n".join(kept)
-        assert got[i]["n_linked"] == sum(x in linked for x in t.split("\n") if not blank(x))
+        out[i] = "\n".join(kept), sum(x in linked for x in own), min([first[root(x)][0] for x in own] + [i])
+    return out
+
+
+@pytest.mark.parametrize(("edits", "per_edit", "low", "high"), [(2, 5, 3, 60), (2, 5, 18, 24), (2, 1, 1, 9), (3, 4, 3, 30)])
+def test_line_dedup(spark, edits, per_edit, low, high):
+    rng = random.Random(12)
+    stock = ["".join(rng.choices("abcdef ", k=rng.randint(low, high))) for _ in range(40)]
+    texts = [(i, "\n".join([*(edited(rng, rng.choice(stock), rng.choice((0, 0, 1, 1, 2, 3)) if rng.random() < 0.7 else 0) for _ in range(rng.randint(0, 6))), *rng.choices(["", "short", "Short"], k=2)])) for i in range(50)]
+    want = plain_line_dedup(texts, edits, per_edit)
+    got = by_id(line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string"), edits, per_edit))
+    assert {i: (r["kept_text"], r["n_linked"], r["class_id"]) for i, r in got.items()} == want
     assert sum(r["n_removed"] for r in got.values()) > 50
+
+
+def test_line_dedup_of_one_line_edited_many_times(spark, monkeypatch):
+    """Lines that share segments with a centre and are not all within the edits of it."""
+    monkeypatch.setattr(line_dedup, "BLOCK_CHARS", 2000)
+    monkeypatch.setattr(line_dedup, "CELLS", 300)
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", -1)
+    rng = random.Random(14)
+    base = "".join(rng.choices("abcdefghij ", k=60))
+    texts = [(i, edited(rng, base, rng.choice((1, 2, 3, 4, 5, 6)))) for i in range(150)]
+    want = plain_line_dedup(texts, 2, 5)
+    got = by_id(line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert {i: (r["kept_text"], r["n_linked"], r["class_id"]) for i, r in got.items()} == want
+    assert len({r["class_id"] for r in got.values()}) > 10
+
+
+def test_line_dedup_of_one_id_with_two_texts(spark):
+    a, b = "the first line of it\nanother line that is long", "a third line\nthe first line of it"
+    df = spark.createDataFrame([(5, a), (5, b), (5, a), (None, "only once here"), (None, "and this one too"), (6, "")], "doc_id long, text string")
+    got = [(r["doc_id"], r["n_removed"], r["kept_text"]) for r in line_dedup.line_dedup(df).collect()]
+    assert sorted(x for x in got if x[0] is None) == [(None, 0, "and this one too"), (None, 0, "only once here")]
+    kept = {t for i, _, t in got if i == 5}
+    assert len(kept) == 2 and sum("the first line of it" in t for t in kept) == 1 and len([i for i, *_ in got if i == 5]) == 3
