@@ -16,10 +16,11 @@ from tessera.llm.common import table
 from tessera.llm.kernels import blocks, column, parts
 
 UNKNOWN = "und"
-LANE = 512  #: letters of a text parsed in one go; longer texts are parsed lane by lane and their phrases added up
-LANES = 4096
-SAMPLE_TEXTS = 96  #: labelled texts per language, at most
-SAMPLE_CHARS = 400  #: characters of one of them, from a place given by its hash
+LANE = 512  #: letters of a text after which another lane takes it up
+CODES = 1 << 21  #: letters handled at once
+SAMPLE_TEXTS = 32  #: labelled texts per language, at most, each of them whole
+SAMPLE_CHARS = 4000  #: characters of one of them, at most; of a language that has only longer ones the shortest is taken
+EVIDENCE = 48  #: letters whose bits make up a score
 CELLS = 1 << 25  #: states times letters up to which all transitions are one full table; beyond, they are hashed
 _letters: list[np.ndarray] = []
 
@@ -130,19 +131,45 @@ class Parser:
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.log)).astype(np.int64)
 
-    def step(self, state: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """The next state of each (language, lane), or its complement where a phrase starts."""
+    def step(self, state: np.ndarray, row: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """The next state of each lane, or its complement where a phrase starts."""
         if self.full:
             return self.table[state * self.width + row]
-        key = (state.astype(np.int64) * self.width + row).ravel()
-        out, slot, left = (~self.root[:, row]).ravel(), self._slot(key), np.arange(len(key))
+        key = state.astype(np.int64) * self.width + row
+        out, slot, left = ~self.root[lang, row], self._slot(key), np.arange(len(key))
         while len(left):
             have = self.keys[slot[left]]
             hit = left[have == key[left]]
             out[hit] = self.to[slot[hit]]
             left = left[(have != key[left]) & (have >= 0)]
             slot[left] = (slot[left] + 1) & ((1 << self.log) - 1)
-        return np.where(row == self.pad, state, out.reshape(state.shape))
+        return out
+
+    def _run(self, codes: np.ndarray, lang: np.ndarray, at: np.ndarray, stop: np.ndarray, end: np.ndarray, starts: np.ndarray, known: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Parse from ``at`` on, up to the first phrase that starts at ``stop`` or later, or to ``end``: (that place, phrases before it).
+
+        ``starts`` marks, language by language, where phrases start; if they are ``known``, a parse ends at one of them.
+        """
+        over, number = end.copy(), np.zeros(len(at), np.int64)
+        live = np.flatnonzero(at < end)
+        state, lang, at, stop, end = np.array(self.roots, np.int64)[lang[live]], lang[live], at[live].copy(), stop[live], end[live]
+        base = lang * len(codes)
+        while len(live):
+            got = self.step(state, codes[at], lang)
+            new = got < 0
+            met = new & ((at >= stop) | starts[base + at]) if known else new & (at >= stop)
+            over[live[met]] = at[met]
+            new &= ~met
+            if known:
+                number[live[new]] += 1
+            else:
+                starts[(base + at)[new]] = True
+            state = got ^ (got >> 31)
+            at += 1
+            go = ~met & (at < end)
+            if not go.all():
+                live, state, lang, at, stop, end, base = (x[go] for x in (live, state, lang, at, stop, end, base))
+        return over, number
 
     def codes_of(self, lowered: np.ndarray) -> np.ndarray:
         codes = self.code[lowered]
@@ -165,25 +192,35 @@ class Parser:
         lanes = -(-count // LANE)
         text = np.repeat(np.arange(len(texts)), lanes)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        first = begin[text] + nth * LANE
-        size = np.minimum(LANE, count[text] - nth * LANE)
+        first, end = begin[text] + nth * LANE, (begin + count)[text]
+        stop = np.minimum(first + LANE, end)
+        many, n = len(text), len(codes)
         total = np.zeros((len(self.roots), len(texts)))
-        order = np.argsort(-size, kind="stable")
-        for at in range(0, len(order), LANES):
-            some = order[at : at + LANES]
-            steps = int(size[some].max(initial=0))
-            where = first[some] + np.arange(steps)[:, None]
-            inside = np.arange(steps)[:, None] < size[some]
-            grid = np.where(inside, codes[np.minimum(where, len(codes) - 1)], self.pad).astype(np.int32)
-            state = np.repeat(np.array(self.roots, np.int32)[:, None], len(some), 1)
-            starts = np.zeros(state.shape, np.int32)
-            for row in grid:
-                got = self.step(state, row)
-                sign = got >> 31
-                starts -= sign
-                state = got ^ sign
-            for lang in range(len(self.roots)):
-                total[lang] += np.bincount(text[some], starts[lang], len(texts))
+        if not many:
+            return total, number
+        starts = np.zeros(len(self.roots) * n, bool)  # phrases of lanes that each begin with one
+        lang = np.repeat(np.arange(len(self.roots)), many)
+        text, nth, first, stop, end = (np.tile(x, len(self.roots)) for x in (text, nth, first, stop, end))
+        codes = codes.astype(np.int64)
+        over, _ = self._run(codes, lang, first, stop, end, starts, False)
+        upto = np.concatenate(([0], np.cumsum(starts)))
+        found = upto[lang * n + stop] - upto[lang * n + first]
+        # the text's parse enters a lane where the lane before has ended, and goes on there until it meets a start of the lane
+        late = np.flatnonzero(nth > 0)
+        while len(late):
+            enter = over[late - 1]
+            inside = enter < stop[late]
+            meet, own = np.where(inside, 0, enter), np.zeros(len(late), np.int64)
+            some = late[inside]
+            meet[inside], own[inside] = self._run(codes, lang[some], enter[inside], stop[some], end[some], starts, True)
+            found[late] = own + upto[lang[late] * n + stop[late]] - upto[lang[late] * n + np.minimum(meet, stop[late])]
+            changed = (meet >= stop[late]) & (meet != over[late])
+            over[late[changed]] = meet[changed]
+            after = late[changed] + 1
+            late = after[after < len(nth)]
+            late = late[nth[late] > 0]
+        for k in range(len(self.roots)):
+            total[k] = np.bincount(text[lang == k], found[lang == k], len(texts))
         return total, number
 
 
@@ -191,28 +228,24 @@ _parsers: dict[LanguageModel, Parser] = {}
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """Samples of the labelled rows: ``sample_texts`` texts per language, picked by a hash of their ids.
+    """Samples of the labelled rows: ``sample_texts`` whole texts per language, picked by a hash of their ids.
 
-    Rows without text, language or id are left out. Only the samples reach the driver: the number of languages times
-    ``sample_texts`` * ``sample_chars`` characters. All their letters are kept, however many.
+    They have ``sample_chars`` characters at most; of a language with longer texts only, the shortest is taken. Rows
+    without text, language or id are left out. Only the samples reach the driver; all their letters are kept, however
+    many. Priors are the shares of all labelled rows.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    named = rows.where("id is not null and lang is not null").select("id", "lang", F.xxhash64(F.col("id").cast("string"), F.lit("lang")).alias("h"))
-    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return LanguageModel((), (), ())
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2.5 * sample_texts / n)))])
-    low = named.where((F.col("h") / 2.0**64 + 0.5) <= share[F.col("lang")])
-    picked = low.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("i") <= sample_texts)
-    place = F.pmod("h", F.greatest(F.length("text") - sample_chars, F.lit(1))) + 1
-    taken = rows.join(F.broadcast(picked.select("id", "h").distinct()), "id").where("text is not null and lang is not null")
-    taken = taken.select("lang", "h", F.col("text").substr(place.cast("int"), F.lit(sample_chars)).alias("part")).collect()
+    named = rows.where("id is not null and lang is not null and text is not null").select("id", "lang", F.length("text").alias("n"), F.xxhash64(F.col("id").cast("string"), F.lit("lang")).alias("h"))
+    counts = {r["lang"]: r["k"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("k")).collect()}
+    long = F.when(F.col("n") > sample_chars, F.col("n")).otherwise(0)
+    picked = named.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(long, "h", "id"))).where(F.col("i") <= sample_texts).where((F.col("i") == 1) | (long == 0))
+    taken = rows.join(F.broadcast(picked.select("id", "lang", "h").distinct()), ["id", "lang"]).where("text is not null").select("lang", "h", "text").distinct().collect()
     parts: dict[str, list[tuple]] = {lang: [] for lang in counts}
     for r in taken:
-        parts[r["lang"]].append((r["h"], r["part"]))
+        parts[r["lang"]].append((r["h"], r["text"]))
     langs = tuple(sorted(lang for lang in parts if parts[lang]))
     total = sum(counts.values())
-    return LanguageModel(langs, tuple("\n".join(p for _, p in sorted(parts[lang])[: 2 * sample_texts]) for lang in langs), tuple(counts[lang] / total for lang in langs))
+    return LanguageModel(langs, tuple("\n".join(p for _, p in sorted(parts[lang])) for lang in langs), tuple(counts[lang] / total for lang in langs))
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -221,7 +254,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     Each whole text is parsed from left to right into the longest phrases that occur in a language's sample. With
     phrases times log2(sample length) bits, the language of fewest bits wins; ties go to the language with more
     labelled rows, then by name. ``phrase_bits`` is the winner's bits per letter. ``score`` is the winner's share of
-    2 ** -bits over all languages. Null texts and texts without a letter are ``und`` with score 0, and so are all
+    2 ** -bits over all languages, where the bits of a text of more than EVIDENCE letters are brought down to so many. Null texts and texts without a letter are ``und`` with score 0, and so are all
     texts if the model has no language. Ids may be null or repeated; other columns are ignored.
     """
 
@@ -234,7 +267,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         rank = np.array(model.priors)
         for batch in parts(batches):
             ids, texts = batch.column(0), column(batch, "text")
-            for at, raws in blocks(texts, 4 << 20):
+            for at, raws in blocks(texts, CODES):
                 some = [t or "" for t in texts[at : at + len(raws)]]
                 phrases, number = parser.phrases(some)
                 win, score, rate = np.full(len(some), len(model.langs)), np.zeros(len(some)), np.zeros(len(some))
@@ -243,7 +276,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                     best = bits.min(axis=0)
                     ok = number > 0
                     win[ok] = np.argmax(np.where(bits <= best, rank[:, None], -1.0), axis=0)[ok]
-                    share = 1 / np.exp2(np.maximum(best - bits, -1000)).sum(axis=0)
+                    share = 1 / np.exp2(np.maximum((best - bits) * (EVIDENCE / np.maximum(number, EVIDENCE)), -1000)).sum(axis=0)
                     score[ok] = share[ok]
                     rate[ok] = (best / np.maximum(number, 1))[ok]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(raws)), pa.array(names[win], pa.string()), pa.array(score), pa.array(rate), *[batch.column(c).slice(at, len(raws)) for c in ((2, 1) if carry else (2,))]], names=["doc_id", "lang_pred", "score", "phrase_bits", "row", "text"][: 5 + bool(carry)])
