@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings: suffix sorting by buckets with ranks of a difference-cover sample.
+"""Removal of long repeated byte strings, bucket by bucket, with ranks of a cover sample; ranks are hashes.
 
 A plain difference cover takes the positions whose remainder modulo v lies in a fixed set, 8 of 57 for strings of 100
 bytes: a seventh of all suffixes would be shuffled. Here the cover is chosen by content instead: in each window of
@@ -23,24 +23,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import BROADCAST_KEYS, materialize, semi_join, table
+from tessera.llm.common import BROADCAST_KEYS, anti_join, materialize, semi_join, table
 from tessera.llm.kernels import BLOCK, U, Rolling, column, mix, parts
 
-SAMPLE = 32  #: bytes hashed at a position
-LOCAL = 127  #: in the place of the offset: a stretch repeated inside its own document
+SAMPLE = 32  #: bytes hashed at a position, for strings of three times as many bytes or more
+LONGEST = 4000  #: bytes of a string, at most: offsets in a run are kept in BITS bits
+BITS = 12
+LOCAL = (1 << BITS) - 1  #: in the place of the offset: a stretch repeated inside its own document
 HOT = 2000  #: members of a bucket that one task may sort; larger buckets are spread by window
 NO_ID = -(2**63)
 _LOW = U(0xFFFFFFFF)
 
 
+def sample_bytes(length: int) -> int:
+    return min(SAMPLE, max(1, length // 3))
+
+
 def cover_sample(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(text, position, first window, last window, bucket, rank) of the sampled positions of texts laid end to end."""
     none = np.zeros(0, np.int64)
     windows = len(data) - length + 1
     if windows <= 0:
         return none, none, none, none, none.view(U), none.view(U)
-    width = length - SAMPLE + 1
-    hashes = Rolling(data, 0).every(SAMPLE)
+    k = sample_bytes(length)
+    width = length - k + 1
+    hashes = Rolling(data, 0).every(k)
     at = np.arange(len(hashes), dtype=U)
     packed = np.full(-(-len(hashes) // width) * width, ~U(0))
     packed[: len(hashes)] = (hashes & ~_LOW) | (_LOW - at)
@@ -59,7 +66,7 @@ def cover_sample(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
     first = np.flatnonzero(valid[:-1] & (new[:-1] | ~np.concatenate(([False], valid[:-2]))))
     last = np.flatnonzero(valid[:-1] & (new[1:] | ~valid[1:]))
     position = chosen[first]
-    shape = ((position - first) << 8 | (last - first)).astype(U)
+    shape = ((position - first) << BITS | (last - first)).astype(U)
     rank = mix(Rolling(data, 1).ranges(first, last + length) + mix(shape + U(1)))
     return np.searchsorted(ends, first, "right"), position, first, last, hashes[position], rank
 
@@ -145,7 +152,7 @@ def _members(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(x)) for x in (
                     (kh.view(np.int64), own.view(np.int64)), (rank.view(np.int64), end - begin), (doc, owner),
-                    (first << 14 | offset << 7 | more, begin << 14 | LOCAL << 7))],
+                    (first << 2 * BITS | offset << BITS | more, begin << 2 * BITS | LOCAL << BITS))],
                 names=["kh", "rh", "doc", "pk"],
             )
 
@@ -165,8 +172,8 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
                 held = 0
                 while at < len(raws) and held < 2 << 20:
                     for run in wanted[at]:
-                        start = run["pk"] >> 14
-                        out.append((run["kh"], int(ids[at]), start, raws[at][start : start + (run["pk"] & 127) + length]))
+                        start = run["pk"] >> 2 * BITS
+                        out.append((run["kh"], int(ids[at]), start, raws[at][start : start + (run["pk"] & LOCAL) + length]))
                         held += length
                     at += 1
                 kh, doc, start, piece = zip(*out, strict=True) if out else ((), (), (), ())
@@ -241,15 +248,15 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     ``docs`` has doc (never null) and text.
     """
     repeated = materialize(_bucket_keys(docs, length).groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh", F.lit(True).alias("found")))
-    local = F.shiftright("pk", 7).bitwiseAND(F.lit(127)) == LOCAL
+    begin, more = F.shiftright("pk", 2 * BITS), F.col("pk").bitwiseAND(F.lit(LOCAL))
+    local = F.shiftright("pk", BITS).bitwiseAND(F.lit(LOCAL)) == LOCAL
     members = _members(docs, length).join(repeated, "kh", "left").where(F.col("found") | local).drop("found")
     members = materialize(members)
-    own = members.where(local).select("doc", F.shiftright("pk", 14).alias("s"), (F.shiftright("pk", 14) + F.col("rh")).alias("e"))
+    own = members.where(local).select("doc", begin.alias("s"), (begin + F.col("rh")).alias("e"))
     members = members.where(~local)
     ranks = materialize(members.groupBy("kh", "rh").agg(F.min("doc").alias("d0")))
     settled = materialize(members.join(ranks, ["kh", "rh"]).select("kh", "doc", "pk", (F.col("doc") == F.col("d0")).alias("leads")))
-    begin = F.shiftright("pk", 14)
-    ties = settled.where("not leads").select("doc", begin.alias("s"), (begin + F.col("pk").bitwiseAND(F.lit(127)) + length).alias("e"))
+    ties = settled.where("not leads").select("doc", begin.alias("s"), (begin + more + length).alias("e"))
 
     leads = settled.where("leads")
     mixed = materialize(leads.groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -316,12 +323,21 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     A byte of a text (UTF-8) is removed when a string of ``length`` bytes that covers it also starts earlier: in a
     document of smaller id, or earlier in the same one. Strings are judged on the input. ``spans`` are the maximal
     removed ranges, kept_sha256 is of the remaining bytes. kept_text is the text without the characters that lie wholly in a span.
-    A null text is empty; a null id comes before all others. Repeated rows of one id count as one document at one
-    place. Other columns are ignored; an empty table gives an empty result.
+    ``length`` is 3 to LONGEST. A null text is empty. Rows that have no place in the order, those with a null id or an id
+    that has different texts, are left whole and make no other text lose anything. Equal rows count as one document.
+    Other columns are ignored; an empty table gives an empty result.
     """
+    if not 3 <= length <= LONGEST:
+        raise ValueError(f"length must be 3 to {LONGEST}, not {length}")
     row = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
-    ranges = materialize(repeated_ranges(base.select("doc", "text"), length).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges")))
+    placed = base.where(F.col("doc") != NO_ID).select("doc", "text")
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    unclear = placed.select("doc", th.alias("th")).groupBy("doc").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi").select("doc")
+    unclear = materialize(unclear)
+    if not unclear.isEmpty():
+        placed = anti_join(placed, unclear, "doc")
+    ranges = materialize(repeated_ranges(placed, length).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges")))
     hits = ranges.select("doc")
     if hits.count() <= BROADCAST_KEYS:  # only texts that lose something are shuffled
         touched = _removed(base.join(F.broadcast(hits), "doc", "left_semi").join(ranges, "doc"))

@@ -93,6 +93,31 @@ def test_suffix_dedup(docs):
         assert r["n_spans"] == len(r["spans"]) and sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"]
 
 
+@pytest.mark.parametrize("length", (3, 20, 32, 200, 300, 4000))
+def test_suffix_dedup_of_other_lengths(spark, length):
+    rng = random.Random(length)
+    say = lambda k: "".join(rng.choices("abcd", k=k))
+    shared = say(2 * length)
+    texts = [(0, "ab" * 500), (1, say(50) + shared + say(9)), (2, shared[length // 2 :] + say(70)), (3, "b" + "ab" * 300), (4, say(length - 1)), (5, "xy" * 3000), (6, None), (7, "yx" * 2500 + shared)]
+    want = brute.suffix(texts, length)
+    got = by_id(suffix_dedup.suffix_dedup(spark.createDataFrame(texts, "doc_id long, text string"), length))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+
+
+def test_suffix_dedup_rejects_lengths_it_cannot_pack(spark):
+    for length in (0, 2, 4001):
+        with pytest.raises(ValueError):
+            suffix_dedup.suffix_dedup(spark.createDataFrame([], SCHEMA), length)
+
+
+def test_suffix_dedup_of_one_id_with_two_texts(spark):
+    rng = random.Random(2)
+    a, b, c = ("".join(rng.choices("abcdefgh", k=400)) for _ in range(3))
+    rows = [(1, a), (1, b), (None, c), (None, b), (2, a + "x"), (3, c), (4, c), (4, c)]
+    got = [(r["doc_id"], r["kept_text"]) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (1, b), (None, c), (None, b), (2, a + "x"), (3, c), (4, ""), (4, "")], key=repr)
+
+
 def test_suffix_dedup_spreads_large_buckets(docs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 1)
     monkeypatch.setattr(suffix_dedup, "BROADCAST_KEYS", -1)
@@ -259,55 +284,46 @@ def test_suffix_automaton_gives_longest_matches():
         assert all((tuple(query[:k]) in have) == (k <= n) for k in range(1, 12))
 
 
-def test_language_phrases_match_a_plain_parse():
-    model = language_id.LanguageModel(("a", "b"), ("the cat sat on the mat " * 3, "der hund sass auf der matte"), (0.5, 0.5))
-    parser = language_id.Parser(model)
-    texts = ["The hat; the mat!", "auf der katze", "", "zzz 123", "the cat sat on the matte " * 60]
-    phrases, number = parser.phrases(texts)
+def plain_phrases(codes, known):
+    """Number of longest phrases of ``codes`` that occur in ``known``, from left to right; both are strings."""
+    count = at = 0
+    while at < len(codes):
+        n = 1
+        while at + n < len(codes) and codes[at : at + n + 1] in known:
+            n += 1
+        at += n
+        count += 1
+    return count
+
+
+def check_phrases(parser, model, texts):
     lower = language_id.letters()
-    for k, sample in enumerate(model.samples):
-        known = parser.codes_of(lower[np.frombuffer(sample.encode("utf-32-le"), np.uint32)]).tobytes()
-        for i, t in enumerate(texts):
-            codes = parser.codes_of(lower[np.frombuffer(t.encode("utf-32-le"), np.uint32)]).tobytes()
-            count = 0
-            for lane in range(0, len(codes), language_id.LANE):
-                part, at = codes[lane : lane + language_id.LANE], 0
-                while at < len(part):
-                    n = 1
-                    while at + n < len(part) and part[at : at + n + 1] in known:
-                        n += 1
-                    at += n
-                    count += 1
-            assert phrases[k, i] == count
+    show = lambda t: "".join(map(chr, parser.codes_of(lower[np.frombuffer(t.encode("utf-32-le"), np.uint32)]).tolist()))
+    phrases, number = parser.phrases(texts)
+    assert phrases.tolist() == [[plain_phrases(show(t), show(sample)) for t in texts] for sample in model.samples]
     assert number.tolist() == [sum(c.isalpha() for c in t) for t in texts]
 
 
+@pytest.mark.parametrize("lane", (3, 64, 512, 10**6))
+def test_language_phrases_match_a_plain_parse(monkeypatch, lane):
+    monkeypatch.setattr(language_id, "LANE", lane)
+    rng = random.Random(lane)
+    model = language_id.LanguageModel(("a", "b", "c"), ("the cat sat on the mat " * 3, "der hund sass auf der matte", "ab" * 900 + "ba" * 5), (0.4, 0.3, 0.3))
+    texts = ["The hat; the mat!", "auf der katze", "", "zzz 123", "the cat sat on the matte " * 60, "ab" * 1500 + "c" + "ba" * 700, "".join(rng.choices("abcdest ", k=4000))]
+    check_phrases(language_id.Parser(model), model, texts)
+    check_phrases(language_id.Parser(model, 0), model, texts)
+
+
 def test_language_phrases_of_more_than_a_thousand_letters():
     rng = random.Random(5)
     one, two = [chr(c) for c in range(0x4E00, 0x4E00 + 900)], [chr(c) for c in range(0x4E00 + 700, 0x4E00 + 1700)]
     make = lambda own, k: "".join(rng.choices(own, k=k))
     model = language_id.LanguageModel(("a", "b", "c"), (make(one, 3000) + "".join(one), make(two, 3000), "the cat sat on the mat"), (0.4, 0.4, 0.2))
-    texts = [model.samples[0][40:90] + make(two, 40) + "the hat", make(one, 700), "猫 the 鿏 cat", "", model.samples[1][:600]]
+    texts = [model.samples[0][40:90] + make(two, 40) + "the hat", make(one, 700), "\u732b the \u93cf cat", "", model.samples[1][:600]]
     parser, full = language_id.Parser(model, 0), language_id.Parser(model)
     assert not parser.full and full.full and len(np.unique(parser.code)) > 1000
-    phrases, number = parser.phrases(texts)
-    assert np.array_equal(phrases, full.phrases(texts)[0])
-    lower = language_id.letters()
-    for k, sample in enumerate(model.samples):
-        known = "".join(map(chr, parser.codes_of(lower[np.frombuffer(sample.encode("utf-32-le"), np.uint32)]).tolist()))
-        for i, t in enumerate(texts):
-            codes = "".join(map(chr, parser.codes_of(lower[np.frombuffer(t.encode("utf-32-le"), np.uint32)]).tolist()))
-            count = 0
-            for lane in range(0, len(codes), language_id.LANE):
-                part, at = codes[lane : lane + language_id.LANE], 0
-                while at < len(part):
-                    n = 1
-                    while at + n < len(part) and part[at : at + n + 1] in known:
-                        n += 1
-                    at += n
-                    count += 1
-            assert phrases[k, i] == count
-    assert number.tolist() == [sum(c.isalpha() for c in t) for t in texts]
+    check_phrases(parser, model, texts)
+    check_phrases(full, model, texts)
 
 
 def test_language_of_texts_in_large_alphabets(spark):
@@ -318,8 +334,9 @@ def test_language_of_texts_in_large_alphabets(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = by_id(language_id.predict(df, language_id.fit(df.where("doc_id < 90"))))
     assert all(got[i]["lang_pred"] == lang for i, _, lang in rows)
-    few = language_id.fit(df, sample_texts=2, sample_chars=10)
-    assert [len(x) for x in few.samples] == [21, 21, 21]
+    few = language_id.fit(df, sample_texts=2)
+    assert [len(x) for x in few.samples] == [319, 319, 319]  # two whole texts of each language
+    assert [len(x) for x in language_id.fit(df, sample_chars=10).samples] == [159, 159, 159]  # only longer ones
 
 
 def test_nearest_examples_are_exact():
