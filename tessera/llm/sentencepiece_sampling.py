@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,8 +16,8 @@ from tessera.llm.common import table
 from tessera.llm.kernels import Rolling, U, blocks, column, list_column, mix, parts
 
 SPACE_MARK = "▁"
-LONGEST = 48  #: characters of a part of the lattice; longer words are cut
-_tables: dict[str, Pieces] = {}
+_PARTS = re.compile(r"\n| [^ \n]*|[^ \n]+")
+_tables: dict[tuple, Pieces] = {}
 
 
 @dataclass
@@ -42,11 +43,11 @@ def hash_all(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(Rolling(codes).ranges(start, end) + (end - start).astype(U))
 
 
-def load(path: str, alpha: float) -> Pieces:
+def load(model: bytes, alpha: float) -> Pieces:
     """Weights follow the pieces' order in the model: 1 / (10 + rank) ** alpha, scaled to a sum of one."""
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     n = sp.get_piece_size()
     plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
     names = [sp.id_to_piece(i) for i in plain]
@@ -74,7 +75,9 @@ def load(path: str, alpha: float) -> Pieces:
 
 def words_of(text: str) -> list[str]:
     """Parts that start at each space and around each line end; a lattice does not reach over their ends."""
-    return [w[i : i + LONGEST] for w in text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") for i in range(0, len(w), LONGEST)] if "\x00" not in text else [text[i : i + LONGEST] for i in range(0, len(text), LONGEST)]
+    if "\x00" in text:
+        return _PARTS.findall(text)
+    return [w for w in text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if w]
 
 
 class Lattice:
@@ -121,17 +124,26 @@ class Lattice:
         f, t, i, w = map(np.concatenate, (froms, tos, ids, weights))
         nodes = len(marked) + len(words)
         step = t - self.first[owner_of(t, self.first)]
-        total = np.zeros(nodes)
+        total = np.zeros(nodes)  # of all ways to a node, after division by the node's scale
+        scale = np.zeros(nodes)  # as a logarithm, so that no word is too long
         total[self.first] = 1.0
         order = np.lexsort((f, t, step))
         f, t, i, w, step = f[order], t[order], i[order], w[order], step[order]
         share = np.zeros(len(t))
+        into = np.flatnonzero(np.diff(t, prepend=-1))  # where the edges into a node begin
         cut = np.searchsorted(step, np.arange(1, int(step.max(initial=0)) + 2))
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            share[a:b] = total[f[a:b]] * w[a:b]
-            np.add.at(total, t[a:b], share[a:b])
+        node_cut = np.searchsorted(into, cut)
+        for a, b, c, d in zip(cut[:-1], cut[1:], node_cut[:-1], node_cut[1:], strict=True):
+            if a == b:
+                continue
+            to, from_ = t[into[c:d]], f[a:b]
+            lead = np.repeat(scale[f[into[c:d]]], np.diff(np.append(into[c:d], b)))  # the scale of the first edge's start
+            share[a:b] = total[from_] * w[a:b] * np.exp(scale[from_] - lead)
+            sums = np.add.reduceat(share[a:b], into[c:d] - a)
+            total[to], scale[to] = 1.0, scale[f[into[c:d]]] + np.log(sums)
+            share[a:b] /= np.repeat(sums, np.diff(np.append(into[c:d], b)))
         order = np.argsort(t, kind="stable")
-        f, t, i, share = f[order], t[order], i[order], share[order] / np.maximum(total[t[order]], 1e-300)
+        f, t, i, share = f[order], t[order], i[order], share[order]
         run = np.cumsum(share)
         head = np.flatnonzero(np.diff(t, prepend=-1))
         run -= np.repeat(run[head] - share[head], np.diff(np.append(head, len(t))))
@@ -185,27 +197,35 @@ def decode_ids(ids: np.ndarray, p: Pieces) -> bytes:
     return p.data[np.repeat(shift, size) + np.arange(int(size.sum()))].tobytes()
 
 
-def _pieces(path: str, alpha: float) -> Pieces:
-    key = f"{path} {alpha}"
+def _pieces(model: bytes, alpha: float) -> Pieces:
+    key = (hash(model), alpha)
     if key not in _tables:
         _tables.clear()
-        _tables[key] = load(path, alpha)
+        _tables[key] = load(model, alpha)
     return _tables[key]
 
 
-def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def model_bytes(path: str) -> bytes:
+    """A model file on the driver; executors get it by broadcast."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encode(docs: DataFrame, model: bytes, alpha: float = 1.0, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_crc32, lossless, and ids if ``keep_ids``.
 
-    A text is cut before each space; in every part a segmentation is drawn with probability in proportion to the
+    A text is cut before each space and around each line end; in every part, however long, a segmentation is drawn with probability in proportion to the
     product of its pieces' weights, by filtering the lattice forward and sampling it backward. Numbers come from
     (seed, doc_id, place in the text), so a row's ids don't depend on partitions or reruns; equal rows get equal ids.
     Characters that are no piece become bytes. No normalisation is done, and decode() gives the text back; ``lossless``
     says that it did for this row. A null or empty text has no ids. A null id counts as -1. Other columns are
-    ignored; an empty table gives an empty result. The model file must be readable by executors at the same path.
+    ignored; an empty table gives an empty result.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _pieces(model_path, alpha)
+        p = _pieces(shared.value, alpha)
         for batch in parts(batches):
             ids, texts = column(batch, "doc_id"), column(batch, "text")
             for at, raws in blocks(texts, 4 << 20):
@@ -234,11 +254,13 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 1,
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(df: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, text of rows with piece ids; a null list gives a null text."""
 
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _pieces(model_path, 1.0)
+        p = _pieces(shared.value, 1.0)
         for batch in parts(batches):
             texts = [None if x is None else decode_ids(np.array(x, np.int64), p).decode("utf-8", "replace") for x in column(batch, "ids")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -246,11 +268,11 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def default_model() -> str:
+def default_model() -> bytes:
     import public_tokenizers
 
-    return str(public_tokenizers.path("piece_bpe_32k.model"))
+    return model_bytes(str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), default_model(), keep_ids=False)
+    return encode(table(spark, sf_dir, "documents"), default_model())

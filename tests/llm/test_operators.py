@@ -459,6 +459,38 @@ def test_sampled_segmentations_follow_the_weights():
         assert abs(seen[k] / n - w / sum(want.values())) < 0.01
 
 
+def test_lattices_of_long_words_are_whole():
+    """Shares of all pieces of a word of 700 characters, against plain forward and backward sums."""
+    import collections
+
+    p = sentencepiece_sampling.load(sentencepiece_sampling.default_model(), 0.5)
+    ids = p.ids[p.ids >= 0].tolist()
+    weight = {p.data[p.begin[i] : p.begin[i] + p.size[i]].tobytes().decode(): w for i, w in zip(ids, p.weights[p.ids >= 0].tolist(), strict=True)}
+    word = "internationalisation" * 35
+    ends = [[k for k in range(1, min(17, len(word) - at + 1)) if word[at : at + k] in weight] for at in range(len(word))]
+    up, down = [0.0] * (len(word) + 1), [0.0] * len(word) + [1.0]
+    up[0], scale = 1.0, 4.5  # keeps the sums in range
+    for at, sizes in enumerate(ends):
+        for k in sizes:
+            up[at + k] += up[at] * weight[word[at : at + k]] * scale**k
+    for at in range(len(word) - 1, -1, -1):
+        down[at] = sum(weight[word[at : at + k]] * scale**k * down[at + k] for k in ends[at])
+    n = 3000
+    got, number = sentencepiece_sampling.Lattice([word], p).sample(np.zeros(n, int), sentencepiece_sampling.mix(np.arange(n, dtype=np.uint64)), p)
+    seen, size = collections.Counter(), p.size.tolist()
+    for row in np.split(got, np.cumsum(number)[:-1]):
+        at = 0
+        for i in row.tolist():
+            seen[at, size[i]] += 1
+            at += size[i]
+        assert at == len(word)
+    for at in (0, 40, 46, 47, 48, 95, 333, 690):
+        for k in ends[at]:
+            share = up[at] * weight[word[at : at + k]] * scale**k * down[at + k] / down[0]
+            assert abs(seen[at, k] / n - share) < 0.045
+    assert sentencepiece_sampling.words_of("a\x00b  c\n\nd") == ["a\x00b", " ", " c", "\n", "\n", "d"]
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
