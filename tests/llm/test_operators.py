@@ -572,8 +572,10 @@ def test_line_dedup(spark, edits, per_edit, low, high):
     assert sum(r["n_removed"] for r in got.values()) > 50
 
 
-def test_line_dedup_of_one_line_edited_many_times(spark, monkeypatch):
+@pytest.mark.parametrize("light", (0, 8, 10**6))
+def test_line_dedup_of_one_line_edited_many_times(spark, monkeypatch, light):
     """Lines that share segments with a centre and are not all within the edits of it."""
+    monkeypatch.setattr(line_dedup, "LIGHT", light)
     monkeypatch.setattr(line_dedup, "BLOCK_CHARS", 2000)
     monkeypatch.setattr(line_dedup, "CELLS", 300)
     monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", -1)
