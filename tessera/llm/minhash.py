@@ -17,7 +17,7 @@ SIDE = 8  #: keys in each of the two collections; SIDE * SIDE tables
 ROWS = 2  #: minhashes in one key of a collection
 LIGHT = 32  #: sets that begin with a shingle, up to which they are joined pair by pair; more are compared in blocks
 BLOCK = 1 << 18  #: shingles in a block; a larger set is a block of its own
-CELLS = 1 << 22  #: counts held at once when blocks are compared
+CELLS = 1 << 19  #: counts held at once when blocks are compared
 SEED = 20240229
 SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>"
 
