@@ -24,6 +24,10 @@ STATUS_SYNONYMS = {
 }
 
 
+#: Of the sketches that enclose a quantile: one over their relative error.
+ACCURACY = 100_000
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -100,19 +104,51 @@ def value_counts(df: DataFrame, c: str, top: int | None = None) -> DataFrame:
     return out.limit(top) if top else out
 
 
-def numeric_summary(c: str | Column, prefix: str = "") -> list[Column]:
+def numeric_summary(df: DataFrame, c: str | Column, names: Sequence[str] = ("mean", "median", "min", "max", "std"), by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one per group: mean, median, least, most and spread, rounded, by the given names."""
+    mean, median, least, most, std = names
     c = col(c)
-    found = {"mean": F.avg(c), "median": F.median(c), "min": F.min(c), "max": F.max(c), "std": F.stddev_samp(c)}
-    return [v.alias(prefix + k) for k, v in found.items()]
+    one = df.groupBy(*by).agg(r(F.avg(c)).alias(mean), r(F.min(c).cast("double")).alias(least), r(F.max(c).cast("double")).alias(most), r(F.stddev_samp(c)).alias(std))
+    return with_quantiles(one, df, {median: (c, 0.5)}, by)
+
+
+def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[str | Column, float]], by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one per group: the exact quantile of each name's column, interpolated between neighbours.
+
+    For more than ACCURACY rows a sketch of bounded size first gives two values that enclose the quantile, with about
+    6 / ACCURACY of the rows between them; then values are counted, those below the two as one. Only the counts between
+    them are sorted, so no task ever holds the distinct values of a large table.
+    """
+    gap = 3 / ACCURACY
+    base = df.select(*by, *[col(c).cast("double").alias(f"_v{i}") for i, (c, _) in enumerate(wanted.values())])
+    marks = [F.percentile_approx(f"_v{i}", F.array(*[F.lit(min(1.0, max(0.0, p + d))) for d in (-gap, gap)]), F.lit(ACCURACY)).alias(f"_m{i}") for i, (_, p) in enumerate(wanted.values())]
+    sizes = base.groupBy(*by).agg(*marks, *[F.count(f"_v{i}").alias(f"_n{i}") for i in range(len(wanted))])
+    near = base.join(sizes, list(by)) if by else base.join(F.broadcast(sizes))
+
+    def end(i: int, which: int) -> Column:  # few rows need no narrowing
+        return F.when(F.col(f"_n{i}") <= ACCURACY, (-1.0) ** (which + 1) * float("inf")).otherwise(F.col(f"_m{i}")[which])
+
+    each = F.array(*[F.struct(F.lit(i).alias("_q"), F.col(f"_v{i}").alias("_v"), end(i, 0).alias("_lo"), end(i, 1).alias("_hi"), F.col(f"_n{i}").alias("_n")) for i in range(len(wanted))])
+    rows = near.select(*by, F.inline(each)).where("_v <= _hi").select(*by, "_q", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"), "_n")
+    counts = rows.groupBy(*by, "_q", "_v").agg(F.count(F.lit(1)).alias("_k"), F.max("_n").alias("_n"))
+    upto = F.sum("_k").over(Window.partitionBy(*by, "_q").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))
+    shares = F.array(*[F.lit(float(p)) for _, p in wanted.values()])
+    at = (F.col("_n") - 1) * F.element_at(shares, F.col("_q") + 1)
+    picked = counts.withColumn("_upto", upto).groupBy(*by, "_q").agg(
+        F.min(F.when(F.col("_upto") > F.floor(at), F.col("_v"))).alias("_a"), F.min(F.when(F.col("_upto") > F.ceil(at), F.col("_v"))).alias("_b"), F.max(at - F.floor(at)).alias("_f")
+    )
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
+    return picked.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == i, value)).alias(name) for i, name in enumerate(wanted)])
 
 
-def quantile(c: str | Column, p: float) -> Column:
-    """With linear interpolation between neighbours."""
-    return F.percentile(col(c), p)
+def with_quantiles(one: DataFrame, df: DataFrame, wanted: Mapping[str, tuple[str | Column, float]], by: Sequence[str] = (), digits: int = 4) -> DataFrame:
+    """Adds rounded quantiles of ``df`` to a row of its aggregates, or to a row per group."""
+    found = exact_quantiles(df, wanted, by).select(*by, *[r(n, digits).alias(n) for n in wanted])
+    return one.join(found, list(by), "left") if by else one.join(F.broadcast(found))
 
 
 def iqr_bounds(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
-    q = df.groupBy(*by).agg(quantile(c, 0.25).alias("q1"), quantile(c, 0.75).alias("q3"))
+    q = exact_quantiles(df, {"q1": (c, 0.25), "q3": (c, 0.75)}, by)
     spread = 1.5 * (F.col("q3") - F.col("q1"))
     return q.withColumns({"low": F.col("q1") - spread, "high": F.col("q3") + spread})
 
@@ -134,8 +170,10 @@ def bias_corrected_skew(c: str | Column) -> Column:
     return F.when(n > 2, F.skewness(col(c)) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def smallest_mode(c: str | Column) -> Column:
-    return F.mode(col(c), True)
+def smallest_mode(df: DataFrame, c: str | Column, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one per group: the smallest of the most frequent values. Values are counted first, so groups may be large."""
+    counts = df.select(*by, col(c).alias(name)).where(F.col(name).isNotNull()).groupBy(*by, name).agg(F.count(F.lit(1)).alias("_k"))
+    return counts.groupBy(*by).agg(F.min_by(name, F.struct(-F.col("_k"), F.col(name))).alias(name))
 
 
 def pct_rank_avg(order: Column, by: Sequence[str] = ()) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.core import month, pct_rank_avg, r, safe_divide, sigma_outliers, top_n_share
+from tessera.functions.core import month, pct_rank_avg, r, safe_divide, sigma_outliers, top_n_share, with_quantiles
 
 MEASURES = ("spent", "impressions", "clicks", "conversions", "revenue")
 
@@ -37,8 +37,9 @@ def row_metrics(df: DataFrame) -> DataFrame:
 
 
 def campaign_totals(df: DataFrame) -> DataFrame:
-    spend = [r(F.avg("spent")).alias("mean_spent"), r(F.median("spent")).alias("median_spent"), r(F.max("spent"), 2).alias("max_spent")]
-    return df.agg(F.count(F.lit(1)).alias("campaigns"), *[r(F.sum(m), 2).alias(m) for m in MEASURES], *spend, *[r(c, 2 if n == "profit" else 4).alias(n) for n, c in ratios(True).items()])
+    spend = [r(F.avg("spent")).alias("mean_spent"), r(F.max("spent"), 2).alias("max_spent")]
+    one = df.agg(F.count(F.lit(1)).alias("campaigns"), *[r(F.sum(m), 2).alias(m) for m in MEASURES], *spend, *[r(c, 2 if n == "profit" else 4).alias(n) for n, c in ratios(True).items()])
+    return with_quantiles(one, df, {"median_spent": ("spent", 0.5)})
 
 
 def channel_table(df: DataFrame, channel: str = "channel") -> DataFrame:

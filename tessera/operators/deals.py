@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.core import clean_text, days_between, parse_number, r, safe_divide, safe_pct, sigma_outliers, top_n_share
+from tessera.functions.core import clean_text, days_between, parse_number, r, safe_divide, safe_pct, sigma_outliers, top_n_share, with_quantiles
 
 #: Chance of a stage by the first keyword that it contains, in this order.
 STAGE_CHANCES = (
@@ -61,8 +61,9 @@ def stage_table(df: DataFrame, stage: str = "stage") -> DataFrame:
 
 
 def finances(df: DataFrame) -> DataFrame:
-    one = prepared(df).agg(r(F.sum("value"), 2).alias("total"), r(F.avg("value")).alias("mean"), r(F.median("value")).alias("median"), r(F.max("value"), 2).alias("largest"), r(F.min("value"), 2).alias("smallest"), F.count(F.lit(1)).alias("deals"))
-    return one.withColumn("high_value_from", F.greatest(2 * F.col("median"), "mean"))
+    rows = prepared(df)
+    one = rows.agg(r(F.sum("value"), 2).alias("total"), r(F.avg("value")).alias("mean"), r(F.max("value"), 2).alias("largest"), r(F.min("value"), 2).alias("smallest"), F.count(F.lit(1)).alias("deals"))
+    return with_quantiles(one, rows, {"median": ("value", 0.5)}).withColumn("high_value_from", F.greatest(2 * F.col("median"), "mean"))
 
 
 def forecast(df: DataFrame) -> DataFrame:
@@ -75,7 +76,8 @@ def aging(df: DataFrame, as_of: Column, created: str = "created_date") -> DataFr
     age = F.greatest(days_between(created, as_of), F.lit(0))
     cuts = [(None, 30), (30, 60), (60, 90), (90, 180), (180, None)]
     buckets = [F.count_if((age > lo if lo is not None else F.lit(True)) & (age <= hi if hi is not None else F.lit(True)) & age.isNotNull()).alias(f"days_{lo or 0}_{hi or 'up'}") for lo, hi in cuts]
-    return df.agg(r(F.avg(age)).alias("mean"), r(F.median(age).cast("double")).alias("median"), F.max(age).alias("oldest"), *buckets, F.count_if(age > 90).alias("stale_90"), F.count_if(age > 180).alias("stale_180"))
+    one = df.agg(r(F.avg(age)).alias("mean"), F.max(age).alias("oldest"), *buckets, F.count_if(age > 90).alias("stale_90"), F.count_if(age > 180).alias("stale_180"))
+    return with_quantiles(one, df, {"median": (age, 0.5)})
 
 
 def closing(df: DataFrame, as_of: Column, close: str = "close_date", stage: str = "stage") -> DataFrame:
@@ -92,7 +94,8 @@ def win_loss(df: DataFrame, stage: str = "stage") -> DataFrame:
 def velocity(df: DataFrame, created: str = "created_date", close: str = "close_date") -> DataFrame:
     d = days_between(created, close)
     d = F.when(d >= 0, d)
-    return df.agg(F.count(d).alias("n"), r(F.avg(d)).alias("mean"), r(F.median(d).cast("double")).alias("median"), F.min(d).alias("least"), F.max(d).alias("most"))
+    one = df.agg(F.count(d).alias("n"), r(F.avg(d)).alias("mean"), F.min(d).alias("least"), F.max(d).alias("most"))
+    return with_quantiles(one, df, {"median": (d, 0.5)})
 
 
 def rep_table(df: DataFrame, rep: str = "rep") -> DataFrame:

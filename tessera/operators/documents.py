@@ -64,10 +64,11 @@ def page_statistics(df: DataFrame, pages: str = "page_count", text: str = "text_
 
 def image_statistics(df: DataFrame, width: str = "width", height: str = "height", size: str = "file_size") -> DataFrame:
     pixels = F.col(width).cast("long") * F.col(height)
-    return df.agg(
-        r(F.avg(width)).alias("mean_width"), r(F.avg(height)).alias("mean_height"), smallest_mode(F.round(F.col(width) / F.col(height), 2)).alias("modal_ratio"), r(F.sum(size) / 1024).alias("kilobytes"),
+    one = df.agg(
+        r(F.avg(width)).alias("mean_width"), r(F.avg(height)).alias("mean_height"), r(F.sum(size) / 1024).alias("kilobytes"),
         F.count_if(pixels <= 307_200).alias("low"), F.count_if((pixels > 307_200) & (pixels <= 921_600)).alias("sd"), F.count_if((pixels > 921_600) & (pixels <= 2_073_600)).alias("hd"), F.count_if(pixels > 2_073_600).alias("uhd"),
     )
+    return one.join(F.broadcast(smallest_mode(df, F.round(F.col(width) / F.col(height), 2), "modal_ratio")))
 
 
 def extract_entities(df: DataFrame, text: str = "text", kinds: Sequence[str] = tuple(ENTITIES)) -> DataFrame:

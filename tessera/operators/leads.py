@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.core import map_label, month, quantile, r, safe_divide_eps, sigma_outliers, top_n_share
+from tessera.functions.core import exact_quantiles, map_label, month, r, safe_divide_eps, sigma_outliers, top_n_share, with_quantiles
 
 #: Points of a status, order of the funnel, states that end a lead.
 STATUS_POINTS = {"converted": 100, "opportunity": 90, "qualified": 80, "working": 65, "contacted": 55, "prospect": 45, "new": 40, "nurture": 30, "unknown": 20, "lost": 10, "disqualified": 5}
@@ -50,10 +50,10 @@ def funnel(df: DataFrame) -> DataFrame:
 
 def value_summary(df: DataFrame) -> DataFrame:
     rows = prepared(df)
-    q = rows.agg(quantile("worth", 0.75).alias("p75"), quantile("worth", 0.9).alias("p90"))
+    q = exact_quantiles(rows, {"p50": ("worth", 0.5), "p75": ("worth", 0.75), "p90": ("worth", 0.9)})
     w = F.col("worth")
     return rows.join(F.broadcast(q)).agg(
-        r(F.sum(w), 2).alias("total"), r(F.avg(w)).alias("mean"), r(F.median(w)).alias("median"), r(F.max(w), 2).alias("largest"), r(F.max("p75")).alias("p75"), r(F.max("p90")).alias("p90"),
+        r(F.sum(w), 2).alias("total"), r(F.avg(w)).alias("mean"), r(F.max("p50")).alias("median"), r(F.max(w), 2).alias("largest"), r(F.max("p75")).alias("p75"), r(F.max("p90")).alias("p90"),
         F.count_if(w >= F.col("p75")).alias("high"), F.count_if(w >= F.col("p90")).alias("very_high"), rate(F.sum(F.when(w >= F.col("p75"), w)), F.sum(w)).alias("high_share"), F.count_if(w == 0).alias("zero"), F.count_if(w > 0).alias("positive"),
     )
 
@@ -75,10 +75,11 @@ def best_sources(df: DataFrame, key: str = "source") -> DataFrame:
 def lead_aging(df: DataFrame, age: str = "age_days") -> DataFrame:
     a, live = F.col(age).try_cast("double"), ~is_(*TERMINAL)
     stale = live & (a >= 60)
-    return prepared(df).agg(
-        r(F.avg(a)).alias("mean"), r(F.median(a)).alias("median"), r(F.max(a)).alias("oldest"), F.count_if(a > 30).alias("over_30"), F.count_if(a > 60).alias("over_60"), F.count_if(a > 90).alias("over_90"),
+    one = prepared(df).agg(
+        r(F.avg(a)).alias("mean"), r(F.max(a)).alias("oldest"), F.count_if(a > 30).alias("over_30"), F.count_if(a > 60).alias("over_60"), F.count_if(a > 90).alias("over_90"),
         F.count_if(stale).alias("stale"), F.count_if(live & (a >= 90)).alias("critical"), rate(F.coalesce(F.sum(F.when(stale, F.col("worth"))), F.lit(0.0)), F.sum("worth")).alias("stale_value_pct"),
     )
+    return with_quantiles(one, df, {"median": (a, 0.5)})
 
 
 def lead_scores(df: DataFrame, age: str = "age_days") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.core import days_between, numeric_summary, quantile, r, safe_divide, smallest_mode
+from tessera.functions.core import col, days_between, exact_quantiles, numeric_summary, r, safe_divide, smallest_mode, with_quantiles
 
 
 def distributions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -38,10 +38,10 @@ def matrix(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataF
 
 def incidents(df: DataFrame, severity: str = "severity", status: str = "status", hours: str = "time_to_resolve") -> DataFrame:
     live = F.col(status).isin("open", "in_progress")
-    return df.agg(
+    one = df.agg(
         F.count_if(live).alias("open"), F.count_if((F.col(severity) == "critical") & live).alias("critical_open"), r(safe_divide(F.count_if(F.col(status) == "escalated"), F.count(F.lit(1)), 100.0)).alias("escalation_rate"),
-        *[r(c.cast("double")).alias(n) for c, n in zip(numeric_summary(hours), ("mean_hours", "median_hours", "min_hours", "max_hours", "std_hours"), strict=True)],
     )
+    return one.join(F.broadcast(numeric_summary(df, hours, ("mean_hours", "median_hours", "min_hours", "max_hours", "std_hours"))))
 
 
 def daily_counts(df: DataFrame, ts: str) -> DataFrame:
@@ -75,8 +75,8 @@ def abc_classes(df: DataFrame, sku: str = "sku", value: str = "value") -> DataFr
 
 
 def stock_flags(df: DataFrame, quantity: str = "qty_on_hand", value: str = "value") -> DataFrame:
-    q = df.agg(quantile(value, 0.75).alias("_v"), quantile(quantity, 0.75).alias("_q"))
-    return df.join(F.broadcast(q)).agg(F.count_if(F.col(value) > F.col("_v")).alias("high_value"), F.count_if(F.col(quantity) > F.col("_q")).alias("slow_moving"))
+    q = exact_quantiles(df, {"high": (value, 0.75), "many": (quantity, 0.75)})
+    return df.join(F.broadcast(q)).agg(F.count_if(F.col(value) > F.col("high")).alias("high_value"), F.count_if(F.col(quantity) > F.col("many")).alias("slow_moving"))
 
 
 def licences(df: DataFrame, as_of: Column, held: str = "quantity_licensed", used: str = "quantity_used", expiry: str = "expiry_date", cost: str = "cost") -> DataFrame:
@@ -93,7 +93,8 @@ def logs(df: DataFrame, level: str = "level", code: str = "error_code", message:
     """One row: errors, warnings, error rate, whether above 5 percent, the most frequent error, distinct messages."""
     error = F.upper(level) == "ERROR"
     rate = safe_divide(F.count_if(error), F.count(F.lit(1)), 100.0)
-    return df.agg(F.count_if(error).alias("errors"), F.count_if(F.upper(level) == "WARNING").alias("warnings"), r(rate).alias("error_rate"), F.when(rate > 5, "YES").otherwise("NO").alias("anomaly"), smallest_mode(F.when(error, F.col(code))).alias("top_error"), F.count_distinct(message).alias("distinct_messages"))
+    one = df.agg(F.count_if(error).alias("errors"), F.count_if(F.upper(level) == "WARNING").alias("warnings"), r(rate).alias("error_rate"), F.when(rate > 5, "YES").otherwise("NO").alias("anomaly"), F.count_distinct(message).alias("distinct_messages"))
+    return one.join(F.broadcast(smallest_mode(df, F.when(error, F.col(code)), "top_error")))
 
 
 def counts_by(df: DataFrame, keys: Sequence[str | Column], where: Column | None = None, top: int | None = None) -> DataFrame:
@@ -115,10 +116,12 @@ def timeline(df: DataFrame, as_of: Column, planned: str = "planned_date", actual
 def service_levels(df: DataFrame, target: str = "sla_target", actual: str = "actual_time", by: Sequence[str] = ()) -> DataFrame:
     """Compliant, breached, rate over all rows, near-breaches (above nine tenths, breaches included), response times."""
     ok = F.col(actual) <= F.col(target)
-    return df.groupBy(*by).agg(
+    one = df.groupBy(*by).agg(
         F.count_if(ok).alias("compliant"), F.count_if(F.col(actual) > F.col(target)).alias("breached"), r(safe_divide(F.count_if(ok), F.count(F.lit(1)), 100.0)).alias("rate"),
-        F.count_if(F.col(actual) > 0.9 * F.col(target)).alias("at_risk"), *[r(c.cast("double")).alias(n) for c, n in zip(numeric_summary(actual), ("mean", "median", "least", "most", "std"), strict=True)],
+        F.count_if(F.col(actual) > 0.9 * F.col(target)).alias("at_risk"),
     )
+    times = numeric_summary(df, actual, ("mean", "median", "least", "most", "std"), by)
+    return one.join(times, list(by)) if by else one.join(F.broadcast(times))
 
 
 def shipments(df: DataFrame, by: Sequence[str] = (), cost: str = "cost", weight: str = "weight", days: str = "delivery_days", on_time: str = "on_time", top: int | None = None, order: str = "total_cost", ascending: bool = False) -> DataFrame:
@@ -145,20 +148,22 @@ def churn(df: DataFrame, status: str = "status", revenue: str = "revenue") -> Da
 
 
 def reviews(df: DataFrame, department: str = "department", rating: str = "rating", score: str = "review_score") -> DataFrame:
-    return df.groupBy(department).agg(r(F.avg(score)).alias("mean_score"), F.count(score).alias("n"), smallest_mode(rating).cast("long").alias("modal_rating"))
+    per = df.groupBy(department).agg(r(F.avg(score)).alias("mean_score"), F.count(score).alias("n"))
+    return per.join(smallest_mode(df, col(rating).cast("long"), "modal_rating", [department]), department, "left")
 
 
 def review_tiers(df: DataFrame, score: str = "review_score", goals: str = "goals_achieved") -> DataFrame:
     """One row: high from the upper quartile on, middle down to the lower one, low and the low ones' mean; goals."""
-    q = df.agg(quantile(score, 0.25).alias("_a"), quantile(score, 0.75).alias("_b"), F.max(goals).alias("_m"))
-    s, low = F.col(score), F.col(score) < F.col("_a")
-    return df.join(F.broadcast(q)).agg(F.count_if(s >= F.col("_b")).alias("high"), F.count_if((s >= F.col("_a")) & (s < F.col("_b"))).alias("middle"), F.count_if(low).alias("low"), r(F.avg(F.when(low, s))).alias("low_mean"), F.sum(goals).cast("long").alias("goals"), F.count_if(F.col(goals) == F.col("_m")).alias("all_goals"))
+    q = df.agg(F.max(goals).alias("most_goals")).join(F.broadcast(exact_quantiles(df, {"lower": (score, 0.25), "upper": (score, 0.75)})))
+    s, low = F.col(score), F.col(score) < F.col("lower")
+    return df.join(F.broadcast(q)).agg(F.count_if(s >= F.col("upper")).alias("high"), F.count_if((s >= F.col("lower")) & (s < F.col("upper"))).alias("middle"), F.count_if(low).alias("low"), r(F.avg(F.when(low, s))).alias("low_mean"), F.sum(goals).cast("long").alias("goals"), F.count_if(F.col(goals) == F.col("most_goals")).alias("all_goals"))
 
 
 def recruitment(df: DataFrame, stage: str = "stage", applied: str = "date_applied", hired: str = "date_hired", salary: str = "salary_offered") -> DataFrame:
     wait, s = days_between(applied, hired), F.lower(stage)
-    return df.agg(
+    one = df.agg(
         F.count_if(s == "hired").alias("hired"), r(safe_divide(F.count_if(s == "hired"), F.count(F.lit(1)), 100.0)).alias("conversion_pct"), r(safe_divide(F.count_if(s == "rejected"), F.count(F.lit(1)), 100.0)).alias("rejection_pct"),
-        r(F.avg(wait)).alias("mean_days"), r(F.median(wait).cast("double")).alias("median_days"), F.min(wait).alias("min_days"), F.max(wait).alias("max_days"),
-        r(F.avg(salary)).alias("mean_salary"), r(F.median(salary).cast("double")).alias("median_salary"), r(F.min(salary), 2).alias("min_salary"), r(F.max(salary), 2).alias("max_salary"),
+        r(F.avg(wait)).alias("mean_days"), F.min(wait).alias("min_days"), F.max(wait).alias("max_days"),
+        r(F.avg(salary)).alias("mean_salary"), r(F.min(salary), 2).alias("min_salary"), r(F.max(salary), 2).alias("max_salary"),
     )
+    return with_quantiles(one, df, {"median_days": (wait, 0.5), "median_salary": (salary, 0.5)})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampType
 from pyspark.sql.window import Window
 
-from tessera.functions.core import MICROS_PER_DAY, bias_corrected_skew, col, corr_matrix, micros, numeric_columns, quantile, r, safe_divide, smallest_mode, value_counts
+from tessera.functions.core import MICROS_PER_DAY, bias_corrected_skew, col, corr_matrix, exact_quantiles, micros, numeric_columns, r, safe_divide, smallest_mode, value_counts, with_quantiles
 
 
 def _long(df: DataFrame, measures: dict[str, list[Column]], names: Sequence[str]) -> DataFrame:
@@ -55,7 +55,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     columns = columns or numeric_columns(df)
     names = ["mean", "std", "min", "max", "skew", "missing_pct"]
     stats = _long(df, {c: [r(F.avg(c)), r(F.stddev_samp(c)), r(F.min(c).cast("double")), r(F.max(c).cast("double")), r(bias_corrected_skew(c)), r(safe_divide(F.count_if(F.col(c).isNull()), F.count(F.lit(1)), 100.0))] for c in columns}, names)
-    fences = df.agg(*[quantile(c, p).alias(f"{i}_{q}") for i, c in enumerate(columns) for q, p in (("a", 0.25), ("b", 0.75))])
+    fences = exact_quantiles(df, {f"{i}_{q}": (c, p) for i, c in enumerate(columns) for q, p in (("a", 0.25), ("b", 0.75))})
     marked = df.select(*columns).join(F.broadcast(fences))
 
     def beyond(i: int, c: str) -> Column:
@@ -68,7 +68,11 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def string_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column_name, distinct, empty, most_common (the smallest of the most frequent)."""
     columns = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-    return _long(df, {c: [F.count_distinct(c), F.count_if(F.col(c) == ""), smallest_mode(c)] for c in columns}, ["distinct", "empty", "most_common"])
+    modes = [smallest_mode(df, c, "most_common").select(F.lit(c).alias("column_name"), F.col("most_common").cast("string")) for c in columns]
+    most = modes[0]
+    for more in modes[1:]:
+        most = most.unionByName(more)
+    return _long(df, {c: [F.count_distinct(c), F.count_if(F.col(c) == "")] for c in columns}, ["distinct", "empty"]).join(F.broadcast(most), "column_name", "left")
 
 
 def class_distribution(df: DataFrame, c: str, most: int = 20) -> DataFrame:
@@ -132,18 +136,19 @@ def grouped_mean(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
 
 
 def series_statistics(df: DataFrame, ts: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per series: points, mean, std, min, max, median, slope per day, trend, volatility, variation, range, forecast horizon and sufficiency."""
+    """Per series (all rows are one, unless ``by`` says more): points, mean, std, min, max, median, slope per day, trend, volatility, variation, range, forecast horizon and sufficiency."""
     order = Window.partitionBy(*by).orderBy(ts) if by else Window.orderBy(ts)
     step = df.withColumn("_pct", F.try_divide(F.col(value), F.lag(value).over(order)) - 1)
     days = F.floor((micros(F.max(ts)) - micros(F.min(ts))) / MICROS_PER_DAY)
     slope = safe_divide(F.max_by(value, ts) - F.min_by(value, ts), days)
     n = F.count(value)
-    return step.groupBy(*by).agg(
-        n.alias("points"), r(F.avg(value)).alias("mean"), r(F.stddev_samp(value)).alias("std"), r(F.min(value)).alias("min"), r(F.max(value)).alias("max"), r(F.median(value)).alias("median"),
+    one = step.groupBy(*by).agg(
+        n.alias("points"), r(F.avg(value)).alias("mean"), r(F.stddev_samp(value)).alias("std"), r(F.min(value)).alias("min"), r(F.max(value)).alias("max"),
         r(slope).alias("slope"), F.when(slope > 0, "UP").otherwise("DOWN").alias("trend"), r(F.stddev_samp("_pct")).alias("volatility"),
         r(F.stddev_samp(value) / (F.avg(value) + 1e-4)).alias("variation"), r(F.max(value) - F.min(value)).alias("range"),
         F.least(F.floor(n / 4), F.lit(12)).alias("horizon"), (n > 20).alias("sufficient"),
     )
+    return with_quantiles(one, df, {"median": (value, 0.5)}, by)
 
 
 def indicators(df: DataFrame, ts: str, value: str, by: Sequence[str] = (), n: int = 20, rsi: int = 14) -> DataFrame:

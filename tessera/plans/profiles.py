@@ -42,7 +42,7 @@ C.on("a13_records_by_source", "events", lambda d: op.distributions(d, ["user_id"
 C.on("a15_coverage", "events", lambda d: pr.coverage(d, "ts").select("days", "coverage"), "SELECT d AS days, CASE WHEN d > 30 THEN 'COMPLETE' ELSE 'PARTIAL' END AS coverage FROM (SELECT floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0)::BIGINT AS d FROM events)")
 RATED = "WITH s AS (SELECT (event_id % 11)::DOUBLE AS rating, event_type, user_id FROM events)"
 rated = lambda d: d.select((F.col("event_id") % 11).cast("double").alias("rating"), "event_type", "user_id")
-C.on("a18_nps", "events", lambda d: rated(d).agg(co.r(pr.nps("rating")).alias("nps"), co.r(F.avg("rating")).alias("mean"), co.r(F.median("rating")).alias("median")), f"{RATED} SELECT {pct(cnt('rating >= 9') + ' - ' + cnt('rating <= 6'), 'count(*)')} AS nps, round(avg(rating), 4) AS mean, round(median(rating), 4) AS median FROM s")
+C.on("a18_nps", "events", lambda d: co.with_quantiles(rated(d).agg(co.r(pr.nps("rating")).alias("nps"), co.r(F.avg("rating")).alias("mean")), rated(d), {"median": ("rating", 0.5)}), f"{RATED} SELECT {pct(cnt('rating >= 9') + ' - ' + cnt('rating <= 6'), 'count(*)')} AS nps, round(avg(rating), 4) AS mean, round(median(rating), 4) AS median FROM s")
 C.on("a19_satisfaction", "events", lambda d: pr.grouped_mean(rated(d), "rating", ["event_type", "user_id"]), f"{RATED} SELECT 'event_type' AS dimension, event_type AS label, round(avg(rating), 4) AS mean, count(rating) AS n FROM s GROUP BY 2 UNION ALL SELECT 'user_id', user_id::VARCHAR, round(avg(rating), 4), count(rating) FROM s GROUP BY 2")
 C.on("a20_satisfaction_tiers", "events", lambda d: pr.satisfaction_tiers(rated(d), "rating"), f"{RATED} SELECT {cnt('rating >= 8')} AS satisfied, {cnt('rating >= 6 AND rating < 8')} AS neutral, {cnt('rating < 6')} AS dissatisfied FROM s")
 daily = lambda d: d.groupBy(F.date_trunc("day", "o_orderdate").alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))

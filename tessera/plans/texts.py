@@ -128,7 +128,7 @@ C.over("x01_mail", "mails", lambda d: do.mail_summary(d, "sender", "recipient",
  (SELECT day FROM v GROUP BY day ORDER BY count(*) DESC, day DESC LIMIT 1) AS peak_day, (SELECT round(avg(k), 4) FROM (SELECT count(*) AS k FROM v GROUP BY day)) AS per_day FROM v""")
 C.over("x06_pages", "files", do.page_statistics, """SELECT count(*) AS documents, sum(page_count)::BIGINT AS pages, round(avg(page_count), 4) AS mean_pages, max(page_count)::BIGINT AS max_pages, min(page_count)::BIGINT AS min_pages, sum(length(text_content))::BIGINT AS chars, count(*) FILTER (WHERE length(text_content) = 0) AS empty,
  round(sum(file_size) / 1048576, 4) AS megabytes, count(DISTINCT filename) AS names, count(filename) - count(DISTINCT filename) AS duplicate_names, count(*) FILTER (WHERE d > 100) AS dense, count(*) FILTER (WHERE d >= 50 AND d <= 100) AS moderate, count(*) FILTER (WHERE d < 50) AS sparse FROM (SELECT *, length(text_content) / (page_count + 1e-4) AS d FROM v)""")
-C.over("x10_images", "files", lambda d: do.image_statistics(d).drop("modal_ratio"), """SELECT round(avg(width), 4) AS mean_width, round(avg(height), 4) AS mean_height, round(sum(file_size) / 1024, 4) AS kilobytes, count(*) FILTER (WHERE p <= 307200) AS low, count(*) FILTER (WHERE p > 307200 AND p <= 921600) AS sd, count(*) FILTER (WHERE p > 921600 AND p <= 2073600) AS hd,
+C.over("x10_images", "files", lambda d: do.image_statistics(d), """SELECT (SELECT q FROM (SELECT round(width / height, 2) AS q, count(*) AS k FROM v GROUP BY 1) ORDER BY k DESC, q LIMIT 1) AS modal_ratio, round(avg(width), 4) AS mean_width, round(avg(height), 4) AS mean_height, round(sum(file_size) / 1024, 4) AS kilobytes, count(*) FILTER (WHERE p <= 307200) AS low, count(*) FILTER (WHERE p > 307200 AND p <= 921600) AS sd, count(*) FILTER (WHERE p > 921600 AND p <= 2073600) AS hd,
  count(*) FILTER (WHERE p > 2073600) AS uhd FROM (SELECT *, width::BIGINT * height AS p FROM v)""")
 C.on("x21_entity_ids", "orders", lambda d: d.select("o_orderkey", F.array_join(do.entity_ids(F.concat(F.lit("for cust"), F.col("o_custkey").cast("string"), F.lit(" and LOAN"), F.col("o_orderkey").cast("string"))), ",").alias("ids")), "SELECT o_orderkey, 'CUST' || o_custkey || ',LOAN' || o_orderkey AS ids FROM orders")
 C.free("y04_recall", lambda s, d: re_.vector_search(read(s, d, "embeddings").withColumn("label", F.col("label")), ask_vectors(s, d), 3, "l2").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")), "SELECT vec_id AS query_id, 3::BIGINT AS n, 1::BIGINT AS first FROM embeddings WHERE vec_id < 5")

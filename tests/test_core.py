@@ -36,7 +36,7 @@ def test_statistics_match_pandas(spark):
     rng = np.random.default_rng(1)
     x = pd.Series(rng.gamma(2, 3, 101))
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
-    got = df.agg(co.bias_corrected_skew("x").alias("s"), co.quantile("x", 0.3).alias("q"), co.smallest_mode(F.round("x")).alias("m")).first()
+    got = df.agg(co.bias_corrected_skew("x").alias("s")).join(co.exact_quantiles(df, {"q": ("x", 0.3)})).join(co.smallest_mode(df, F.round("x"), "m")).first()
     assert got["s"] == pytest.approx(x.skew())
     assert got["q"] == pytest.approx(x.quantile(0.3))
     assert got["m"] == x.round().mode().min()
@@ -83,3 +83,20 @@ def test_entities_and_redaction(spark):
 def test_pair_similarity(spark):
     got = do.pair_similarity(spark.createDataFrame([("abcd", "bcde"), (None, "x")], "a string, b string")).toPandas()["ratio"].tolist()
     assert got == [75.0, 0.0]
+
+
+def test_exact_quantiles_of_many_rows_groups_and_nothing(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(co, "ACCURACY", 100)  # the sketch encloses a twentieth of the rows only
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 4000), np.round(rng.lognormal(size=4000), 2), strict=True)] + [(3, None), (4, 7.0)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    wanted = {f"p{p}": ("x", p / 100) for p in (0, 25, 50, 99, 100)} | {"half": (F.col("x") / 2, 0.5)}
+    x = np.array([v for _, v in rows if v is not None])
+    got = co.exact_quantiles(df, wanted).first()
+    assert [got[f"p{p}"] for p in (0, 25, 50, 99, 100)] == pytest.approx(np.percentile(x, [0, 25, 50, 99, 100]))
+    assert got["half"] == pytest.approx(np.median(x) / 2)
+    for r in co.exact_quantiles(df, {"m": ("x", 0.5)}, ["g"]).collect():
+        assert r["m"] == pytest.approx(np.median([v for g, v in rows if g == r["g"] and v is not None]))
+    assert co.exact_quantiles(df.where("g = 9"), {"m": ("x", 0.5)}).first()["m"] is None
