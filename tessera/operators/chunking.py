@@ -145,3 +145,22 @@ def recursive_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", siz
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(cut, f"k {kind}, chunk_index long, content string").withColumnRenamed("k", key)
+
+
+def structure_or_windows(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+    """key, chunk_index, content: chunks by headings; a text that has none of them, nothing but headings, in windows."""
+    made = structured_chunks(line_blocks(df, key, text), key, size)
+    order = Window.partitionBy(key).orderBy("section", "chunk_index")
+    first = made.select(key, (F.row_number().over(order) - 1).alias("chunk_index"), "content")
+    return first.unionByName(fixed_windows(df, key, text, size).join(made.select(key).distinct(), key, "left_anti"))
+
+
+def ingest(df: DataFrame, language: Column, kind: Column, filename: str, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+    """key, filename, language, document_type, chunk_count, chunks: the registry row of each text that gives a valid chunk.
+
+    A chunk has its number, content, hash, token and character counts and the number of all chunks.
+    """
+    done = finalize(structure_or_windows(df, key, text, size), key).where("reject_reason is null")
+    part = F.struct("chunk_index", "content", "content_hash", "token_count", F.length("content").alias("character_count"))
+    per = done.groupBy(key).agg(F.count(F.lit(1)).alias("chunk_count"), F.array_sort(F.collect_list(part)).alias("chunks"))
+    return df.select(key, F.col(filename).alias("filename"), language.alias("language"), kind.alias("document_type")).join(per, key)

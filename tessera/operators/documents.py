@@ -144,3 +144,35 @@ def stack(frames: Sequence[DataFrame]) -> DataFrame:
     for more in frames[1:]:
         out = out.unionByName(more, allowMissingColumns=True)
     return out
+
+
+def mail_leaders(df: DataFrame, sender: str = "from", to: str = "to", sentiment: str = "sentiment", top: int = 5) -> DataFrame:
+    """kind, label, n: the most frequent senders and recipients, and all sentiments."""
+
+    def counts(c: str, kind: str) -> DataFrame:
+        return df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "label", "n")
+
+    most = [counts(c, kind).orderBy(F.desc("n"), "label").limit(top) for c, kind in ((sender, "sender"), (to, "recipient"))]
+    return most[0].unionByName(most[1]).unionByName(counts(sentiment, "sentiment"))
+
+
+def transcript_content(df: DataFrame, text: str = "text", minutes: str = "duration_minutes") -> DataFrame:
+    """One row: mean length and words of the texts; mean, longest and shortest duration."""
+    return df.agg(
+        r(F.avg(F.length(text))).alias("mean_length"), F.sum(word_count(text)).cast("long").alias("words"),
+        r(F.avg(minutes)).alias("mean_minutes"), r(F.max(minutes)).alias("longest"), r(F.min(minutes)).alias("shortest"),
+    )
+
+
+def deck_statistics(df: DataFrame, slides: str = "slide_count", text: str = "text_content", notes: str = "speaker_notes") -> DataFrame:
+    """One row: decks, slides, text per slide (mean text over mean slides), decks with notes, characters, mean text."""
+    size = F.avg(F.length(text))
+    return df.agg(
+        F.count(F.lit(1)).alias("decks"), F.sum(slides).cast("long").alias("slides"), r(F.avg(slides)).alias("mean_slides"), r(size / F.when(F.avg(slides) > 0, F.avg(slides)).otherwise(1)).alias("text_per_slide"),
+        F.count(notes).alias("with_notes"), F.sum(F.length(text)).alias("chars"), r(size).alias("density"),
+    )
+
+
+def collection_languages(df: DataFrame, text: str = "text") -> DataFrame:
+    """One row: the sorted script languages of all texts."""
+    return df.where(F.col(text).isNotNull()).select(script_language(text).alias("_l")).distinct().agg(F.sort_array(F.collect_set("_l")).alias("languages"))

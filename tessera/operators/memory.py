@@ -100,3 +100,17 @@ def pending(items: DataFrame, status: str = "status") -> DataFrame:
 
 def timings(df: DataFrame, name: str, seconds: str) -> DataFrame:
     return df.groupBy(name).agg(F.count(F.lit(1)).alias("n"), r(F.sum(seconds), 2).alias("total"), r(F.max(seconds)).alias("longest"))
+
+
+def reembed(df: DataFrame, embed: Callable[[pd.Series], list], model: str, text: str = "text", most: int = 8000) -> tuple[DataFrame, DataFrame]:
+    """(rows with vector and error, one row of counts) of a move to a new model.
+
+    Texts above ``most`` characters, the model's limit, fail and keep no vector; each other distinct text is embedded once.
+    """
+    long = F.length(F.coalesce(F.col(text), F.lit(""))) > most
+    cache = df.sparkSession.createDataFrame([], "cache_key string, vector array<float>")
+    done, made = embed_incrementally(df.where(~long), cache, embed, model, text)
+    failed = df.where(long).withColumn("error", F.lit("too long"))
+    rows = done.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
+    counts = df.agg(F.count_if(~long).alias("succeeded"), F.count_if(long).alias("failed"))
+    return rows, counts.join(F.broadcast(made.agg(F.count(F.lit(1)).alias("embedded"))))

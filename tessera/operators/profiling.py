@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,3 +163,78 @@ def indicators(df: DataFrame, ts: str, value: str, by: Sequence[str] = (), n: in
         "moving_average": r(mean, 6), "band_low": r(mean - 2 * std, 6), "band_high": r(mean + 2 * std, 6), "volatility": r(std),
         "momentum": r(F.col(value) - F.lag(value, n).over(order)), "rsi": r(F.when(down == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(up, down)))),
     }).drop("_up", "_down")
+
+
+def negative_feedback(df: DataFrame, c: str, words: Sequence[str] = ("negative", "dissatisfied")) -> DataFrame:
+    """One row: negative answers, and their share of all rows in percent."""
+    bad = F.count_if(F.lower(c).isin(*words))
+    return df.agg(bad.alias("negative"), r(safe_divide(bad, F.count(F.lit(1)), 100.0)).alias("negative_pct"))
+
+
+def rating_distribution(df: DataFrame, c: str) -> DataFrame:
+    """c, n of each rating, with the mean and median of all."""
+    one = with_quantiles(df.agg(r(F.avg(c)).alias("mean")), df, {"median": (c, 0.5)})
+    return df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(one))
+
+
+def value_distribution(df: DataFrame, c: str) -> DataFrame:
+    """One row: mean, std, least, most of a column; nulls of the table, and their share of its cells in percent."""
+    nulls = sum((F.count_if(F.col(x).isNull()) for x in df.columns), F.lit(0))
+    cells = F.count(F.lit(1)) * len(df.columns)
+    return df.agg(r(F.avg(c)).alias("mean"), r(F.stddev_samp(c)).alias("std"), r(F.min(c)).alias("least"), r(F.max(c)).alias("most"), nulls.alias("nulls"), r(safe_divide(nulls, cells, 100.0)).alias("null_pct"))
+
+
+def feature_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """column_name, missing, missing_pct, mean, std, min, max, skew of numeric columns, from one pass."""
+    columns = columns or numeric_columns(df)
+    names = ["missing", "missing_pct", "mean", "std", "min", "max", "skew"]
+
+    def measures(c: str) -> list[Column]:
+        null = F.count_if(F.col(c).isNull())
+        share = r(safe_divide(null, F.count(F.lit(1)), 100.0))
+        return [null, share, r(F.avg(c)), r(F.stddev_samp(c)), r(F.min(c).cast("double")), r(F.max(c).cast("double")), r(bias_corrected_skew(c))]
+
+    return _long(df, {c: measures(c) for c in columns}, names)
+
+
+def describe(df: DataFrame) -> DataFrame:
+    """One row per column: count; distinct values, the most frequent one and its number of texts; moments and quartiles of numbers."""
+    numbers = numeric_columns(df)
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    shown = ("unique_values", "top", "freq", "mean", "std", "min", "q25", "q50", "q75", "max")
+    rows = []
+    if numbers:
+        quartiles = {f"{i}_{q}": (c, p) for i, c in enumerate(numbers) for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))}
+        stats = _long(df, {c: [F.count(c), r(F.avg(c)), r(F.stddev_samp(c)), r(F.min(c).cast("double")), r(F.max(c).cast("double"))] for c in numbers}, ["count", "mean", "std", "min", "max"])
+        of = F.array(*[F.struct(F.lit(c).alias("column_name"), *[r(f"{i}_{q}").alias(q) for q in ("q25", "q50", "q75")]) for i, c in enumerate(numbers)])
+        rows.append(stats.join(F.broadcast(exact_quantiles(df, quartiles).select(F.inline(of))), "column_name"))
+    for c in texts:
+        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_k"))
+        best = F.struct(-F.col("_k"), F.col(c))
+        rows.append(counts.agg(F.lit(c).alias("column_name"), F.coalesce(F.sum("_k"), F.lit(0)).alias("count"), F.count(F.lit(1)).alias("unique_values"), F.min_by(c, best).alias("top"), F.max("_k").alias("freq")))
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    kinds = {"top": "string", "unique_values": "bigint", "freq": "bigint"}
+    missing = {n: F.lit(None).cast(kinds.get(n, "double")) for n in shown if n not in out.columns}
+    return out.withColumns(missing).select("column_name", "count", *shown)
+
+
+def record_profile(df: DataFrame) -> DataFrame:
+    """column_name, type, records, nulls of each column of flattened records."""
+    rows = _long(df, {c: [F.lit(df.schema[c].dataType.simpleString()), F.count(F.lit(1)), F.count_if(F.col(c).isNull())] for c in df.columns}, ["type", "records", "nulls"])
+    return rows
+
+
+def report_rows(sections: Mapping[str, DataFrame], limits: Mapping[str, float] | None = None) -> DataFrame:
+    """section, key, value, severity: the numbers of one-row summaries; one above its limit is a warning."""
+    limits, out = limits or {}, None
+    for section, one in sections.items():
+        rows = []
+        for c in one.columns:
+            value = F.col(c).cast("double")
+            severity = F.when(value > limits[c], "warning").otherwise("info") if c in limits else F.lit("info")
+            rows.append(F.struct(F.lit(section).alias("section"), F.lit(c).alias("key"), value.alias("value"), severity.alias("severity")))
+        part = one.select(F.inline(F.array(*rows)))
+        out = part if out is None else out.unionByName(part)
+    return out

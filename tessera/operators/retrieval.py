@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -183,3 +185,61 @@ def walk(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
         front = hop.select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         seen = seen.unionByName(front)
     return found.groupBy("src", "rel", "dst").agg(F.min("depth").alias("depth"))
+
+
+def chunk_id(doc: str | Column, index: str | Column, filename: str | Column, text: str | Column) -> Column:
+    """Document and number; without a document the file's name and a hash of the text."""
+    fallback = F.concat_ws("-", F.coalesce(col(filename), F.lit("unknown")), F.pmod(F.xxhash64(F.coalesce(col(text), F.lit(""))), F.lit(10_000)).cast("string"))
+    return F.coalesce(F.concat(col(doc).cast("string"), F.lit("_"), col(index).cast("string")), fallback)
+
+
+def mentioned_walk(edges: DataFrame, queries: DataFrame, depth: int = 3, kind: str = "officer") -> DataFrame:
+    """query_id, src, rel, dst, depth: edges reached from the node that a query names ("officer 3", "Officer: 3")."""
+    name = F.regexp_extract("query", rf"(?i){kind}[: ]?(\w+)", 1)
+    front = queries.select("query_id", F.when(name != "", F.concat(F.lit(f"{kind}:"), name)).alias("node")).where("node is not null")
+    seen, found = front, None
+    for step in range(1, depth + 1):
+        hop = edges.join(front.withColumnRenamed("node", "src"), "src").select("query_id", "src", "rel", "dst", F.lit(step).alias("depth"))
+        found = hop if found is None else found.unionByName(hop)
+        front = hop.select("query_id", F.col("dst").alias("node")).distinct().join(seen, ["query_id", "node"], "left_anti")
+        seen = seen.unionByName(front)
+    return found.groupBy("query_id", "src", "rel", "dst").agg(F.min("depth").alias("depth"))
+
+
+def rerank(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, key, score, rank: the candidates (query_id, key) by dot product with their query's vector, the best k."""
+    both = candidates.select("query_id", key).distinct().join(vectors.select(key, vector), key).join(queries.select("query_id", "query_vector"), "query_id")
+    return _top(both.select("query_id", key, r(dot(vector, "query_vector"), 6).alias("score")), "query_id", "score", key, k)
+
+
+def approximate_search(vectors: DataFrame, queries: DataFrame, k: int = 5, planes: int = 6, tables: int = 64, seed: int = 11, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, key, score, rank by cosine among vectors that share a table key with the query, scored exactly.
+
+    A table's key is the signs of the products with ``planes`` random directions, so near vectors tend to share one of
+    ``tables``. The tests measure recall against the exact search. A null vector is in no table.
+    """
+
+    @F.pandas_udf("array<long>")
+    def table_keys(v: pd.Series) -> pd.Series:
+        full = v[v.notna()]
+        if not len(full):
+            return pd.Series([None] * len(v), v.index, dtype=object)
+        x = np.stack(full.to_numpy()).astype(float)
+        directions = np.random.default_rng(seed).normal(size=(x.shape[1], tables * planes))
+        bits = (x @ directions >= 0).reshape(len(x), tables, planes) @ (1 << np.arange(planes))
+        return pd.Series(list(bits + (np.arange(tables) << planes)), full.index, dtype=object).reindex(v.index)
+
+    def keyed(df: DataFrame, name: str, v: str) -> DataFrame:
+        return df.select(name, v, F.explode(table_keys(v)).alias("_key"))
+
+    pairs = keyed(vectors, key, vector).select(key, "_key").join(keyed(queries, "query_id", "query_vector").select("query_id", "_key"), "_key").select("query_id", key).distinct()
+    met = pairs.join(vectors.select(key, vector), key).join(queries.select("query_id", "query_vector"), "query_id")
+    return _top(met.select("query_id", key, r(similarity(vector, "query_vector", "cosine"), 6).alias("score")), "query_id", "score", key, k)
+
+
+def recall(vectors: DataFrame, queries: DataFrame, kind: str, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, key, score, rank: the k nearest memories of each kind by 1 / (1 + squared distance), and of those the best k."""
+    both = _met(vectors.select(key, kind, vector), queries).select("query_id", key, kind, r(similarity(vector, "query_vector", "l2"), 6).alias("score"))
+    best = Window.partitionBy("query_id", kind).orderBy(F.desc("score"), key)
+    per = both.withColumn("_i", F.row_number().over(best)).where(F.col("_i") <= k)
+    return _top(per.select("query_id", key, "score"), "query_id", "score", key, k)

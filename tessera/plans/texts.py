@@ -10,6 +10,7 @@ from tessera.operators import memory as me
 from tessera.operators import retrieval as re_
 from tessera.plans.business import cnt
 from tessera.plans.common import Catalog, read
+from tessera.plans.reviews import CHUNK_SQL
 from tessera.streaming import jobs
 
 C = Catalog()
@@ -48,20 +49,19 @@ C.on("k13_hierarchy", "documents", lambda d: ch.hierarchy(ch.line_blocks(d)))
 C.on("k12_token_estimate", "conversations", lambda d: d.select("conv_id", "turn", ch.token_estimate("text").alias("tokens")), f"SELECT conv_id, turn, greatest({WORDS}, 1)::BIGINT AS tokens FROM conversations")
 
 
-FIRST = ("item_id < 5", "vec_id < 5")
-EVERY = ("item_id % 50 = 0", "vec_id % 50 = 0")  #: grows with the tables
+ASKED = ("item_id % 50 = 0", "vec_id % 50 = 0")  #: the rows that are queries of a search; they grow with the tables
 
 
-def ask(s, d, which=FIRST):
+def ask(s, d, which=ASKED):
     return read(s, d, "benchmark").where(which[0]).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def ask_vectors(s, d, which=FIRST):
+def ask_vectors(s, d, which=ASKED):
     return read(s, d, "embeddings").where(which[1]).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 TOKENS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x != '')"
-C.free("v02_bm25", lambda s, d: re_.bm25(read(s, d, "documents"), ask(s, d)).select("query_id", "doc_id", F.round("score", 4).alias("score")), f"""WITH w AS (SELECT doc_id, unnest(t) AS term, len(t) AS n FROM (SELECT doc_id, {TOKENS} AS t FROM documents)), q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark WHERE item_id < 5),
+C.free("v02_bm25", lambda s, d: re_.bm25(read(s, d, "documents"), ask(s, d)).select("query_id", "doc_id", F.round("score", 4).alias("score")), f"""WITH w AS (SELECT doc_id, unnest(t) AS term, len(t) AS n FROM (SELECT doc_id, {TOKENS} AS t FROM documents)), q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark WHERE item_id % 50 = 0),
  st AS (SELECT count(*) AS c, avg(len(t)) AS a FROM (SELECT {TOKENS} AS t FROM documents)), tf AS (SELECT doc_id, n, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
  sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (c - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / a))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2)
  SELECT query_id, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS i FROM sc) WHERE i <= 10""")
@@ -72,14 +72,34 @@ def searched(metric: str) -> str:
     dot = f"list_dot_product({e}, {f})"
     gap = f"list_sum(list_transform(list_zip({e}, {f}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
     score = {"dot": dot, "cosine": f"{dot} / (sqrt(list_dot_product({e}, {e})) * sqrt(list_dot_product({f}, {f})))", "l2": f"1 / (1 + {gap})"}[metric]
-    return f"SELECT query_id, vec_id, round(score, 4) AS score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round({score}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({score}, 6) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 5) WHERE rank <= 5"
+    return f"SELECT query_id, vec_id, round(score, 4) AS score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round({score}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({score}, 6) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5"
+
+
+COSINE, DOT, L2 = (searched(m).split(" FROM (", 1)[1].rsplit(") WHERE", 1)[0] for m in ("cosine", "dot", "l2"))
+HYBRID = f"""WITH t AS ({C.sql["v02_bm25"].replace("round(score, 4) AS score", "score").replace("i <= 10", "i <= 20")}), v AS (SELECT query_id, vec_id AS doc_id, score FROM ({COSINE}) WHERE rank <= 20),
+ u AS (SELECT *, 'terms' AS s FROM t UNION ALL SELECT *, 'vectors' FROM v), p AS (SELECT query_id, doc_id, max(score) AS score, CASE WHEN count(DISTINCT s) > 1 THEN 'both' ELSE min(s) END AS source FROM u GROUP BY 1, 2)
+ SELECT query_id, doc_id, source, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p) WHERE rank <= 10"""
+RERANK = f"""WITH c AS (SELECT query_id, vec_id FROM ({COSINE}) WHERE rank <= 20), d AS (SELECT query_id, vec_id, score FROM ({DOT}) JOIN c USING (query_id, vec_id))
+ SELECT query_id, vec_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d) WHERE rank <= 5"""
+RECALL = f"""WITH a AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS i FROM ({L2}) JOIN embeddings USING (vec_id))
+ SELECT query_id, vec_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM a WHERE i <= 3) WHERE rank <= 3"""
 
 
 for id_, metric in (("v03", "dot"), ("v04", "cosine"), ("v05", "l2")):
     C.free(f"{id_}_{metric}_search", lambda s, d, m=metric: re_.vector_search(read(s, d, "embeddings"), ask_vectors(s, d), 5, m).withColumn("score", F.round("score", 4)), searched(metric))
-C.free("v07_filtered_search", lambda s, d: re_.vector_search(read(s, d, "embeddings"), ask_vectors(s, d), 5, "cosine", where=F.col("label") == 3).withColumn("score", F.round("score", 4)), searched("cosine").replace("q.vec_id < 5)", "q.vec_id < 5 AND e.label = 3)"))
+C.free("v07_filtered_search", lambda s, d: re_.vector_search(read(s, d, "embeddings"), ask_vectors(s, d), 5, "cosine", where=F.col("label") == 3).withColumn("score", F.round("score", 4)), searched("cosine").replace("q.vec_id % 50 = 0)", "q.vec_id % 50 = 0 AND e.label = 3)"))
 C.on("v16_invalid_vectors", "embeddings", lambda d: re_.invalid_vectors(d, "embedding", 64).groupBy("reason").count(), 'SELECT \'width\' AS reason, count(*) AS "count" FROM embeddings WHERE len(embedding) != 64 HAVING count(*) > 0')
-C.free("v08_hybrid", lambda s, d: re_.hybrid(re_.bm25(read(s, d, "documents"), ask(s, d), 20), re_.vector_search(read(s, d, "embeddings"), ask_vectors(s, d), 20).withColumnRenamed("vec_id", "doc_id"), 10).groupBy("query_id", "source").count())
+C.free(
+    "v08_hybrid",
+    lambda s, d: re_.hybrid(re_.bm25(read(s, d, "documents"), ask(s, d), 20), re_.vector_search(read(s, d, "embeddings"), ask_vectors(s, d), 20).withColumnRenamed("vec_id", "doc_id"), 10).select("query_id", "doc_id", "source", "rank"),
+    HYBRID,
+)
+C.free(
+    "v09_rerank",
+    lambda s, d: re_.rerank(re_.vector_search(read(s, d, "embeddings"), ask_vectors(s, d), 20, "cosine"), read(s, d, "embeddings"), ask_vectors(s, d), 5).select("query_id", "vec_id", "rank"),
+    RERANK,
+)
+C.free("v06_approximate_search", lambda s, d: re_.approximate_search(read(s, d, "embeddings"), ask_vectors(s, d), 5).select("query_id", "vec_id", "rank"))
 C.on("v10_sub_queries", "benchmark", lambda d: d.select("item_id", F.size(re_.sub_queries("text")).alias("parts")))
 C.on("v13_needs_search", "conversations", lambda d: d.groupBy(re_.needs_search("text").alias("search")).count(), """SELECT regexp_matches(lower(text), 'trend|compare|over the last|repayment|default|rate|which|who') AS search, count(*) AS "count" FROM conversations GROUP BY 1""")
 C.free("v12_retrieve", lambda s, d: re_.packed_context(re_.bm25(read(s, d, "documents"), ask(s, d), 5).join(re_.compressed(read(s, d, "documents"), "the of and"), "doc_id")).select("query_id", "used", "left_out"))
@@ -131,27 +151,14 @@ C.over("x06_pages", "files", do.page_statistics, """SELECT count(*) AS documents
 C.over("x10_images", "files", lambda d: do.image_statistics(d), """SELECT (SELECT q FROM (SELECT round(width / height, 2) AS q, count(*) AS k FROM v GROUP BY 1) ORDER BY k DESC, q LIMIT 1) AS modal_ratio, round(avg(width), 4) AS mean_width, round(avg(height), 4) AS mean_height, round(sum(file_size) / 1024, 4) AS kilobytes, count(*) FILTER (WHERE p <= 307200) AS low, count(*) FILTER (WHERE p > 307200 AND p <= 921600) AS sd, count(*) FILTER (WHERE p > 921600 AND p <= 2073600) AS hd,
  count(*) FILTER (WHERE p > 2073600) AS uhd FROM (SELECT *, width::BIGINT * height AS p FROM v)""")
 C.on("x21_entity_ids", "orders", lambda d: d.select("o_orderkey", F.array_join(do.entity_ids(F.concat(F.lit("for cust"), F.col("o_custkey").cast("string"), F.lit(" and LOAN"), F.col("o_orderkey").cast("string"))), ",").alias("ids")), "SELECT o_orderkey, 'CUST' || o_custkey || ',LOAN' || o_orderkey AS ids FROM orders")
-C.free("y04_recall", lambda s, d: re_.vector_search(read(s, d, "embeddings").withColumn("label", F.col("label")), ask_vectors(s, d), 3, "l2").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")), "SELECT vec_id AS query_id, 3::BIGINT AS n, 1::BIGINT AS first FROM embeddings WHERE vec_id < 5")
+C.free("y04_recall", lambda s, d: re_.recall(read(s, d, "embeddings"), ask_vectors(s, d), "label", 3).select("query_id", "vec_id", "rank"), RECALL)
 C.on("y09_latest_activity", "events", lambda d: me.lines_of(d, "user_id", ["ts", "event_id"], F.format_string("%d %s", "event_id", "event_type"), 5, 10_000), "SELECT user_id, string_agg(event_id || ' ' || event_type, chr(10) ORDER BY ts, event_id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i <= 5 GROUP BY 1")
 C.on("v11_compressed", "documents", lambda d: re_.compressed(d, "the of and").select("doc_id", F.length("content").alias("chars")))
 C.on("s05_paragraphs", "pages", lambda d: d.select("page_id", F.explode(F.split("html", "<p>")).alias("b")).groupBy("page_id").count(), """SELECT page_id, count(*) AS "count" FROM (SELECT page_id, unnest(string_split(html, '<p>')) FROM pages) GROUP BY 1""")
 
+C.on(
+    "e03_reembed", "conversations", lambda d: me.reembed(d, me.hashing_embedder(32), "hash-2", most=400)[1],
+    """SELECT count(*) FILTER (WHERE length(text) <= 400) AS succeeded, count(*) FILTER (WHERE length(text) > 400) AS failed, count(DISTINCT text) FILTER (WHERE length(text) <= 400) AS embedded FROM conversations""",
+)
 
-def every_fiftieth() -> None:
-    """The searches again with every row whose id is divisible by 50 as a query, as ``..._50th``; their SQL differs in that only."""
-    docs, vecs = lambda s, d: read(s, d, "documents"), lambda s, d: read(s, d, "embeddings")
-    rounded = lambda df: df.withColumn("score", F.round("score", 4))
-    runs = {
-        "v02_bm25": lambda s, d: re_.bm25(docs(s, d), ask(s, d, EVERY)).select("query_id", "doc_id", F.round("score", 4).alias("score")),
-        **{f"{id_}_{m}_search": lambda s, d, m=m: rounded(re_.vector_search(vecs(s, d), ask_vectors(s, d, EVERY), 5, m)) for id_, m in (("v03", "dot"), ("v04", "cosine"), ("v05", "l2"))},
-        "v07_filtered_search": lambda s, d: rounded(re_.vector_search(vecs(s, d), ask_vectors(s, d, EVERY), 5, "cosine", where=F.col("label") == 3)),
-        "v08_hybrid": lambda s, d: re_.hybrid(re_.bm25(docs(s, d), ask(s, d, EVERY), 20), re_.vector_search(vecs(s, d), ask_vectors(s, d, EVERY), 20).withColumnRenamed("vec_id", "doc_id"), 10).groupBy("query_id", "source").count(),
-        "v12_retrieve": lambda s, d: re_.packed_context(re_.bm25(docs(s, d), ask(s, d, EVERY), 5).join(re_.compressed(docs(s, d), "the of and"), "doc_id")).select("query_id", "used", "left_out"),
-        "y04_recall": lambda s, d: re_.vector_search(vecs(s, d), ask_vectors(s, d, EVERY), 3, "l2").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")),
-    }
-    for name, run in runs.items():
-        sql = C.sql.get(name)
-        C.free(f"{name}_50th", run, sql and sql.replace(FIRST[0], EVERY[0]).replace(FIRST[1], EVERY[1]))
-
-
-every_fiftieth()
+C.sql.update(CHUNK_SQL)

@@ -126,3 +126,22 @@ def where_equal(df: DataFrame, wanted: Mapping[str, object], exact: bool = True)
     for c, v in wanted.items():
         df = df.where(F.col(c) == F.lit(v)) if exact else df.where(F.lower(F.col(c).cast("string")) == str(v).lower())
     return df
+
+
+def table_columns(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """table_name, position, column_name, type, row_count of every column: one count per table."""
+    out = None
+    for name, df in tables.items():
+        about = [F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type")) for i, f in enumerate(df.schema.fields)]
+        one = df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count", F.inline(F.array(*about)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def preview(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
+    """The first rows in an order that is given, so that they are the same each time."""
+    return df.orderBy(*order).limit(n)
+
+
+def list_documents(df: DataFrame, category: str | None = None, column: str = "category") -> DataFrame:
+    return df if category is None else df.where(F.col(column) == category)

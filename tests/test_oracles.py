@@ -7,10 +7,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import business, profiles, sales, texts
+from tessera.plans import business, profiles, reviews, sales, texts
 
 SF = "/root/testdata/sf0.001"
-CATALOGS = (business.C, sales.C, profiles.C, texts.C)
+CATALOGS = (business.C, sales.C, profiles.C, texts.C, reviews.C)
 QUERIES = {n: q for c in CATALOGS for n, q in c.queries.items()}
 SQL = {n: q for c in CATALOGS for n, q in c.sql.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
