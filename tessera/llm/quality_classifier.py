@@ -165,18 +165,18 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 0.01, de
     return net
 
 
-def quality(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = LABELLED) -> DataFrame:
     """One row per input row: doc_id, score (probability of label 1).
 
     ``labelled`` has doc_id and y; rows with a null of either are left out and the highest label of a repeated id
-    holds. Word vectors come from all documents, the network from at most LABELLED labelled rows. Null and empty
+    holds. Word vectors come from all documents, the network from at most ``most_labelled`` labelled rows, the first by a hash of their ids. Null and empty
     texts have no words and are scored from zero vectors. Without labels of both kinds every text gets one score.
     Ids may be null or repeated; other columns are ignored; an empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     features = materialize(pooled(base, word_vectors(base)))
     one = labelled.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    kept = one.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(LABELLED)
+    kept = one.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(most_labelled)
     rows = features.join(F.broadcast(kept), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("features", "y").toPandas()
     x = np.array(rows["features"].tolist(), float).reshape(len(rows), 2 * WIDTH + 3)
     net = docs.sparkSession.sparkContext.broadcast(train(x, rows["y"].to_numpy(float)))

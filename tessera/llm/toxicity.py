@@ -197,16 +197,16 @@ def _marking(label: np.ndarray, once: np.ndarray, row: np.ndarray, term: np.ndar
     return 1 + np.abs(np.log2((a / ones + share) / ((both - a) / zeros + share)))
 
 
-def fit(labelled: DataFrame, docs: DataFrame) -> Examples:
+def fit(labelled: DataFrame, docs: DataFrame, positives: int = POSITIVE, negatives: int = NEGATIVE) -> Examples:
     """Examples from labelled rows (doc_id, y) and all documents (doc_id, text).
 
-    At most POSITIVE and NEGATIVE labelled rows, by a hash of their ids, are the examples. Document frequencies are of
+    At most so many ``positives`` and ``negatives`` of the labelled rows, by a hash of their ids, are the examples. Document frequencies are of
     all terms of all documents.
     """
     one = labelled.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     one = one.withColumn("h", F.xxhash64("doc_id", F.lit("toxic")))
     totals = one.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
-    kept = one.where("y = 1").orderBy("h", "doc_id").limit(POSITIVE).unionByName(one.where("y = 0").orderBy("h", "doc_id").limit(NEGATIVE))
+    kept = one.where("y = 1").orderBy("h", "doc_id").limit(positives).unionByName(one.where("y = 0").orderBy("h", "doc_id").limit(negatives))
     kept = materialize(kept.select("doc_id", F.col("y").cast("int").alias("y")))
     examples = docs.join(F.broadcast(kept), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     got = vectors(examples).toArrow().sort_by("doc_id").combine_chunks()  # the examples' distinct terms only
@@ -254,7 +254,7 @@ def _calibrate(e: Examples, labels: np.ndarray, bare: np.ndarray, totals: tuple)
     e.slope, e.shift = max(a, 0.05), b
 
 
-def toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVE, negatives: int = NEGATIVE) -> DataFrame:
     """One row per input row: doc_id, score, evidence (ids of the nearest labelled examples, at most five).
 
     ``labelled`` has doc_id and y (1 toxic); rows with a null of either are left out and the highest label of a
@@ -262,10 +262,11 @@ def toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     documents, and its weight is multiplied by how far its rates in the labels are apart, by 1 at least. A whole text's
     TF-IDF vector is compared by cosine with the examples', exactly, and the NEIGHBOURS nearest vote by closeness. Texts
     without any word, null and empty ones too, get the toxic share of examples without any. Without labels every
-    score is 0. Ids may be null or repeated; other columns are ignored.
+    score is 0. Of equally near examples the one of the smaller id votes. Ids may be null or repeated; other columns are
+    ignored; an empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    e = fit(labelled, base)
+    e = fit(labelled, base, positives, negatives)
     shared = docs.sparkSession.sparkContext.broadcast(e)  # bounded by POSITIVE + NEGATIVE examples and TERMS weights
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
