@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id
-from tessera.llm.common import anti_join, materialize, semi_join, table
+from tessera.llm.common import anti_join, materialize, semi_join, table, temporary
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.minhash import near_dedup
 from tessera.llm.packing import default_tokenizer, pack
@@ -73,5 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each but the last written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with temporary(spark):  # what a stage writes on its way goes once its result is written
+            docs = materialize(stage(spark, docs, sf_dir), outlives=True)
     return STAGES[-1][1](spark, docs, sf_dir)
