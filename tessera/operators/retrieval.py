@@ -243,3 +243,30 @@ def recall(vectors: DataFrame, queries: DataFrame, kind: str, k: int = 5, key: s
     best = Window.partitionBy("query_id", kind).orderBy(F.desc("score"), key)
     per = both.withColumn("_i", F.row_number().over(best)).where(F.col("_i") <= k)
     return _top(per.select("query_id", key, "score"), "query_id", "score", key, k)
+
+
+def compressed_for(results: DataFrame, docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
+    """Adds content to (query_id, key, ...): of each text the sentences that share most words with its query, best first."""
+    wanted = queries.select("query_id", F.array_distinct(tokens("query")).alias("_wanted"))
+    rows = results.select("query_id", key).distinct().join(docs.select(key, text), key).join(_small(wanted), "query_id")
+    rows = rows.select("query_id", key, "_wanted", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[.!?])\s+")).alias("_i", "_s"))
+    rows = rows.withColumn("_hit", F.size(F.array_intersect(F.array_distinct(tokens("_s")), "_wanted")))
+    best = rows.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", key).orderBy(F.desc("_hit"), "_i"))).where(F.col("_r") <= most)
+    order = F.array_sort(F.collect_list(F.struct("_r", "_s")))
+    content = best.groupBy("query_id", key).agg(F.array_join(F.transform(order, lambda x: x["_s"]), " ").alias("content"))
+    return results.join(content, ["query_id", key], "left")
+
+
+def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, wide: int = 20, k: int = 5, key: str = "doc_id", text: str = "text", vector: str = "embedding") -> DataFrame:
+    """query_id, key, score, rank, content: the whole way from queries (query_id, query) to their best texts.
+
+    Each query is cut into sub-queries, which ask for terms; the query's vector asks for neighbours; of the union the
+    ``wide`` best are ranked anew by the product of their vectors with the query's, and the best ``k`` are brought
+    down to the sentences that matter.
+    """
+    parts = queries.select("query_id", F.posexplode(sub_queries("query")).alias("_nth", "query"))
+    asked = parts.select(F.struct("query_id", "_nth").alias("query_id"), "query")
+    terms = bm25(docs, asked, wide, key=key, text=text).select(F.col("query_id.query_id").alias("query_id"), key, "score").groupBy("query_id", key).agg(F.max("score").alias("score"))
+    near = vector_search(vectors, query_vectors, wide, "cosine", key, vector)
+    found = hybrid(terms, near, wide, key)
+    return compressed_for(rerank(found, vectors, query_vectors, k, key, vector), docs, queries, key, text)

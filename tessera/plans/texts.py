@@ -17,10 +17,19 @@ C = Catalog()
 WORDS = r"CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split_regex(regexp_replace(regexp_replace(text, '^ +', ''), ' +$', ''), '\s+')) END"
 
 C.on("x04_transcript", "conversations", lambda d: do.transcript_summary(d, "role", "text", "conv_id"), f"SELECT role, count(*) AS turns, sum({WORDS})::BIGINT AS words, round(avg(length(text)), 4) AS mean_length, count(DISTINCT conv_id) AS transcripts, round(count(*) / (SELECT count(*) FROM conversations), 4) AS share FROM conversations GROUP BY role")
-C.on("x11_entities", "documents", lambda d: do.extract_entities(d, "text", ["emails", "urls", "dates"]).select("doc_id", *[F.array_join(k, "|").alias(k) for k in ("emails", "urls", "dates")]).where("emails != '' or urls != '' or dates != ''"), None)
+KINDS = tuple(do.ENTITIES)
+
+
+def matches(kind: str) -> str:
+    """The distinct matches of an entity's pattern in order, as one string; DuckDB keeps the first of equal ones."""
+    found = f"regexp_extract_all(coalesce(text, ''), '{do.ENTITIES[kind].replace(chr(39), chr(39) * 2)}', 0)"
+    return f"array_to_string(list_filter({found}, lambda x, i: list_position({found}, x) = i), '|') AS {kind}"
+
+
+C.on("x11_entities", "documents", lambda d: do.extract_entities(d).select("doc_id", *[F.array_join(k, "|").alias(k) for k in KINDS]), f"SELECT doc_id, {', '.join(map(matches, KINDS))} FROM documents")
 C.on("x03_urgent", "conversations", lambda d: d.groupBy("role").agg(F.count_if(F.col("text").rlike("(?i)urgent|important|asap")).alias("urgent")), "SELECT role, count(*) FILTER (WHERE regexp_matches(text, '(?i)urgent|important|asap')) AS urgent FROM conversations GROUP BY role")
 C.on("x12_redact_mail", "documents", lambda d: d.select("doc_id", F.sha2(F.regexp_replace("text", do.EMAIL, "[EMAIL]"), 256).alias("h")), f"SELECT doc_id, sha256(regexp_replace(text, '{do.EMAIL}', '[EMAIL]', 'g')) AS h FROM documents")
-C.on("x12_redact", "documents", lambda d: d.select("doc_id", F.sha2(do.redact("text"), 256).alias("h")))
+C.on("x12_redact", "documents", lambda d: d.select("doc_id", F.sha2(do.redact("text"), 256).alias("h")))  # word ends beside accented letters differ in DuckDB
 C.on("x13_script_language", "documents", lambda d: d.groupBy(do.script_language("text").alias("language")).count(), """SELECT CASE WHEN regexp_matches(text, '[\\x{1200}-\\x{137F}]') THEN 'Amharic' WHEN regexp_matches(text, '[\\x{0400}-\\x{04FF}]') THEN 'Russian' WHEN regexp_matches(text, '[\\x{0600}-\\x{06FF}]') THEN 'Arabic' WHEN regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]') THEN 'Chinese' WHEN regexp_matches(text, '[\\x{0900}-\\x{097F}]') THEN 'Hindi' ELSE 'English' END AS language, count(*) AS "count" FROM documents GROUP BY 1""")
 KIND = "CASE " + " ".join("WHEN regexp_matches(lower(text), '" + "|".join(w) + f"') THEN '{n}'" for n, w, _ in do.TYPES) + " ELSE 'general' END"
 C.on("x15_document_type", "documents", lambda d: d.groupBy(do.document_type("text")["type"].alias("type")).count(), f'SELECT {KIND} AS type, count(*) AS "count" FROM documents GROUP BY 1')
@@ -83,6 +92,21 @@ RERANK = f"""WITH c AS (SELECT query_id, vec_id FROM ({COSINE}) WHERE rank <= 20
  SELECT query_id, vec_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d) WHERE rank <= 5"""
 RECALL = f"""WITH a AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS i FROM ({L2}) JOIN embeddings USING (vec_id))
  SELECT query_id, vec_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM a WHERE i <= 3) WHERE rank <= 3"""
+PARTS = r"""(SELECT item_id, list_filter(list_transform(string_split_regex(text, '(?i)\s+and\s+|\s+or\s+|,|/'), lambda x: trim(x)), lambda x: length(x) > 8)[1:5] AS p, text FROM benchmark WHERE item_id % 50 = 0)"""
+SPLIT = r"string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(2), 'g'), chr(2))"
+RETRIEVED = f"""WITH a AS (SELECT item_id AS query_id, unnest(CASE WHEN len(p) > 0 THEN p ELSE [text] END) AS query, unnest(range(CASE WHEN len(p) > 0 THEN len(p) ELSE 1 END)) AS nth FROM {PARTS}),
+ qw AS (SELECT DISTINCT query_id, nth, unnest({TOKENS.replace("text", "query")}) AS term FROM a), w AS (SELECT doc_id, unnest(t) AS term, len(t) AS n FROM (SELECT doc_id, {TOKENS} AS t FROM documents)),
+ st AS (SELECT count(*) AS c, avg(len(t)) AS a FROM (SELECT {TOKENS} AS t FROM documents)), tf AS (SELECT doc_id, n, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM qw) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+ sc AS (SELECT query_id, nth, doc_id, round(sum(ln(1 + (c - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / a))), 6) AS score FROM qw JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2, 3),
+ te AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, nth ORDER BY score DESC, doc_id) AS i FROM sc) WHERE i <= 20 GROUP BY 1, 2),
+ ve AS (SELECT query_id, vec_id AS doc_id, score FROM ({COSINE.replace("q.vec_id % 50 = 0", "q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 50 = 0)")}) WHERE rank <= 20),
+ fo AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT * FROM te UNION ALL SELECT * FROM ve) GROUP BY 1, 2), ca AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS i FROM fo) WHERE i <= 20),
+ do_ AS (SELECT query_id, vec_id AS doc_id, score FROM ({DOT.replace("q.vec_id % 50 = 0", "q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 50 = 0)")})),
+ be AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ca JOIN do_ USING (query_id, doc_id)),
+ se AS (SELECT query_id, doc_id, s, i, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY len(list_intersect(list_distinct({TOKENS.replace("text", "s")}), list_distinct({TOKENS.replace("text", "q")}))) DESC, i) AS k
+  FROM (SELECT query_id, doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i, q FROM (SELECT be.query_id, be.doc_id, {SPLIT.replace("text", "d.text")} AS p, b.text AS q FROM be JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = be.query_id WHERE rank <= 5))),
+ co AS (SELECT query_id, doc_id, length(string_agg(s, ' ' ORDER BY k)) AS chars FROM se WHERE k <= 3 GROUP BY 1, 2)
+ SELECT query_id, doc_id, rank, chars::INT AS chars FROM be LEFT JOIN co USING (query_id, doc_id) WHERE rank <= 5"""
 
 
 for id_, metric in (("v03", "dot"), ("v04", "cosine"), ("v05", "l2")):
@@ -102,7 +126,17 @@ C.free(
 C.free("v06_approximate_search", lambda s, d: re_.approximate_search(read(s, d, "embeddings"), ask_vectors(s, d), 5).select("query_id", "vec_id", "rank"))
 C.on("v10_sub_queries", "benchmark", lambda d: d.select("item_id", F.size(re_.sub_queries("text")).alias("parts")))
 C.on("v13_needs_search", "conversations", lambda d: d.groupBy(re_.needs_search("text").alias("search")).count(), """SELECT regexp_matches(lower(text), 'trend|compare|over the last|repayment|default|rate|which|who') AS search, count(*) AS "count" FROM conversations GROUP BY 1""")
-C.free("v12_retrieve", lambda s, d: re_.packed_context(re_.bm25(read(s, d, "documents"), ask(s, d), 5).join(re_.compressed(read(s, d, "documents"), "the of and"), "doc_id")).select("query_id", "used", "left_out"))
+
+
+def whole_way(s, d):
+    vecs = read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = ask(s, d)
+    own = asked.select("query_id").join(vecs.withColumnRenamed("doc_id", "query_id"), "query_id").withColumnRenamed("embedding", "query_vector")
+    return re_.retrieve(read(s, d, "documents"), vecs, asked, own)
+
+
+C.free("v12_retrieve", lambda s, d: whole_way(s, d).select("query_id", "doc_id", "rank", F.length("content").alias("chars")), RETRIEVED)
+C.free("v15_packed_context", lambda s, d: re_.packed_context(whole_way(s, d).where("content is not null")).select("query_id", "used", "left_out"))
 C.free("v14_merged_results", lambda s, d: re_.merged_results(read(s, d, "labels").select(F.col("doc_id").alias("chunk_id"), F.col("quality").alias("score")), read(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id"), F.lit(5).alias("score"))), "SELECT doc_id AS chunk_id, CASE WHEN toxic = 1 THEN 5 ELSE quality END::INT AS score, CASE WHEN toxic = 1 THEN 'both' ELSE 'local' END AS source FROM labels")
 
 
