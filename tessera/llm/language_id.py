@@ -17,7 +17,7 @@ from tessera.llm.kernels import blocks, column, parts
 
 UNKNOWN = "und"
 LANE = 512  #: letters of a text after which another lane takes it up
-CODES = 1 << 21  #: letters handled at once
+CODES = 1 << 20  #: bytes of text handled at once
 SAMPLE_TEXTS = 32  #: labelled texts per language, at most, each of them whole
 SAMPLE_CHARS = 4000  #: characters of one of them, at most; of a language that has only longer ones the shortest is taken
 EVIDENCE = 48  #: letters whose bits make up a score
@@ -203,7 +203,7 @@ class Parser:
         text, nth, first, stop, end = (np.tile(x, len(self.roots)) for x in (text, nth, first, stop, end))
         codes = codes.astype(np.int64)
         over, _ = self._run(codes, lang, first, stop, end, starts, False)
-        upto = np.concatenate(([0], np.cumsum(starts)))
+        upto = np.concatenate(([0], np.cumsum(starts, dtype=np.int32)))
         found = upto[lang * n + stop] - upto[lang * n + first]
         # the text's parse enters a lane where the lane before has ended, and goes on there until it meets a start of the lane
         late = np.flatnonzero(nth > 0)
