@@ -203,7 +203,7 @@ class Parser:
         text, nth, first, stop, end = (np.tile(x, len(self.roots)) for x in (text, nth, first, stop, end))
         codes = codes.astype(np.int64)
         over, _ = self._run(codes, lang, first, stop, end, starts, False)
-        upto = np.concatenate(([0], np.cumsum(starts, dtype=np.int32)))
+        upto = np.concatenate((np.zeros(1, np.int32), np.cumsum(starts, dtype=np.int32)))
         found = upto[lang * n + stop] - upto[lang * n + first]
         # the text's parse enters a lane where the lane before has ended, and goes on there until it meets a start of the lane
         late = np.flatnonzero(nth > 0)
