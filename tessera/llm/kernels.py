@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 _BASE = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -47,8 +48,38 @@ def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def grams(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the last byte."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data), "<u8", padded.data, strides=(1,)).copy()
+
+
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)  #: masks of a gram's first bytes
+CHAINED = 256  #: bytes of a range up to which it is hashed by grams side by side with others
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each byte range: its grams one after the other, each mixed in before the next; long ranges by xxh3."""
+    size = end - start
+    eight = grams(data)
+    out = mix(size.astype(U) + U(1))
+    live = np.flatnonzero((size > 0) & (size <= CHAINED))
+    at = 0
+    while len(live):
+        some = eight[start[live] + at] & _FIRST[np.minimum(size[live] - at, 8)]
+        out[live] = mix(out[live] * U(_BASE[0]) ^ some)
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > CHAINED).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
 class Rolling:
-    """Hashes of any byte ranges of one block, by differences of prefix sums modulo 2**64."""
+    """Hashes of any ranges of one block, by differences of prefix sums modulo 2**64.
+
+    Only for ranges of up to some tens of characters: regular strings of 512 and more can have one value.
+    """
 
     def __init__(self, data: np.ndarray, which: int = 0):
         power, self.inverse = _power(which, len(data) + 1)
@@ -63,6 +94,35 @@ class Rolling:
         return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n])
 
 
+class RollingGrams:
+    """Hashes of byte ranges of any length: prefix sums as in Rolling, but over mixed grams instead of bytes.
+
+    A sum over bytes vanishes modulo 2**64 for pairs of regular strings (Thue-Morse and its complement); grams straddle
+    their halves, so those don't cancel. Ranges below eight bytes are their own bytes, mixed with their length.
+    """
+
+    def __init__(self, data: np.ndarray, which: int = 0):
+        power, self.inverse = _power(which, len(data) + 1)
+        self.eight = grams(data)
+        self.sums = np.zeros(len(data) + 1, U)
+        np.cumsum(mix(self.eight + U(_BASE[1 - which])) * power[: len(data)], out=self.sums[1:])
+
+    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - start
+        out = (self.sums[np.maximum(end - 7, start)] - self.sums[start]) * self.inverse[start]
+        few = np.flatnonzero(size < 8)
+        if len(few):
+            some = start[few]
+            out[few] = mix((self.eight[np.minimum(some, len(self.eight) - 1)] & _FIRST[size[few]]) + U(_BASE[0]))
+        return mix(out + size.astype(U))
+
+    def every(self, width: int) -> np.ndarray:
+        n = max(0, len(self.sums) - width)
+        if width < 8:
+            return mix((self.eight[:n] & _FIRST[width]) + U(width))
+        return mix((self.sums[width - 7 : width - 7 + n] - self.sums[:n]) * self.inverse[:n] + U(width))
+
+
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches, so that few texts are Python objects at a time."""
     for batch in batches:
@@ -100,7 +160,7 @@ class Words:
         upto = np.searchsorted(self.start, self.doc_end)
         self.first = np.concatenate(([0], upto[:-1])) if len(raws) else upto
         self.count = np.diff(upto, prepend=0)
-        self.hash = mix(Rolling(self.seen).ranges(self.start, self.end) + (self.end - self.start).astype(U))
+        self.hash = range_hashes(self.seen, self.start, self.end)
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)

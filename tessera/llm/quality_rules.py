@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, table
-from tessera.llm.kernels import SPACE, U, Rolling, Words, blocks, column, mix, parts
+from tessera.llm.kernels import SPACE, U, Words, blocks, column, mix, parts, range_hashes
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = np.zeros(256, bool)
@@ -62,7 +62,7 @@ def text_counts(raws: list[bytes]) -> list[np.ndarray]:
     black = np.concatenate(([0], np.cumsum(~SPACE[w.data])))
     full = black[cut] > black[begin]
     owner, begin, cut = owner[full], begin[full], cut[full]
-    lines = mix(Rolling(w.data, 1).ranges(begin, cut) + mix(U(1) + owner.astype(U)) + (cut - begin).astype(U))
+    lines = mix(range_hashes(w.data, begin, cut) + mix(U(1) + owner.astype(U)))
     first = np.unique(lines, return_index=True)[1]
     repeated = np.bincount(owner, minlength=docs) - np.bincount(owner[first], minlength=docs)
 

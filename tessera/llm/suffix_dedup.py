@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.llm.common import BROADCAST_KEYS, anti_join, materialize, semi_join, table
-from tessera.llm.kernels import BLOCK, U, Rolling, column, mix, parts
+from tessera.llm.kernels import BLOCK, U, RollingGrams, column, mix, parts
 
 SAMPLE = 32  #: bytes hashed at a position, for strings of three times as many bytes or more
 LONGEST = 4000  #: bytes of a string, at most: offsets in a run are kept in BITS bits
@@ -47,7 +47,7 @@ def cover_sample(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
         return none, none, none, none, none.view(U), none.view(U)
     k = sample_bytes(length)
     width = length - k + 1
-    hashes = Rolling(data, 0).every(k)
+    hashes = RollingGrams(data, 0).every(k)
     at = np.arange(len(hashes), dtype=U)
     packed = np.full(-(-len(hashes) // width) * width, ~U(0))
     packed[: len(hashes)] = (hashes & ~_LOW) | (_LOW - at)
@@ -67,7 +67,7 @@ def cover_sample(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
     last = np.flatnonzero(valid[:-1] & (new[1:] | ~valid[1:]))
     position = chosen[first]
     shape = ((position - first) << BITS | (last - first)).astype(U)
-    rank = mix(Rolling(data, 1).ranges(first, last + length) + mix(shape + U(1)))
+    rank = mix(RollingGrams(data, 1).ranges(first, last + length) + mix(shape + U(1)))
     return np.searchsorted(ends, first, "right"), position, first, last, hashes[position], rank
 
 
@@ -190,7 +190,7 @@ def _windows(doc: np.ndarray, start: np.ndarray, pieces: list[bytes], length: in
     row = np.repeat(np.arange(len(pieces)), counts)
     within = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = (np.cumsum(sizes) - sizes)[row] + within
-    one, two = Rolling(data, 0), Rolling(data, 1)
+    one, two = RollingGrams(data, 0), RollingGrams(data, 1)
     return mix(one.ranges(at, at + length)), mix(two.ranges(at, at + length)), doc[row], start[row] + within, row
 
 

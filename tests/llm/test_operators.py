@@ -188,6 +188,25 @@ def test_components(spark, monkeypatch, one_task):
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 150: 100, 200: 100}
 
 
+def thue_morse(n, a, b):
+    """The string and its complement: sums of letters times powers of an odd base can't tell them apart."""
+    one = "".join((a, b)[i.bit_count() & 1] for i in range(n))
+    return one, one.translate(str.maketrans(a + b, b + a))
+
+
+@pytest.mark.parametrize("n", [256, 512, 1024, 2048])
+def test_regular_strings_are_told_apart(spark, n):
+    one, two = thue_morse(n, "a", "b")
+    df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_dedup(df, k=4).collect()} == {1: 1, 2: 2}
+    lines = spark.createDataFrame([(1, f"{one}\n{two}\n{one}", "s")], "doc_id long, text string, source string")
+    assert quality_rules.quality_rules(lines).first()["n_dup_lines"] == 1
+    assert [r["n_linked"] for r in line_dedup.line_dedup(df).collect()] == [0, 0]
+    assert [r["n_removed"] for r in suffix_dedup.suffix_dedup(df, length=n).collect()] == [0, 0]
+    want = brute.suffix([(1, one), (2, two)], 100)
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(df).collect()} == {i: w[1] for i, w in want.items()}
+
+
 def test_quality_rules(docs):
     got = by_id(quality_rules.quality_rules(docs))
     for i, t in made_up()[:-1]:
