@@ -10,6 +10,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows of one narrow key column (16 bytes at most) that may be broadcast; larger key sets are joined by shuffle.
 BROADCAST_KEYS = 500_000
@@ -71,7 +72,7 @@ def semi_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(keys, on, "left_semi")
 
 
-def anti_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+def anti_join(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of ``df`` whose ``on`` is not in ``keys``; the key set is broadcast as in semi_join()."""
     keys = materialize(keys.distinct())
     if keys.count() <= BROADCAST_KEYS:
@@ -79,6 +80,22 @@ def anti_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(keys, on, "left_anti")
 
 
+def numbered(df: DataFrame, key: str, order: list[str], into: str = "pos") -> DataFrame:
+    """``df``, written once, with ``into``: each row's number from 0 among the rows of its ``key`` (not null), by ``order``.
+
+    Rows are dealt by ranges of key and order and sorted there; what stands before a partition in its key comes from the
+    partitions' counts. So no task holds a whole key, however frequent.
+    """
+    dealt = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = materialize(dealt.withColumn("_part", F.shiftright("_at", 33)))
+    runs = dealt.groupBy("_part", key).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = materialize(runs.select("_part", key, (before - F.col("_first")).alias("_shift")))
+    if runs.count() <= BROADCAST_KEYS // 10:
+        runs = F.broadcast(runs)
+    return dealt.join(runs, ["_part", key]).withColumn(into, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
 class Groups:
     """Things joined to groups; the smallest of a group is its root."""
 

@@ -46,3 +46,17 @@ def test_null_rows_do_no_harm(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(str(r["doc_id"]) for r in got) == ["1", "None"]
+
+
+def test_texts_of_one_id_are_judged_apart(spark, tmp_path):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, f"{b} more"), (2, c.replace(" ", "  ", 3)), (2, c), (None, a), (4, f"{a} less")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    docs.write.parquet(str(tmp_path / "d"))
+    kept = corpus_pipeline.drop_exact_copies(spark, spark.read.parquet(str(tmp_path / "d")), "")
+    want = [(1, a), (2, b), (2, c.replace(" ", "  ", 3)), (3, f"{b} more"), (4, f"{a} less"), (None, a)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+    kept.write.parquet(str(tmp_path / "e"))
+    left = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(str(tmp_path / "e")), "")
+    assert left.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([want[0], want[1], want[2], want[5]], key=str)
