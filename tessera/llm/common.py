@@ -80,9 +80,11 @@ def anti_join(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     return df.join(keys, on, "left_anti")
 
 
-def numbered(df: DataFrame, key: str, order: list[str], into: str = "pos") -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list[str], into: str = "pos", count: str | None = None) -> DataFrame:
     """``df``, written once, with ``into``: each row's number from 0 among the rows of its ``key`` (not null), by ``order``.
 
+    ``count`` names a column for the rows of the key, if wanted.
+
     Rows are dealt by ranges of key and order and sorted there; what stands before a partition in its key comes from the
     partitions' counts. So no task holds a whole key, however frequent.
     """
@@ -90,7 +92,8 @@ def numbered(df: DataFrame, key: str, order: list[str], into: str = "pos") -> Da
     dealt = materialize(dealt.withColumn("_part", F.shiftright("_at", 33)))
     runs = dealt.groupBy("_part", key).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = materialize(runs.select("_part", key, (before - F.col("_first")).alias("_shift")))
+    whole = [F.sum("_n").over(Window.partitionBy(key)).alias(count)] if count else []
+    runs = materialize(runs.select("_part", key, (before - F.col("_first")).alias("_shift"), *whole))
     if runs.count() <= BROADCAST_KEYS // 10:
         runs = F.broadcast(runs)
     return dealt.join(runs, ["_part", key]).withColumn(into, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")

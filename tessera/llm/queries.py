@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, language_id, line_dedup, minhash, packing, quality_classifier, quality_rules, sentencepiece_sampling, suffix_dedup, toxicity
+from tessera.llm import exact_dedup, language_id, line_dedup, lm_scoring, merkle, minhash, packing, phrases, quality_classifier, quality_rules, sentencepiece_sampling, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash": minhash.op10_minhash,
+    "op11_phrases": phrases.op11_phrases,
+    "op12_lm_scoring": lm_scoring.op12_lm_scoring,
+    "op13_merkle": merkle.op13_merkle,
 }
 
-ORACLE_SQL = {"op4_quality_rules": quality_rules.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {"op4_quality_rules": quality_rules.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op11_phrases": phrases.ORACLE, "op13_merkle": merkle.ORACLE}
