@@ -4,21 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.core import col, r
+from tessera.operators.vectors import top, vector_search
 
 #: Ranks of classifications; words that call for a search.
 RANKS = {"public": 0, "internal": 1, "confidential": 2, "restricted": 3}
 SEARCH_WORDS = ("trend", "compare", "over the last", "repayment", "default", "rate", "which", "who")
-#: Queries of a search that may be broadcast, each one short row; larger sets are dealt in blocks of so many.
+#: Queries of a search that may be broadcast, each one short row.
 QUERY_LIMIT = 20_000
-#: Pieces that the rows of a search are dealt to for each block of queries.
-PIECES = 64
 
 
 def tokens(c: str | Column) -> Column:
@@ -29,23 +26,6 @@ def _small(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries) if queries.limit(QUERY_LIMIT + 1).count() <= QUERY_LIMIT else queries
 
 
-def _met(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every row with every query: blocks of queries meet pieces of the rows, joined by the numbers of both."""
-    blocks = -(-queries.count() // QUERY_LIMIT)
-    if blocks <= 1:
-        return rows.join(F.broadcast(queries))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_piece", every(PIECES))
-    dealt = rows.withColumn("_piece", F.pmod(F.xxhash64(*rows.columns), F.lit(PIECES)).cast("int")).withColumn("_block", every(blocks))
-    return dealt.join(asked, ["_block", "_piece"]).drop("_block", "_piece")
-
-
-def _top(df: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
-    """The k best of each query; Spark keeps k rows per query and task before the shuffle."""
-    w = Window.partitionBy(by).orderBy(F.desc(score), tie)
-    return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-
-
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """query_id, key, score, rank: Okapi BM25 of (query_id, query) over all texts.
 
@@ -61,7 +41,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     rows = tf.join(df, "term").join(F.broadcast(stats))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
     scored = rows.withColumn("_w", weight).join(_small(asked), "term").groupBy("query_id", key).agg(r(F.sum("_w"), 6).alias("score"))
-    return _top(scored, "query_id", "score", key, k)
+    return top(scored, "query_id", "score", key, k)
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -69,29 +49,6 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
 
 
-def norm(a: str | Column) -> Column:
-    return F.greatest(F.sqrt(dot(a, a)), F.lit(1e-12))
-
-
-def similarity(a: str | Column, b: str | Column, metric: str) -> Column:
-    if metric == "dot":
-        return dot(a, b)
-    if metric == "cosine":
-        return dot(a, b) / (norm(a) * norm(b))
-    gap = F.aggregate(F.zip_with(col(a), col(b), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
-    return 1 / (1 + gap)
-
-
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
-    """query_id, key, score, rank: the k most similar vectors of each (query_id, query_vector), exact.
-
-    ``where`` is applied before the search. Every query meets every vector, in blocks if there are many queries.
-    """
-    rows = vectors if where is None else vectors.where(where)
-    both = _met(rows.select(key, vector), queries)
-    return _top(both.select("query_id", key, r(similarity(vector, "query_vector", metric), 6).alias("score")), "query_id", "score", key, k)
-
-
 def invalid_vectors(df: DataFrame, vector: str, width: int) -> DataFrame:
     """Rows whose vector is null, of another width or not finite, with the reason."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -103,7 +60,31 @@ def hybrid(terms: DataFrame, vectors: DataFrame, k: int, key: str = "doc_id") ->
     """query_id, key, score, source, rank: the better of a row's two scores."""
     both = terms.select("query_id", key, "score", F.lit("terms").alias("_s")).unionByName(vectors.select("query_id", key, "score", F.lit("vectors").alias("_s")))
     per = both.groupBy("query_id", key).agg(F.max("score").alias("score"), F.count_distinct("_s").alias("_n"), F.min("_s").alias("_s"))
-    return _top(per.select("query_id", key, "score", F.when(F.col("_n") > 1, "both").otherwise(F.col("_s")).alias("source")), "query_id", "score", key, k)
+    return top(per.select("query_id", key, "score", F.when(F.col("_n") > 1, "both").otherwise(F.col("_s")).alias("source")), "query_id", "score", key, k)
+
+
+def hybrid_search(
+    docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int = 20,
+    meta: DataFrame | None = None, where: Column | None = None, filter_mode: str = "pre", key: str = "doc_id", text: str = "text", vector: str = "embedding",
+) -> DataFrame:
+    """query_id, key, score, source, rank: the k best of the union of k term hits and max(3 k, 50) neighbours by 1 / (1 + d * d).
+
+    ``where`` is a condition on the rows of ``meta`` (key and any columns: metadata, access rules). ``pre`` searches
+    only among the rows that meet it; ``post`` cuts the candidates first and then drops those that don't, so fewer than k may
+    be left. Rows without a row in ``meta`` don't meet it.
+    """
+    if filter_mode not in ("pre", "post"):
+        raise ValueError("filter_mode is pre or post")
+    allowed = None if where is None or meta is None else meta.where(where).select(key).distinct()
+    if allowed is not None and filter_mode == "pre":
+        docs, vectors = docs.join(allowed, key, "left_semi"), vectors.join(allowed, key, "left_semi")
+    terms = bm25(docs, queries, k, key=key, text=text).select("query_id", key, "score", F.lit("terms").alias("_s"))
+    near = vector_search(vectors, query_vectors, max(3 * k, 50), "l2", key, vector).select("query_id", key, "score", F.lit("vectors").alias("_s"))
+    both = terms.unionByName(near)
+    if allowed is not None and filter_mode == "post":
+        both = both.join(allowed, key, "left_semi")
+    per = both.groupBy("query_id", key).agg(F.max("score").alias("score"), F.count_distinct("_s").alias("_n"), F.min("_s").alias("_s"))
+    return top(per.select("query_id", key, "score", F.when(F.col("_n") > 1, "both").otherwise(F.col("_s")).alias("source")), "query_id", "score", key, k)
 
 
 def merged_results(local: DataFrame, remote: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -209,40 +190,7 @@ def mentioned_walk(edges: DataFrame, queries: DataFrame, depth: int = 3, kind: s
 def rerank(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, key, score, rank: the candidates (query_id, key) by dot product with their query's vector, the best k."""
     both = candidates.select("query_id", key).distinct().join(vectors.select(key, vector), key).join(queries.select("query_id", "query_vector"), "query_id")
-    return _top(both.select("query_id", key, r(dot(vector, "query_vector"), 6).alias("score")), "query_id", "score", key, k)
-
-
-def approximate_search(vectors: DataFrame, queries: DataFrame, k: int = 5, planes: int = 6, tables: int = 64, seed: int = 11, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, key, score, rank by cosine among vectors that share a table key with the query, scored exactly.
-
-    A table's key is the signs of the products with ``planes`` random directions, so near vectors tend to share one of
-    ``tables``. The tests measure recall against the exact search. A null vector is in no table.
-    """
-
-    @F.pandas_udf("array<long>")
-    def table_keys(v: pd.Series) -> pd.Series:
-        full = v[v.notna()]
-        if not len(full):
-            return pd.Series([None] * len(v), v.index, dtype=object)
-        x = np.stack(full.to_numpy()).astype(float)
-        directions = np.random.default_rng(seed).normal(size=(x.shape[1], tables * planes))
-        bits = (x @ directions >= 0).reshape(len(x), tables, planes) @ (1 << np.arange(planes))
-        return pd.Series(list(bits + (np.arange(tables) << planes)), full.index, dtype=object).reindex(v.index)
-
-    def keyed(df: DataFrame, name: str, v: str) -> DataFrame:
-        return df.select(name, v, F.explode(table_keys(v)).alias("_key"))
-
-    pairs = keyed(vectors, key, vector).select(key, "_key").join(keyed(queries, "query_id", "query_vector").select("query_id", "_key"), "_key").select("query_id", key).distinct()
-    met = pairs.join(vectors.select(key, vector), key).join(queries.select("query_id", "query_vector"), "query_id")
-    return _top(met.select("query_id", key, r(similarity(vector, "query_vector", "cosine"), 6).alias("score")), "query_id", "score", key, k)
-
-
-def recall(vectors: DataFrame, queries: DataFrame, kind: str, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, key, score, rank: the k nearest memories of each kind by 1 / (1 + squared distance), and of those the best k."""
-    both = _met(vectors.select(key, kind, vector), queries).select("query_id", key, kind, r(similarity(vector, "query_vector", "l2"), 6).alias("score"))
-    best = Window.partitionBy("query_id", kind).orderBy(F.desc("score"), key)
-    per = both.withColumn("_i", F.row_number().over(best)).where(F.col("_i") <= k)
-    return _top(per.select("query_id", key, "score"), "query_id", "score", key, k)
+    return top(both.select("query_id", key, r(dot(vector, "query_vector"), 6).alias("score")), "query_id", "score", key, k)
 
 
 def compressed_for(results: DataFrame, docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:

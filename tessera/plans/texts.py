@@ -8,6 +8,7 @@ from tessera.operators import chunking as ch
 from tessera.operators import documents as do
 from tessera.operators import memory as me
 from tessera.operators import retrieval as re_
+from tessera.operators import vectors as ve
 from tessera.plans.business import cnt
 from tessera.plans.common import Catalog, read
 from tessera.plans.reviews import CHUNK_SQL
@@ -110,23 +111,62 @@ RETRIEVED = f"""WITH a AS (SELECT item_id AS query_id, unnest(CASE WHEN len(p) >
 
 
 for id_, metric in (("v03", "dot"), ("v04", "cosine"), ("v05", "l2")):
-    C.free(f"{id_}_{metric}_search", lambda s, d, m=metric: re_.vector_search(read(s, d, "embeddings"), ask_vectors(s, d), 5, m).withColumn("score", F.round("score", 4)), searched(metric))
-C.free("v07_filtered_search", lambda s, d: re_.vector_search(read(s, d, "embeddings"), ask_vectors(s, d), 5, "cosine", where=F.col("label") == 3).withColumn("score", F.round("score", 4)), searched("cosine").replace("q.vec_id % 50 = 0)", "q.vec_id % 50 = 0 AND e.label = 3)"))
+    C.free(f"{id_}_{metric}_search", lambda s, d, m=metric: ve.vector_search(read(s, d, "embeddings"), ask_vectors(s, d), 5, m).withColumn("score", F.round("score", 4)), searched(metric))
+C.free("v07_filtered_search", lambda s, d: ve.vector_search(read(s, d, "embeddings"), ask_vectors(s, d), 5, "cosine", where=F.col("label") == 3).withColumn("score", F.round("score", 4)), searched("cosine").replace("q.vec_id % 50 = 0)", "q.vec_id % 50 = 0 AND e.label = 3)"))
 C.on("v16_invalid_vectors", "embeddings", lambda d: re_.invalid_vectors(d, "embedding", 64).groupBy("reason").count(), 'SELECT \'width\' AS reason, count(*) AS "count" FROM embeddings WHERE len(embedding) != 64 HAVING count(*) > 0')
 C.free(
     "v08_hybrid",
-    lambda s, d: re_.hybrid(re_.bm25(read(s, d, "documents"), ask(s, d), 20), re_.vector_search(read(s, d, "embeddings"), ask_vectors(s, d), 20).withColumnRenamed("vec_id", "doc_id"), 10).select("query_id", "doc_id", "source", "rank"),
+    lambda s, d: re_.hybrid(re_.bm25(read(s, d, "documents"), ask(s, d), 20), ve.vector_search(read(s, d, "embeddings"), ask_vectors(s, d), 20).withColumnRenamed("vec_id", "doc_id"), 10).select("query_id", "doc_id", "source", "rank"),
     HYBRID,
 )
 C.free(
     "v09_rerank",
-    lambda s, d: re_.rerank(re_.vector_search(read(s, d, "embeddings"), ask_vectors(s, d), 20, "cosine"), read(s, d, "embeddings"), ask_vectors(s, d), 5).select("query_id", "vec_id", "rank"),
+    lambda s, d: re_.rerank(ve.vector_search(read(s, d, "embeddings"), ask_vectors(s, d), 20, "cosine"), read(s, d, "embeddings"), ask_vectors(s, d), 5).select("query_id", "vec_id", "rank"),
     RERANK,
 )
-C.free("v06_approximate_search", lambda s, d: re_.approximate_search(read(s, d, "embeddings"), ask_vectors(s, d), 5).select("query_id", "vec_id", "rank"))
+C.free("v06_approximate_search", lambda s, d: ve.approximate_search(read(s, d, "embeddings"), ask_vectors(s, d), 5).select("query_id", "vec_id", "rank"))
 C.on("v10_sub_queries", "benchmark", lambda d: d.select("item_id", F.size(re_.sub_queries("text")).alias("parts")))
 C.on("v13_needs_search", "conversations", lambda d: d.groupBy(re_.needs_search("text").alias("search")).count(), """SELECT regexp_matches(lower(text), 'trend|compare|over the last|repayment|default|rate|which|who') AS search, count(*) AS "count" FROM conversations GROUP BY 1""")
 
+#: Hybrid search among the documents of one language and an open source, cut before or after the search.
+OPEN = "lang = 'en' AND n_chars < 4000"
+FILTERED = f"""
+WITH ok AS (SELECT doc_id FROM documents WHERE {OPEN}),
+docs AS (SELECT * FROM documents WHERE [pre]),
+vecs AS (SELECT * FROM embeddings WHERE [pre_vec]),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark WHERE item_id % 50 = 0),
+w AS (SELECT doc_id, unnest(t) AS term, len(t) AS n FROM (SELECT doc_id, {TOKENS} AS t FROM docs)),
+st AS (SELECT count(*) AS c, avg(len(t)) AS a FROM (SELECT {TOKENS} AS t FROM docs)),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sc AS (
+  SELECT query_id, doc_id, round(sum(ln(1 + (c - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / a))), 6) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
+te AS (SELECT query_id, doc_id, score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20),
+l2 AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS doc_id,
+         round(1 / (1 + list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), lambda x: (x[1] - x[2]) * (x[1] - x[2])))), 6) AS score
+  FROM vecs e, embeddings q WHERE q.vec_id % 50 = 0),
+ne AS (SELECT query_id, doc_id, score FROM l2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 60),
+u AS (SELECT *, 'terms' AS s FROM te UNION ALL SELECT *, 'vectors' FROM ne),
+p AS (
+  SELECT query_id, doc_id, max(score) AS score, CASE WHEN count(DISTINCT s) > 1 THEN 'both' ELSE min(s) END AS source
+  FROM u WHERE [post] GROUP BY 1, 2)
+SELECT query_id, doc_id, source, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p) WHERE rank <= 20
+"""
+
+
+def filtered(s, d, mode):
+    docs = read(s, d, "documents")
+    found = re_.hybrid_search(docs, read(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), ask(s, d), ask_vectors(s, d), 20, docs, F.expr(OPEN), mode)
+    return found.select("query_id", "doc_id", "source", "rank")
+
+
+for mode, pre, post in (("pre", "doc_id IN (SELECT doc_id FROM ok)", "true"), ("post", "true", "doc_id IN (SELECT doc_id FROM ok)")):
+    sql = FILTERED.replace("[pre]", pre).replace("[pre_vec]", pre.replace("doc_id IN", "vec_id IN")).replace("[post]", post)
+    C.free(f"v08_hybrid_{mode}", lambda s, d, m=mode: filtered(s, d, m), sql)
+
 
 def whole_way(s, d):
     vecs = read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
@@ -185,7 +225,7 @@ C.over("x06_pages", "files", do.page_statistics, """SELECT count(*) AS documents
 C.over("x10_images", "files", lambda d: do.image_statistics(d), """SELECT (SELECT q FROM (SELECT round(width / height, 2) AS q, count(*) AS k FROM v GROUP BY 1) ORDER BY k DESC, q LIMIT 1) AS modal_ratio, round(avg(width), 4) AS mean_width, round(avg(height), 4) AS mean_height, round(sum(file_size) / 1024, 4) AS kilobytes, count(*) FILTER (WHERE p <= 307200) AS low, count(*) FILTER (WHERE p > 307200 AND p <= 921600) AS sd, count(*) FILTER (WHERE p > 921600 AND p <= 2073600) AS hd,
  count(*) FILTER (WHERE p > 2073600) AS uhd FROM (SELECT *, width::BIGINT * height AS p FROM v)""")
 C.on("x21_entity_ids", "orders", lambda d: d.select("o_orderkey", F.array_join(do.entity_ids(F.concat(F.lit("for cust"), F.col("o_custkey").cast("string"), F.lit(" and LOAN"), F.col("o_orderkey").cast("string"))), ",").alias("ids")), "SELECT o_orderkey, 'CUST' || o_custkey || ',LOAN' || o_orderkey AS ids FROM orders")
-C.free("y04_recall", lambda s, d: re_.recall(read(s, d, "embeddings"), ask_vectors(s, d), "label", 3).select("query_id", "vec_id", "rank"), RECALL)
+C.free("y04_recall", lambda s, d: ve.recall(read(s, d, "embeddings"), ask_vectors(s, d), "label", 3).select("query_id", "vec_id", "rank"), RECALL)
 C.on("y09_latest_activity", "events", lambda d: me.lines_of(d, "user_id", ["ts", "event_id"], F.format_string("%d %s", "event_id", "event_type"), 5, 10_000), "SELECT user_id, string_agg(event_id || ' ' || event_type, chr(10) ORDER BY ts, event_id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i <= 5 GROUP BY 1")
 C.on("v11_compressed", "documents", lambda d: re_.compressed(d, "the of and").select("doc_id", F.length("content").alias("chars")))
 C.on("s05_paragraphs", "pages", lambda d: d.select("page_id", F.explode(F.split("html", "<p>")).alias("b")).groupBy("page_id").count(), """SELECT page_id, count(*) AS "count" FROM (SELECT page_id, unnest(string_split(html, '<p>')) FROM pages) GROUP BY 1""")

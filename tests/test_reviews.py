@@ -1,7 +1,9 @@
 """Operators whose results SQL can't tell, or whose odd cases the test tables don't hold."""
 
+import math
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,17 +12,38 @@ from tessera.operators import documents as do
 from tessera.operators import memory as me
 from tessera.operators import profiling as pr
 from tessera.operators import retrieval as re_
+from tessera.operators import vectors as ve
 
-SF = "/root/testdata/sf0.01"
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_approximate_search_finds_nearly_all_neighbours(spark):
-    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_approximate_search_finds_nearly_all_neighbours(spark, sf):
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    exact = {(r["query_id"], r["vec_id"]) for r in re_.vector_search(vectors, queries, 5, "cosine").collect()}
-    got = {(r["query_id"], r["vec_id"]) for r in re_.approximate_search(vectors, queries, 5).collect()}
-    assert len(got & exact) >= 0.9 * len(exact)
+    exact = {(r["query_id"], r["vec_id"]) for r in ve.vector_search(vectors, queries, 5, "cosine").collect()}
+    quantiser = ve.fit_quantiser(vectors, 5)
+    got = ve.approximate_search(vectors, queries, 5, quantiser=quantiser).collect()
+    n = vectors.count()
+    compared = max(20, math.ceil(quantiser.refine * n)) / n
+    found = len({(r["query_id"], r["vec_id"]) for r in got} & exact) / len(exact)
+    print(f"{sf}: recall {found:.3f}, {100 * compared:.2f} % of all pairs scored exactly, codes of {quantiser.probes} of {len(quantiser.centres)} cells read")
+    assert found >= 0.9 and (compared < 0.05 or n < 1000)
+    top = {(r["query_id"], r["vec_id"]): r["score"] for r in ve.vector_search(vectors, queries, 5, "cosine").collect()}
+    assert all(abs(r["score"] - top[r["query_id"], r["vec_id"]]) < 2e-6 for r in got if (r["query_id"], r["vec_id"]) in top)
+
+
+def test_approximate_search_of_clusters_looks_into_few_cells(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(40, 32))[rng.integers(0, 40, 4000)] + 0.15 * rng.normal(size=(4000, 32))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    vectors = spark.createDataFrame([*rows, (4000, None), (4001, [1.0]), (4002, [float("nan")] * 32)], "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 50 = 0 and vec_id < 4000").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    quantiser = ve.fit_quantiser(vectors, 5, most=2000)
+    assert quantiser.probes <= len(quantiser.centres) / 4
+    exact = {(r["query_id"], r["vec_id"]) for r in ve.vector_search(vectors, queries, 5, "cosine").collect()}
+    got = {(r["query_id"], r["vec_id"]) for r in ve.approximate_search(vectors, queries, 5, quantiser=quantiser).collect()}
+    assert len(got & exact) >= 0.9 * len(exact) and len(got) == len(exact)
+    assert ve.approximate_search(vectors.limit(0), queries, 5).count() == 0
 
 
 def test_rerank_orders_candidates_by_their_product(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import chunking as ch
 from tessera.operators import memory as me
 from tessera.operators import retrieval as re_
+from tessera.operators import vectors as ve
 
 TEXTS = ["", "short", "One. Two! Three? " * 40, "Heading\nbody text here.\n\nMore of it.\nHead Two\n" + "x" * 300, "a|b\n" + "\n".join(f"{i}|{i}" for i in range(60))]
 
@@ -80,7 +81,7 @@ def test_vector_search_is_exact(spark):
     v = rng.normal(size=(80, 8)).astype(np.float32)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
     asked = df.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in re_.vector_search(df, asked, 4).collect()}
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ve.vector_search(df, asked, 4).collect()}
     unit = v / np.sqrt((v.astype(float) ** 2).sum(axis=1, keepdims=True))
     for q in range(3):
         assert [got[q, k] for k in range(1, 5)] == np.argsort(-(unit @ unit[q]), kind="stable")[:4].tolist()
@@ -134,9 +135,9 @@ def test_query_blocks_meet_every_row(spark, monkeypatch):
     v = np.random.default_rng(3).random((90, 8))
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
     asked = df.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    want = sorted(map(tuple, re_.vector_search(df, asked, 4).collect()))
-    monkeypatch.setattr(re_, "QUERY_LIMIT", 7)
-    got = re_.vector_search(df, asked, 4)
+    want = sorted(map(tuple, ve.vector_search(df, asked, 4).collect()))
+    monkeypatch.setattr(ve, "QUERY_LIMIT", 7)
+    got = ve.vector_search(df, asked, 4)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert sorted(map(tuple, got.collect())) == want and len(want) == 180
@@ -150,3 +151,56 @@ def test_searches_ask_every_fiftieth_row(spark):
         assert sorted(r[0] for r in got.select("query_id").distinct().collect()) == list(range(0, 500, 50))
     for name in ("v02_bm25", "v08_hybrid", "v12_retrieve"):
         assert {r[0] for r in texts.C.queries[name](spark, "/root/testdata/sf0.001").select("query_id").distinct().collect()} >= {0}
+
+
+def near_rows(rng, n, width):
+    """Vectors around few centres, with ties, an unwanted width, a null and one that isn't finite."""
+    v = rng.normal(size=(8, width))[rng.integers(0, 8, n)] + 0.4 * rng.normal(size=(n, width))
+    v[5], v[17] = v[4], v[4]
+    rows = [(i, int(i % 3), x.tolist()) for i, x in enumerate(np.round(v, 3))]
+    return [*rows, (n, 0, [1.0]), (n + 1, 1, None), (n + 2, 2, [float("inf")] * width)]
+
+
+def test_block_products_match_pairs(spark, monkeypatch):
+    rows = near_rows(np.random.default_rng(8), 60, 6)
+    df = spark.createDataFrame(rows, "vec_id long, kind int, embedding array<double>").repartition(5)
+    asked = df.where("vec_id % 4 = 0 and vec_id < 60").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    whole = {i: np.array(x) for i, _, x in rows[:60]}
+    kinds = {i: k for i, k, _ in rows}
+
+    def score(a, b, metric):
+        if metric == "l2":
+            return round(1 / (1 + float(((a - b) ** 2).sum())), 6)
+        return round(float(a @ b) / (1 if metric == "dot" else float(np.sqrt(a @ a) * np.sqrt(b @ b))), 6)
+
+    def plain(metric, k, per_kind):
+        out = set()
+        for q in range(0, 60, 4):
+            found = sorted((-score(whole[q], x, metric), i) for i, x in whole.items())
+            if per_kind:
+                found = sorted(x for kind in range(3) for x in [f for f in found if kinds[f[1]] == kind][:k])
+            out |= {(q, i, -s, rank) for rank, (s, i) in enumerate(found[:k], 1)}
+        return out
+
+    for limit in (4096, 4):
+        monkeypatch.setattr(ve, "QUERY_LIMIT", limit)
+        for metric in ("dot", "cosine", "l2"):
+            found = ve.vector_search(df, asked, 5, metric)
+            assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+            assert {(r["query_id"], r["vec_id"], round(r["score"], 6), r["rank"]) for r in found.collect()} == plain(metric, 5, False)
+    found = ve.recall(df, asked, "kind", 4).collect()
+    assert {(r["query_id"], r["vec_id"], round(r["score"], 6), r["rank"]) for r in found} == plain("l2", 4, True)
+    none = df.limit(0)
+    assert ve.vector_search(none, asked, 5).count() == 0 and ve.vector_search(df, asked.limit(0), 5).count() == 0
+
+
+def test_hybrid_filters_before_or_after_the_cut(spark):
+    docs = spark.createDataFrame([(i, "alpha beta" if i < 4 else "gamma", "en" if i % 2 else "fr") for i in range(120)], "doc_id long, text string, lang string")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(120)], "doc_id long, embedding array<double>")
+    queries, asked = spark.createDataFrame([(1, "alpha")], "query_id long, query string"), spark.createDataFrame([(1, [0.0, 1.0])], "query_id long, query_vector array<double>")
+    run = lambda mode: [r["doc_id"] for r in re_.hybrid_search(docs, vectors, queries, asked, 40, docs, F.col("lang") == "en", mode).orderBy("rank").collect()]
+    pre, post = run("pre"), run("post")
+    assert len(pre) == 40 and len(post) == 40 and all(i % 2 for i in pre + post)
+    few = [r["doc_id"] for r in re_.hybrid_search(docs, vectors, queries, asked, 10, docs, F.col("doc_id") >= 70, "post").collect()]
+    many = [r["doc_id"] for r in re_.hybrid_search(docs, vectors, queries, asked, 10, docs, F.col("doc_id") >= 70, "pre").collect()]
+    assert few == [] and len(many) == 10
