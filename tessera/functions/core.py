@@ -176,11 +176,74 @@ def smallest_mode(df: DataFrame, c: str | Column, name: str, by: Sequence[str] =
     return counts.groupBy(*by).agg(F.min_by(name, F.struct(-F.col("_k"), F.col(name))).alias(name))
 
 
-def pct_rank_avg(order: Column, by: Sequence[str] = ()) -> Column:
-    """Rank over the number of rows, ties sharing their mean rank."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, order))
-    whole = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return (F.rank().over(Window.partitionBy(*by).orderBy(order)) + (ties - 1) / 2) / whole
+#: Ranges that values are dealt to, so that no task sorts a whole column.
+RANGES = 200
+
+
+def _ranges(df: DataFrame, value: str) -> DataFrame:
+    """One row, ``_bounds``: values that cut a numeric column in at most RANGES ranges of about as many rows each."""
+    cuts = F.percentile_approx(value, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(50 * RANGES))
+    return df.agg(F.array_distinct(F.coalesce(cuts, F.array().cast("array<double>"))).alias("_bounds"))
+
+
+def same(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``a`` with the other columns of ``b`` where the keys are equal, null with null."""
+    right = b.select(*[F.col(k).alias(f"_same_{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_same_{i}")) for i, k in enumerate(keys)]
+    return a.join(right, on, how).drop(*[f"_same_{i}" for i in range(len(keys))])
+
+
+def with_range(df: DataFrame, value: str, name: str = "_range") -> DataFrame:
+    """Adds the number of the range that ``value`` lies in; equal values share one, nulls are in the first."""
+    cut = df.join(F.broadcast(_ranges(df, value)))
+    return cut.withColumn(name, F.size(F.filter("_bounds", lambda b: b < F.coalesce(F.col(value), b)))).drop("_bounds")
+
+
+def _before(totals: DataFrame, by: Sequence[str], n: str) -> DataFrame:
+    """(by, _range, _base, _all): rows in the ranges before, and in all; a group has RANGES rows here at most."""
+    w = Window.partitionBy(*by)
+    base = F.coalesce(F.sum(n).over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return totals.select(*by, "_range", base.alias("_base"), F.sum(n).over(w).alias("_all"))
+
+
+def with_pct_ranks(df: DataFrame, ranks: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """Adds each name: the rank of its numeric column over the number of rows (of the group), ties sharing their mean rank, nulls first.
+
+    Values are counted, the counts added up within ranges of values and over the ranges' totals, and the ranks joined
+    back by value. So a task sorts a range of distinct values of a group, never its rows.
+    """
+    for i, (name, value) in enumerate(ranks.items()):
+        v = f"_v{i}"
+        df = df.withColumn(v, value.cast("double"))
+        counts = with_range(df.groupBy(*by, v).agg(F.count(F.lit(1)).alias("_k")), v)
+        upto = F.sum("_k").over(Window.partitionBy(*by, "_range").orderBy(F.asc_nulls_first(v)).rowsBetween(Window.unboundedPreceding, 0))
+        totals = _before(counts.groupBy(*by, "_range").agg(F.sum("_k").alias("_n")), by, "_n")
+        counts = counts.withColumn("_upto", upto)
+        placed = same(counts, totals if by else F.broadcast(totals), [*by, "_range"])
+        share = (F.col("_base") + F.col("_upto") - (F.col("_k") - 1) / 2) / F.col("_all")
+        df = same(df, placed.select(*by, v, share.alias(name)), [*by, v]).drop(v)
+    return df
+
+
+def in_blocks(df: DataFrame, ts: str, by: Sequence[str] = (), halo: int = 1, size: int = 100_000) -> DataFrame:
+    """The rows of each series in blocks of ``size`` rows, each preceded by the ``halo`` rows before it: adds _pos, _block, _halo.
+
+    Rows are numbered by ``ts`` within ranges of it and over the ranges' counts, so a series of any length, with or
+    without keys, is many tasks; a window over (by, _block) ordered by _pos sees what it would see in one piece, as far
+    back as ``halo`` rows. Rows with _halo are there for others' sake. Rows of one time are in any order.
+    """
+    if size < halo:
+        raise ValueError("a block has at least as many rows as its halo")
+    at = with_range(df.withColumn("_t", micros(ts).cast("double")), "_t")
+    totals = _before(at.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n")), by, "_n")
+    number = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(F.asc_nulls_first("_t")))
+    at = same(at.withColumn("_i", number), totals if by else F.broadcast(totals), [*by, "_range"])
+    at = at.withColumn("_pos", F.col("_base") + F.col("_i") - 1).drop("_t", "_range", "_i", "_base", "_all")
+    own = F.floor(F.col("_pos") / size)
+    place = lambda block, extra: F.struct(block.alias("_block"), F.lit(extra).alias("_halo"))
+    late = F.col("_pos") % size >= size - halo
+    both = F.when(late, F.array(place(own, False), place(own + 1, True))).otherwise(F.array(place(own, False)))
+    return at.select("*", F.inline(both))
 
 
 def duplicate_rows(df: DataFrame) -> Column:

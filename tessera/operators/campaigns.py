@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.core import month, pct_rank_avg, r, safe_divide, sigma_outliers, top_n_share, with_quantiles
+from tessera.functions.core import month, r, safe_divide, sigma_outliers, top_n_share, with_pct_ranks, with_quantiles
 
 MEASURES = ("spent", "impressions", "clicks", "conversions", "revenue")
 
@@ -76,8 +76,10 @@ def budget_concentration(df: DataFrame) -> DataFrame:
 
 def efficiency(df: DataFrame, key: str = "campaign_id") -> DataFrame:
     """Score of 0 to 100 from ranks: return 40, conversion 30, clicks 15, cost per conversion 15 (lower is better)."""
-    rows = row_metrics(df)
-    score = 40 * pct_rank_avg(F.col("roas")) + 30 * pct_rank_avg(F.col("conversion_pct")) + 15 * pct_rank_avg(F.col("ctr_pct")) + 15 * pct_rank_avg(-F.col("cpa"))
+    cost = -F.col("cpa")
+    rows = row_metrics(df).select(key, "roas", "conversion_pct", "ctr_pct", "cpa")
+    rows = with_pct_ranks(rows, {"_returns": F.col("roas"), "_converts": F.col("conversion_pct"), "_clicks": F.col("ctr_pct"), "_cheap": cost})
+    score = 40 * F.col("_returns") + 30 * F.col("_converts") + 15 * F.col("_clicks") + 15 * F.col("_cheap")
     return rows.select(key, r(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0))).alias("score"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampType
 from pyspark.sql.window import Window
 
-from tessera.functions.core import MICROS_PER_DAY, bias_corrected_skew, col, corr_matrix, exact_quantiles, micros, numeric_columns, r, safe_divide, smallest_mode, value_counts, with_quantiles
+from tessera.functions.core import MICROS_PER_DAY, bias_corrected_skew, col, corr_matrix, exact_quantiles, in_blocks, micros, numeric_columns, r, safe_divide, same, smallest_mode, value_counts, with_quantiles
 
 
 def _long(df: DataFrame, measures: dict[str, list[Column]], names: Sequence[str]) -> DataFrame:
@@ -98,10 +98,24 @@ def readiness(df: DataFrame) -> DataFrame:
 
 
 def source_correlation(df: DataFrame, source: str, metric: str, value: str, metrics: Sequence[str] | None = None, above: float = 0.7) -> DataFrame:
-    """Pairs of metrics whose means by source correlate: (a, b, r, strong)."""
-    wide = df.groupBy(source).pivot(metric, list(metrics) if metrics else None).avg(value)
-    names = [c for c in wide.columns if c != source]
-    return corr_matrix(wide, names).select("a", "b", r("r").alias("r"), (F.abs("r") > above).alias("strong"))
+    """Pairs of metrics whose means by source correlate: (a, b, r, strong); a before b in the order of ``metrics``, else of their names.
+
+    Means stay in long form: those of one source meet, and six sums for each pair of metrics give its correlation over the
+    sources that have both. No list of metrics is gathered; a source has as many rows as it has metrics.
+    """
+    means = df.where(F.col(metric).isNotNull()).groupBy(F.col(source).alias("_s"), F.col(metric).alias("_m")).agg(F.avg(value).alias("_x")).where("_x is not null")
+    if metrics is not None:
+        place = F.array_position(F.array(*[F.lit(m) for m in metrics]), F.col("_m"))
+        means = means.withColumn("_o", place).where("_o > 0")
+    else:
+        means = means.withColumn("_o", F.col("_m"))
+    left, right = (means.select("_s", *[F.col(c).alias(f"{c}{side}") for c in ("_m", "_x", "_o")]) for side in "ab")
+    both = same(left, right, ["_s"]).where("_oa < _ob")
+    x, y = F.col("_xa"), F.col("_xb")
+    sums = both.groupBy("_ma", "_mb").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(e).alias(k) for k, e in (("x", x), ("y", y), ("xx", x * x), ("yy", y * y), ("xy", x * y))])
+    spread = F.sqrt(F.expr("greatest(n * xx - x * x, 0d)")) * F.sqrt(F.expr("greatest(n * yy - y * y, 0d)"))
+    found = sums.withColumn("r", F.try_divide(F.expr("n * xy - x * y"), spread))
+    return found.select(F.col("_ma").alias("a"), F.col("_mb").alias("b"), r("r").alias("r"), (F.abs("r") > above).alias("strong"))
 
 
 def coverage(df: DataFrame, ts: str, days: int = 30) -> DataFrame:
@@ -135,10 +149,14 @@ def grouped_mean(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     return sets.select(which.alias("dimension"), label.alias("label"), "mean", "n").where("label is not null")
 
 
-def series_statistics(df: DataFrame, ts: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+#: Rows of a series in one block; a window's task holds one block and the rows just before it.
+SERIES_BLOCK = 100_000
+
+
+def series_statistics(df: DataFrame, ts: str, value: str, by: Sequence[str] = (), size: int = SERIES_BLOCK) -> DataFrame:
     """Per series (all rows are one, unless ``by`` says more): points, mean, std, min, max, median, slope per day, trend, volatility, variation, range, forecast horizon and sufficiency."""
-    order = Window.partitionBy(*by).orderBy(ts) if by else Window.orderBy(ts)
-    step = df.withColumn("_pct", F.try_divide(F.col(value), F.lag(value).over(order)) - 1)
+    order = Window.partitionBy(*by, "_block").orderBy("_pos")
+    step = in_blocks(df, ts, by, 1, size).withColumn("_pct", F.try_divide(F.col(value), F.lag(value).over(order)) - 1).where("not _halo")
     days = F.floor((micros(F.max(ts)) - micros(F.min(ts))) / MICROS_PER_DAY)
     slope = safe_divide(F.max_by(value, ts) - F.min_by(value, ts), days)
     n = F.count(value)
@@ -151,18 +169,19 @@ def series_statistics(df: DataFrame, ts: str, value: str, by: Sequence[str] = ()
     return with_quantiles(one, df, {"median": (value, 0.5)}, by)
 
 
-def indicators(df: DataFrame, ts: str, value: str, by: Sequence[str] = (), n: int = 20, rsi: int = 14) -> DataFrame:
+def indicators(df: DataFrame, ts: str, value: str, by: Sequence[str] = (), n: int = 20, rsi: int = 14, size: int = SERIES_BLOCK) -> DataFrame:
     """Adds moving average, band edges, volatility, momentum and relative strength over the last rows of a series."""
-    order = Window.partitionBy(*by).orderBy(ts) if by else Window.orderBy(ts)
+    order = Window.partitionBy(*by, "_block").orderBy("_pos")
     last, few = order.rowsBetween(-n + 1, 0), order.rowsBetween(-rsi + 1, 0)
     step = F.col(value) - F.lag(value).over(order)
+    df = in_blocks(df, ts, by, max(n, rsi) + 1, max(size, max(n, rsi) + 1))
     df = df.withColumns({"_up": F.when(step > 0, step).otherwise(0.0), "_down": F.when(step < 0, -step).otherwise(0.0)})
     mean, std = F.avg(value).over(last), F.coalesce(F.stddev_samp(value).over(last), F.lit(0.0))
     up, down = F.avg("_up").over(few), F.avg("_down").over(few)
     return df.withColumns({
         "moving_average": r(mean, 6), "band_low": r(mean - 2 * std, 6), "band_high": r(mean + 2 * std, 6), "volatility": r(std),
         "momentum": r(F.col(value) - F.lag(value, n).over(order)), "rsi": r(F.when(down == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(up, down)))),
-    }).drop("_up", "_down")
+    }).where("not _halo").drop("_up", "_down", "_pos", "_block", "_halo")
 
 
 def negative_feedback(df: DataFrame, c: str, words: Sequence[str] = ("negative", "dissatisfied")) -> DataFrame:

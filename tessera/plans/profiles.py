@@ -18,7 +18,7 @@ per_line = " UNION ALL ".join
 C.on("p13_value_counts", "customer", lambda d: co.value_counts(d, "c_nationkey", 10), 'SELECT c_nationkey, count(*) AS "count" FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10')
 C.on("p17_iqr_outliers", "orders", lambda d: co.iqr_outliers(d.select("o_orderkey", "o_totalprice"), "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders, (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b FROM orders) WHERE o_totalprice < a - 1.5 * (b - a) OR o_totalprice > b + 1.5 * (b - a)")
 C.on("p18_sigma_outliers", "customer", lambda d: co.sigma_outliers(d.select("c_custkey", "c_acctbal"), "c_acctbal", 1.5).select("c_custkey", "c_acctbal"), "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) + 1.5 * stddev_samp(c_acctbal) FROM customer)")
-C.on("p21_pct_rank", "part", lambda d: d.select("p_partkey", co.r(co.pct_rank_avg(F.col("p_size"), ["p_brand"]), 6).alias("pct")), "SELECT p_partkey, round((rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0) / count(*) OVER (PARTITION BY p_brand), 6) AS pct FROM part")
+C.on("p21_pct_rank", "part", lambda d: co.with_pct_ranks(d, {"pct": F.col("p_size")}, ["p_brand"]).select("p_partkey", co.r("pct", 6).alias("pct")), "SELECT p_partkey, round((rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0) / count(*) OVER (PARTITION BY p_brand), 6) AS pct FROM part")
 C.on("p04_parse_number", "orders", lambda d: d.select("o_orderkey", co.parse_number(F.concat(F.lit("$"), F.format_number("o_totalprice", 2))).alias("n"), co.parse_number(F.lit("n/a")).alias("bad")), "SELECT o_orderkey, round(o_totalprice, 2) AS n, NULL::DOUBLE AS bad FROM orders")
 C.on("p09_normalize_label", "orders", lambda d: d.select(co.normalize_label("o_orderpriority").alias("label")).groupBy("label").count(), """SELECT trim(regexp_replace(regexp_replace(lower(o_orderpriority), '[_-]', ' ', 'g'), '\\s+', ' ', 'g')) AS label, count(*) AS "count" FROM orders GROUP BY 1""")
 C.on("p29_duplicate_keys", "lineitem", lambda d: d.groupBy("l_orderkey", "l_linenumber").count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("duplicate_keys")), "SELECT coalesce(sum(k), 0)::BIGINT AS duplicate_keys FROM (SELECT count(*) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
@@ -37,6 +37,13 @@ C.on("a10_class_distribution", "embeddings", lambda d: pr.class_distribution(d,
 C.on("a11_correlated_pairs", "lineitem", lambda d: pr.correlated_pairs(d, LINE, 0.1), "SELECT * FROM (" + per_line(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r FROM lineitem" for i, a in enumerate(LINE) for b in LINE[i + 1 :]) + ") WHERE abs(r) > 0.1")
 C.on("a12_readiness", "part", pr.readiness, "SELECT 0.0::DOUBLE AS null_share, 'READY' AS verdict, true AS needs_encoding, false AS needs_imputing FROM part LIMIT 1")
 KINDS = ("click", "error", "purchase", "signup", "view")
+C.on(
+    "a14_all_metrics", "lineitem", lambda d: pr.source_correlation(d.withColumn("metric", F.concat_ws("-", "l_returnflag", "l_linestatus")), "l_suppkey", "metric", "l_quantity"),
+    """
+    WITH m AS (SELECT l_suppkey AS s, concat_ws('-', l_returnflag, l_linestatus) AS m, avg(l_quantity) AS x FROM lineitem GROUP BY 1, 2)
+    SELECT a.m AS a, b.m AS b, round(corr(a.x, b.x), 4) AS r, abs(corr(a.x, b.x)) > 0.7 AS strong
+    FROM m a JOIN m b USING (s) WHERE a.m < b.m GROUP BY 1, 2""",
+)
 C.on("a14_source_correlation", "events", lambda d: pr.source_correlation(d, "user_id", "event_type", "value", KINDS), "WITH w AS (SELECT user_id, " + ", ".join(f"avg(value) FILTER (WHERE event_type = '{k}') AS {k}" for k in KINDS) + " FROM events GROUP BY 1) " + per_line(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r, abs(corr({a}, {b})) > 0.7 AS strong FROM w" for i, a in enumerate(KINDS) for b in KINDS[i + 1 :]))
 C.on("a13_records_by_source", "events", lambda d: op.distributions(d, ["user_id", "event_type"]), "SELECT 'user_id' AS dimension, user_id::VARCHAR AS label, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'event_type', event_type, count(*) FROM events GROUP BY 2")
 C.on("a15_coverage", "events", lambda d: pr.coverage(d, "ts").select("days", "coverage"), "SELECT d AS days, CASE WHEN d > 30 THEN 'COMPLETE' ELSE 'PARTIAL' END AS coverage FROM (SELECT floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0)::BIGINT AS d FROM events)")
@@ -50,6 +57,21 @@ DAILY = "WITH s AS (SELECT date_trunc('day', o_orderdate) AS day, round(sum(o_to
 C.on("a22_series", "orders", lambda d: pr.series_statistics(daily(d), "day", "value"), f"""{DAILY}, p AS (SELECT day, value, value / lag(value) OVER (ORDER BY day) - 1 AS p FROM s), x AS (SELECT (arg_max(value, day) - arg_min(value, day)) / floor((epoch_us(max(day)) - epoch_us(min(day))) / 86400000000.0) AS slope FROM s)
  SELECT count(value) AS points, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max, round(median(value), 4) AS median, round(slope, 4) AS slope, CASE WHEN slope > 0 THEN 'UP' ELSE 'DOWN' END AS trend,
  round(stddev_samp(p), 4) AS volatility, round(stddev_samp(value) / (avg(value) + 1e-4), 4) AS variation, round(max(value) - min(value), 4) AS range, least(floor(count(value) / 4), 12)::BIGINT AS horizon, count(value) > 20 AS sufficient FROM p, x GROUP BY slope""")
+C.on(
+    "a28_one_series", "events", lambda d: pr.indicators(d.groupBy("ts").agg(F.sum("value").alias("value")), "ts", "value", size=5000).select("ts", "moving_average", "momentum", "rsi"),
+    """
+    WITH s AS (SELECT ts, sum(value) AS value FROM events GROUP BY ts),
+    d AS (SELECT ts, value, value - lag(value) OVER (ORDER BY ts) AS step, lag(value, 20) OVER (ORDER BY ts) AS l FROM s),
+    u AS (SELECT *, CASE WHEN step > 0 THEN step ELSE 0 END AS up, CASE WHEN step < 0 THEN -step ELSE 0 END AS down FROM d),
+    a AS (
+      SELECT ts, value, l, avg(value) OVER (ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m,
+             avg(up) OVER (ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS up,
+             avg(down) OVER (ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS down
+      FROM u)
+    SELECT ts, round(m, 6) AS moving_average, round(value - l, 4) AS momentum,
+           round(CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END, 4) AS rsi
+    FROM a""",
+)
 C.on("a28_indicators", "events", lambda d: pr.indicators(d.select("event_id", "user_id", "ts", "value"), "ts", "value", ["user_id"]).select("event_id", "moving_average", "band_low", "band_high", "momentum"), """SELECT event_id, round(m, 6) AS moving_average, round(m - 2 * s, 6) AS band_low, round(m + 2 * s, 6) AS band_high, round(value - l, 4) AS momentum FROM (SELECT event_id, value, avg(value) OVER w AS m, coalesce(stddev_samp(value) OVER w, 0) AS s, lag(value, 20) OVER (PARTITION BY user_id ORDER BY ts) AS l
  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))""")
 

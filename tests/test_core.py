@@ -41,7 +41,7 @@ def test_statistics_match_pandas(spark):
     assert got["q"] == pytest.approx(x.quantile(0.3))
     assert got["m"] == x.round().mode().min()
     t = pd.Series(rng.integers(0, 9, 60))
-    ranked = spark.createDataFrame(pd.DataFrame({"t": t})).select("t", co.pct_rank_avg(F.col("t")).alias("p")).toPandas()
+    ranked = spark.createDataFrame(pd.DataFrame({"t": t})).transform(lambda d: co.with_pct_ranks(d, {"p": F.col("t")})).toPandas()
     assert sorted(ranked["p"]) == pytest.approx(sorted(t.rank(pct=True)))
 
 
@@ -100,3 +100,41 @@ def test_exact_quantiles_of_many_rows_groups_and_nothing(spark, monkeypatch):
     for r in co.exact_quantiles(df, {"m": ("x", 0.5)}, ["g"]).collect():
         assert r["m"] == pytest.approx(np.median([v for g, v in rows if g == r["g"] and v is not None]))
     assert co.exact_quantiles(df.where("g = 9"), {"m": ("x", 0.5)}).first()["m"] is None
+
+
+def test_ranks_by_ranges_equal_ranks_in_one_piece(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = [None if v > 37 else float(v) for v in rng.integers(0, 40, 400)]
+    rows = [(i, x[i], (None, "a", "b")[int(rng.integers(0, 3))] if i % 3 else "a") for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, x double, g string").repartition(7)
+    for ranges in (3, 200):
+        monkeypatch.setattr(co, "RANGES", ranges)
+        whole = co.with_pct_ranks(df, {"p": F.col("x"), "q": -F.col("x")})
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan
+        got = {r["i"]: (r["p"], r["q"]) for r in whole.collect()}
+        t = pd.DataFrame(rows, columns=["i", "x", "g"]).set_index("i")
+        up, down = (s.fillna(-1e9).rank(pct=True) for s in (t["x"], -t["x"]))
+        assert len(got) == 400 and all(got[i] == (pytest.approx(up[i]), pytest.approx(down[i])) for i in range(400))
+        got = {r["i"]: r["p"] for r in co.with_pct_ranks(df, {"p": F.col("x")}, ["g"]).collect()}
+        each = t["x"].fillna(-1e9).groupby(t["g"].fillna("")).rank(pct=True)
+        assert all(got[i] == pytest.approx(each[i]) for i in range(400))
+    assert co.with_pct_ranks(df.limit(0), {"p": F.col("x")}).count() == 0
+
+
+def test_a_series_in_blocks_equals_one_piece(spark, monkeypatch):
+    from tessera.operators import profiling as pr
+
+    monkeypatch.setattr(co, "RANGES", 9)
+    rng = np.random.default_rng(2)
+    rows = [(f"2024-01-01 {i // 3600:02}:{i // 60 % 60:02}:{i % 60:02}", float(v), "ab"[i % 7 == 0]) for i, v in enumerate(rng.normal(50, 9, 300))]
+    df = spark.createDataFrame(rows, "at string, v double, g string").withColumn("ts", F.to_timestamp("at")).repartition(5)
+    for by in ([], ["g"]):
+        small, whole = (sorted(map(str, pr.indicators(df, "ts", "v", by, size=n).select("at", "moving_average", "band_low", "momentum", "rsi", "volatility").collect())) for n in (25, 100_000))
+        assert len(small) == 300 and small == whole
+        small, whole = (sorted(map(str, pr.series_statistics(df, "ts", "v", by, size=n).collect())) for n in (4, 100_000))
+        assert small == whole
+    blocks = co.in_blocks(df, "ts", halo=3, size=10)
+    assert blocks.where("not _halo").count() == 300 and blocks.select("_block").distinct().count() == 31
+    per = blocks.where("_block = 4").orderBy("_pos").collect()
+    assert [r["_pos"] for r in per] == list(range(37, 50)) and [r["_halo"] for r in per] == [True] * 3 + [False] * 10
