@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,24 +29,43 @@ def fixed_windows(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     return rows.select(key, "chunk_index", F.col(text).substr((begin + 1).cast("int"), width.cast("int")).alias("content"))
 
 
-def packed(parts: Column, glue: str, size: int) -> Column:
-    """Neighbouring parts joined while they fit into ``size`` characters; a longer part stands alone. An array."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-    def add(acc: Column, part: Column) -> Column:
-        fits = F.length(acc["now"]) + F.length(part) + len(glue) <= size
-        return (
-            F.when(acc["now"] == "", F.struct(acc["done"].alias("done"), part.alias("now")))
-            .when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.lit(glue), part).alias("now")))
-            .otherwise(F.struct(F.array_append(acc["done"], acc["now"]).alias("done"), part.alias("now")))
-        )
+def breaks(sizes: np.ndarray, glue: int, size: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of the runs of parts that are joined: each as long as it fits into ``size`` with ``glue`` characters between parts.
 
-    return F.filter(F.aggregate(parts, empty, add, lambda acc: F.array_append(acc["done"], acc["now"])), lambda x: x != "")
+    A run's end is looked up in the running sum of lengths, so the work goes by the chunks made, not by how the text grows.
+    """
+    upto = np.concatenate(([0], np.cumsum(sizes + glue)))
+    first = 0
+    while first < len(sizes):
+        end = max(first + 1, int(np.searchsorted(upto, upto[first] + size + glue, "right")) - 1)
+        yield first, end
+        first = end
+
+
+def packed(df: DataFrame, keep: Sequence[str], parts: Column, glue: str, size: int) -> DataFrame:
+    """keep, chunk_index, content: neighbouring parts joined while they fit into ``size`` characters; a longer part stands alone."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keep))
+            sizes, ends = pc.utf8_length(lists.flatten()).to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+            words, row, index, content, begin = lists.flatten().to_pylist(), [], [], [], 0
+            for i, end in enumerate(ends.tolist()):
+                for n, (a, b) in enumerate(breaks(sizes[begin:end].astype(np.int64), len(glue), size)):
+                    row.append(i)
+                    index.append(n)
+                    content.append(glue.join(words[begin + a : begin + b]))
+                begin = end
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keep))), pa.array(index, pa.int32()), pa.array(content, pa.string())], names=[*keep, "chunk_index", "content"])
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
+    return df.select(*keep, parts.alias("_parts")).mapInArrow(join, f"{kinds}, chunk_index int, content string")
 
 
 def _packed(df: DataFrame, key: str, text: str, pattern: str, glue: str, size: int) -> DataFrame:
     parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), pattern), lambda x: F.trim(x)), lambda x: x != "")
-    return df.select(key, F.posexplode(packed(parts, glue, size)).alias("chunk_index", "content"))
+    return packed(df, [key], parts, glue, size)
 
 
 def sentence_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
@@ -67,7 +91,7 @@ def structured_chunks(blocks: DataFrame, key: str = "doc_id", size: int = SIZE)
     per = rows.groupBy(key, "section").agg(body.alias("_b"))  # as long as one document
     heading = F.when(F.element_at("_b", 1)["is_heading"], F.element_at("_b", 1)["block"])
     parts = F.transform(F.filter("_b", lambda b: ~b["is_heading"]), lambda b: b["block"])
-    return per.select(key, "section", heading.alias("heading"), F.posexplode(packed(parts, "\n", size)).alias("chunk_index", "content"))
+    return packed(per.withColumn("heading", heading), [key, "section", "heading"], parts, "\n", size)
 
 
 def table_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TABLE_ROWS) -> DataFrame:
@@ -123,28 +147,39 @@ def automatic(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return df.select(key, F.when(table, "table").when(F.col(text).contains("\n\n"), "paragraph").otherwise("structure").alias("strategy"))
 
 
+def split_ends(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of windows that end behind the last blank line, line end or space in them, each begun ``overlap`` before the last end.
+
+    Cuts are looked for behind the overlap only, so that each window ends later than the one before.
+    """
+    begin = 0
+    while begin < len(text):
+        end = min(begin + size, len(text))
+        if end < len(text):
+            end = next((at + len(s) for s in ("\n\n", "\n", " ") if (at := text.rfind(s, begin + overlap + 1, end)) > 0), end)
+        yield begin, end
+        if end == len(text):
+            return
+        begin = end - overlap
+
+
 def recursive_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 800, overlap: int = 100) -> DataFrame:
-    """Windows that end at the last paragraph, line, sentence or word end inside them, each starting ``overlap`` before the last end."""
-    import pandas as pd
-
-    def cut(frames):
-        for f in frames:
-            rows = []
-            for k, t in zip(f["k"], f["t"], strict=True):
-                at, i = 0, 0
-                while at < len(t):
-                    end = min(at + size, len(t))
-                    if end < len(t):
-                        end = next((p + len(s) for s in ("\n\n", "\n", ". ", " ") if (p := t.rfind(s, at + overlap + 1, end)) > 0), end)
-                    rows.append((k, i, t[at:end]))
-                    i += 1
-                    if end == len(t):
-                        break
-                    at = end - overlap
-            yield pd.DataFrame(rows, columns=["k", "chunk_index", "content"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(cut, f"k {kind}, chunk_index long, content string").withColumnRenamed("k", key)
+    """key, chunk_index, content: the stripped text in windows of split_ends(), stripped, empty ones left out and not numbered."""
+    if not 0 <= overlap < size - 2:
+        raise ValueError("the overlap is shorter than a window")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, index, content = [], [], []
+            for i, whole in enumerate(batch.column(1).to_pylist()):
+                whole = (whole or "").strip()
+                made = [c for a, b in split_ends(whole, size, overlap) if (c := whole[a:b].strip())]
+                row += [i] * len(made)
+                index += range(len(made))
+                content += made
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(index, pa.int64()), pa.array(content, pa.string())], names=[key, "chunk_index", "content"])
+
+    return df.select(key, text).mapInArrow(cut, f"`{key}` {df.schema[key].dataType.simpleString()}, chunk_index long, content string")
 
 
 def structure_or_windows(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:

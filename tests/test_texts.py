@@ -66,8 +66,27 @@ def test_structure(spark):
 
 def test_recursive_chunks_overlap(spark):
     text = " ".join(f"word{i}" for i in range(600))
-    got = chunks(ch.recursive_chunks(spark.createDataFrame([(0, text)], "doc_id long, text string"), size=200, overlap=30))[0]
-    assert got[0] + "".join(c[30:] for c in got[1:]) == text and max(map(len, got)) <= 200
+    ends = list(ch.split_ends(text, 200, 30))
+    assert ends[0][0] == 0 and ends[-1][1] == len(text) and all(b[0] == a[1] - 30 for a, b in zip(ends[:-1], ends[1:], strict=True))
+    rows = [(0, f"  {text}\n"), (1, None), (2, " \n"), (3, "x" * 450), (4, "short one"), (5, "a\n\n" * 300)]
+    got = chunks(ch.recursive_chunks(spark.createDataFrame(rows, "doc_id long, text string"), size=200, overlap=30))
+    assert got[0] == [text[a:b].strip() for a, b in ends] and max(map(len, got[0])) <= 200
+    assert set(got) == {0, 3, 4, 5} and got[3] == ["x" * 200, "x" * 200, "x" * 110] and got[4] == ["short one"]
+    assert all(c.startswith("a") and c.endswith("a") for c in got[5])
+
+
+def test_packing_takes_time_in_proportion(spark):
+    import time
+
+    sizes = np.full(1_000_000, 11, np.int64)
+    began = time.time()
+    runs = list(ch.breaks(sizes, 1, 1600))
+    assert time.time() - began < 2 and runs[0] == (0, 133) and runs[-1][1] == 1_000_000
+    assert all(b - a == 133 for a, b in runs[:-1])
+    text = "a sentence. " * 1_000_000
+    began = time.time()
+    got = ch.sentence_chunks(spark.createDataFrame([(1, text)], "doc_id long, text string")).agg(F.count(F.lit(1)), F.sum(F.length("content"))).first()
+    assert got[0] == 7519 and got[1] == 12_000_000 - 7519 and time.time() - began < 60
 
 
 def test_finalize(spark):
