@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import BROADCAST_KEYS, materialize, numbered, table
-from tessera.llm.kernels import LOWER, column, parts, range_hashes
+from tessera.llm.kernels import LOWER, blocks, column, parts, range_hashes
 
 LEAST = 100  #: occurrences of a candidate
 TOP = 2000  #: phrases of each language
@@ -47,11 +47,19 @@ def cut(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return data, start, end, np.diff(breaks, prepend=-1) > 0
 
 
-def _local(raws: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _local(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words, how often each occurs, and the text as numbers of words from 1, 0 between pieces."""
-    data, start, end, first = cut(raws)
-    _, shown, number, times = np.unique(range_hashes(data, start, end), return_index=True, return_inverse=True, return_counts=True)
-    whole = data.tobytes()
+    seen, hashes, starts, ends, gaps, size = [], [], [], [], [], 0
+    for _, raws in blocks(texts):  # what is held for every byte is held for one block
+        data, start, end, first = cut(raws)
+        hashes.append(range_hashes(data, start, end))
+        starts.append(start + size)
+        ends.append(end + size)
+        gaps.append(first)
+        seen.append(data.tobytes())
+        size += len(data)
+    whole, start, end, first = b"".join(seen), *map(np.concatenate, (starts, ends, gaps))
+    _, shown, number, times = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
     words = [whole[s:e] for s, e in zip(start[shown].tolist(), end[shown].tolist(), strict=True)]
     place = np.arange(len(start)) + np.cumsum(first)
     text = np.zeros(len(start) + int(first.sum()) + 1, np.int32)
@@ -74,10 +82,10 @@ def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId() << 32, 0
 
-        def flush(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        def flush(held: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
             nonlocal made
-            for lang, raws in held.items():
-                words, times, text = _local(raws)
+            for lang, texts in held.items():
+                words, times, text = _local(texts)
                 made += 1
                 columns = [[task + made], [lang], [int(times.sum())], [words], [times], [_packed(text)]]
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
@@ -86,9 +94,8 @@ def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
         held, size = {}, 0
         for batch in parts(batches):
             for lang, text in zip(column(batch, "lang"), column(batch, "text"), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                held.setdefault(lang, []).append(raw)
-                size += len(raw)
+                held.setdefault(lang, []).append(text)
+                size += len(text or "")
                 if size >= CHUNK:
                     yield from flush(held)
                     held, size = {}, 0
@@ -138,29 +145,50 @@ def chunk_pairs(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "chunk long, pair long, n long")
 
 
-def suffixes(texts: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(w1 ... w5, n): the distinct suffixes of three words and more in each chunk, as far as frequent pairs reach; 0 after the end."""
+def _chunk_suffixes(text: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct suffixes of three words and more of a chunk, and how often each occurs; ``known``: frequent pairs in order."""
+    at, pair = _pairs(text)
+    ok = np.zeros(len(text) + WORDS, bool)
+    ok[at] = known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] == pair
+    at = np.flatnonzero(ok[:-1] & ok[1:])
+    rows = np.zeros((len(at), WORDS), np.int32)
+    on = np.ones(len(at), bool)
+    for i in range(WORDS):
+        rows[on, i] = text[at[on] + i]
+        on &= ok[at + i]
+    order, new = _sorted(rows)
+    begin = np.flatnonzero(new[:, -1])
+    return rows[order[begin]], np.diff(np.append(begin, len(at)))
+
+
+def suffixes(texts: DataFrame, pairs: DataFrame, often: DataFrame) -> DataFrame:
+    """(w1 ... w5, n): the distinct suffixes of three words and more in each chunk, as far as frequent pairs reach; 0 after the end.
+
+    The frequent pairs, counted first, go to all tasks up to BROADCAST_KEYS of them, eight bytes each; more are joined to the
+    chunks that have them.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(text: bytes, known: np.ndarray) -> pa.RecordBatch:
+        words, n = _chunk_suffixes(_unpacked(text), known)
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)), pa.array(n)], names=[*W, "n"])
+
+    if often.count() <= BROADCAST_KEYS:
+        sent = texts.sparkSession.sparkContext.broadcast(np.sort(often.select("pair").toArrow()["pair"].to_numpy()))
+
+        def with_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in parts(batches, 1):
+                if len(sent.value):
+                    yield rows(column(batch, "text")[0], sent.value)
+
+        return texts.mapInArrow(with_all, f"{SUFFIX}, n long")
+
+    def with_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 1):
-            text = _unpacked(column(batch, "text")[0])
-            known = np.sort(batch.column(batch.schema.get_field_index("pairs")).flatten().to_numpy())
-            at, pair = _pairs(text)
-            ok = np.zeros(len(text) + WORDS, bool)
-            ok[at] = known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] == pair
-            at = np.flatnonzero(ok[:-1] & ok[1:])
-            rows = np.zeros((len(at), WORDS), np.int32)
-            on = np.ones(len(at), bool)
-            for i in range(WORDS):
-                rows[on, i] = text[at[on] + i]
-                on &= ok[at + i]
-            order, new = _sorted(rows)
-            begin = np.flatnonzero(new[:, -1])
-            n = np.diff(np.append(begin, len(at)))
-            rows = rows[order[begin]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(WORDS)), pa.array(n)], names=[*W, "n"])
-
-    return texts.join(frequent.groupBy("chunk").agg(F.collect_list("pair").alias("pairs")), "chunk").mapInArrow(run, f"{SUFFIX}, n long")
+            own = batch.column(batch.schema.get_field_index("pairs")).flatten().to_numpy()
+            yield rows(column(batch, "text")[0], np.sort(own))
+
+    own = pairs.join(often.select("pair"), "pair").groupBy("chunk").agg(F.collect_list("pair").alias("pairs"))
+    return texts.join(own, "chunk").mapInArrow(with_own, f"{SUFFIX}, n long")
 
 
 def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +278,7 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, lang_col: str =
     texts = materialize(coded(pieces, words))
     pairs = chunk_pairs(texts)
     often = materialize(pairs.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    longer = tree_counts(materialize(suffixes(texts, pairs.join(_few(often.select("pair")), "pair"))), least, budget)
+    longer = tree_counts(materialize(suffixes(texts, pairs, often)), least, budget)
     two = often.select(F.array(F.shiftright("pair", 32).cast("int"), F.col("pair").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("p"), "n")
     longer = longer.select(F.filter(F.array(*W), lambda w: w > 0).alias("p"), "n")
     found = materialize(two.unionByName(longer).select(F.col("p").cast("array<int>").alias("p"), F.col("n").alias("a")))

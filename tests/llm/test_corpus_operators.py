@@ -56,8 +56,9 @@ def test_manifest_fields_are_not_ambiguous(spark):
     assert len({r["leaf"] for r in got}) == 4 and len({r["root"] for r in got}) == 1
 
 
-@pytest.mark.parametrize("budget", [1, 7, 1 << 18])
-def test_phrases(spark, docs, rows, budget):
+@pytest.mark.parametrize(("budget", "few"), [(1, 0), (7, 500_000), (1 << 18, 3)])
+def test_phrases(spark, docs, rows, monkeypatch, budget, few):
+    monkeypatch.setattr(phrases, "BROADCAST_KEYS", few)
     got = phrases.phrases(docs, least=3, top=40, budget=budget)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     want = brute.phrases([(r[2], r[1]) for r in rows], 3, 40)
