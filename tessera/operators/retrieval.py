@@ -142,10 +142,36 @@ def may_read(tenant: Column, clearance: str | Column, user: Column, roles: Colum
 
 
 def visibility(docs: DataFrame, users: DataFrame, key: str = "doc_id") -> DataFrame:
-    """user_id, visible: documents that each user may read. Joined by tenant, so users meet their tenant's rows only."""
-    both = docs.join(_small(users.withColumnRenamed("tenant_id", "_tenant")), F.col("tenant_id") == F.col("_tenant"))
-    ok = may_read(F.col("_tenant"), F.col("clearance"), F.col("user_id"), F.col("roles"), F.col("departments"))
-    return both.where(ok).groupBy("user_id").agg(F.count(key).alias("visible"))
+    """user_id, visible: how many documents each user may read by may_read(); users who may read none are left out.
+
+    No user meets a document. Each restricted document is turned into the principals that may read it (its users, owner, roles
+    and departments), and documents of one tenant, rank and set of principals are one class with a count. Users meet the classes by
+    principal, each class once, however many principals lead to it; open documents, and all for admins, are counts by
+    tenant and rank.
+    """
+    table = F.create_map(*[F.lit(x) for pair in RANKS.items() for x in pair])
+    rank_of = lambda c: F.try_element_at(table, F.lower(c))
+    named = lambda kind, c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.concat(F.lit(f"{kind}:"), x.cast("string")))
+    lists = {"user": "allowed_users", "role": "allowed_roles", "department": "allowed_departments"}
+    free = F.lit(True)
+    for c in lists.values():
+        free = free & (F.coalesce(F.size(c), F.lit(0)) <= 0)
+    owner = F.array(F.concat(F.lit("user:"), F.col("owner_id").cast("string")))
+    who = F.array_sort(F.array_distinct(F.array_compact(F.concat(owner, *[named(k, c) for k, c in lists.items()]))))
+    rows = docs.where(F.col(key).isNotNull() & F.col("tenant_id").isNotNull()).select("tenant_id", rank_of(F.coalesce("classification", F.lit("public"))).alias("rank"), free.alias("free"), F.when(free, None).otherwise(who).alias("who"))
+    classes = rows.where("rank is not null").groupBy("tenant_id", "rank", "free", "who").agg(F.count(F.lit(1)).alias("n"))
+    per_rank = classes.groupBy("tenant_id", "rank").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("free"), F.col("n")).otherwise(0)).alias("open"))
+    upto = per_rank.withColumn("clearance", F.explode(F.sequence(F.col("rank"), F.lit(max(RANKS.values()))))).groupBy("tenant_id", "clearance").agg(F.sum("all").alias("all"), F.sum("open").alias("open"))
+
+    mine = F.array_distinct(F.array_compact(F.concat(F.array(F.concat(F.lit("user:"), F.col("user_id").cast("string"))), named("role", "roles"), named("department", "departments"))))
+    asked = users.select("user_id", "tenant_id", rank_of("clearance").alias("clearance"), F.coalesce(F.array_contains("roles", "admin"), F.lit(False)).alias("admin"), mine.alias("who"))
+    by_class = classes.where("not free").select("tenant_id", "rank", "n", "who", F.explode("who").alias("principal"))
+    grants = asked.where("not admin").select("user_id", "tenant_id", "clearance", F.explode("who").alias("principal"))
+    granted = grants.join(by_class, ["tenant_id", "principal"]).where("rank <= clearance").groupBy("user_id", "tenant_id", "rank", "who").agg(F.max("n").alias("n"))
+    granted = granted.groupBy("user_id").agg(F.sum("n").alias("granted"))
+    found = asked.join(upto, ["tenant_id", "clearance"], "left").join(granted, "user_id", "left")
+    count = F.coalesce(F.when(F.col("admin"), F.col("all")).otherwise(F.coalesce("open", F.lit(0)) + F.coalesce("granted", F.lit(0))), F.lit(0))
+    return found.select("user_id", count.cast("long").alias("visible")).where("visible > 0")
 
 
 def edges_from(df: DataFrame, chain: Sequence[tuple[str, str, str, str, str]]) -> DataFrame:

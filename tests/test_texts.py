@@ -223,3 +223,24 @@ def test_hybrid_filters_before_or_after_the_cut(spark):
     few = [r["doc_id"] for r in re_.hybrid_search(docs, vectors, queries, asked, 10, docs, F.col("doc_id") >= 70, "post").collect()]
     many = [r["doc_id"] for r in re_.hybrid_search(docs, vectors, queries, asked, 10, docs, F.col("doc_id") >= 70, "pre").collect()]
     assert few == [] and len(many) == 10
+
+
+def test_visibility_equals_every_user_with_every_document(spark):
+    rng = random.Random(9)
+    some = lambda pool, p: [] if rng.random() < p else rng.sample(pool, rng.randint(1, 2))
+    users = [(f"u{i}", f"t{i % 2}", rng.choice(("public", "Internal", "confidential", "restricted", "other", None)), some(["analyst", "clerk", "admin"], 0.4), some(["d1", "d2"], 0.5)) for i in range(25)]
+    docs = [
+        (i if i != 4 else None, rng.choice(("t0", "t1", "t2", None)), rng.choice(("public", "internal", "CONFIDENTIAL", "restricted", "secret", None)),
+         rng.choice((None, [], ["u1", "u2", None], ["u3"])), some(["analyst", "clerk"], 0.6), some(["d1", "d2"], 0.7), f"u{rng.randint(0, 30)}")
+        for i in range(400)
+    ]
+    kinds = "tenant_id string, classification string, allowed_users array<string>, allowed_roles array<string>, allowed_departments array<string>, owner_id string"
+    left = spark.createDataFrame(docs, f"doc_id long, {kinds}")
+    right = spark.createDataFrame(users, "user_id string, tenant_id string, clearance string, roles array<string>, departments array<string>")
+    found = re_.visibility(left, right)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    both = left.crossJoin(right.withColumnRenamed("tenant_id", "_t"))
+    ok = re_.may_read(F.col("_t"), F.col("clearance"), F.col("user_id"), F.col("roles"), F.col("departments"))
+    want = {r["user_id"]: r["n"] for r in both.where(ok).groupBy("user_id").agg(F.count("doc_id").alias("n")).where("n > 0").collect()}
+    assert {r["user_id"]: r["visible"] for r in found.collect()} == want and len(want) > 10
