@@ -75,6 +75,18 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return out
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct value, by value, and of each place the number of its value; in little memory."""
+    order = np.argsort(hashes, kind="stable").astype(np.int32)
+    new = np.ones(len(order), bool)
+    held = hashes[order]
+    np.not_equal(held[1:], held[:-1], out=new[1:])
+    del held
+    number = np.empty(len(order), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[new], number
+
+
 class Rolling:
     """Hashes of any ranges of one block, by differences of prefix sums modulo 2**64.
 
@@ -103,24 +115,31 @@ class RollingGrams:
 
     def __init__(self, data: np.ndarray, which: int = 0):
         power, self.inverse = _power(which, len(data) + 1)
-        self.eight = grams(data)
+        self.data = data
         self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(mix(self.eight + U(_BASE[1 - which])) * power[: len(data)], out=self.sums[1:])
+        terms = grams(data)
+        terms += U(_BASE[1 - which])
+        terms = mix(terms)
+        terms *= power[: len(data)]
+        np.cumsum(terms, out=self.sums[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         size = end - start
         out = (self.sums[np.maximum(end - 7, start)] - self.sums[start]) * self.inverse[start]
         few = np.flatnonzero(size < 8)
         if len(few):
-            some = start[few]
-            out[few] = mix((self.eight[np.minimum(some, len(self.eight) - 1)] & _FIRST[size[few]]) + U(_BASE[0]))
+            eight = grams(self.data)
+            out[few] = mix((eight[np.minimum(start[few], len(eight) - 1)] & _FIRST[size[few]]) + U(_BASE[0]))
         return mix(out + size.astype(U))
 
     def every(self, width: int) -> np.ndarray:
         n = max(0, len(self.sums) - width)
         if width < 8:
-            return mix((self.eight[:n] & _FIRST[width]) + U(width))
-        return mix((self.sums[width - 7 : width - 7 + n] - self.sums[:n]) * self.inverse[:n] + U(width))
+            return mix((grams(self.data)[:n] & _FIRST[width]) + U(width))
+        out = self.sums[width - 7 : width - 7 + n] - self.sums[:n]
+        out *= self.inverse[:n]
+        out += U(width)
+        return mix(out)
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

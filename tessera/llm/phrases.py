@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import BROADCAST_KEYS, materialize, numbered, table
-from tessera.llm.kernels import LOWER, blocks, column, parts, range_hashes
+from tessera.llm.kernels import LOWER, blocks, column, distinct, parts, range_hashes
 
 LEAST = 100  #: occurrences of a candidate
 TOP = 2000  #: phrases of each language
 WORDS = 5  #: words of the longest phrase; the depth of the subtrees
-CHUNK = 16 << 20  #: bytes of text whose words are counted together
+CHUNK = 8 << 20  #: bytes of text whose words are counted together
 BUDGET = 1 << 18  #: suffixes of a subtree, 24 bytes each
 W = tuple(f"w{i}" for i in range(1, WORDS + 1))
 SUFFIX = ", ".join(f"{w} int" for w in W)
@@ -53,15 +53,17 @@ def _local(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     for _, raws in blocks(texts):  # what is held for every byte is held for one block
         data, start, end, first = cut(raws)
         hashes.append(range_hashes(data, start, end))
-        starts.append(start + size)
-        ends.append(end + size)
+        starts.append((start + size).astype(np.int32))
+        ends.append((end + size).astype(np.int32))
         gaps.append(first)
         seen.append(data.tobytes())
         size += len(data)
+    shown, number = distinct(np.concatenate(hashes))
+    del hashes
+    times = np.bincount(number, minlength=len(shown))
     whole, start, end, first = b"".join(seen), *map(np.concatenate, (starts, ends, gaps))
-    _, shown, number, times = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
     words = [whole[s:e] for s, e in zip(start[shown].tolist(), end[shown].tolist(), strict=True)]
-    place = np.arange(len(start)) + np.cumsum(first)
+    place = np.arange(len(start), dtype=np.int32) + np.cumsum(first, dtype=np.int32)
     text = np.zeros(len(start) + int(first.sum()) + 1, np.int32)
     text[place] = number + 1
     return words, times, text
