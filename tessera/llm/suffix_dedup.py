@@ -190,8 +190,8 @@ def _windows(doc: np.ndarray, start: np.ndarray, pieces: list[bytes], length: in
     row = np.repeat(np.arange(len(pieces)), counts)
     within = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = (np.cumsum(sizes) - sizes)[row] + within
-    one, two = RollingGrams(data, 0), RollingGrams(data, 1)
-    return mix(one.ranges(at, at + length)), mix(two.ranges(at, at + length)), doc[row], start[row] + within, row
+    one, two = (RollingGrams(data, which).every(length)[at] for which in (0, 1))
+    return one, two, doc[row], start[row] + within, row
 
 
 def _sort_buckets(rows: DataFrame, length: int) -> DataFrame:
