@@ -1,7 +1,9 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.memory import hashing_embedder
+from tessera.sources import snapshots as sn
 from tessera.sources import tables as ta
 from tessera.streaming import jobs
 
@@ -66,22 +68,112 @@ def test_streams_match_batches(spark, events, job):
     assert got <= want and len(got) >= (0 if job == "windowed_counts" else 1)  # windows still open at the end are not out yet
 
 
-def test_running_state(spark, events):
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_running_state_ends(spark, tmp_path, rocks):
+    days = {1: [("a", "01 00:00"), ("b", "01 00:05"), ("a", "01 00:06")], 2: [("a", "02 00:00")], 3: [("c", "09 00:00")], 4: [("a", "09 00:30"), ("c", "09 00:31")]}
+    rows, out, source = [], [], str(tmp_path / "in")
+    schema = "user_id string, ts timestamp, event_type string"
+    os.makedirs(source)
+    stream = jobs.running_state(spark.readStream.schema(schema).parquet(source), keep=2, idle="2 days")
+    for n, found in days.items():
+        new = [(u, f"2024-01-{at}:00", f"e{n}{i}") for i, (u, at) in enumerate(found)]
+        rows += new
+        batch = spark.createDataFrame(new, "user_id string, t string, event_type string").select("user_id", F.to_timestamp("t").alias("ts"), "event_type")
+        batch.coalesce(1).write.mode("append").parquet(source)
+        keep = lambda df, _, n=n: out.extend((n, r["entity"], r["events"], r["last"], r["recent"], r["expired"]) for r in df.collect())
+        stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
+    assert (1, "a", 2, "e12", ["e10", "e12"], False) in out and (2, "a", 3, "e20", ["e12", "e20"], False) in out
+    assert sorted(x[1:] for x in out if x[5]) == [("a", 3, "e20", ["e12", "e20"], True), ("b", 1, "e11", ["e11"], True)]
+    last = {e: (n, last, recent) for _, e, n, last, recent, gone in out if not gone}
+    assert last == {"a": (1, "e40", ["e40"]), "b": (1, "e11", ["e11"]), "c": (2, "e41", ["e30", "e41"])}
+    whole = spark.createDataFrame(rows, "user_id string, t string, event_type string").select("user_id", F.to_timestamp("t").alias("ts"), "event_type")
+    got = {r["entity"]: (r["events"], r["last"], r["recent"]) for r in jobs.running_state_of(whole, keep=2, idle="2 days").collect()}
+    assert got == last
+
+
+def test_state_of_events_matches_a_batch(spark, events, rocks):
     batch, stream = events
     drain(jobs.running_state(stream), "m_state", "update")
-    got = {r["entity"]: r["events"] for r in spark.table("m_state").collect()}
-    assert got == {r["user_id"]: r["count"] for r in batch.groupBy("user_id").count().collect()}
-
-
-def test_ingest_and_embed(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "hello there. " * 30, "2024-01-01 00:00:00"), (1, "hello there. " * 30, "2024-01-01 00:00:00"), (2, "other", "2024-01-01 00:00:01")], "doc_id long, text string, t string")
-    docs = docs.select("doc_id", "text", F.to_timestamp("t").alias("ts"))
-    docs.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
-    jobs.ingest(stream, str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination(120)
-    last = spark.read.json(str(tmp_path / "out/_current")).first()["v"]
-    assert {r["doc_id"] for r in spark.read.parquet(str(tmp_path / f"out/v={last}")).collect()} == {1, 2}
-    spark.createDataFrame([], "cache_key string, vector array<float>").write.parquet(str(tmp_path / "cache"))
-    for n in (2, 3):  # the second run finds all keys cached
-        jobs.embed_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), str(tmp_path / "cache"), str(tmp_path / f"c{n}"), hashing_embedder(), "m").awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "cache")).count() == 2
+    got = {r["entity"]: (r["events"], r["last"], r["recent"]) for r in spark.table("m_state").where("not expired").collect()}
+    assert got == {r["entity"]: (r["events"], r["last"], r["recent"]) for r in jobs.running_state_of(batch).collect()}
+
+
+def held(root):
+    return {str(p.relative_to(root)): (p.stat().st_mtime_ns, p.stat().st_size) for p in root.rglob("*.parquet")}
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    root = tmp_path / "snap"
+    first = spark.createDataFrame([(i, 1, f"v{i}") for i in range(200)], "id long, t int, v string")
+    assert sn.read_snapshot(spark, str(root)) is None
+    assert sn.upsert_batch(spark, str(root), first, ["id"], "t", 0, buckets=16)
+    before = held(root)
+    second = spark.createDataFrame([(3, 2, "new"), (7, 0, "late"), (500, 1, "more"), (None, 1, "null")], "id long, t int, v string")
+    assert sn.upsert_batch(spark, str(root), second, ["id"], "t", 1)
+    after = held(root)
+    touched = {r[0] for r in second.select(F.pmod(F.xxhash64("id"), F.lit(16)).alias("b")).distinct().collect()}
+    assert all(after[f] == x for f, x in before.items())  # no file of the first version is changed
+    fresh = {f for f in after if f not in before}
+    assert {int(f.split("_bucket=")[1].split("/")[0]) for f in fresh} == touched and len(touched) < 16
+    want = {i: f"v{i}" for i in range(200)} | {3: "new", 500: "more", None: "null"}
+    assert {r["id"]: r["v"] for r in sn.read_snapshot(spark, str(root)).collect()} == want
+    assert {r["id"]: r["v"] for r in sn.read_snapshot(spark, str(root), 0).collect()} == {i: f"v{i}" for i in range(200)}
+    assert not sn.upsert_batch(spark, str(root), second.withColumn("v", F.lit("again")), ["id"], "t", 1)
+    assert held(root) == after and {r["id"]: r["v"] for r in sn.read_snapshot(spark, str(root)).collect()} == want
+    assert sn.vacuum(spark, str(root)) == len(touched & {int(f.split("_bucket=")[1].split("/")[0]) for f in before})
+    assert {r["id"]: r["v"] for r in sn.read_snapshot(spark, str(root)).collect()} == want and sn.versions(spark, str(root)) == [1]
+
+
+def test_ingest_replaces_documents_by_bucket(spark, tmp_path):
+    def put(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string, t string").select("doc_id", "text", F.to_timestamp("t").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("doc_id long, text string, ts timestamp").parquet(str(tmp_path / "in"))
+        jobs.ingest(stream, str(tmp_path / "out"), str(tmp_path / "c"), buckets=8).awaitTermination(120)
+        got = {}
+        for r in sn.read_snapshot(spark, str(tmp_path / "out")).collect():
+            got.setdefault(r["doc_id"], []).append(r["content"])
+        return got
+
+    long = "hello there. " * 300
+    got = put([(1, long, "2024-01-01 00:00:00"), (1, long, "2024-01-01 00:00:00"), (2, "other", "2024-01-01 00:00:01"), (3, "third", "2024-01-01 00:00:01"), (None, "no id", "2024-01-01 00:00:01")])
+    assert set(got) == {1, 2, 3} and len(got[1]) == 3
+    before = held(tmp_path / "out")
+    got = put([(1, "short now", "2024-01-01 00:10:00"), (2, "older", "2023-12-31 23:59:00"), (4, "new", "2024-01-01 00:10:00")])
+    assert got[1] == ["short now"] and got[2] == ["other"] and got[3] == ["third"] and got[4] == ["new"]
+    assert all(held(tmp_path / "out")[f] == x for f, x in before.items())
+
+
+def test_embedding_resumes_after_failures(spark, tmp_path):
+    calls, working = spark.sparkContext.accumulator(0), str(tmp_path / "works")
+
+    def embed(texts):
+        calls.add(len(texts))
+        if not os.path.exists(working):
+            raise OSError("down")
+        return [[float(len(t))] for t in texts]
+
+    def run(rows, check):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
+        jobs.embed_stream(stream, str(tmp_path / "cache"), str(tmp_path / check), embed, "m", tries=2).awaitTermination(120)
+        return [(r["vector"], r["tries"], r["error"]) for r in sn.read_snapshot(spark, str(tmp_path / "cache")).collect()]
+
+    assert run([(1, "aa"), (2, "bbb"), (3, "aa"), (4, None)], "c") == [(None, 2, "down")] * 2
+    open(working, "w").close()
+    run([(5, "aa"), (6, "cccc")], "c")
+    got = {tuple(r["vector"] or ()): (r["tries"], r["error"]) for r in sn.read_snapshot(spark, str(tmp_path / "cache")).collect()}
+    assert got == {(): (2, "down"), (2.0,): (1, None), (4.0,): (1, None)}
+    made = calls.value
+    run([(7, "bbb"), (8, "aa")], "c")
+    assert calls.value == made + 1
+    assert all(r["vector"] for r in sn.read_snapshot(spark, str(tmp_path / "cache")).collect())
