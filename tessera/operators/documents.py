@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.functions.core import col, r, smallest_mode
+from tessera.sources.scratch import settled
 
 #: Patterns of the entities.
 EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
@@ -127,17 +128,70 @@ def section_diff(a: DataFrame, b: DataFrame, key: str, text: str = "text", separ
 
 
 def pair_similarity(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Adds ratio: 200 * matching characters over all characters, by longest matching blocks. Pairs are given, not made here."""
+    """Adds ratio: 200 * matching characters over all characters, by longest matching blocks, to two places. Pairs are given, not made here."""
     from difflib import SequenceMatcher
 
     def ratio(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["ratio"] = [round(SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() * 100, 4) for x, y in zip(f[a], f[b], strict=True)]
+            f["ratio"] = [round(SequenceMatcher(None, x or "", y or "").ratio() * 100, 2) for x, y in zip(f[a], f[b], strict=True)]
             yield f
 
     return pairs.mapInPandas(ratio, StructType([*pairs.schema.fields, StructField("ratio", DoubleType())]))
 
 
+BANDS, BAND, ROUNDS = 16, 4, 4
+
+
+def shingles(text: str | Column, k: int = 3) -> Column:
+    """The distinct runs of ``k`` lower-cased words; the whole text where it has fewer."""
+    words = F.filter(F.split(F.lower(col(text)), r"\s+"), lambda w: w != "")
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.array_join(F.slice(words, i + 1, F.lit(k)), " "))
+    return F.array_distinct(F.when(F.size(words) >= k, runs).otherwise(F.array(F.array_join(words, " "))))
+
+
+def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", at_least: float = 0.7, seed: int = 5) -> DataFrame:
+    """key, near_id, overlap, ratio: each document that is nearly one with a smaller key, and that document.
+
+    Nearly one: their sets of three-word shingles overlap (intersection over union) by ``at_least``. near_id is the first text among
+    those found, ratio their similarity in percent by longest matching blocks. Of equal texts the smallest key stands for all; the
+    others have it as near_id with 100.
+
+    Candidates come from MinHash tables of BAND hashes each, BANDS of them. In a bucket all meet its smallest key, not each other;
+    those it isn't like go on without it, for ROUNDS rounds, so the work grows with the members of buckets. Overlaps and ratios are exact.
+    Null keys and texts are left out; a text without words is near to equal texts only.
+    """
+    from pyspark.ml.feature import HashingTF, MinHashLSH
+
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t")).withColumn("h", F.sha2("t", 256))
+    rep = settled(rows.groupBy("h").agg(F.min("id").alias("rep")))
+    copies = rows.select("id", "h").join(rep, "h").where("id != rep").select("id", F.col("rep").alias("near_id"), F.lit(1.0).alias("overlap"), F.lit(100.0).alias("ratio"))
+    texts = rows.join(rep, "h").where("id = rep").groupBy("rep").agg(F.first("t").alias("t"))
+    texts = settled(texts.withColumn("set", shingles("t")))
+    hashed = HashingTF(inputCol="set", outputCol="features", numFeatures=1 << 20, binary=True).transform(texts.where(F.trim("t") != ""))
+    hashed = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=BANDS * BAND, seed=seed).fit(hashed).transform(hashed)
+    keys = F.array(*[F.xxhash64(F.slice("hashes", i * BAND + 1, BAND), F.lit(i)) for i in range(BANDS)])
+    todo, links = settled(hashed.select("rep", F.explode(keys).alias("key"))), None
+    sets = texts.select("rep", "set")
+    for _ in range(ROUNDS):
+        buckets = todo.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = settled(todo.join(buckets, "key").select("key", "rep", "centre").where("rep != centre"))
+        if met.isEmpty():
+            break
+        pairs = met.select("rep", "centre").distinct()
+        pairs = pairs.join(sets, "rep").join(sets.select(F.col("rep").alias("centre"), F.col("set").alias("other")), "centre")
+        both = F.size(F.array_intersect("set", "other"))
+        overlap = both / (F.size("set") + F.size("other") - both)
+        found = settled(pairs.select("rep", "centre", overlap.alias("overlap")).where(F.col("overlap") >= at_least))
+        links = found if links is None else links.unionByName(found)
+        todo = settled(met.join(found.select("rep").distinct(), "rep", "left_anti").select("rep", "key"))
+    if links is None:
+        return copies.withColumnRenamed("id", key)
+    best = links.groupBy("rep").agg(F.min(F.struct("centre", "overlap")).alias("best")).select("rep", "best.*")
+    best = best.join(texts.select("rep", F.col("t").alias("b")), "rep").join(texts.select(F.col("rep").alias("centre"), F.col("t").alias("a")), "centre")
+    best = pair_similarity(best).select(F.col("rep").alias("id"), F.col("centre").alias("near_id"), "overlap", "ratio")
+    return best.unionByName(copies).withColumnRenamed("id", key)
+
+
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
     """All rows of tables with different columns; what a table lacks is null."""
     out = frames[0]

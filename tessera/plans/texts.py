@@ -38,7 +38,15 @@ C.on("x16_collection", "documents", do.collection_summary, f"SELECT count(*) AS
 C.free("x17_section_diff", lambda s, d: do.section_diff(read(s, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("id"), "text"), read(s, d, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("id"), "text"), "id").groupBy("id", "side").count(),
        """WITH x AS (SELECT DISTINCT conv_id AS id, role, trim(unnest(string_split(text, chr(10)))) AS s FROM conversations) SELECT id, side, count(*) AS "count" FROM (SELECT id, 'removed' AS side, s FROM x WHERE role = 'user' AND s != '' AND NOT EXISTS (SELECT 1 FROM x y WHERE y.id = x.id AND y.s = x.s AND y.role = 'assistant')
  UNION ALL SELECT id, 'added', s FROM x WHERE role = 'assistant' AND s != '' AND NOT EXISTS (SELECT 1 FROM x y WHERE y.id = x.id AND y.s = x.s AND y.role = 'user')) GROUP BY 1, 2""")
-C.free("x18_pair_similarity", lambda s, d: do.pair_similarity(read(s, d, "conversations").where("turn = 0").select("conv_id", F.col("text").alias("a")).join(read(s, d, "conversations").where("turn = 1").select("conv_id", F.col("text").alias("b")), "conv_id")).select("conv_id", "ratio"))
+
+
+def next_turns(s, d):
+    talk = read(s, d, "conversations")
+    return talk.select("conv_id", "turn", F.col("text").alias("a")).join(talk.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b")), ["conv_id", "turn"])
+
+
+C.free("x18_pair_similarity", lambda s, d: do.pair_similarity(next_turns(s, d)).select("conv_id", "turn", "ratio"))
+C.on("x18_near_documents", "documents", do.near_documents)
 C.free("x19_stack", lambda s, d: do.stack([read(s, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")), read(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent"))]), "SELECT r_regionkey AS k, r_name AS name, NULL::INT AS parent FROM region UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation")
 C.on("x20_goal_category", "conversations", lambda d: d.groupBy(do.goal_category("text").alias("category")).count(), """SELECT CASE WHEN regexp_matches(lower(text), 'loan|portfolio') THEN 'Reporting' WHEN regexp_matches(lower(text), 'customer|client') THEN 'Customer Handling' WHEN regexp_matches(lower(text), 'risk|compliance') THEN 'Compliance' WHEN regexp_matches(lower(text), 'overdue|collection') THEN 'Collections' END AS category, count(*) AS "count" FROM conversations GROUP BY 1""")
 

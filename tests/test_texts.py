@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking as ch
+from tessera.operators import documents as do
 from tessera.operators import memory as me
 from tessera.operators import retrieval as re_
 from tessera.operators import vectors as ve
@@ -244,3 +245,45 @@ def test_visibility_equals_every_user_with_every_document(spark):
     ok = re_.may_read(F.col("_t"), F.col("clearance"), F.col("user_id"), F.col("roles"), F.col("departments"))
     want = {r["user_id"]: r["n"] for r in both.where(ok).groupBy("user_id").agg(F.count("doc_id").alias("n")).where("n > 0").collect()}
     assert {r["user_id"]: r["visible"] for r in found.collect()} == want and len(want) > 10
+
+
+def test_near_documents_find_what_all_pairs_find(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(12)
+    stock = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(500)]
+    rows = [(1, None), (2, ""), (3, "  "), (4, "one"), (5, "One"), (6, "two words"), (7, ""), (None, "x y z w")]
+    for i in range(10, 70):
+        old = [t for n, t in rows if n and n >= 10]
+        if old and rng.random() < 0.6:
+            words = rng.choice(old).split()
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = rng.choice(stock)
+            rows.append((i, " ".join(words)))
+        else:
+            rows.append((i, " ".join(rng.choices(stock, k=rng.randint(20, 90)))))
+    base = rng.choices(stock, k=60)  # many edits of one text
+    for i in range(100, 160):
+        words = list(base)
+        words[i - 100] = "edited"
+        rows.append((i, " ".join(words)))
+    first, sets = {}, {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            first.setdefault(t, i)
+            w = t.lower().split()
+            sets[i] = {tuple(w[j : j + 3]) for j in range(len(w) - 2)} if len(w) > 2 else {tuple(w)}
+    text = {i: t for i, t in rows if i in sets}
+    want = {i: {j for j in first.values() if j < i and len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j])} for t, i in first.items() if t.strip()}
+    want = {i: near for i, near in want.items() if near and text[i].strip()}
+    got = {r["doc_id"]: r for r in do.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    copies = {i for i, t in text.items() if first[t] != i}
+    assert copies and all(got[i]["near_id"] == first[text[i]] and got[i]["ratio"] == 100 for i in copies)
+    linked = {i: r for i, r in got.items() if i not in copies}
+    assert all(r["near_id"] in want[i] for i, r in linked.items())
+    found = len(linked) / len(want)
+    print(f"recall {found:.3f} of {len(want)} documents")
+    assert found >= 0.95
+    for i, r in list(linked.items())[:20]:
+        assert r["ratio"] == round(SequenceMatcher(None, text[r["near_id"]], text[i]).ratio() * 100, 2)
+    assert do.near_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
