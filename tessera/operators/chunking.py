@@ -76,6 +76,12 @@ def paragraph_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", siz
     return _packed(df, key, text, pattern, "\n\n", size)
 
 
+def question_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1000) -> DataFrame:
+    """Paragraphs of a document in chunks for questions: stripped of all blanks, joined by blank lines up to ``size`` characters."""
+    parts = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n{2,}|\r\n{2,}"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return packed(df, [key], F.filter(parts, lambda x: x != ""), "\n\n", size)
+
+
 def line_blocks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, position, block, is_heading: non-blank lines; a heading starts with a capital or digit and has 2 to 81 characters and 12 words at most."""
     rows = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("position", "block")).select(key, "position", F.trim("block").alias("block")).where("block != ''")

@@ -83,12 +83,20 @@ def apply_batch(spark: SparkSession, root: str, keys: DataFrame, merge: Callable
 
 def upsert_batch(spark: SparkSession, root: str, changes: DataFrame, keys: Sequence[str], order: str, batch: int, buckets: int = BUCKETS) -> bool:
     """The latest row of each key: ``changes`` against what the snapshot has, of equal times the change; False if the batch was there before."""
+
     def merged(present: DataFrame | None) -> DataFrame:
         return upsert(changes.limit(0) if present is None else present, changes, keys, order)
 
     return apply_batch(spark, root, changes.select(*keys), merged, batch, buckets)
 
 
+def delete_batch(spark: SparkSession, root: str, gone: DataFrame, batch: int) -> bool:
+    """Rows whose keys are in ``gone`` (key columns only) leave the snapshot; False if it has none or had the batch before."""
+    if not versions(spark, root):
+        return False
+    return apply_batch(spark, root, gone, lambda present: present.join(gone, gone.columns, "left_anti"), batch)
+
+
 def vacuum(spark: SparkSession, root: str, keep: int = 1) -> int:
     """Delete the bucket folders that none of the ``keep`` latest versions name, and the older manifests; how many folders went."""
     known = versions(spark, root)

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 from pyspark.sql.window import Window
 
+from tessera.sources.scratch import settled
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = None, encoding: str = "UTF-8") -> DataFrame:
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", encoding)
@@ -21,6 +23,24 @@ def read_json(spark: SparkSession, path: str, schema: str | StructType | None =
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+BAD = "_bad_record"
+
+
+def _checked(reader: DataFrameReader, form: str, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    parsed = settled(reader.schema(f"{schema}, {BAD} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).format(form).load(path))
+    return parsed.where(F.col(BAD).isNull()).drop(BAD), parsed.where(F.col(BAD).isNotNull()).select(F.col(BAD).alias("record"))
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: str, header: bool = True, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+    """(rows that fit the schema, records that don't as they stand in the file). The input is parsed once and written to the scratch folder."""
+    return _checked(spark.read.option("header", header).option("encoding", encoding), "csv", path, schema)
+
+
+def read_json_checked(spark: SparkSession, path: str, schema: str, lines: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(records that fit the schema, those that don't as they stand in the file); one record a line, or whole files."""
+    return _checked(spark.read.option("multiLine", not lines), "json", path, schema)
+
+
 def flatten(df: DataFrame, separator: str = ".") -> DataFrame:
     """Nested fields as columns named by their path; lists and maps as JSON text."""
 
@@ -96,9 +116,10 @@ def drift(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return one.withColumn("drifted", F.col("only_first") + F.col("only_second") > 2)
 
 
-def append_log(df: DataFrame, path: str, cut: Mapping[str, int]) -> None:
-    """Append rows, long texts cut to the given lengths."""
-    df.withColumns({c: F.substring(c, 1, n) for c, n in cut.items()}).write.mode("append").parquet(path)
+def append_log(df: DataFrame, path: str, cut: Mapping[str, int], hashed: Mapping[str, str] | None = None) -> None:
+    """Append rows, long texts cut to the given lengths; ``hashed`` names a column for the SHA-256 of each whole text before it is cut."""
+    sums = {name: F.sha2(F.col(c).cast("string"), 256) for c, name in (hashed or {}).items()}
+    df.withColumns(sums).withColumns({c: F.substring(c, 1, n) for c, n in cut.items()}).write.mode("append").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -111,6 +132,23 @@ def run_sql(spark: SparkSession, query: str, tables: Mapping[str, DataFrame]) ->
     return spark.sql(query)
 
 
+def sql_report(spark: SparkSession, query: str, tables: Mapping[str, DataFrame], first: int = 10) -> DataFrame:
+    """section, name, statistic, value, text of a query's result: its number of rows, its first rows as JSON, statistics of each column."""
+    from tessera.operators.profiling import describe
+
+    found = run_sql(spark, query, tables)
+    result = settled(found)
+    none, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    out = result.agg(F.lit("rows").alias("section"), none.alias("name"), none.alias("statistic"), F.count(F.lit(1)).cast("double").alias("value"), none.alias("text"))
+    some = found.limit(first).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in found.columns])).alias("text"), (F.monotonically_increasing_id() + 1).cast("string").alias("name"))
+    out = out.unionByName(some.select(F.lit("preview").alias("section"), "name", none.alias("statistic"), number.alias("value"), "text"))
+    stats = describe(result)
+    each = [F.struct(F.lit(c).alias("statistic"), F.col(c).cast("double").alias("value"), none.alias("text")) for c in stats.columns if c not in ("column_name", "top")]
+    each.append(F.struct(F.lit("top").alias("statistic"), number.alias("value"), F.col("top").cast("string").alias("text")))
+    stats = stats.select(F.col("column_name").alias("name"), F.inline(F.array(*each))).where("value is not null or text is not null")
+    return out.unionByName(stats.select(F.lit("statistics").alias("section"), "name", "statistic", "value", "text"))
+
+
 def describe_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     """table_name, columns, row_count, missing, summary of each table: one aggregate each."""
     out = None

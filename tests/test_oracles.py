@@ -7,10 +7,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import business, profiles, reviews, sales, texts
+from tessera.plans import business, profiles, reviews, sales, texts, trips
 
 SF = "/root/testdata/sf0.001"
-CATALOGS = (business.C, sales.C, profiles.C, texts.C, reviews.C)
+CATALOGS = (business.C, sales.C, profiles.C, texts.C, reviews.C, trips.C)
 QUERIES = {n: q for c in CATALOGS for n, q in c.queries.items()}
 SQL = {n: q for c in CATALOGS for n, q in c.sql.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -43,6 +43,11 @@ def test_matches_sql(spark, duck, name):
     assert [x.replace(".0,", ",").replace(".0]", "]") for x in got[1]] == [x.replace(".0,", ",").replace(".0]", "]") for x in want[1]]
 
 
+@pytest.mark.parametrize("name", sorted(n for n in trips.C.sql))
+def test_rules_fire(duck, name):
+    assert len(duck.execute(SQL[name]).df()) > 0
+
+
 def test_every_query_has_rows_or_sql():
     assert set(SQL) <= set(QUERIES)
 
