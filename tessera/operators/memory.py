@@ -50,9 +50,9 @@ def session_counters(df: DataFrame, session: str, kind: str, entity: str) -> Dat
 
 
 def tool_audit(df: DataFrame, tool: str, status: str, states: Sequence[str], duration: str) -> DataFrame:
-    """Calls per tool and state, and durations."""
-    per = df.groupBy(tool).pivot(status, list(states)).count().na.fill(0)
-    return per.join(df.groupBy(tool).agg(F.count(F.lit(1)).alias("calls"), r(F.avg(duration)).alias("mean_duration"), r(F.max(duration)).alias("max_duration")), tool)
+    """Calls per tool and state, and durations, in one aggregate."""
+    per = [F.count_if(F.coalesce(F.col(status) == s, F.lit(False))).alias(s) for s in states]
+    return df.where(F.col(tool).isNotNull()).groupBy(tool).agg(*per, F.count(F.lit(1)).alias("calls"), r(F.avg(duration)).alias("mean_duration"), r(F.max(duration)).alias("max_duration"))
 
 
 def cache_key(text: str | Column, model: str, revision: str = "1", width: int = 64, normalised: bool = True) -> Column:
@@ -60,16 +60,21 @@ def cache_key(text: str | Column, model: str, revision: str = "1", width: int =
 
 
 def hashing_embedder(width: int = 64) -> Callable[[pd.Series], list]:
-    """A small deterministic stand-in for a model: signed character trigram counts, scaled to length one."""
-    import zlib
+    """A small deterministic stand-in for a model: signed counts of hashed character trigrams, scaled to length one; all texts of a batch at once."""
+    u = np.uint64
 
     def embed(texts: pd.Series) -> list:
-        out = np.zeros((len(texts), width), np.float32)
-        for i, t in enumerate(texts):
-            for j in range(len(t or "") - 2):
-                h = zlib.crc32(t[j : j + 3].encode())
-                out[i, h % width] += 1 if h >> 16 & 1 else -1
-        return (out / np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-12)).tolist()
+        whole = [t or "" for t in texts]
+        codes = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32).astype(u)
+        sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        row = np.repeat(np.arange(len(whole)), sizes)[: max(0, len(codes) - 2)]
+        at = np.flatnonzero(np.arange(len(row)) + 2 < np.cumsum(sizes)[row])
+        h = (codes[at] * u(0x9E3779B97F4A7C15) + codes[at + 1]) * u(0xC2B2AE3D27D4EB4F) + codes[at + 2]
+        h = (h ^ (h >> u(31))) * u(0x94D049BB133111EB)
+        h ^= h >> u(29)
+        place = row[at] * width + (h % u(width)).astype(np.int64)
+        out = np.bincount(place, np.where(h >> u(40) & u(1), 1.0, -1.0), len(whole) * width).reshape(len(whole), width)
+        return (out / np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-12)).astype(np.float32).tolist()
 
     return embed
 

@@ -13,9 +13,17 @@ from pyspark.sql.window import Window
 from tessera.sources.scratch import settled
 
 
+#: Lines that a schema is inferred from where none is given.
+INFER_LINES = 1000
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """Rows of CSV files with a header. Without a schema the first INFER_LINES lines give it; what doesn't fit it further on is null."""
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", encoding)
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    if schema is None:
+        lines = [x["value"] for x in spark.read.text(path).limit(INFER_LINES).collect()]
+        schema = spark.read.option("header", True).option("inferSchema", True).csv(spark.sparkContext.parallelize(lines, 1)).schema
+    return reader.schema(schema).csv(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:

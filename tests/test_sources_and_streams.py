@@ -11,6 +11,11 @@ from tessera.streaming import jobs
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("name,amount\nx,1\ny,\n")
     assert [tuple(r) for r in ta.read_csv(spark, str(tmp_path / "a.csv"), "name string, amount int").collect()] == [("x", 1), ("y", None)]
+    got = ta.read_csv(spark, str(tmp_path / "a.csv"))
+    assert got.dtypes == [("name", "string"), ("amount", "int")] and got.count() == 2
+    (tmp_path / "bad.csv").write_text("name,amount\nx,1\ny,z\n")
+    rows, rejects = ta.read_csv_checked(spark, str(tmp_path / "bad.csv"), "name string, amount int")
+    assert [tuple(r) for r in rows.collect()] == [("x", 1)] and [r["record"] for r in rejects.collect()] == ["y,z"]
     (tmp_path / "a.json").write_text('[{"a": {"b": 1, "c": [1, 2]}}, {"a": {"b": 2}, "d": "x"}]')
     flat = ta.flatten(ta.read_json(spark, str(tmp_path / "a.json"))).orderBy("`a.b`").collect()
     assert flat[0]["a.c"] == "[1,2]" and flat[1]["d"] == "x"

@@ -287,3 +287,17 @@ def test_near_documents_find_what_all_pairs_find(spark):
     for i, r in list(linked.items())[:20]:
         assert r["ratio"] == round(SequenceMatcher(None, text[r["near_id"]], text[i]).ratio() * 100, 2)
     assert do.near_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_embedder_counts_trigrams_of_each_text():
+    import pandas as pd
+
+    embed = me.hashing_embedder(32)
+    texts = ["abcd", "", None, "ab", "xyzé😀", "abcdabcd"]
+    got = np.array(embed(pd.Series(texts)))
+    each = np.array([embed(pd.Series([t]))[0] for t in texts])
+    assert np.array_equal(got, each) and (got[1:4] == 0).all()
+    assert np.allclose(np.sqrt((got[[0, 4, 5]] ** 2).sum(axis=1)), 1)
+    parts = [np.array(embed(pd.Series([t]))[0]) for t in ("abc", "bcd", "cda", "dab")]
+    want = 2 * parts[0] + 2 * parts[1] + parts[2] + parts[3]
+    assert np.allclose(got[5], want / np.sqrt((want**2).sum()), atol=1e-6)
