@@ -33,11 +33,15 @@ m AS (
          coalesce(rep.n, 0) AS n_repeat_words
   FROM d JOIN w USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed)::DOUBLE AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT sum(f) / sum(n) AS mu, count(*) AS k, sum(n) AS t, sum(n * n) AS t2, sum(f * f / n) AS s FROM h),
-v AS (SELECT mu, (s - t * mu * mu - (k - 1) * mu * (1 - mu)) / nullif(t - t2 / t, 0) AS var FROM p),
-q AS (SELECT mu, CASE WHEN mu <= 0 OR mu >= 1 THEN 1e6 ELSE greatest(1, least(1e6, CASE WHEN var > 0 THEN mu * (1 - mu) / var - 1 ELSE 1e6 END)) END AS strength FROM v),
-x AS (SELECT source, (f + mu * strength) / (n + strength) > 0.5 AS host_failed FROM h, q)
+r AS (
+  SELECT source, unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, 20 * n_dup_lines > n_words, word_chars > 10 * n_words]) AS failed,
+         unnest(['short', 'repeats', 'symbols', 'dup_lines', 'long_words']) AS rule
+  FROM b WHERE source IS NOT NULL),
+h AS (SELECT source, rule, count(*)::DOUBLE AS n, count(*) FILTER (WHERE failed)::DOUBLE AS f FROM r GROUP BY source, rule),
+p AS (SELECT rule, sum(f) / sum(n) AS mu, count(*) AS k, sum(n) AS t, sum(n * n) AS t2, sum(f * f / n) AS s FROM h GROUP BY rule),
+v AS (SELECT rule, mu, (s - t * mu * mu - (k - 1) * mu * (1 - mu)) / nullif(t - t2 / t, 0) AS var FROM p),
+q AS (SELECT rule, mu, CASE WHEN mu <= 0 OR mu >= 1 THEN 1e6 ELSE greatest(1, least(1e6, CASE WHEN var > 0 THEN mu * (1 - mu) / var - 1 ELSE 1e6 END)) END AS strength FROM v),
+x AS (SELECT source, max((f + mu * strength) / (n + strength)) > 0.5 AS host_failed FROM h JOIN q USING (rule) GROUP BY source)
 SELECT b.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(host_failed, false) AS kept
 FROM b LEFT JOIN x ON b.source = x.source
@@ -99,39 +103,55 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     return picked.mapInArrow(count, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
+#: What a document fails by; a host's rate of each is judged by itself.
+RULES = {
+    "short": "n_words < 50",
+    "repeats": "100 * n_repeat_words > 50 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "dup_lines": "20 * n_dup_lines > n_words",
+    "long_words": "word_chars > 10 * n_words",
+}
+
+
 def host_rates(rows: DataFrame) -> DataFrame:
-    """host, n, failed, rate: failure rates drawn to the mean of all hosts.
+    """host, rule, n, failed, rate: each host's failures of each rule, rates drawn to the mean of all hosts.
 
-    The beta prior has the mean of all rows and a strength (its two parameters' sum) by the method of moments from
-    the spread of the hosts' rates beyond chance, within 1 and 1e6. Rows without a host belong to none.
+    Each rule has a beta prior of its own, with the mean of all rows and a strength (its two parameters' sum) by the method
+    of moments from the spread of the hosts' rates beyond chance, within 1 and 1e6. Rows without a host belong to none.
     """
-    hosts = rows.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if("base_failed").cast("double").alias("failed"))
-    p = hosts.agg(
+    failures = [F.count_if(F.expr(when)).cast("double").alias(f"f_{rule}") for rule, when in RULES.items()]
+    hosts = rows.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), *failures)
+    each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"f_{rule}").alias("failed")) for rule in RULES])
+    hosts = hosts.select("host", "n", F.inline(each))
+    p = hosts.groupBy("rule").agg(
         (F.sum("failed") / F.sum("n")).alias("mu"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("t"),
         F.sum(F.col("n") * F.col("n")).alias("t2"), F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("s"),
     )
     var = F.expr("try_divide(s - t * mu * mu - (k - 1) * mu * (1 - mu), t - t2 / t)")
-    p = p.select("mu", var.alias("var")).select("mu", F.expr("case when mu <= 0 or mu >= 1 then 1e6 else greatest(1d, least(1e6, case when var > 0 then mu * (1 - mu) / var - 1 else 1e6 end)) end").cast("double").alias("strength"))
-    return hosts.join(F.broadcast(p)).select("host", "n", "failed", ((F.col("failed") + F.col("mu") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("rate"))
+    strength = "case when mu <= 0 or mu >= 1 then 1e6 else greatest(1d, least(1e6, case when var > 0 then mu * (1 - mu) / var - 1 else 1e6 end)) end"
+    p = p.select("rule", "mu", var.alias("var")).select("rule", "mu", F.expr(strength).cast("double").alias("strength"))
+    rate = (F.col("failed") + F.col("mu") * F.col("strength")) / (F.col("n") + F.col("strength"))
+    return hosts.join(F.broadcast(p), "rule").select("host", "rule", "n", "failed", rate.alias("rate"))
 
 
 def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, COUNTS, base_failed, kept, host_rate.
+    """One row per input row: doc_id, COUNTS, base_failed, kept, host_rate, host_rule.
 
     base_failed: fewer than 50 words, or more than half of the words lie in a three-word window that the text has
-    twice. Failures are added up by host, rates shrunk with an empirical beta prior, and a host with a rate above
-    ``max_host_rate`` fails with all its documents. Documents without a host are judged by the base rules alone. A
-    null or empty text has no words and fails. Repeated rows count once each; null ids and other columns do no
-    harm; an empty table gives an empty result.
+    twice. Failures of each of RULES are added up by host and their rates shrunk with the rule's empirical beta prior; a host
+    whose rate of any rule is above ``max_host_rate`` fails with all its documents. host_rate is its highest rate, host_rule that
+    rule (of equal ones the last by name). Documents without a host are judged by the base rules alone. A null or empty text has
+    no words and fails. Repeated rows count once each; null ids and other columns do no harm; an empty table gives an empty result.
     """
     rows = counts(docs, id_col, text_col, host_col)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = F.expr(f"({RULES['short']}) or ({RULES['repeats']})")
     rows = materialize(rows.withColumn("base_failed", failed))
-    hosts = materialize(host_rates(rows))
-    out = rows.join(hosts.select("host", F.col("rate").alias("host_rate")), "host", "left")
+    worst = host_rates(rows).groupBy("host").agg(F.max(F.struct("rate", "rule")).alias("worst"))
+    hosts = materialize(worst.select("host", F.col("worst.rate").alias("host_rate"), F.col("worst.rule").alias("host_rule")))
+    out = rows.join(hosts, "host", "left")
     bad = F.coalesce(F.col("host_rate") > max_host_rate, F.lit(False))
-    return out.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~bad).alias("kept"), "host_rate")
+    return out.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~bad).alias("kept"), "host_rate", "host_rule")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
+    return quality_rules(table(spark, sf_dir, "documents")).drop("host_rate", "host_rule")

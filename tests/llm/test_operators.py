@@ -224,6 +224,27 @@ def test_hosts_lose_all_or_nothing(spark):
     assert {i for i, r in got.items() if r["kept"]} == {*range(200, 250), 400}
 
 
+def test_a_host_fails_by_one_rule(spark):
+    plain = " ".join(f"word{i}" for i in range(60))
+    symbols = " ".join(f"word{i} #" for i in range(60))
+    lines = "\n".join(["same line of words here"] * 2 + [f"alpha{i} beta{i} gamma{i} delta{i}" for i in range(20)] + ["same line of words here"] * 6)
+    rows = [(i, symbols, None, "marks.example", 0) for i in range(80)] + [(90 + i, plain, None, "marks.example", 0) for i in range(9)]
+    rows += [(200 + i, plain, None, "fine.example", 0) for i in range(70)] + [(300 + i, symbols, None, "fine.example", 0) for i in range(9)]
+    rows += [(400 + i, lines, None, "lines.example", 0) for i in range(70)] + [(500, symbols, None, None, 0), (501, plain, None, None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = by_id(quality_rules.quality_rules(df))
+    assert not any(r["base_failed"] for i, r in got.items())
+    assert {r["host_rule"] for i, r in got.items() if i < 100} == {"symbols"} and {r["host_rule"] for i, r in got.items() if 400 <= i < 500} == {"dup_lines"}
+    assert {i for i, r in got.items() if r["kept"]} == {*range(200, 270), *range(300, 309), 500, 501}
+    import duckdb
+
+    documents = df.toPandas()  # noqa: F841
+    want = duckdb.sql(quality_rules.ORACLE).fetchall()
+    assert sorted(want) == sorted(tuple(r)[:8] for r in got.values())
+    rates = {(r["host"], r["rule"]): r["rate"] for r in quality_rules.host_rates(quality_rules.counts(df)).collect()}
+    assert len(rates) == 15 and rates["marks.example", "symbols"] > 0.8 and rates["marks.example", "short"] == 0
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
