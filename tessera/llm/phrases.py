@@ -27,6 +27,7 @@ LEAST = 100  #: occurrences of a candidate
 TOP = 2000  #: phrases of each language
 WORDS = 5  #: words of the longest phrase; the depth of the subtrees
 CHUNK = 8 << 20  #: bytes of text whose words are counted together
+LOCAL_WORDS = 200_000  #: frequent words that are sent to every task, some tens of bytes each
 BUDGET = 1 << 18  #: suffixes of a subtree, 24 bytes each
 W = tuple(f"w{i}" for i in range(1, WORDS + 1))
 SUFFIX = ", ".join(f"{w} int" for w in W)
@@ -112,24 +113,44 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
+def _coded(text: bytes, to: np.ndarray) -> bytes:
+    """A chunk's text with its words' numbers replaced by ``to``; of the gaps one is left after each run."""
+    ids = to[_unpacked(text)]
+    keep = ids > 0
+    keep[1:] |= ids[:-1] > 0
+    return _packed(ids[keep])
+
+
 def coded(pieces: DataFrame, words: DataFrame) -> DataFrame:
-    """(chunk, text): the chunks' texts as ids of the frequent words, 0 for what lies between."""
-    own = pieces.select("chunk", "lang", F.posexplode("words").alias("at", "word"))
-    own = own.join(_few(words.select("lang", "word", "id")), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("ids"))
+    """(chunk, text): the chunks' texts as ids of the frequent words, 0 for what lies between.
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Up to LOCAL_WORDS frequent words, which are counted first, go to all tasks; more are joined to the chunks that have them.
+    """
+    kind = "chunk long, text binary"
+    if words.count() <= LOCAL_WORDS:
+        sent = pieces.sparkSession.sparkContext.broadcast(words.select("lang", "word", "id").toArrow())
+
+        def with_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[str, dict[bytes, int]] = {}
+            for lang, word, i in zip(*(sent.value[c].to_pylist() for c in ("lang", "word", "id")), strict=True):
+                known.setdefault(lang, {})[word] = i
+            for batch in parts(batches, 1):
+                own = known.get(column(batch, "lang")[0], {})
+                to = np.array([0, *(own.get(w, 0) for w in column(batch, "words")[0])], np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_coded(column(batch, "text")[0], to)], pa.binary())], names=["chunk", "text"])
+
+        return pieces.select("chunk", "lang", "words", "text").mapInArrow(with_all, kind)
+
+    def with_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 1):
-            n, text = column(batch, "n")[0], _unpacked(column(batch, "text")[0])
             ids = batch.column(batch.schema.get_field_index("ids")).flatten()
-            to = np.zeros(n + 1, np.int32)
+            to = np.zeros(column(batch, "n")[0] + 1, np.int32)
             to[ids.field(0).to_numpy() + 1] = ids.field(1).to_numpy()
-            text = to[text]
-            keep = text > 0
-            keep[1:] |= text[:-1] > 0  # one gap after each run
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(text[keep])], pa.binary())], names=["chunk", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_coded(column(batch, "text")[0], to)], pa.binary())], names=["chunk", "text"])
 
-    rows = pieces.select("chunk", F.size("words").alias("n"), "text").join(own, "chunk")
-    return rows.select("chunk", "n", "text", "ids").mapInArrow(code, "chunk long, text binary")
+    own = pieces.select("chunk", "lang", F.posexplode("words").alias("at", "word")).join(words.select("lang", "word", "id"), ["lang", "word"])
+    own = own.groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("ids"))
+    return pieces.select("chunk", F.size("words").alias("n"), "text").join(own, "chunk").mapInArrow(with_own, kind)
 
 
 def _pairs(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -59,6 +59,7 @@ def test_manifest_fields_are_not_ambiguous(spark):
 @pytest.mark.parametrize(("budget", "few"), [(1, 0), (7, 500_000), (1 << 18, 3)])
 def test_phrases(spark, docs, rows, monkeypatch, budget, few):
     monkeypatch.setattr(phrases, "BROADCAST_KEYS", few)
+    monkeypatch.setattr(phrases, "LOCAL_WORDS", few)
     got = phrases.phrases(docs, least=3, top=40, budget=budget)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     want = brute.phrases([(r[2], r[1]) for r in rows], 3, 40)
