@@ -10,6 +10,7 @@ from tessera.operators import chunking as ch
 from tessera.operators import finance as fi
 from tessera.operators import profiling as pr
 from tessera.operators import retrieval as re_
+from tessera.operators.memory import hashing_embedder
 from tessera.plans.common import Catalog, read
 from tessera.plans.reviews import DIGEST, LINES, folded
 from tessera.sources import snapshots as sn
@@ -138,6 +139,41 @@ C.on("t06_running_state", "events", lambda d: jobs.running_state_of(d, idle="2 d
            string_agg(event_type, ',' ORDER BY i DESC) FILTER (WHERE i <= 10) AS recent
     FROM l GROUP BY 1""")
 
+
+
+def embedded(s: SparkSession, d: str) -> DataFrame:
+    """Texts embedded in three batches, of which one comes twice and one is known already in part."""
+    root, talk = scratch(s), read(s, d, "conversations")
+    for n, rows in ((0, talk.where("turn = 0")), (1, talk), (1, talk), (2, talk.where("turn = 1"))):
+        jobs.embed_batch(rows, root, hashing_embedder(), "m", n)
+    return sn.read_snapshot(s, root).agg(F.count(F.lit(1)).alias("keys"), F.count_distinct("cache_key").alias("texts"), F.count_if(F.size("vector") == 64).alias("vectors"), F.max("tries").alias("tries"))
+
+
+C.free("t05_resumed_embedding", embedded, "SELECT count(DISTINCT text) AS keys, count(DISTINCT text) AS texts, count(DISTINCT text) AS vectors, 1::INT AS tries FROM conversations")
+
+# columns as they come: numbers and times in text, names by role, empty rows and columns
+C.on("p05_coerce_numeric", "orders", lambda d: co.coerce_numeric(d.select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, "n/a").otherwise(F.format_string("%.2f", "o_totalprice")).alias("price"), F.concat(F.lit(" "), F.col("o_custkey").cast("string")).alias("share"), "o_orderstatus"), ["price", "share", "o_orderstatus"]), """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 9 != 0 THEN round(o_totalprice, 2) END AS price, o_custkey::DOUBLE AS share, NULL::DOUBLE AS o_orderstatus FROM orders""")
+C.on("p06_coerce_timestamp", "orders", lambda d: d.select("o_orderkey", co.coerce_timestamp(F.when(F.col("o_orderkey") % 9 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))).alias("at")), """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 9 != 0 THEN date_trunc('second', o_orderdate::TIMESTAMP) END AS at FROM orders""")
+ROLES = {"amount": ["total", "O Total-Price"], "client": ["o_custkey"], "region": ["area"]}
+
+
+def by_role(d: DataFrame) -> DataFrame:
+    found = co.resolve_columns(d.schema, ROLES)
+    return d.groupBy(F.col(found["client"]).alias("client")).agg(F.round(F.sum(found["amount"]), 2).alias("amount"), F.lit(found["region"] is None).alias("no_region"))
+
+
+C.on("p11_resolve_columns", "orders", by_role, "SELECT o_custkey AS client, round(sum(o_totalprice), 2) AS amount, true AS no_region FROM orders GROUP BY 1")
+
+
+def emptied(d: DataFrame) -> DataFrame:
+    some = F.col("p_partkey") % 4 != 0
+    return co.drop_empty(d.select(F.when(some, F.col("p_partkey")).alias(" key "), F.lit(None).cast("string").alias("nothing"), F.when(some, F.col("p_brand")).alias("brand")))
+
+
+C.on("p12_drop_empty", "part", emptied, "SELECT p_partkey AS key, p_brand AS brand FROM part WHERE p_partkey % 4 != 0")
+
 # SQL over a table, with the result's size, first rows and statistics
 ASKED = "SELECT o_orderpriority AS priority, count(*) AS n, min(o_custkey) AS first FROM sql_data GROUP BY 1 ORDER BY 1"
 C.free("q01_sql_report", lambda s, d: ta.sql_report(s, ASKED, {"sql_data": read(s, d, "orders")}, first=3), f"""

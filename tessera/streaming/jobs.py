@@ -72,21 +72,26 @@ def embed_stream(stream: DataFrame, cache_root: str, checkpoint: str, embed: Cal
 
     def run(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        wanted = batch.where(F.col(text).isNotNull()).select(cache_key(text, model).alias("cache_key"), F.col(text).alias("text")).dropDuplicates(["cache_key"])
-
-        def merged(present: DataFrame | None) -> DataFrame:
-            if present is None:
-                return wanted.mapInPandas(embedder(embed, tries), EMBEDDED)
-            have = present.where("vector is not null").select("cache_key")
-            new = wanted.join(have, "cache_key", "left_anti")
-            return new.mapInPandas(embedder(embed, tries), EMBEDDED).unionByName(present.join(new.select("cache_key"), "cache_key", "left_anti"))
-
-        apply_batch(batch.sparkSession, cache_root, wanted.select("cache_key"), merged, number)
+        embed_batch(batch, cache_root, embed, model, number, tries, text)
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def embed_batch(batch: DataFrame, cache_root: str, embed: Callable[[pd.Series], list], model: str, number: int, tries: int = 3, text: str = "text") -> bool:
+    """Embed the distinct texts of a batch that the cache has no vector of; False if the batch was there before."""
+    wanted = batch.where(F.col(text).isNotNull()).select(cache_key(text, model).alias("cache_key"), F.col(text).alias("text")).dropDuplicates(["cache_key"])
+
+    def merged(present: DataFrame | None) -> DataFrame:
+        if present is None:
+            return wanted.mapInPandas(embedder(embed, tries), EMBEDDED)
+        have = present.where("vector is not null").select("cache_key")
+        new = wanted.join(have, "cache_key", "left_anti")
+        return new.mapInPandas(embedder(embed, tries), EMBEDDED).unionByName(present.join(new.select("cache_key"), "cache_key", "left_anti"))
+
+    return apply_batch(batch.sparkSession, cache_root, wanted.select("cache_key"), merged, number)
+
+
 EMBEDDED = "cache_key string, vector array<float>, tries int, error string"
 
 
