@@ -61,7 +61,25 @@ C.on("k02_structured_chunks", "documents", lambda d: digest(ch.structured_chunks
 C.on("k05_table_chunks", "documents", lambda d: digest(ch.table_chunks(d), "doc_id"))
 C.on("k06_parents_and_children", "documents", lambda d: ch.parents_and_children(d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.count("parent_id").alias("children")), "SELECT doc_id, (2 * count(*))::BIGINT AS chunks, count(*) AS children FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) WHERE trim(s) != '' GROUP BY doc_id")
 C.on("k08_automatic", "documents", lambda d: ch.automatic(d).groupBy("strategy").count())
-C.on("k09_recursive_chunks", "documents", lambda d: digest(ch.recursive_chunks(d), "doc_id"))
+C.on("k09_recursive_chunks", "documents", lambda d: digest(ch.recursive_chunks(d), "doc_id"), r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, t, length(t) AS n FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents) WHERE t != ''),
+w AS (
+  SELECT doc_id, 0::BIGINT AS b, NULL::BIGINT AS e FROM d
+  UNION ALL
+  SELECT doc_id, CASE WHEN e IS NULL THEN b ELSE e - 100 END, CASE WHEN e IS NULL THEN cut END
+  FROM (
+    SELECT w.doc_id, b, e, n,
+           CASE WHEN b + 800 >= n THEN n
+                WHEN strpos(r, chr(10) || chr(10)) > 0 THEN b + 800 - strpos(r, chr(10) || chr(10)) + 1
+                WHEN strpos(r, chr(10)) > 0 THEN b + 800 - strpos(r, chr(10)) + 1
+                WHEN strpos(r, ' ') > 0 THEN b + 800 - strpos(r, ' ') + 1
+                ELSE b + 800 END AS cut
+    FROM (SELECT w.*, d.n, reverse(substring(d.t, b + 102, 699)) AS r FROM w JOIN d USING (doc_id)) AS w)
+  WHERE e IS NULL OR e < n),
+c AS (
+  SELECT doc_id, regexp_replace(substring(t, b + 1, e - b), '^\s+|\s+$', '', 'g') AS c FROM w JOIN d USING (doc_id) WHERE e IS NOT NULL)
+SELECT doc_id, count(*) AS chunks, sum(length(c))::BIGINT AS chars, max(length(c))::BIGINT AS longest FROM c WHERE c != '' GROUP BY 1""")
 C.on("k11_finalize", "documents", lambda d: ch.finalize(ch.fixed_windows(d)).groupBy("doc_id").agg(F.count("chunk_index").alias("kept"), F.count("reject_reason").alias("rejected"), F.sum("token_count").alias("tokens")))
 C.on("k13_hierarchy", "documents", lambda d: ch.hierarchy(ch.line_blocks(d)))
 C.on("k12_token_estimate", "conversations", lambda d: d.select("conv_id", "turn", ch.token_estimate("text").alias("tokens")), f"SELECT conv_id, turn, greatest({WORDS}, 1)::BIGINT AS tokens FROM conversations")
