@@ -178,12 +178,14 @@ def smallest_mode(df: DataFrame, c: str | Column, name: str, by: Sequence[str] =
 
 #: Ranges that values are dealt to, so that no task sorts a whole column.
 RANGES = 200
+_STEP = 14  #: bounds between two that are looked at first
 
 
 def _ranges(df: DataFrame, value: str) -> DataFrame:
-    """One row, ``_bounds``: values that cut a numeric column in at most RANGES ranges of about as many rows each."""
+    """One row, ``_bounds``: values that cut a numeric column in at most RANGES ranges of about as many rows each; ``_coarse``: every _STEP-th."""
     cuts = F.percentile_approx(value, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(50 * RANGES))
-    return df.agg(F.array_distinct(F.coalesce(cuts, F.array().cast("array<double>"))).alias("_bounds"))
+    one = df.agg(F.array_distinct(F.coalesce(cuts, F.array().cast("array<double>"))).alias("_bounds"))
+    return one.withColumn("_coarse", F.filter("_bounds", lambda _, i: i % _STEP == _STEP - 1))
 
 
 def same(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -195,8 +197,9 @@ def same(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") ->
 
 def with_range(df: DataFrame, value: str, name: str = "_range") -> DataFrame:
     """Adds the number of the range that ``value`` lies in; equal values share one, nulls are in the first."""
-    cut = df.join(F.broadcast(_ranges(df, value)))
-    return cut.withColumn(name, F.size(F.filter("_bounds", lambda b: b < F.coalesce(F.col(value), b)))).drop("_bounds")
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < F.coalesce(F.col(value), b)))
+    cut = df.join(F.broadcast(_ranges(df, value))).withColumn("_far", below("_coarse") * _STEP)
+    return cut.withColumn(name, F.col("_far") + below(F.slice("_bounds", F.col("_far") + 1, F.lit(_STEP)))).drop("_bounds", "_coarse", "_far")
 
 
 def _before(totals: DataFrame, by: Sequence[str], n: str) -> DataFrame:
@@ -212,17 +215,18 @@ def with_pct_ranks(df: DataFrame, ranks: Mapping[str, Column], by: Sequence[str]
     Values are counted, the counts added up within ranges of values and over the ranges' totals, and the ranks joined
     back by value. So a task sorts a range of distinct values of a group, never its rows.
     """
-    for i, (name, value) in enumerate(ranks.items()):
+    base = df.withColumns({f"_v{i}": value.cast("double") for i, value in enumerate(ranks.values())})
+    out = base
+    for i, name in enumerate(ranks):
         v = f"_v{i}"
-        df = df.withColumn(v, value.cast("double"))
-        counts = with_range(df.groupBy(*by, v).agg(F.count(F.lit(1)).alias("_k")), v)
+        counts = with_range(base.groupBy(*by, v).agg(F.count(F.lit(1)).alias("_k")), v)
         upto = F.sum("_k").over(Window.partitionBy(*by, "_range").orderBy(F.asc_nulls_first(v)).rowsBetween(Window.unboundedPreceding, 0))
         totals = _before(counts.groupBy(*by, "_range").agg(F.sum("_k").alias("_n")), by, "_n")
         counts = counts.withColumn("_upto", upto)
         placed = same(counts, totals if by else F.broadcast(totals), [*by, "_range"])
         share = (F.col("_base") + F.col("_upto") - (F.col("_k") - 1) / 2) / F.col("_all")
-        df = same(df, placed.select(*by, v, share.alias(name)), [*by, v]).drop(v)
-    return df
+        out = same(out, placed.select(*by, v, share.alias(name)), [*by, v]).drop(v)
+    return out
 
 
 def in_blocks(df: DataFrame, ts: str, by: Sequence[str] = (), halo: int = 1, size: int = 100_000) -> DataFrame:
