@@ -12,19 +12,18 @@ alone, and what the text itself has said so far; these three weights adapt from
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize
 from tessera.llm.kernels import U, Words, blocks, column, distinct, grams, mix, parts
-from tessera.llm.language_id import remainder
 
 CHUNK = 16 << 20  #: bytes of text whose words are counted together
 BLOCK_WORDS = 100_000  #: distinct words that weights are learned from one after the other
@@ -56,9 +55,25 @@ class Mixer:
     refined: np.ndarray
 
     @classmethod
-    def fresh(cls) -> Mixer:
-        start = np.append(np.full(len(ORDERS), 0.35), 0.0)
-        return cls(np.tile(start, (_SETS[0], 1)), np.tile(start, (_SETS[1], 1)), cls.rates(np.zeros((2, _SETS[0], CELLS))))
+    def fresh(cls, contexts: int = len(ORDERS)) -> Mixer:
+        start = np.append(np.full(contexts, 0.35), 0.0)
+        return cls(np.tile(start, (contexts + 1, 1)), np.tile(start, (_SETS[1], 1)), cls.rates(np.zeros((2, contexts + 1, CELLS))))
+
+    @classmethod
+    def averaged(cls, rows: DataFrame, contexts: int = len(ORDERS)) -> Mixer:
+        """From rows of flat(), whose places are added up."""
+        rows = rows.groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        if not rows.num_rows:
+            return cls.fresh(contexts)
+        flat = rows["x"].to_numpy()[np.argsort(rows["at"].to_numpy())]
+        if not flat[-1]:
+            return cls.fresh(contexts)
+        a, b = (contexts + 1) ** 2, _SETS[1] * (contexts + 1)
+        seen = flat[a + b : -1].reshape(2, contexts + 1, CELLS)
+        return cls((flat[:a] / flat[-1]).reshape(contexts + 1, -1), (flat[a : a + b] / flat[-1]).reshape(_SETS[1], -1), cls.rates(seen))
+
+    def flat(self, seen: np.ndarray, bits: float) -> np.ndarray:
+        return np.concatenate([self.by_order.ravel() * bits, self.by_place.ravel() * bits, seen.ravel(), [bits]])
 
     @staticmethod
     def rates(seen: np.ndarray) -> np.ndarray:
@@ -124,6 +139,15 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _ones(m: Mixer, both: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """Probability of a one: the mixed log-odds and what the map makes of them, half each."""
+    low = np.minimum(np.floor(both / STEP).astype(np.int64) + CELLS // 2, CELLS - 2)
+    part = both / STEP + CELLS // 2 - low
+    cell = longest * CELLS + low
+    refined = m.refined.ravel()[cell] * (1 - part) + m.refined.ravel()[cell + 1] * part
+    return np.clip((_squash(both) + refined) / 2, 1e-6, 1 - 1e-6)
+
+
 def learn(words: list[bytes], table: np.ndarray) -> tuple[Mixer, np.ndarray, int]:
     """A mixer after these words, what its map has seen (ones, all), and how many bits it has seen; ``table`` is odds()."""
     m, seen, bits = Mixer.fresh(), np.zeros((2, _SETS[0], CELLS)), 0
@@ -148,19 +172,16 @@ def spell_scores(words: list[bytes], table: np.ndarray, m: Mixer) -> np.ndarray:
     out = np.zeros(len(words))
     for word, slots, bit in spelled(words):
         inputs, longest = _inputs(table[0], slots, None)
-        both = _mixed(m, inputs, longest)[2].astype(float)
-        low = np.minimum(np.floor(both / STEP).astype(np.int64) + CELLS // 2, CELLS - 2)
-        part = both / STEP + CELLS // 2 - low
-        refined = m.refined[longest, low] * (1 - part) + m.refined[longest, low + 1] * part
-        one = np.clip((_squash(both) + refined) / 2, 1e-6, 1 - 1e-6)
+        one = _ones(m, _mixed(m, inputs, longest)[2].astype(float), longest)
         out += np.bincount(word, np.log10(np.where(bit > 0, one, 1 - one)).sum(axis=1), len(words))
     return out
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, words, times, text, ids, sizes, bytes) of docs (doc_id, learn, text): the texts of a task in runs of about CHUNK bytes.
+    """(chunk, words, times, text, ids, learned, sizes, bytes) of docs (doc_id, learn, text): the texts of a task in runs of about CHUNK bytes.
 
     words: the distinct ones, the first is empty and stands for the end of a text; times: their training tokens; text: their numbers.
+    learned: whether a text is learned from;
     sizes and bytes: tokens of each text, and their bytes with one more for each.
     """
 
@@ -189,9 +210,9 @@ def chunks(docs: DataFrame) -> DataFrame:
             packed = pa.compress(text.astype(np.int32).tobytes(), "zstd", asbytes=True)
             long = np.concatenate(([0], np.cumsum(end - start, dtype=np.int64)))
             upto = np.cumsum(count)
-            columns = [[task + made], [words], [times], [packed], [ids], [count + 1], [long[upto] - long[upto - count] + count + 1]]
-            kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), *[pa.list_(pa.int64())] * 3]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "words", "times", "text", "ids", "sizes", "bytes"])
+            columns = [[task + made], [words], [times], [packed], [ids], [learned], [count + 1], [long[upto] - long[upto - count] + count + 1]]
+            kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.list_(pa.int64())] * 2]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "words", "times", "text", "ids", "learned", "sizes", "bytes"])
 
         ids, learned, texts, size = [], [], [], 0
         for batch in parts(batches):
@@ -206,21 +227,20 @@ def chunks(docs: DataFrame) -> DataFrame:
         if texts:
             yield flush(ids, learned, texts)
 
-    return docs.mapInArrow(count, "chunk long, words array<binary>, times array<long>, text binary, ids array<long>, sizes array<long>, bytes array<long>")
+    return docs.mapInArrow(count, "chunk long, words array<binary>, times array<long>, text binary, ids array<long>, learned array<boolean>, sizes array<long>, bytes array<long>")
 
 
-def slot_counts(words: DataFrame) -> np.ndarray:
-    """(zeros, ones) of every slot over the words. A task sends its counts in BLOCKS packed pieces, which are added up by piece."""
+def added_up(rows: DataFrame, add: Callable[[pa.RecordBatch, np.ndarray], None], bits: int) -> np.ndarray:
+    """(zeros, ones) of 2 ** bits slots. A task adds its batches to its counts and sends them in BLOCKS packed pieces, added up by piece."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(2 << SLOT_BITS, np.int64)
-        for batch in parts(batches, 20_000):
-            for _, slots, bit in spelled(column(batch, "word")):
-                np.add.at(seen, (slots + (bit.astype(np.int64) << SLOT_BITS)).ravel(), 1)
+        seen = np.zeros(2 << bits, np.int64)
+        for batch in batches:
+            add(batch, seen)
         for i, piece in enumerate(seen.reshape(BLOCKS, -1)):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pa.compress(piece.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["piece", "counts"])
 
-    size = (2 << SLOT_BITS) // BLOCKS
+    size = (2 << bits) // BLOCKS
 
     def total(pieces: pa.Table) -> pa.Table:
         whole = np.zeros(size, np.int64)
@@ -229,27 +249,32 @@ def slot_counts(words: DataFrame) -> np.ndarray:
         return pa.table({"piece": pieces["piece"].slice(0, 1), "counts": pa.array([whole.tobytes()], pa.binary())})
 
     kind, counts = "piece int, counts binary", np.zeros((BLOCKS, size), np.float32)
-    for row in words.mapInArrow(count, kind).groupBy("piece").applyInArrow(total, kind).toArrow().to_pylist():
+    for row in rows.mapInArrow(count, kind).groupBy("piece").applyInArrow(total, kind).toArrow().to_pylist():
         counts[row["piece"]] = np.frombuffer(row["counts"], np.int64)
     return counts.reshape(2, -1)
 
 
+def slot_counts(words: DataFrame) -> np.ndarray:
+    """(zeros, ones) of every slot over the words."""
+
+    def add(batch: pa.RecordBatch, seen: np.ndarray) -> None:
+        for some in parts([batch], 20_000):
+            for _, slots, bit in spelled(column(some, "word")):
+                np.add.at(seen, (slots + (bit.astype(np.int64) << SLOT_BITS)).ravel(), 1)
+
+    return added_up(words, add, SLOT_BITS)
+
+
 def fit_mixer(words: DataFrame, n: int, table) -> Mixer:
     """Mixers of blocks of words, averaged by their bits; the blocks go by the words' hashes. ``table`` is a broadcast of odds()."""
 
     def run(block: pa.Table) -> pa.Table:
         m, seen, bits = learn(sorted(block["word"].to_pylist(), key=lambda w: (xxhash.xxh3_64_intdigest(w), w)), table.value)
-        flat = np.concatenate([m.by_order.ravel() * bits, m.by_place.ravel() * bits, seen.ravel(), [bits]])
+        flat = m.flat(seen, bits)
         return pa.table({"at": np.arange(len(flat), dtype=np.int32), "x": flat})
 
     blocks = words.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(max(1, -(-n // BLOCK_WORDS)))))
-    rows = blocks.groupBy("block").applyInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-    if not rows.num_rows:
-        return Mixer.fresh()
-    flat = rows["x"].to_numpy()[np.argsort(rows["at"].to_numpy())]
-    a, b = _SETS[0] * _INPUTS, _SETS[1] * _INPUTS
-    seen = flat[a + b : -1].reshape(2, _SETS[0], CELLS)
-    return Mixer((flat[:a] / flat[-1]).reshape(_SETS[0], _INPUTS), (flat[a : a + b] / flat[-1]).reshape(_SETS[1], _INPUTS), Mixer.rates(seen))
+    return Mixer.averaged(blocks.groupBy("block").applyInArrow(run, "at int, x double"))
 
 
 def _log(x: np.ndarray) -> np.ndarray:
@@ -257,12 +282,18 @@ def _log(x: np.ndarray) -> np.ndarray:
         return np.log(x)
 
 
+def base_scores(tokens: np.ndarray, sizes: np.ndarray, c: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """(known tokens, base score) of texts laid end to end; c by token number."""
+    doc, own = np.repeat(np.arange(len(sizes)), sizes), c[tokens]
+    base = np.log10((own + 0.5) / (n + 0.5 * (v + 1)))
+    return np.bincount(doc, own > 0, len(sizes)).astype(np.int64), np.bincount(doc, base, len(sizes))
+
+
 def text_scores(tokens: np.ndarray, sizes: np.ndarray, c: np.ndarray, spell: np.ndarray, n: int, v: int) -> tuple[np.ndarray, ...]:
     """(known tokens, base score, score) of texts laid end to end; c and spell (natural logarithm) by token number."""
     ends = np.cumsum(sizes)
     doc, first = np.repeat(np.arange(len(sizes)), sizes), np.repeat(ends - sizes, sizes)
     at = np.arange(len(tokens)) - first
-    own = c[tokens]
     order = np.lexsort((at, tokens, doc))
     new = np.ones(len(order), bool)
     new[1:] = (doc[order][1:] != doc[order][:-1]) | (tokens[order][1:] != tokens[order][:-1])
@@ -281,9 +312,38 @@ def text_scores(tokens: np.ndarray, sizes: np.ndarray, c: np.ndarray, spell: np.
     upto = np.cumsum(took, axis=1) - took
     shares = (STRENGTH * np.array(SHARES)[:, None] + upto - upto[:, first]) / (STRENGTH + at)
     score = np.logaddexp.reduce(ways + _log(shares), axis=0) / np.log(10)
-    base = np.log10((own + 0.5) / (n + 0.5 * (v + 1)))
-    per = lambda x: np.bincount(doc, x, len(sizes))
-    return per((own > 0).astype(float)).astype(np.int64), per(base), per(score)
+    return *base_scores(tokens, sizes, c, n, v), np.bincount(doc, score, len(sizes))
+
+
+def chosen(docs: DataFrame, learn_col: str, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(learn_col).cast("boolean").alias("learn"), F.col(text_col).cast("string").alias("text"))
+
+
+def word_counts(held: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(word, c, places) of all words of the chunks, (word, c), and how many shelves a word's places are dealt to."""
+    shelves = -(-held.count() // PLACES)  # more than one only where a word may be in more than PLACES chunks
+    words = held.select("chunk", F.posexplode(F.arrays_zip("words", "times")).alias("at", "x"))
+    words = words.select(F.col("x.words").alias("word"), F.pmod(F.xxhash64("chunk"), F.lit(max(1, shelves))).alias("shelf"), F.struct("chunk", "at").alias("place"), F.col("x.times").alias("n"))
+    types = materialize(words.groupBy("word", "shelf").agg(F.sum("n").alias("c"), F.collect_list("place").alias("places")))
+    return types, types if shelves <= 1 else materialize(types.groupBy("word").agg(F.sum("c").alias("c"))), shelves
+
+
+def training_size(counted: DataFrame) -> tuple[int, int]:
+    """Training tokens and distinct ones."""
+    return tuple(counted.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first())
+
+
+def unpacked(packed: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, 4 * size, "zstd", asbytes=True), np.int32)
+
+
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, last) of runs of texts with ``most`` in all; a longer text by itself."""
+    upto, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] - sizes[first] + most, "right")))
+        yield first, last
+        first = last
 
 
 def score_texts(docs: DataFrame, learn_col: str = "learn", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,15 +359,10 @@ def score_texts(docs: DataFrame, learn_col: str = "learn", id_col: str = "doc_id
     only the slots (a fixed size) and some hundred weights are sent to all tasks.
     """
     spark = docs.sparkSession
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(learn_col).cast("boolean").alias("learn"), F.col(text_col).cast("string").alias("text"))
-    held = materialize(chunks(picked))
-    shelves = -(-held.count() // PLACES)  # more than one only where a word may be in more than PLACES chunks
-    words = held.select("chunk", F.posexplode(F.arrays_zip("words", "times")).alias("at", "x"))
-    words = words.select(F.col("x.words").alias("word"), F.pmod(F.xxhash64("chunk"), F.lit(max(1, shelves))).alias("shelf"), F.struct("chunk", "at").alias("place"), F.col("x.times").alias("n"))
-    types = materialize(words.groupBy("word", "shelf").agg(F.sum("n").alias("c"), F.collect_list("place").alias("places")))
-    counted = types if shelves <= 1 else materialize(types.groupBy("word").agg(F.sum("c").alias("c")))
+    held = materialize(chunks(chosen(docs, learn_col, id_col, text_col)))
+    types, counted, shelves = word_counts(held)
     learned = counted.where("c > 0").select("word")
-    n, v = counted.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    n, v = training_size(counted)
     table = spark.sparkContext.broadcast(odds(slot_counts(learned)))
     mixer = spark.sparkContext.broadcast(fit_mixer(learned, v, table))
 
@@ -329,24 +384,13 @@ def score_texts(docs: DataFrame, learn_col: str = "learn", id_col: str = "doc_id
         c[at], spell[at] = own["c"].to_numpy(), own["spell"].to_numpy()
         ids, sizes, n_bytes = (held[x].combine_chunks().flatten() for x in ("ids", "sizes", "bytes"))
         size = sizes.to_numpy()
-        tokens = np.frombuffer(pa.decompress(held["text"][0].as_py(), 4 * int(size.sum()), "zstd", asbytes=True), np.int32)
-        upto, first, rows = np.cumsum(size), 0, []
-        while first < len(size):
-            before = upto[first] - size[first]
-            last = max(first + 1, int(np.searchsorted(upto, before + TOKENS, "right")))
-            known, base, found = text_scores(tokens[before : upto[last - 1]], size[first:last], c, spell, n, v)
+        tokens, upto, rows = unpacked(held["text"][0].as_py(), int(size.sum())), np.cumsum(size), []
+        for first, last in runs(size, TOKENS):
+            known, base, found = text_scores(tokens[upto[first] - size[first] : upto[last - 1]], size[first:last], c, spell, n, v)
             rows.append((known, base, found, -found * np.log2(10) / n_bytes.to_numpy()[first:last]))
-            first = last
         known, base, found, bits = (np.concatenate(x) for x in zip(*rows, strict=True))
         return pa.table({"doc_id": ids, "n_tokens": sizes, "n_known": known, "base_score": base, "score": found, "n_bytes": n_bytes, "bits_per_byte": bits})
 
     rows = held.select("chunk", "text", "ids", "sizes", "bytes").groupBy("chunk").cogroup(own.groupBy("chunk"))
     out = rows.applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double")
     return out.withColumn("train_tokens", F.lit(n).cast("long"))
-
-
-def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score_texts(docs.withColumn("learn", F.coalesce(remainder(F.col("doc_id"), 5) != 1, F.lit(False))))
-    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 1, F.lit(False))
-    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
