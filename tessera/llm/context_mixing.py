@@ -8,7 +8,7 @@ the bit's place; an adaptive map from the mixed log-odds to the rate of ones ref
 training bytes, each without its own observation, chunk by chunk, and averaged over the chunks.
 
 A byte's probability depends on itself and the six before it, so equal runs of seven bytes are counted, learned and scored together,
-by their occurrences.
+by their occurrences. The distinct runs of a chunk are found once and stored with it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,24 +30,29 @@ ORDERS = (1, 2, 3, 4, 6)  #: bytes of the contexts; the last context is the word
 CONTEXTS = len(ORDERS) + 1
 PAST = 6  #: bytes before a byte that its contexts can hold
 SLOT_BITS = 22  #: all contexts share 2 ** SLOT_BITS slots, two counts each: 32 MB, whatever the corpus
+SORTED = 1 << 22  #: bytes whose runs are sorted at once, or a piece
 PIECE = 1 << 20  #: bytes of text whose runs are laid out at once; a longer text by itself
 TEXTS = 256  #: texts in a piece at most: a run of seven bytes and the number of its text are one number
 MOST = 8.0  #: of a slot's log-odds, either way
 RATE = 0.5  #: of the weights' moves, on the gradient of a lot over the sum of its curvatures, so that they can't run away
 FEW = 0.05  #: added to that sum, of a lot's mean
 LOT = 1 << 14  #: different runs whose bits are predicted at once; weights move after each lot
+RUNS, RUN_KINDS = ["runs", "run_keys", "run_times"], "runs long, run_keys binary, run_times binary"
 _SALT = [U((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for i in range(CONTEXTS)]
 _K = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _PLACE = np.arange(8)[:, None]
 _BITS = (np.arange(256) >> (7 - _PLACE)) & 1  #: by bit and byte
 _NODE = (1 << _PLACE % 4) | np.where(_PLACE < 4, np.arange(256) >> 4, np.arange(256) & 15) >> 4 - _PLACE % 4  #: its place among the slots of its half byte
-_WITHOUT = (_BITS + 1) << SLOT_BITS  #: where odds() without that bit stand
+_COUNT = _NODE + (_BITS << SLOT_BITS)  #: the same among the counts of that bit
+_WITHOUT = _NODE + ((_BITS + 1) << SLOT_BITS)  #: and among the odds() without that bit
 
 
-def spell_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spell_out(words: list[bytes] | pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words' bytes with a space after each, then the spaces before a text; where each begins; their sizes."""
-    flat = np.frombuffer(b" ".join([*words, b" " * PAST]), np.uint8)
-    sizes = np.append(np.fromiter(map(len, words), np.int64, len(words)) + 1, PAST)
+    words = pa.array(words, pa.binary()) if isinstance(words, list) else words
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b" ")[0].as_buffer()
+    flat = np.concatenate((np.frombuffer(joined, np.uint8), np.full(PAST + 1, 0x20, np.uint8)))
+    sizes = np.append(pc.binary_length(words).to_numpy().astype(np.int64) + 1, PAST)
     return flat, np.cumsum(sizes) - sizes, sizes
 
 
@@ -82,13 +88,29 @@ def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return keys[first], np.add.reduceat(times, first) if len(first) else times
 
 
-def distinct_runs(some: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of the pieces in order, and how often each stands there; merged as they come, like with like."""
-    held = []
-    for keys, _ in some:
+def distinct_runs(some: Iterator[tuple[np.ndarray, np.ndarray]], learned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of the pieces in order, and how often each stands there; merged as they come, like with like.
+
+    ``learned``: by text, only those with a one add to how often, so keys may stand there 0 times.
+    """
+    held, texts, some = [], 0, iter(some)
+    while lot := list(_lot(some)):
+        if learned is not None:
+            for keys, doc in lot:
+                keys <<= U(1)
+                keys |= learned.take(texts + doc)
+                texts += int(doc[-1]) + 1
+        keys = np.concatenate([keys for keys, _ in lot]) if len(lot) > 1 else lot[0][0]
+        del lot
         keys.sort()
-        first = heads(keys)
-        found = keys[first], np.diff(first, append=len(keys)).astype(np.int32)
+        if learned is None:
+            first = heads(keys)
+            found = keys[first], np.diff(first, append=len(keys)).astype(np.int32)
+        else:
+            ones = (keys & U(1)).astype(np.int32)
+            keys >>= U(1)
+            first = heads(keys)
+            found = keys[first], np.add.reduceat(ones, first)
         while held and len(held[-1][0]) < 2 * len(found[0]):
             found = _merged(held.pop(), found)
         held.append(found)
@@ -97,8 +119,50 @@ def distinct_runs(some: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.nda
     return (held[0][0], held[0][1].astype(np.int64)) if held else (np.empty(0, U), np.empty(0, np.int64))
 
 
-def slots_of(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By context: the first of each group of keys (in order) with the same context and byte, the byte, and a row of slots for each of its bits.
+def _lot(some: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The next pieces, about SORTED bytes of them."""
+    size = 0
+    while size < SORTED and (piece := next(some, None)) is not None:
+        size += len(piece[0])
+        yield piece
+
+
+class Places:
+    """Where distinct keys stand, by tables of their hashes: of keys that share a place the last is there, the others go to the next table."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables = keys, []
+        left = np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            table = np.zeros(2 << len(left).bit_length(), np.int32)
+            own = self._hashed(keys[left], len(self.tables), len(table))
+            table[own] = left
+            self.tables.append(table)
+            left = left[table[own] != left]
+
+    @staticmethod
+    def _hashed(keys: np.ndarray, nth: int, size: int) -> np.ndarray:
+        return (keys * U((2 * nth + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> U(65 - size.bit_length())).view(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The places of keys that are all there."""
+        out, rest = np.zeros(len(wanted), np.int32), None
+        for nth, table in enumerate(self.tables):
+            some = wanted if rest is None else wanted[rest]
+            got = table.take(self._hashed(some, nth, len(table)))
+            missed = np.flatnonzero(self.keys.take(got) != some)
+            if rest is None:
+                out, rest = got, missed
+            else:
+                out[rest] = got
+                rest = rest[missed]
+            if not len(rest):
+                break
+        return out
+
+
+def slots_of(keys: np.ndarray, nodes: np.ndarray = _NODE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By context: the first of each group of keys (in order) with the same context and byte, and a row of slots for each of the byte's bits.
 
     The slots of half a byte stand together, so that they are read at once.
     """
@@ -112,9 +176,13 @@ def slots_of(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         head = np.flatnonzero(new)
         context = part[head] & ((U(1) << (U(8) * size[head])) - U(1))
         hashed = mix(context + _SALT[i] + size[head] * _K[1])
-        byte = (keys[head] >> U(48)).astype(np.int64)
-        rows = np.stack([hashed, hashed + ((byte >> 4).astype(U) + U(16)) * _K[0]]) * _K[1]
-        yield head, byte, ((rows >> U(68 - SLOT_BITS)) << U(4)).astype(np.int64).repeat(4, axis=0) + _NODE.take(byte, axis=1)
+        byte = keys[head] >> U(48)
+        rows = np.stack([hashed, hashed + ((byte >> U(4)) + U(16)) * _K[0]]) * _K[1]
+        rows >>= U(68 - SLOT_BITS)
+        rows <<= U(4)
+        slots = nodes.take(byte.view(np.int64), axis=1)
+        slots.reshape(2, 4, -1)[:] += rows.view(np.int64)[:, None]
+        yield head, slots
 
 
 def bits_of(keys: np.ndarray) -> np.ndarray:
@@ -125,38 +193,53 @@ def count_runs(keys: np.ndarray, times: np.ndarray, seen: np.ndarray) -> None:
     """Adds the bits of the keys (in order) to the counts (zeros, then ones) of their slots."""
     for lot in range(0, len(keys), LOT):
         some, n = keys[lot : lot + LOT], times[lot : lot + LOT]
-        for head, byte, slots in slots_of(some):
-            slots += (_BITS << SLOT_BITS).take(byte, axis=1)
+        for head, slots in slots_of(some, _COUNT):
             np.add.at(seen, slots.ravel(), np.tile(np.add.reduceat(n, head), 8))
 
 
 def _inputs(keys: np.ndarray, odds: np.ndarray, learning: bool) -> tuple[np.ndarray, np.ndarray]:
     """Inputs of the mixer and the longest context seen; ``odds`` as by odds(); ``learning``: without one observation of the bit."""
-    inputs, longest = np.empty((CONTEXTS + 1, 8, len(keys)), np.float32), np.zeros((8, len(keys)), np.int8)
+    inputs, unseen = np.empty((CONTEXTS + 1, 8, len(keys)), np.float32), []
     inputs[-1] = 1
-    for i, (head, byte, slots) in enumerate(slots_of(keys)):
-        if learning:
-            slots += _WITHOUT.take(byte, axis=1)
-        found = odds.ravel().take(slots)
-        none = np.isnan(found)
+    for i, (head, slots) in enumerate(slots_of(keys, _WITHOUT if learning else _NODE)):
+        found = odds.reshape(-1).take(slots)
+        none, group = np.isnan(found), None
         np.copyto(found, 0, where=none)
-        have = (~none).view(np.int8) * np.int8(i + 1)
         if len(head) < len(keys):
             group = np.repeat(np.arange(len(head)), np.diff(head, append=len(keys)))
-            found, have = found.take(group, axis=1), have.take(group, axis=1)
-        inputs[i] = found
-        np.maximum(longest, have, out=longest)
+            found.take(group, axis=1, out=inputs[i], mode="clip")
+        else:
+            inputs[i] = found
+        unseen.append((none, group))
+    none, group = unseen[-1]
+    none = none if group is None else none.take(group, axis=1)
+    longest = np.where(none, np.int8(0), np.int8(CONTEXTS))
+    rest = np.flatnonzero(none)  # few: the shorter contexts matter only where the last one is new
+    for i in range(CONTEXTS - 1, 0, -1):
+        none, group = unseen[i - 1]
+        place, at = np.divmod(rest, max(1, len(keys)))
+        none = none[place, at if group is None else group[at]]
+        longest.ravel()[rest[~none]] = i
+        rest = rest[none]
     return inputs, longest
 
 
-def _mixed(m: Mixer, inputs: np.ndarray, longest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-odds by each set of weights, and their mean."""
-    flat, by_order = inputs.reshape(CONTEXTS + 1, -1), np.zeros(longest.shape, np.float32)
-    for gate in range(CONTEXTS + 1):
-        if (there := longest == gate).any():
-            np.copyto(by_order, (m.by_order[gate].astype(np.float32) @ flat).reshape(longest.shape), where=there)
+def _gates(longest: np.ndarray) -> tuple[int, np.ndarray]:
+    """The gate of most bits, and the bits with others."""
+    most = int(np.bincount(longest.ravel(), minlength=1).argmax())
+    return most, np.flatnonzero(longest != most)
+
+
+def _mixed(m: Mixer, inputs: np.ndarray, longest: np.ndarray, gates: tuple[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-odds by each set of weights, and their mean; ``gates`` as by _gates()."""
+    flat, (most, rest), weights = inputs.reshape(CONTEXTS + 1, -1), gates, m.by_order.astype(np.float32)
+    by_order = weights[most] @ flat
+    by_order[rest] = (weights[longest.ravel()[rest]].T * flat[:, rest]).sum(axis=0)
+    by_order = by_order.reshape(longest.shape)
     by_place = np.stack([m.by_place[j].astype(np.float32) @ inputs[:, j] for j in range(8)])
-    return by_order, by_place, np.clip((by_order + by_place) / 2, -8, 8)
+    both = by_order + by_place
+    both /= 2
+    return by_order, by_place, np.clip(both, -8, 8, out=both)
 
 
 def learn_runs(keys: np.ndarray, times: np.ndarray, odds: np.ndarray, m: Mixer, seen: np.ndarray) -> None:
@@ -165,17 +248,25 @@ def learn_runs(keys: np.ndarray, times: np.ndarray, odds: np.ndarray, m: Mixer,
     for lot in range(lots):
         some, n = np.ascontiguousarray(keys[lot::lots]), times[lot::lots]
         inputs, longest = _inputs(some, odds, True)
-        a, b, both = _mixed(m, inputs, longest)
+        most, rest = gates = _gates(longest)
+        a, b, both = _mixed(m, inputs, longest, gates)
         bit, one = bits_of(some).astype(np.float32), _squash(both)
         cell = (longest * np.int16(CELLS) + np.rint(both / STEP).astype(np.int16) + np.int16(CELLS // 2)).ravel()
         seen[0] += np.bincount(cell, (bit * n).ravel(), seen[0].size).reshape(seen[0].shape)
         seen[1] += np.bincount(cell, np.tile(n, 8), seen[0].size).reshape(seen[0].shape)
         share = (n / (8 * n.sum())).astype(np.float32)
-        bend = one * (1 - one) * share * sum(x * x for x in inputs)
-        off_a, off_b = (bit - _squash(a)) * share, (bit - _squash(b)) * share
-        for gate in range(CONTEXTS + 1):
-            if (there := longest == gate).any():
-                m.by_order[gate] += RATE * (inputs.reshape(CONTEXTS + 1, -1) @ (off_a * there).ravel()) / (bend.sum(where=there) + FEW)
+        bend = inputs[0] * inputs[0]
+        for x in inputs[1:]:
+            bend += x * x
+        bend *= one
+        bend *= (1 - one) * share
+        off_a, off_b = ((bit - _squash(a)) * share).ravel(), (bit - _squash(b)) * share
+        flat, of, bends = inputs.reshape(CONTEXTS + 1, -1), longest.ravel()[rest], bend.ravel()
+        for gate in np.unique(of):
+            there = rest[of == gate]
+            m.by_order[gate] += RATE * (flat[:, there] @ off_a[there]) / (bends[there].sum() + FEW)
+        off_a[rest] = 0
+        m.by_order[most] += RATE * (flat @ off_a) / (bends.sum(where=(longest == most).ravel()) + FEW)
         for j in range(8):
             m.by_place[j] += RATE * (inputs[:, j] @ off_b[j]) / (bend[j].sum() + FEW)
 
@@ -186,25 +277,16 @@ def run_scores(keys: np.ndarray, odds: np.ndarray, m: Mixer) -> np.ndarray:
     for lot in range(0, len(keys), LOT):
         some = keys[lot : lot + LOT]
         inputs, longest = _inputs(some, odds[0], False)
-        one = _ones(m, _mixed(m, inputs, longest)[2].astype(float), longest.astype(np.int64))
+        one = _ones(m, _mixed(m, inputs, longest, _gates(longest))[2].astype(float), longest.astype(np.int64))
         out[lot : lot + LOT] = np.log10(np.where(bits_of(some) > 0, one, 1 - one).prod(axis=0))
     return out
 
 
-def text_sums(pieces: Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]], odds: np.ndarray, m: Mixer) -> np.ndarray:
-    """log10 of the probability of each text of the pieces, which are as by runs_of_bytes() and are laid out twice."""
-    shown = distinct_runs(pieces())[0]
-    found, out = run_scores(shown, odds, m), []
-    for keys, doc in pieces():
-        texts = int(doc[-1]) + 1
-        keys <<= U(8)
-        keys |= doc.astype(U)
-        keys.sort()
-        doc = (keys & U(255)).astype(np.int64)
-        keys >>= U(8)
-        first = heads(keys)
-        score = np.repeat(found[np.searchsorted(shown, keys[first])], np.diff(first, append=len(keys)))
-        out.append(np.bincount(doc, score, texts))
+def text_sums(pieces: Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]], odds: np.ndarray, m: Mixer, shown: np.ndarray | None = None) -> np.ndarray:
+    """log10 of the probability of each text of the pieces, which are as by runs_of_bytes(); ``shown``: their distinct keys, if at hand."""
+    shown = distinct_runs(pieces())[0] if shown is None else shown
+    found, places = run_scores(shown, odds, m), Places(shown)
+    out = [np.add.reduceat(found.take(places.find(keys)), heads(doc)) for keys, doc in pieces()]
     return np.concatenate(out)
 
 
@@ -213,7 +295,7 @@ def pieces(batch: pa.RecordBatch, learned: bool) -> Iterator[tuple[int, Callable
     for row in range(batch.num_rows):
         get = lambda name: batch.column(batch.schema.get_field_index(name))[row]  # noqa: B023, E731
         sizes, n_bytes = (get(x).values.to_numpy() for x in ("sizes", "bytes"))
-        tokens, spelled = unpacked(get("text").as_py(), int(sizes.sum())), spell_out(get("words").as_py())
+        tokens, spelled = unpacked(get("text").as_py(), int(sizes.sum())), spell_out(get("words").values)
         if learned:
             yes = get("learned").values.to_numpy(zero_copy_only=False)
             tokens, sizes, n_bytes = tokens[np.repeat(yes, sizes)], sizes[yes], n_bytes[yes]
@@ -228,14 +310,51 @@ def pieces(batch: pa.RecordBatch, learned: bool) -> Iterator[tuple[int, Callable
         yield row, lay_out
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second ones, and so on, compressed."""
+    return pa.compress(numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes(), "zstd", asbytes=True)
+
+
+def numbers(packed: bytes, size: int, kind: type) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed, wide * size, "zstd", asbytes=True), np.uint8).reshape(wide, size)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def with_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The chunks and their distinct runs of bytes: how many, the keys in order, and how often each is learned from."""
+    found = []
+    for row, some in pieces(batch, False):
+        learned = batch.column(batch.schema.get_field_index("learned"))[row].values.to_numpy(zero_copy_only=False)
+        keys, times = distinct_runs(some(), learned.astype(U))
+        found.append((len(keys), packed(keys), packed(times)))
+    for name, values, kind in zip(RUNS, zip(*found, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True):
+        batch = batch.append_column(name, pa.array(values, kind))
+    return batch
+
+
+def run_columns(held: DataFrame) -> DataFrame:
+    """The chunks' distinct runs, found here where they aren't stored with them."""
+    if set(RUNS) <= set(held.columns):
+        return held.select(*RUNS)
+    return held.select("words", "text", "sizes", "bytes", "learned").mapInArrow(lambda batches: (with_runs(batch).select(RUNS) for batch in batches), RUN_KINDS)
+
+
+def learned_runs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys in order, how often) of each chunk's training texts."""
+    for size, keys, times in zip(*(column(batch, c) for c in RUNS), strict=True):
+        times = numbers(times, size, np.int64)
+        yield numbers(keys, size, U)[times > 0], times[times > 0]
+
+
 def context_counts(held: DataFrame) -> np.ndarray:
     """(zeros, ones) of every slot over all bytes of the training texts of the chunks."""
 
     def add(batch: pa.RecordBatch, seen: np.ndarray) -> None:
-        for _, some in pieces(batch, True):
-            count_runs(*distinct_runs(some()), seen)
+        for keys, times in learned_runs(batch):
+            count_runs(keys, times, seen)
 
-    return added_up(held.select("words", "text", "sizes", "bytes", "learned"), add, SLOT_BITS)
+    return added_up(run_columns(held), add, SLOT_BITS)
 
 
 def fit_contexts(held: DataFrame, odds) -> Mixer:
@@ -243,14 +362,13 @@ def fit_contexts(held: DataFrame, odds) -> Mixer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, some in pieces(batch, True):
+            for keys, times in learned_runs(batch):
                 m, seen = Mixer.fresh(CONTEXTS), np.zeros((2, CONTEXTS + 1, CELLS))
-                keys, times = distinct_runs(some())
                 learn_runs(keys, times, odds.value, m, seen)
                 flat = m.flat(seen, 8 * times.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["at", "x"])
 
-    return Mixer.averaged(held.select("words", "text", "sizes", "bytes", "learned").mapInArrow(run, "at int, x double"), CONTEXTS)
+    return Mixer.averaged(run_columns(held).mapInArrow(run, "at int, x double"), CONTEXTS)
 
 
 def context_scores(docs: DataFrame, learn_col: str = "learn", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,7 +384,7 @@ def context_scores(docs: DataFrame, learn_col: str = "learn", id_col: str = "doc
     fixed size) and some hundred weights are sent to all tasks.
     """
     spark = docs.sparkSession
-    held = materialize(chunks(chosen(docs, learn_col, id_col, text_col)))
+    held = materialize(chunks(chosen(docs, learn_col, id_col, text_col), with_runs, RUN_KINDS))
     types, all_words, _ = word_counts(held)
     n, v = training_size(all_words)
     table = spark.sparkContext.broadcast(np.clip(odds(context_counts(held)), -MOST, MOST))
@@ -275,7 +393,8 @@ def context_scores(docs: DataFrame, learn_col: str = "learn", id_col: str = "doc
     def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, some in pieces(batch, False):
-                found = text_sums(some, table.value, mixer.value)
+                shown = numbers(column(batch, "run_keys")[row], column(batch, "runs")[row], U)
+                found = text_sums(some, table.value, mixer.value, shown)
                 whole = batch.slice(row, 1)
                 kept = [whole.column(whole.schema.get_field_index(x)) for x in ("chunk", "text", "ids", "sizes", "bytes")]
                 scores = pa.array([found], pa.list_(pa.float64()))
@@ -293,7 +412,7 @@ def context_scores(docs: DataFrame, learn_col: str = "learn", id_col: str = "doc
         bits = -found.to_numpy() * np.log2(10) / n_bytes.to_numpy()
         return pa.table({"doc_id": ids, "n_tokens": sizes, "n_known": known, "base_score": base, "score": found, "n_bytes": n_bytes, "bits_per_byte": bits})
 
-    rows = held.select("chunk", "words", "text", "ids", "sizes", "bytes").mapInArrow(mixed, "chunk long, text binary, ids array<long>, sizes array<long>, bytes array<long>, scores array<double>")
+    rows = held.select("chunk", "words", "text", "ids", "sizes", "bytes", "runs", "run_keys").mapInArrow(mixed, "chunk long, text binary, ids array<long>, sizes array<long>, bytes array<long>, scores array<double>")
     rows = rows.groupBy("chunk").cogroup(own.groupBy("chunk"))
     out = rows.applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double")
     return out.withColumn("train_tokens", F.lit(n).cast("long"))

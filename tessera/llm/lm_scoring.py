@@ -136,16 +136,23 @@ def _mixed(m: Mixer, inputs: np.ndarray, longest: np.ndarray) -> tuple[np.ndarra
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    x = np.exp(-x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _ones(m: Mixer, both: np.ndarray, longest: np.ndarray) -> np.ndarray:
     """Probability of a one: the mixed log-odds and what the map makes of them, half each."""
-    low = np.minimum(np.floor(both / STEP).astype(np.int64) + CELLS // 2, CELLS - 2)
-    part = both / STEP + CELLS // 2 - low
-    cell = longest * CELLS + low
-    refined = m.refined.ravel()[cell] * (1 - part) + m.refined.ravel()[cell + 1] * part
-    return np.clip((_squash(both) + refined) / 2, 1e-6, 1 - 1e-6)
+    part = both / STEP + CELLS // 2
+    cell = np.minimum(part.astype(np.int64), CELLS - 2)
+    part -= cell
+    cell += longest * CELLS
+    one = m.refined.ravel().take(cell)
+    cell += 1
+    one += (m.refined.ravel().take(cell) - one) * part
+    one += _squash(both)
+    one /= 2
+    return np.clip(one, 1e-6, 1 - 1e-6, out=one)
 
 
 def learn(words: list[bytes], table: np.ndarray) -> tuple[Mixer, np.ndarray, int]:
@@ -177,13 +184,14 @@ def spell_scores(words: list[bytes], table: np.ndarray, m: Mixer) -> np.ndarray:
     return out
 
 
-def chunks(docs: DataFrame) -> DataFrame:
+def chunks(docs: DataFrame, more: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, kinds: str = "") -> DataFrame:
     """(chunk, words, times, text, ids, learned, sizes, bytes) of docs (doc_id, learn, text): the texts of a task in runs of about CHUNK bytes.
 
     words: the distinct ones, the first is empty and stands for the end of a text; times: their training tokens; text: their numbers.
     learned: whether a text is learned from;
-    sizes and bytes: tokens of each text, and their bytes with one more for each.
+    sizes and bytes: tokens of each text, and their bytes with one more for each. ``more`` adds columns of these ``kinds`` to a chunk.
     """
+    more = more or (lambda chunk: chunk)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId() << 32, 0
@@ -198,21 +206,27 @@ def chunks(docs: DataFrame) -> DataFrame:
                 starts.append((w.start + held).astype(np.int32))
                 ends.append((w.end + held).astype(np.int32))
                 counts.append(w.count)
-                seen.append(w.seen.tobytes())
+                seen.append(w.seen)
                 held += len(w.seen)
             shown, number = distinct(np.concatenate(hashes))
             del hashes
-            whole, start, end, count = b"".join(seen), *map(np.concatenate, (starts, ends, counts))
-            words = [b"", *(whole[s:e] for s, e in zip(start[shown].tolist(), end[shown].tolist(), strict=True))]
+            whole, start, end, count = map(np.concatenate, (seen, starts, ends, counts))
+            size = end[shown] - start[shown]
+            upto = np.concatenate(([0, 0], np.cumsum(size, dtype=np.int64))).astype(np.int32)  # the first word is empty
+            at = np.repeat(start[shown] - upto[1:-1], size)
+            at += np.arange(len(at), dtype=np.int32)
+            words = pa.BinaryArray.from_buffers(pa.binary(), len(size) + 1, [None, pa.py_buffer(upto), pa.py_buffer(whole[at])])
             text = np.insert(number + np.int32(1), np.cumsum(count), 0)
             of = np.repeat(np.array(learned, bool), count + 1)
             times = np.bincount(text[of], minlength=len(words))
             packed = pa.compress(text.astype(np.int32).tobytes(), "zstd", asbytes=True)
             long = np.concatenate(([0], np.cumsum(end - start, dtype=np.int64)))
             upto = np.cumsum(count)
-            columns = [[task + made], [words], [times], [packed], [ids], [learned], [count + 1], [long[upto] - long[upto - count] + count + 1]]
-            kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.list_(pa.int64())] * 2]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "words", "times", "text", "ids", "learned", "sizes", "bytes"])
+            columns = [[task + made], [times], [packed], [ids], [learned], [count + 1], [long[upto] - long[upto - count] + count + 1]]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.list_(pa.int64())] * 2]
+            columns = [pa.array(c, k) for c, k in zip(columns, types, strict=True)]
+            columns.insert(1, pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words))
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "words", "times", "text", "ids", "learned", "sizes", "bytes"])
 
         ids, learned, texts, size = [], [], [], 0
         for batch in parts(batches):
@@ -222,12 +236,12 @@ def chunks(docs: DataFrame) -> DataFrame:
                 learned.append(bool(yes))
                 size += len(text or "") + 1
                 if size >= CHUNK:
-                    yield flush(ids, learned, texts)
+                    yield more(flush(ids, learned, texts))
                     ids, learned, texts, size = [], [], [], 0
         if texts:
-            yield flush(ids, learned, texts)
+            yield more(flush(ids, learned, texts))
 
-    return docs.mapInArrow(count, "chunk long, words array<binary>, times array<long>, text binary, ids array<long>, learned array<boolean>, sizes array<long>, bytes array<long>")
+    return docs.mapInArrow(count, ", ".join(["chunk long, words array<binary>, times array<long>, text binary, ids array<long>, learned array<boolean>, sizes array<long>, bytes array<long>", *filter(None, [kinds])]))
 
 
 def added_up(rows: DataFrame, add: Callable[[pa.RecordBatch, np.ndarray], None], bits: int) -> np.ndarray:

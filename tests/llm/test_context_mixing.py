@@ -163,3 +163,32 @@ def test_scores_without_rows_or_training(spark):
     docs = spark.createDataFrame([(1, "one two"), (None, None)], kind).withColumn("learn", F.lit(False))
     got = {r["doc_id"]: r for r in cm.context_scores(docs).collect()}
     assert [(got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"], got[i]["bits_per_byte"]) for i in (1, None)] == [(3, 0, 0, pytest.approx(8)), (1, 0, 0, pytest.approx(8))]
+
+
+def test_runs_of_a_chunk_are_laid_out_twice_at_most(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(["a", "be", "sea", "internationally", "é"], k=rng.randint(0, 9))) for _ in range(600)]
+    docs = spark.createDataFrame([(i, i % 4 > 0, t) for i, t in enumerate(texts)], "doc_id long, learn boolean, text string").coalesce(1)
+    batch = lm_scoring.chunks(docs).toArrow().to_batches()[0]
+    (want, times), whole = (cm.distinct_runs(next(cm.pieces(batch, yes))[1]()) for yes in (True, False))
+    laid, lay = [], cm.runs_of_bytes
+    monkeypatch.setattr(cm, "runs_of_bytes", lambda spelled, tokens, sizes: laid.append(len(sizes)) or lay(spelled, tokens, sizes))
+    monkeypatch.setattr(cm, "SORTED", 500)
+    found = cm.with_runs(batch)
+    ((keys, n),) = cm.learned_runs(found)
+    shown = cm.numbers(found["run_keys"][0].as_py(), found["runs"][0].as_py(), np.uint64)
+    assert (keys == want).all() and (n == times).all() and (shown == whole[0]).all()
+    seen = np.zeros(2 << cm.SLOT_BITS, np.int64)
+    cm.count_runs(keys, n, seen)
+    odds, m = lm_scoring.odds(seen.reshape(2, -1).astype(np.float32)), lm_scoring.Mixer.fresh(cm.CONTEXTS)
+    cm.learn_runs(keys, n, odds, m, np.zeros((2, cm.CONTEXTS + 1, lm_scoring.CELLS)))
+    assert len(cm.text_sums(next(cm.pieces(found, False))[1], odds, m, shown)) == 600
+    assert sum(laid) == 2 * 600
+
+
+def test_places_of_keys_that_share_hashes():
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 56, 5000, np.uint64))
+    places = cm.Places(keys)
+    order = np.random.default_rng(4).integers(0, len(keys), 20000)
+    assert len(places.tables) > 1 and (places.find(keys[order]) == order).all()
+    assert len(cm.Places(keys[:0]).find(keys[:0])) == 0
