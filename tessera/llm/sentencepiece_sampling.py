@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,20 @@ class Pieces:
     byte_ids: np.ndarray
     byte_weight: float
 
+    def __post_init__(self):
+        self.shift = U(64 - max(4, len(self.hashes).bit_length() + 2))  # hashes are even, so few begin alike
+        self.near = np.searchsorted(self.hashes, np.arange(1 << 64 - int(self.shift), dtype=U) << self.shift)
+        self.padded = np.append(self.hashes, U((1 << 64) - 1))
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """As searchsorted() in the model's hashes, from the first that begins alike."""
+        out = self.near.take((hashes >> self.shift).view(np.int64))
+        rest = np.flatnonzero(self.padded.take(out) < hashes)
+        while len(rest):
+            out[rest] += 1
+            rest = rest[self.padded[out[rest]] < hashes[rest]]
+        return out
+
 
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -94,7 +109,7 @@ class Lattice:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
         self.first = ends - sizes + np.arange(len(words))  # each word has one node more than characters
-        owner = np.repeat(np.arange(len(words)), sizes)
+        owner, of_node = (np.repeat(np.arange(len(words)), n) for n in (sizes, sizes + 1))
         at = np.arange(len(marked))
         room = ends[owner] - at
         froms, tos, ids, weights = [], [], [], []
@@ -104,7 +119,7 @@ class Lattice:
         for width in range(1, min(p.widest, int(sizes.max(initial=0))) + 1):
             alive = alive[room[alive] >= width]
             h = mix(roll.ranges(alive, alive + width) + U(width))
-            place = np.minimum(np.searchsorted(p.hashes, h), len(p.hashes) - 1)
+            place = np.minimum(p.place(h), len(p.hashes) - 1)
             hit = (p.hashes[place] == h) & (bad[alive + width] == bad[alive])
             alive, place = alive[hit], place[hit]
             whole = p.ids[place] >= 0
@@ -115,7 +130,7 @@ class Lattice:
             weights.append(p.weights[place])
         alone = np.ones(len(marked), bool)
         if ids:
-            alone[(froms[0] - owner_of(froms[0], self.first))] = False
+            alone[(froms[0] - of_node[froms[0]])] = False
         lone = at[alone]  # a character that is no piece: its bytes
         froms.append(lone + owner[lone])
         tos.append(lone + owner[lone] + 1)
@@ -123,7 +138,7 @@ class Lattice:
         weights.append(np.full(len(lone), p.byte_weight))
         f, t, i, w = map(np.concatenate, (froms, tos, ids, weights))
         nodes = len(marked) + len(words)
-        step = t - self.first[owner_of(t, self.first)]
+        step = t - self.first[of_node[t]]
         total = np.zeros(nodes)  # of all ways to a node, after division by the node's scale
         scale = np.zeros(nodes)  # as a logarithm, so that no word is too long
         total[self.first] = 1.0
@@ -144,11 +159,13 @@ class Lattice:
             share[a:b] /= np.repeat(sums, np.diff(np.append(into[c:d], b)))
         order = np.argsort(t, kind="stable")
         f, t, i, share = f[order], t[order], i[order], share[order]
+        begin = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=nodes))))
         run = np.cumsum(share)
         head = np.flatnonzero(np.diff(t, prepend=-1))
         run -= np.repeat(run[head] - share[head], np.diff(np.append(head, len(t))))
         run[np.append(head[1:], len(t)) - 1] = 1.0
-        self.key, self.back, self.ids, self.last = t + run, f, i, self.first + sizes
+        self.key, self.back, self.ids, self.last = np.append(t + run, np.inf), f, i, self.first + sizes
+        self.begin = begin
         self.raw = text.encode("utf-8", "surrogatepass")
         lead = np.flatnonzero((np.frombuffer(self.raw, np.uint8) & 0xC0) != 0x80)
         self.char_begin = np.append(lead, len(self.raw))
@@ -161,7 +178,14 @@ class Lattice:
         turn = 0
         while len(live):
             u = (mix(seed[live] + U((turn + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> U(11)).astype(float) * 2.0**-53
-            edge = np.searchsorted(self.key, node[live] + u, "right")
+            at = node[live]
+            u += at
+            edge = self.begin[at]
+            rest = np.flatnonzero(self.key.take(edge) <= u)
+            while len(rest):
+                edge[rest] += 1
+                rest = rest[self.key[edge[rest]] <= u[rest]]
+            edge = np.minimum(edge, self.begin[at + 1] - 1)  # a sum rounded up
             picked.append(edge)
             owner.append(live)
             nth.append(np.full(len(live), turn))
@@ -187,10 +211,6 @@ class Lattice:
         return out, np.bincount(np.repeat(np.arange(len(which)), number), wide, len(which)).astype(np.int64)
 
 
-def owner_of(nodes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.searchsorted(first, nodes, "right") - 1
-
-
 def decode_ids(ids: np.ndarray, p: Pieces) -> bytes:
     size = p.size[ids]
     shift = p.begin[ids] - np.cumsum(size) + size
@@ -231,9 +251,11 @@ def encode(docs: DataFrame, model: bytes, alpha: float = 1.0, seed: int = 1, id_
             for at, raws in blocks(texts, 4 << 20):
                 some = [t or "" for t in texts[at : at + len(raws)]]
                 split = [words_of(t) if t else [] for t in some]
-                number: dict[str, int] = {}
                 size = np.fromiter(map(len, split), np.int64, len(split))
-                which = np.fromiter((number.setdefault(w, len(number)) for words in split for w in words), np.int64, int(size.sum()))
+                said = list(chain.from_iterable(split))
+                number = dict(zip(dict.fromkeys(said), count()))  # noqa: B905
+                which = np.fromiter(map(number.__getitem__, said), np.int64, len(said))
+                del said
                 keys = np.array([(-1 if doc is None else doc) & (2**64 - 1) for doc in ids[at : at + len(raws)]], U)
                 base = np.repeat(mix(keys + mix(np.array([seed], U))), size)
                 place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)

@@ -635,3 +635,15 @@ def test_line_dedup_of_one_id_with_two_texts(spark):
     assert sorted(x for x in got if x[0] is None) == [(None, 0, "and this one too"), (None, 0, "only once here")]
     kept = {t for i, _, t in got if i == 5}
     assert len(kept) == 2 and sum("the first line of it" in t for t in kept) == 1 and len([i for i, *_ in got if i == 5]) == 3
+
+
+def test_pieces_are_found_without_a_search_of_the_whole_model():
+    p = sentencepiece_sampling.load(sentencepiece_sampling.default_model(), 1.0)
+    rng = np.random.default_rng(5)
+    asked = np.concatenate((p.hashes, p.hashes + np.uint64(1), rng.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2), np.array([0, (1 << 64) - 1], np.uint64)))
+    assert (p.place(asked) == np.searchsorted(p.hashes, asked)).all()
+    words = [" the", " segmentations", "猫▁x"]
+    lattice = sentencepiece_sampling.Lattice(words, p)
+    which = rng.integers(0, 3, 2000)
+    ids, number = lattice.sample(which, rng.integers(0, 1 << 63, 2000, np.uint64), p)
+    assert sentencepiece_sampling.decode_ids(ids, p) == "".join(words[i] for i in which).encode() and (number > 0).all()
