@@ -1,7 +1,9 @@
 import random
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking as ch
@@ -9,6 +11,7 @@ from tessera.operators import documents as do
 from tessera.operators import memory as me
 from tessera.operators import retrieval as re_
 from tessera.operators import vectors as ve
+from tessera.plans import texts
 
 TEXTS = ["", "short", "One. Two! Three? " * 40, "Heading\nbody text here.\n\nMore of it.\nHead Two\n" + "x" * 300, "a|b\n" + "\n".join(f"{i}|{i}" for i in range(60))]
 
@@ -301,3 +304,15 @@ def test_the_embedder_counts_trigrams_of_each_text():
     parts = [np.array(embed(pd.Series([t]))[0]) for t in ("abc", "bcd", "cda", "dab")]
     want = 2 * parts[0] + 2 * parts[1] + parts[2] + parts[3]
     assert np.allclose(got[5], want / np.sqrt((want**2).sum()), atol=1e-6)
+
+
+def test_entities_beside_letters_that_are_not_ascii(spark, tmp_path):
+    """Words of ASCII letters, as DuckDB has them: "stände" holds the word "st", a vertical tab is no blank, a long s is an s without regard to case."""
+    rows = ["12 Elm stände", "12 Elm\x0bSt", "12 Elm ſt", "12 oaK St", "ä12 Elm St", "7 İ St", "ä2001-02-03 2001-02-03é 1/2/99_", "100\x0bUSD", "5\x0c ETB", "12 Elm St", "", None]
+    pd.DataFrame({"doc_id": range(len(rows)), "text": rows}).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.execute(texts.C.sql["x11_entities"]).fetchall()
+    got = [tuple(r) for r in texts.C.queries["x11_entities"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    assert dict((r[0], r[6]) for r in want)[0] == "12 Elm st"
