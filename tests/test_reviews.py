@@ -93,3 +93,19 @@ def test_reembedding_counts_failures(spark):
     rows, counts = me.reembed(df, me.hashing_embedder(8), "new", most=20)
     assert counts.first().asDict() == {"succeeded": 3, "failed": 1, "embedded": 2}
     assert {r["id"]: (r["error"], r["vector"] is None) for r in rows.collect()} == {1: (None, False), 2: (None, False), 3: ("too long", True), 4: (None, False)}
+
+
+def test_approximate_search_of_more_queries_than_one_block(spark, monkeypatch):
+    """More than QUERY_LIMIT queries are dealt in blocks, which find what one block finds; so do codes that were written before."""
+    rng = np.random.default_rng(6)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(400, 16)).round(3))]
+    rows += [(400, None), (401, [1.0]), (402, [float("nan")] * 16), (403, rows[3][1]), (404, rows[3][1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = vectors.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    quantiser = ve.fit_quantiser(vectors, 5, most=300)
+    want = sorted(map(tuple, ve.approximate_search(vectors, queries, 5, quantiser=quantiser).collect()))
+    monkeypatch.setattr(ve, "QUERY_LIMIT", 30)
+    assert sorted(map(tuple, ve.approximate_search(vectors, queries, 5, quantiser=quantiser).collect())) == want and len(want) == 5 * 80
+    coded = ve.coded_vectors(vectors, quantiser)
+    assert sorted(map(tuple, ve.approximate_search(vectors, queries, 5, quantiser=quantiser, coded=coded).collect())) == want
+    assert ve.approximate_search(vectors.limit(0), queries, 5).count() == 0
