@@ -316,3 +316,15 @@ def test_entities_beside_letters_that_are_not_ascii(spark, tmp_path):
     got = [tuple(r) for r in texts.C.queries["x11_entities"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
     assert dict((r[0], r[6]) for r in want)[0] == "12 Elm st"
+
+
+def test_shingles_split_each_text_once(spark):
+    """Split anew for every run, a text of 20000 words took its square of time."""
+    rng = random.Random(4)
+    rows = ["", "  ", "One", "two  Words", "a b A B a b a", " ".join(rng.choices("abcdefgh", k=20000)), None]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", do.shingles("t").alias("s"))
+    assert df._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    got = {r["i"]: r["s"] for r in df.collect()}
+    for i, t in enumerate(rows[:-1]):
+        w = t.lower().split()
+        assert got[i] == (list(dict.fromkeys(" ".join(w[j : j + 3]) for j in range(len(w) - 2))) if len(w) > 2 else [" ".join(w)])
